@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import SPACE, dealt_anew, text_or_empty
+from auditloom.llm.common import SPACE, cut, dealt_anew, text_or_empty
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,8 +25,9 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
         F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("_p", "_l")
     ).filter(F.length("_l") >= min_chars)
     keyed = lines.select("doc_id", "_p", line_key(F.col("_l")).alias("_k")).filter(F.length("_k") >= min_chars)
-    hashed = keyed.select(
-        "doc_id", "_p", F.xxhash64("_k").alias("_h"), F.xxhash64(F.lit("second"), "_k").alias("_g")
+    # read twice below; about an eighth of the texts as hashes
+    hashed = cut(
+        keyed.select("doc_id", "_p", F.xxhash64("_k").alias("_h"), F.xxhash64(F.lit("second"), "_k").alias("_g"))
     )
     over = (
         hashed.groupBy("_h", "_g")
