@@ -64,69 +64,109 @@ def _send(w: Words, level: int, length: int, survivors: np.ndarray | None, befor
 
 
 def _windows(docs: DataFrame, level: int, length: int, before: int) -> DataFrame:
-    """Rows (doc_id, t, pos, h) of the windows to compare. docs: doc_id, t, text and, after the first level, at."""
+    """Rows (doc_id, t, pos, h, copied) of the windows to compare. docs: doc_id, t, copied, text and, after the first level, at."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = 0
-            for lot in in_lots(b.column(2), 1_000_000):
+            for lot in in_lots(b.column(3), 1_000_000):
                 w = Words(lot)
                 survivors = None
-                if b.num_columns > 3:
-                    lists = b.column(3).slice(done, len(lot))
+                if b.num_columns > 4:
+                    lists = b.column(4).slice(done, len(lot))
                     sizes = np.diff(lists.offsets.to_numpy())
                     survivors = lists.flatten().to_numpy() + np.repeat(w.offsets[:-1], sizes)
                 at, h = _send(w, level, length, survivors, before)
                 row = np.searchsorted(w.offsets, at, side="right") - 1
                 pick = pa.array(done + row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pick), b.column(1).take(pick), pa.array((at - w.offsets[row]).astype(np.int32)), pa.array(h.view(np.int64))],
-                    names=["doc_id", "t", "pos", "h"],
+                    [
+                        b.column(0).take(pick),
+                        b.column(1).take(pick),
+                        pa.array((at - w.offsets[row]).astype(np.int32)),
+                        pa.array(h.view(np.int64)),
+                        b.column(2).take(pick),
+                    ],
+                    names=["doc_id", "t", "pos", "h", "copied"],
                 )
                 done += len(lot)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, t bigint, pos int, h bigint")
+    return docs.mapInArrow(run, f"doc_id {kind}, t bigint, pos int, h bigint, copied boolean")
 
 
-def _repeated(windows: DataFrame) -> DataFrame:
-    """Rows (_d, _t, at): for each text the places whose window starts anywhere else, too."""
+def _repeated(windows: DataFrame, last: bool) -> DataFrame:
+    """Rows (_d, _t, at): for each text the places whose window starts anywhere else, too.
+
+    A copied text stands for all its copies, so its windows count twice. At the last level nothing
+    more has to be found out about it, and its windows are counted only.
+    """
     again = (
-        windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(dealt_anew(F.col("h")).alias("_h"))
+        windows.groupBy("h")
+        .agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n"))
+        .filter("n > 1")
+        .select(dealt_anew(F.col("h")).alias("_h"))
     )
     return (
-        windows.join(again, F.col("h") == F.col("_h"), "left_semi")
+        (windows.filter(~F.col("copied")) if last else windows)
+        .join(again, F.col("h") == F.col("_h"), "left_semi")
         .groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
         .agg(F.array_sort(F.collect_set("pos")).alias("at"))
     )
 
 
-def repeated_windows(docs: DataFrame, length: int, least: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The texts (doc_id, t, text), and rows (_d, _t, at) with the first words of their repeated windows."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("t"), "text"
+def _copies(docs: DataFrame) -> DataFrame:
+    """Rows (_id, _x, first) of the texts that several rows have: the row's id, the text's hash, whether it stands for all."""
+    ids = docs.select("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit("second"), "text").alias("g"))
+    groups = (
+        ids.groupBy("t", "g")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+        .filter("n > 1")
+        .select(dealt_anew(F.col("t")).alias("_t"), F.col("g").alias("_g"), "least")
     )
+    return (
+        ids.join(groups, (F.col("t") == F.col("_t")) & (F.col("g") == F.col("_g")))
+        .select(F.col("doc_id").alias("_id"), F.col("t").alias("_x"), F.col("doc_id").eqNullSafe(F.col("least")).alias("first"))
+        .distinct()
+    )
+
+
+def repeated_windows(docs: DataFrame, length: int, least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The texts (doc_id, t, text), and rows (_d, _t, at, copied) of texts with repeated windows.
+
+    at has the first words of these windows; of a copied text all windows repeat, and at is null.
+    After the first level one of the copies of a text is compared for all of them.
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    copies = _copies(docs)
     found, before = None, 0
     for level in levels(length, least):
-        here = texts
-        if found is not None:
-            here = texts.join(found, _same()).select("doc_id", "t", "text", "at")
-        found, before = _repeated(_windows(here, level, length, before)), level
-    return texts, found
+        if found is None:
+            here = texts.select("doc_id", "t", F.lit(False).alias("copied"), "text")
+        else:
+            one = found.join(copies, _same("_x", "_id", "_t", "_d"), "left").filter(F.coalesce("first", F.lit(True)))
+            here = texts.join(one, _same("t", "doc_id", "_t", "_d")).select(
+                "doc_id", "t", F.col("first").isNotNull().alias("copied"), "text", "at"
+            )
+        found, before = _repeated(_windows(here, level, length, before), level == length), level
+    single = found.join(copies, _same("_x", "_id", "_t", "_d"), "left_anti").select("_d", "_t", "at", F.lit(False).alias("copied"))
+    every = copies.select(F.col("_id").alias("_d"), F.col("_x").alias("_t"), F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("copied"))
+    return texts, single.union(every)
 
 
-def _same():
-    return (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+def _same(t: str, d: str, t2: str, d2: str):
+    return (F.col(t) == F.col(t2)) & F.col(d).eqNullSafe(F.col(d2))
 
 
 def substring_dedup(docs: DataFrame, length: int = 35, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
-    Words are [^\\\\x20\\\\x09-\\\\x0D]+, unchanged; a null or empty text has none. Each word covered by a
+    Words are [^\\x20\\x09-\\x0D]+, unchanged; a null or empty text has none. Each word covered by a
     window of length words whose word sequence also starts anywhere else, in the same text or
     another, is removed; windows are judged on the input, so no copy stays. Windows are compared
-    by 64-bit hashes. Repeated rows are copies of each other. Texts under length words stay whole.
-    Further columns are not read.
+    by 64-bit hashes and whole texts by 128 bits. Repeated rows are copies of each other. Texts
+    under length words stay whole. Further columns are not read.
     """
     texts, found = repeated_windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), length, least)
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -136,13 +176,16 @@ def substring_dedup(docs: DataFrame, length: int = 35, least: int = 10, id_col:
             done, n, removed, kept = 0, [], [], []
             for lot in in_lots(b.column(1)):
                 w = Words(lot)
-                for i, at in enumerate(b.column(2).slice(done, len(lot))):
+                places, copied = b.column(2).slice(done, len(lot)), b.column(3).slice(done, len(lot)).to_pylist()
+                for i, at in enumerate(places):
                     count = int(w.counts[i])
                     edge = np.zeros(count + 1, np.int64)
                     if at.is_valid:
                         at = at.values.to_numpy()
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + length, -1)
+                    elif copied[i] and count >= length:
+                        edge[0] = 1
                     gone = np.cumsum(edge)[:count] > 0
                     n.append(count)
                     removed.append(int(gone.sum()))
@@ -154,8 +197,8 @@ def substring_dedup(docs: DataFrame, length: int = 35, least: int = 10, id_col:
             )
 
     return (
-        texts.join(found, _same(), "left")
-        .select("doc_id", "text", "at")
+        texts.join(found, _same("t", "doc_id", "_t", "_d"), "left")
+        .select("doc_id", "text", "at", "copied")
         .mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
     )
 
