@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut, dealt_anew, one_space, text_or_empty
+from auditloom.llm.common import cut, dealt_anew, one_space, packed, text_or_empty
 
 #: A cut comes at a space after such characters: about every 700 characters of prose.
 CUT = r"(?<=[aehnst][dgnrst][.,!?;:*%&#$|]) "
@@ -131,8 +131,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select(F.col("doc_id").alias("_stay"))
         .distinct()
     )
-    kept = docs.join(stays, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
-    return kept
+    rows = packed(docs, _id=F.col(id_col))
+    return rows.join(stays, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi").select("row.*")
 
 
 ORACLE = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import SPACE, cut, dealt_anew, text_or_empty
+from auditloom.llm.common import SPACE, cut, dealt_anew, packed, text_or_empty
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,7 +50,7 @@ def line_dedup(
     but for all those of the largest id that holds it. Rows that repeat an id count as one
     document and lose the same lines if their texts agree; rows with a null id are in no count
     and lose their shared lines. A document may lose every line; its text is then empty. Further
-    columns of docs stay as they are.
+    columns of docs stay as they are, but for those named n_lines and n_dropped, which are replaced.
     """
     places = (
         shared_lines(docs, id_col, text_col, min_chars, min_docs)
@@ -58,21 +58,22 @@ def line_dedup(
         .agg(F.collect_set("_p").alias("_gone"))
         .select(F.col("doc_id").alias("_id"), "_gone")
     )
-    lines = F.split(text_or_empty(text_col), "\n", -1)
+    text = F.coalesce("_text", F.lit(""))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    out = docs.join(places, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn("_lines", lines)
-    return (
-        out.withColumn("n_lines", F.size("_lines").cast("long"))
+    rows = packed(docs, _own=F.col(id_col), _text=F.col(text_col))
+    out = (
+        rows.join(places, F.col("_own").eqNullSafe(F.col("_id")), "left")
+        .withColumn("_lines", F.split(text, "\n", -1))
         .withColumn("_stay", F.when(F.col("_gone").isNotNull(), stay))
-        .withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("_stay"), F.lit(0)).cast("long"))
-        .withColumn(
-            text_col,
-            F.when(
-                F.col("_stay").isNotNull(),
-                F.array_join(F.transform("_stay", lambda i: F.get(F.col("_lines"), i)), "\n"),
-            ).otherwise(text_or_empty(text_col)),
-        )
-        .drop("_id", "_gone", "_lines", "_stay")
+    )
+    kept = F.when(
+        F.col("_stay").isNotNull(), F.array_join(F.transform("_stay", lambda i: F.get(F.col("_lines"), i)), "\n")
+    ).otherwise(text)
+    n_lines = F.size("_lines").cast("long")
+    counts = {"n_lines": n_lines, "n_dropped": F.coalesce(n_lines - F.size("_stay"), F.lit(0)).cast("long")}
+    return out.select(
+        *[kept.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in counts],
+        *[c.alias(n) for n, c in counts.items()],
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut, one_space, text_or_empty
+from auditloom.llm.common import cut, one_space, packed, text_or_empty
 
 #: A document's place in the seeded order of its source has 3 x 12 bits, refined 12 at a time.
 _BITS, _LEVELS = 12, 3
@@ -145,11 +145,10 @@ def repeated(docs: DataFrame, **settings) -> DataFrame:
     times = (
         mix(docs, **settings).filter("times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "times").distinct()
     )
-    return (
-        docs.join(times, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
-        .drop("_id", "_src", "times", "_copy")
-    )
+    rows = packed(docs, _own=F.col(id_col), _from=F.col(source_col))
+    return rows.join(times, F.col("_own").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_src"))).select(
+        "row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_copy")
+    ).select("row.*")
 
 
 ORACLE = """
