@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from auditloom.llm.common import in_lots
 
 #: Pre-tokens whose ids a task keeps, at most; longer ones than this many characters are never kept.
-CACHE, CACHE_CHARS = 400_000, 64
+CACHE, CACHE_CHARS = 200_000, 64
 
 
 def byte_chars() -> list[str]:
@@ -168,6 +168,7 @@ def _map(docs: DataFrame, columns: list[str], path: str, pattern: str, fields: l
                 [b.column(i) for i in range(len(keep))] + [pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields)],
                 names=keep + [n for n, _ in fields],
             )
+        codec._forget()  # the worker may serve other stages next
 
     return src.mapInArrow(run, schema)
 
