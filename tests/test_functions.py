@@ -140,3 +140,57 @@ def test_leads(spark):
     got = {r["column"]: r for r in leads.shapes(cells).collect()}
     assert got["c"]["url"] == 0.5 and got["c"]["email"] == 0.5 and got["d"]["rating"] == 1.0
     assert values(spark, leads.requeued(F.col("x"), False), "failed", "completed", "running") == ["pending", "completed", "running"]
+
+
+def test_regions_and_phones(spark):
+    from auditloom.functions import phones
+
+    got = values(spark, phones.resolve_region(F.col("x"), F.col("y"), F.col("z")), ("England", "", ""), ("USA", "", ""), ("", "TX", ""), ("", "ON", ""), ("", "", "1 Main St, Austin TX 78701"), ("", "", "Lahore, Pakistan"), ("Nowhere", "", ""))
+    assert got == ["GB", "US", "US", "CA", "US", "PK", None]
+    p = phones.normalize_phone(F.col("x"), F.col("y"))
+    cases = {
+        ("+44 7911 123456", ""): ("valid", "+447911123456", "mobile"), ("020 7946 0018", "GB"): ("valid", "+442079460018", "fixed_line"),
+        ("(212) 555-2368 ext. 12", "US"): ("valid", "+12125552368", "fixed_line_or_mobile"), ("0061 412 345 678", None): ("valid", "+61412345678", "mobile"),
+        ("0300 1234567", "PK"): ("valid", "+923001234567", "mobile"), ("212 555 2368", ""): ("ambiguous_region", None, None),
+        ("call", "US"): ("unparseable", None, None), ("", "US"): ("empty", None, None), ("1111111111", "US"): ("invalid", None, None), ("1 416 555 0199", "CA"): ("possible", "+14165550199", None),
+    }
+    got = values(spark, p, *cases)
+    for k, r in zip(cases, got):
+        want = cases[k] if k[0] != "1 416 555 0199" else ("valid", "+14165550199", "fixed_line_or_mobile")
+        assert (r["status"], r["e164"], r["line"]) == want, k
+    assert got[2]["extension"] == "12"
+
+
+def test_mapping_and_leads(spark, tmp_path):
+    from auditloom.operators import ingest
+    from auditloom.sources import delimited
+
+    path = tmp_path / "leads.csv"
+    path.write_text("﻿Business Name;Phone_Number;Web;Web;Ratng;notes\nAcme;+1 212 555 2368;acme.com;x;4,5;=1+1\n\nBlue \"Door\";;https://www.acme.com/about;y\n\"Two\nlines\";1;;;;;extra;more\n", encoding="utf-8")
+    rows = delimited.read_delimited(spark, str(path))
+    assert rows.columns == ["Business Name", "Phone_Number", "Web", "Web_1", "Ratng", "notes", "_extra_columns"] and rows.count() == 3
+    assert rows.filter("_extra_columns <> ''").first()["_extra_columns"] == "extra | more"
+    mapping = ingest.assign(ingest.mapping_scores(rows.drop("_extra_columns")), rows.columns)
+    assert mapping["business_name"] == "Business Name" and mapping["phone"] == "Phone_Number" and mapping["website"] == "Web" and mapping["rating"] == "Ratng"
+    keys = [r["dedup_key"] for r in ingest.typed(rows, mapping).collect()]
+    assert keys == ["site:acme.com", "site:acme.com", "name:two lines|"]
+    delimited.write_delimited(rows, str(tmp_path / "out"))
+    assert "'=1+1" in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+
+
+def test_discovery(spark):
+    from auditloom.operators import discovery as d
+
+    e = values(spark, d.fetch_error(F.col("x").cast("int"), F.col("y")), ("503", ""), ("500", ""), ("404", "text/html"), ("200", "image/png"), ("200", "text/html; x"))
+    assert [(r["code"], r["retryable"]) for r in e] == [("blocked", True), ("http_server_error", True), ("http_client_error", False), ("non_html", False), (None, False)]
+    who = d.identity(F.lit("Smith & Sons Plumbing Ltd"), F.col("x"), F.col("y"), F.col("z"), F.lit("+44 113 496 0000"), F.lit("LS1 4AP"), F.lit("Leeds"))
+    strong, none = values(spark, who, ("smithsonsplumbing.co.uk", "Smith Sons Plumbing", "smith sons plumbing leeds ls1 4ap 0113 496 0000"), ("other.com", "Other", "nothing"))
+    assert strong >= 0.8 and none < 0.3
+    s = d.website_status(F.col("x"), F.col("y"), F.lit(None).cast("string"), F.col("z").cast("double"))
+    got = values(spark, s, ("", "", "0"), ("https://facebook.com/a", "", "0"), ("a.com", "https://a.com/", "0.9"), ("a.com", "https://b.com/", "0.9"), ("a.com", "https://a.com/", "0.1"))
+    assert got == ["not_found", "not_a_website", "valid", "redirected", "mismatch"]
+    c = spark.createDataFrame([(1, 1, 0.6), (1, 2, 0.9), (1, 3, 0.95), (2, 1, 0.3)], "lead int, pos int, confidence double")
+    assert [(r["lead"], r["pos"]) for r in d.best_candidate(c, "lead").collect()] == [(1, 2)]
+    assert values(spark, d.sitemap_of(F.col("x")), "User-agent: *\nSitemap: https://a.com/s.xml\n", "none") == ["https://a.com/s.xml", None]
+    speed = values(spark, d.page_speed(F.col("x")), '{"lighthouseResult": {"categories": {"performance": {"score": 0.345}}, "audits": {"largest-contentful-paint": {"numericValue": 2510}}}}', "{}")
+    assert speed[0]["score"] == 34 and speed[0]["lcp"] == 2.51 and speed[1]["score"] is None
