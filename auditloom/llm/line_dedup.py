@@ -58,9 +58,9 @@ def line_dedup(
         .agg(F.collect_set("_p").alias("_gone"))
         .select(F.col("doc_id").alias("_id"), "_gone")
     )
-    text = F.coalesce("_text", F.lit(""))
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    rows = packed(docs, _own=F.col(id_col), _text=F.col(text_col))
+    rows = packed(docs, _own=F.col(id_col))
     out = (
         rows.join(places, F.col("_own").eqNullSafe(F.col("_id")), "left")
         .withColumn("_lines", F.split(text, "\n", -1))
