@@ -37,6 +37,19 @@ def packed(docs: DataFrame, **more: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
+def rows_that_stay(docs: DataFrame, stays: DataFrame, row_id: Column, sha: Column) -> DataFrame:
+    """The rows of docs whose id and digest of the text are in stays (_id, _sha), with all their columns: one row for each.
+
+    stays has no row twice. Rows that repeat an id and a digest meet after each task has kept one
+    of its own; the one with the least hash of its columns stays. As a struct, a null id is a value like others.
+    """
+    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = packed(docs, _key=F.struct(row_id.alias("id"), sha.alias("sha")), _h=F.xxhash64(*hashed))
+    once = rows.groupBy("_key").agg(F.min_by("row", "_h").alias("row"))
+    wanted = stays.select(F.struct(F.col("_id").alias("id"), F.col("_sha").alias("sha")).alias("_stay"))
+    return once.join(wanted, F.col("_key") == F.col("_stay"), "left_semi").select("row.*")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut, dealt_anew, one_space, packed, text_or_empty
+from auditloom.llm.common import cut, dealt_anew, one_space, rows_that_stay, text_or_empty
 
 #: A cut comes at a space after such characters: about every 700 characters of prose.
 CUT = r"(?<=[aehnst][dgnrst][.,!?;:*%&#$|]) "
@@ -123,16 +123,17 @@ def _with_ordinals(base, recipes, pieces, ambiguous, chunk_hash) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: for each text the row with the smallest id.
 
-    Of repeated rows (the same id and an equal text) one stays.
+    Of repeated rows (the same id and an equal text) one stays. Rows are told apart by id and text,
+    so rows with a null id, or with one id and different texts, are judged each by its own text.
     """
     stays = (
         exact_dedup(docs.select(id_col, text_col), id_col, text_col)
         .filter("kept")
-        .select(F.col("doc_id").alias("_stay"))
+        .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
         .distinct()
     )
-    rows = packed(docs, _id=F.col(id_col))
-    return rows.join(stays, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi").select("row.*")
+    sha = F.sha2(F.encode(normalised(text_or_empty(text_col)), "UTF-8"), 256)
+    return rows_that_stay(docs, stays, F.col(id_col), sha)
 
 
 ORACLE = """
