@@ -2,8 +2,9 @@
 
 Nodes start in shards by hash. In each round a part of the linked nodes asks to move where most
 of its neighbours are, and as many of those moves are granted as the shard's quota of bytes
-lets in, best gains first. Nodes without links then even out the sizes. All sums that decide
-are taken over a fixed number of bins for each shard, so no shard is sorted or gathered.
+lets in, best gains first. Pieces, the nodes that are not to be parted, are then put together in one
+exact join, as rounds leave some behind. Nodes without links, and whole pieces after them, even
+out the sizes. All sums that decide are taken over a fixed number of bins for each shard, so no shard is sorted or gathered.
 """
 
 from __future__ import annotations
@@ -33,23 +34,26 @@ def _loads(nodes: DataFrame, shards: int) -> list[int]:
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """nodes (node long, size long) with shard int: few links cut, sizes nearly even.
+    """nodes (node long, size long, perhaps piece long) with shard int: few links cut, sizes nearly even.
 
-    links (a, b) are between different nodes, in any direction and any number. No node is
-    divided, so a shard may differ from the mean by the size of a node.
+    links (a, b) are between different nodes, in any direction and any number. piece is the node
+    where all nodes of the same piece are placed; without it each node is a piece of its own. No
+    piece is divided, so a shard may differ from the mean by the size of a piece.
     """
+    if "piece" not in nodes.columns:
+        nodes = nodes.withColumn("piece", F.col("node"))
     spark = nodes.sparkSession
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     linked = edges.select(F.col("a").alias("node")).distinct().withColumn("linked", F.lit(True))
     state = cut(
         nodes.join(linked, "node", "left").select(
-            "node", "size", F.coalesce("linked", F.lit(False)).alias("linked"), _bin(F.col("node"), -1, shards).alias("shard")
+            "node", "size", "piece", F.coalesce("linked", F.lit(False)).alias("linked"), _bin(F.col("node"), -1, shards).alias("shard")
         )
     )
     total = sum(_loads(state, shards))
     free = state.filter("not linked")
     free_loads = _loads(free, shards)
-    moving = cut(state.filter("linked").select("node", "size", "shard"))
+    moving = cut(state.filter("linked").select("node", "size", "piece", "shard"))
     idle = 0
     for r in range(rounds):
         loads = [a + b for a, b in zip(free_loads, _loads(moving, shards))]
@@ -87,26 +91,36 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROU
             ok = F.broadcast(spark.createDataFrame(granted, "to int, bin int"))
             moves = best.join(ok, ["to", "bin"]).select(F.col("a").alias("node"), "to")
             moving = cut(
-                moving.join(moves, "node", "left").select("node", "size", F.coalesce("to", "shard").alias("shard"))
+                moving.join(moves, "node", "left").select("node", "size", "piece", F.coalesce("to", "shard").alias("shard"))
             )
-    state = free.select("node", "size", "shard", "linked").union(moving.select("node", "size", "shard", F.lit(True)))
+    moving = together(moving)
+    state = free.select("node", "size", "piece", "shard", "linked").union(moving.select("node", "size", "piece", "shard", F.lit(True)))
     return even_out(cut(state), shards, total).select("node", "size", "shard")
 
 
+def together(nodes: DataFrame) -> DataFrame:
+    """nodes (node, size, piece, shard) with each in the shard of the node that its piece is named for."""
+    at = nodes.filter("node = piece").select(F.col("node").alias("_at"), F.col("shard").alias("_shard"))
+    rows = nodes.withColumn("_piece", dealt_anew(F.col("piece")))
+    return rows.join(at, F.col("_piece") == F.col("_at"), "left").select("node", "size", "piece", F.coalesce("_shard", "shard").alias("shard"))
+
+
 def even_out(state: DataFrame, shards: int, total: int) -> DataFrame:
-    """state (node, size, shard, linked) with bins of nodes moved from full shards to others.
+    """state (node, size, piece, shard, linked) with bins of pieces moved from full shards to others.
 
-    Nodes without links move first; linked ones only while a shard is off by over 2 percent.
+    Nodes without links move first; pieces of linked ones only while a shard is off by over 2
+    percent, each as a whole, and nodes without links once more after them.
     """
     spark, mean = state.sparkSession, total / shards
-    for k, salt in enumerate((101, 102, 103, 104, 105)):
+    for k, salt in enumerate((101, 102, 103, 104, 105, 106)):
         loads = _loads(state, shards)
         off = max(abs(x - mean) for x in loads)
         if off <= mean * 1e-4 or k >= 3 and off <= mean * 0.02:
             break
-        able = state if k >= 3 else state.filter("not linked")
+        whole = k in (3, 4)
+        able = state if whole else state.filter("not linked")
         full = [s for s in range(shards) if loads[s] > mean]
-        bins = able.filter(F.col("shard").isin(full)).groupBy("shard", _bin(F.col("node"), salt).alias("bin")).agg(F.sum("size").alias("z"))
+        bins = able.filter(F.col("shard").isin(full)).groupBy("shard", _bin(F.col("piece"), salt).alias("bin")).agg(F.sum("size").alias("z"))
         moves = []
         for x in sorted(bins.collect(), key=lambda x: (-x["z"], x["shard"], x["bin"])):  # shards * BINS rows at most
             to = min(range(shards), key=loads.__getitem__)
@@ -117,21 +131,21 @@ def even_out(state: DataFrame, shards: int, total: int) -> DataFrame:
         if not moves:
             continue
         table = F.broadcast(spark.createDataFrame(moves, "shard int, bin int, to int"))
-        may = F.lit(True) if k >= 3 else ~F.col("linked")
+        may = F.lit(True) if whole else ~F.col("linked")
         state = cut(
-            state.withColumn("bin", F.when(may, _bin(F.col("node"), salt)))
+            state.withColumn("bin", F.when(may, _bin(F.col("piece"), salt)))
             .join(table, ["shard", "bin"], "left")
-            .select("node", "size", F.coalesce("to", "shard").alias("shard"), "linked")
+            .select("node", "size", "piece", F.coalesce("to", "shard").alias("shard"), "linked")
         )
     return state
 
 
-def equal_text_links(rows: DataFrame, piece_bytes: float) -> DataFrame:
-    """Links (a, b) between the nodes of equal texts. rows: node, size, g, g2 (hashes of the text).
+def equal_text_pieces(rows: DataFrame, piece_bytes: float) -> DataFrame:
+    """Rows (node, low, hub) for the nodes of texts that several rows have. rows: node, size, g, g2 (hashes of the text).
 
-    Each node is linked to the least of its group. A group of over piece_bytes is first dealt
-    into pieces of about that size, each with a least node of its own, so that a group that no
-    shard can hold is divided by pieces and nothing gathers in one place.
+    A group of over piece_bytes is dealt into pieces of about that size, so that a group that no
+    shard can hold is divided by pieces and nothing gathers in one place. low is the least node of
+    a piece and hub that of the group.
     """
     groups = (
         rows.groupBy("g", "g2")
@@ -144,12 +158,17 @@ def equal_text_links(rows: DataFrame, piece_bytes: float) -> DataFrame:
             "node", "g", "g2", "hub", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).alias("piece")
         )
     )
-    pieces = members.groupBy("g", "g2", "piece").agg(F.min("node").alias("low"), F.first("hub").alias("hub"))
+    pieces = members.groupBy("g", "g2", "piece").agg(F.min("node").alias("low"))
     low = pieces.select(dealt_anew(F.col("g")).alias("_g"), F.col("g2").alias("_g2"), F.col("piece").alias("_piece"), "low")
     inner = members.join(low, (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2")) & (F.col("piece") == F.col("_piece")))
+    return inner.select("node", "low", "hub").distinct()
+
+
+def equal_text_links(pieces: DataFrame) -> DataFrame:
+    """Links (a, b): each node to the least of its piece, and that to the least of its group."""
     return (
-        inner.select(F.col("node").alias("a"), F.col("low").alias("b"))
-        .union(pieces.select(F.col("low").alias("a"), F.col("hub").alias("b")))
+        pieces.select(F.col("node").alias("a"), F.col("low").alias("b"))
+        .union(pieces.filter("node = low").select(F.col("low").alias("a"), F.col("hub").alias("b")))
         .filter("a <> b")
     )
 
@@ -174,8 +193,9 @@ def shard_equal_texts(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
     """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the UTF-8 bytes of the text (null: none) plus 1. The law is "bytes": sizes of shards
-    are nearly equal. Rows with equal texts are linked and stay together where a shard can hold
-    them. Repeated rows (the same id and text) are one node and always together; a null text
+    are nearly equal. Rows with equal texts are linked and always together, but for a group of
+    over an eighth of a shard's bytes: each of its pieces of about that size is together, and
+    pieces are apart where sizes ask for it. Repeated rows (the same id and text) are one node and always together; a null text
     counts as empty. slot numbers a shard's rows from 0 without gaps; grown_shard is null under
     this law. The result depends on ids, texts and shards only. Further columns are not read.
     """
@@ -192,8 +212,9 @@ def shard_equal_texts(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
     )
     n_rows, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     nodes = rows.groupBy("node").agg(F.sum("size").alias("size"))
-    links = equal_text_links(rows, (total or 0) / shards / 8)
-    placed = propagate(nodes, links, shards).select("node", "shard")
+    pieces = cut(equal_text_pieces(rows, (total or 0) / shards / 8))
+    nodes = nodes.join(pieces.select("node", "low"), "node", "left").select("node", "size", F.coalesce("low", "node").alias("piece"))
+    placed = propagate(nodes, equal_text_links(pieces), shards).select("node", "shard")
     out = with_slots(rows.join(placed, "node"), n_rows)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
