@@ -15,19 +15,25 @@ def line_key(line: Column) -> Column:
     return F.translate(F.regexp_replace(line, rf"^[{SPACE}]+|[{SPACE}]+\z", ""), _UPPER, _LOWER)
 
 
+def text_digest(text: Column) -> list[Column]:
+    """Two hashes, _d and _e, that tell the texts of one id (or of null ids) apart."""
+    return [F.xxhash64(text).alias("_d"), F.xxhash64(F.lit("second"), text).alias("_e")]
+
+
 def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """Rows (doc_id, _p): the places of lines to drop, as a document holds them.
+    """Rows (doc_id, _d, _e, _p): the places of lines to drop in the text with this id and digest.
 
     Each line is exploded and hashed to 128 bits; documents are counted once for each hash and
     repeated rows once for each id. A hot line is counted in part before it moves.
     """
-    lines = docs.select(
-        F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("_p", "_l")
-    ).filter(F.length("_l") >= min_chars)
-    keyed = lines.select("doc_id", "_p", line_key(F.col("_l")).alias("_k")).filter(F.length("_k") >= min_chars)
+    text = text_or_empty(text_col)
+    # digests are taken before lines are exploded, once for each text
+    texts = docs.select(F.col(id_col).alias("doc_id"), *text_digest(text), F.split(text, "\n", -1).alias("_lines"))
+    lines = texts.select("doc_id", "_d", "_e", F.posexplode("_lines").alias("_p", "_l")).filter(F.length("_l") >= min_chars)
+    keyed = lines.select("doc_id", "_d", "_e", "_p", line_key(F.col("_l")).alias("_k")).filter(F.length("_k") >= min_chars)
     # read twice below; about an eighth of the texts as hashes
     hashed = cut(
-        keyed.select("doc_id", "_p", F.xxhash64("_k").alias("_h"), F.xxhash64(F.lit("second"), "_k").alias("_g"))
+        keyed.select("doc_id", "_d", "_e", "_p", F.xxhash64("_k").alias("_h"), F.xxhash64(F.lit("second"), "_k").alias("_g"))
     )
     over = (
         hashed.groupBy("_h", "_g")
@@ -37,7 +43,7 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
     )
     return hashed.join(
         over, (F.col("_h") == F.col("_oh")) & (F.col("_g") == F.col("_og")) & ~F.col("doc_id").eqNullSafe(F.col("_keep"))
-    ).select("doc_id", "_p")
+    ).select("doc_id", "_d", "_e", "_p")
 
 
 def line_dedup(
@@ -48,21 +54,23 @@ def line_dedup(
     Lines are parted by \\n only; a null or empty text is one empty line. Lines whose key (see
     line_key) has at least min_chars code points and stands in at least min_docs documents go,
     but for all those of the largest id that holds it. Rows that repeat an id count as one
-    document and lose the same lines if their texts agree; rows with a null id are in no count
-    and lose their shared lines. A document may lose every line; its text is then empty. Further
+    document, and each loses the shared lines of its own text; rows with a null id are in no count
+    and lose their shared lines only. A document may lose every line; its text is then empty. Further
     columns of docs stay as they are, but for those named n_lines and n_dropped, which are replaced.
     """
     places = (
         shared_lines(docs, id_col, text_col, min_chars, min_docs)
-        .groupBy("doc_id")
+        .groupBy("doc_id", "_d", "_e")
         .agg(F.collect_set("_p").alias("_gone"))
-        .select(F.col("doc_id").alias("_id"), "_gone")
+        .select(F.col("doc_id").alias("_id"), F.col("_d").alias("_id_d"), F.col("_e").alias("_id_e"), "_gone")
     )
     text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    rows = packed(docs, _own=F.col(id_col))
+    d, e = text_digest(text_or_empty(text_col))
+    rows = packed(docs, _own=F.col(id_col), _d=d, _e=e)
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_id_d")) & (F.col("_e") == F.col("_id_e"))
     out = (
-        rows.join(places, F.col("_own").eqNullSafe(F.col("_id")), "left")
+        rows.join(places, same, "left")
         .withColumn("_lines", F.split(text, "\n", -1))
         .withColumn("_stay", F.when(F.col("_gone").isNotNull(), stay))
     )
