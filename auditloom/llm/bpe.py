@@ -177,13 +177,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """id_col and ids: the ids of each row's text, as the byte-level BPE of the ranks gives them.
 
     The pattern's matches are encoded one by one, without special tokens; a null or empty text
-    has no ids. One row for each row, repeated ids included; other columns are not read.
+    has no ids. One row for each row, repeated and null ids included; other columns are not read, and an
+    empty table gives an empty result. A text is split as a whole, however long, beside its batch only.
     """
     return _map(docs, [id_col, text_col], path, pattern, [("ids", "array<int>")], lambda c, ids: (ids,))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256: digests of encode()'s ids and of the bytes they decode to."""
+    """id_col, n_tokens, ids_sha256, decoded_sha256: digests of encode()'s ids and of the bytes they decode to.
+
+    Nulls, repeated rows, long texts and empty tables are as in encode().
+    """
 
     def row(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
         return (

@@ -31,8 +31,9 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     Turns are ordered by turn, then role, then text (a null turn first), so ties and repeated
     rows keep a defined order and all stay. A null text or role is empty. mask has a run for each
     turn: skip so many code points of formatted (marks), then comes a text of chars code points,
-    which the loss covers or not; it covers the texts of loss_role. A null conv_id is one conversation. A conversation is one row and so must fit
-    into memory; nothing else meets in one place.
+    which the loss covers or not; it covers the texts of loss_role. A null conv_id is one
+    conversation. A conversation is one row and so must fit into memory; nothing else meets in one
+    place. Further columns are not read, and an empty table gives an empty result.
     """
     rows = turns.select(
         "conv_id",
@@ -44,18 +45,19 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     # Adjacent turns of one role become one block: the places where the role changes begin blocks.
-    n = F.size("ts")
+    # The roles are a column of their own, so that no lambda builds them again for each turn.
+    chats = chats.select("conv_id", "ts", F.col("ts.role").alias("roles"), F.size("ts").alias("n"))
     begins = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (F.get(F.col("ts.role"), i) != F.get(F.col("ts.role"), i - 1)),
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda i: (i == 0) | (F.get(F.col("roles"), i) != F.get(F.col("roles"), i - 1)),
     )
-    chats = chats.withColumn("b", begins)
+    chats = chats.select("*", begins.alias("b"))
     blocks = F.transform(
         "b",
         lambda i, k: F.struct(
-            F.get(F.col("ts.role"), i).alias("role"),
+            F.get(F.col("roles"), i).alias("role"),
             F.transform(
-                F.slice("ts", i + 1, F.coalesce(F.get(F.col("b"), k + 1), n) - i), lambda t: escape(t["text"])
+                F.slice("ts", i + 1, F.coalesce(F.get(F.col("b"), k + 1), F.col("n")) - i), lambda t: escape(t["text"])
             ).alias("texts"),
         ),
     )
@@ -88,6 +90,30 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     return chats.select("conv_id", formatted.alias("formatted"), mask.alias("mask"))
 
 
+def loss_runs(mask: Column) -> Column:
+    """struct(at, runs): where the mask ends, and the place (from 0) and length of each run that the loss covers."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,chars:int>>").alias("runs"))
+    run = lambda a, r: F.array(F.struct((a["at"] + r["skip"]).alias("at"), r["chars"].alias("chars")))
+    return F.aggregate(
+        mask,
+        start,
+        lambda a, r: F.struct(
+            (a["at"] + r["skip"] + r["chars"]).alias("at"),
+            F.when(r["loss"], F.concat(a["runs"], run(a, r))).otherwise(a["runs"]).alias("runs"),
+        ),
+    )
+
+
+def under_loss(formatted: Column, spans: Column) -> Column:
+    """The text at loss_runs(), unescaped: each run is cut out of formatted by its place.
+
+    A mask that goes beyond the text is an error. Escapes are never divided by the border of two
+    texts, so all can be unescaped at once.
+    """
+    text = F.array_join(F.transform(spans["runs"], lambda r: F.substr(formatted, r["at"] + 1, r["chars"])), "")
+    return F.when(spans["at"] <= F.length(formatted), unescape(text)).otherwise(F.raise_error(F.lit("the mask does not fit the text")))
+
+
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted text, as an array of (role, text) in order."""
     blocks = F.split(formatted, r"<\|im_end\|>\n")
@@ -112,23 +138,16 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What format_chats wrote, read back: digests of the turns and of the text under the loss mask."""
+    """What format_chats wrote, read back: digests of the turns and of the text under the loss mask.
+
+    A row for each row of chats; a null conv_id stays null, and an empty table gives an empty result.
+    """
     turns = F.transform(
         read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     )
-    texts = F.split("formatted", r"(?:<\|im_end\|>\n)?<\|im_start\|>[^\n]*\n|<\|im_sep\|>|<\|im_end\|>\n", -1)
-    loss = F.array_join(
-        F.transform(
-            F.filter(F.arrays_zip(F.slice(texts, 2, F.size("mask")).alias("t"), F.col("mask").alias("m")), lambda x: x["m"]["loss"]),
-            lambda x: F.when(F.length(x["t"]) == x["m"]["chars"], unescape(x["t"])).otherwise(
-                F.raise_error(F.lit("the mask does not fit the text"))
-            ),
-        ),
-        "",
-    )
-    out = chats.select(
-        "conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")
-    )
+    spans = chats.select("conv_id", "formatted", loss_runs(F.col("mask")).alias("spans"))
+    loss = under_loss(F.col("formatted"), F.col("spans"))
+    out = spans.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

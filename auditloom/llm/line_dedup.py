@@ -55,8 +55,10 @@ def line_dedup(
     line_key) has at least min_chars code points and stands in at least min_docs documents go,
     but for all those of the largest id that holds it. Rows that repeat an id count as one
     document, and each loses the shared lines of its own text; rows with a null id are in no count
-    and lose their shared lines only. A document may lose every line; its text is then empty. Further
-    columns of docs stay as they are, but for those named n_lines and n_dropped, which are replaced.
+    and lose their shared lines only. One id on several texts holds all their lines as one document.
+    A document may lose every line; its text is then empty. An empty table gives an empty result. All
+    further columns of docs stay as they are; if docs has an n_lines or n_dropped of its own, the
+    counts are named with as many underscores at the end as it takes to differ.
     """
     places = (
         shared_lines(docs, id_col, text_col, min_chars, min_docs)
@@ -80,11 +82,17 @@ def line_dedup(
     n_lines = F.size("_lines").cast("long")
     counts = {"n_lines": n_lines, "n_dropped": F.coalesce(n_lines - F.size("_stay"), F.lit(0)).cast("long")}
     return out.select(
-        *[kept.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in counts],
-        *[c.alias(n) for n, c in counts.items()],
+        *[kept.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns],
+        *[c.alias(_free(n, docs.columns)) for n, c in counts.items()],
     )
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 ORACLE = """
 WITH l AS (
   SELECT doc_id, p, lines[p] AS line,

@@ -214,7 +214,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     word that equal an earlier line; n_repeat_words: words in 3-word windows found twice or more.
     base_failed: under MIN_WORDS words, or over REPEAT_PERCENT of them in repeated windows. The
     other texts are kept if p_good, the posterior of their votes, is KEEP or more. Equal texts get
-    equal verdicts; repeated ids are judged row by row; other columns are not read.
+    equal verdicts; repeated and null ids are judged row by row; other columns are not read. Texts are
+    measured whole, however long, a lot at a time. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -236,7 +237,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. No row moves."""
+    """The rows of docs that judge() keeps, with all their columns, whatever their names. No row moves.
+
+    Repeated rows stay or go together, and an empty table gives an empty one.
+    """
     known = learn(docs, text_col)
 
     def out(b, measures, patterns):
