@@ -19,44 +19,61 @@ def n_words(text: Column) -> Column:
     ).cast("long")
 
 
+def _fresh(source: Column) -> Column:
+    return F.concat(source.cast("string"), F.lit(""))
+
+
 def _place(key: Column, seed: int) -> Column:
     digits = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(digits, 1, _BITS * _LEVELS // 4), 16, 10).cast("long")
 
 
+def _in_order(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with _n, their number in an order from 0, and for each of sums the sum over all rows before.
+
+    Rows are sorted by ranges, each range in its own task, and what a range holds is added up for
+    those behind it (a row for each range goes to the driver), so no task sees all rows.
+    """
+    ranges = cut(rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_range")))
+    totals = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    before, so_far = [], [0] + [0.0] * len(sums)
+    for r in totals.orderBy("_range").collect():
+        before.append((r["_range"], *so_far))
+        so_far = [a + b for a, b in zip(so_far, r[1:])]
+    schema = "_at int, _n0 long" + "".join(f", {k}0 double" for k in sums)
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, schema))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranges.select("*", (F.row_number().over(inside) - 1).alias("_n1"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"{k}1") for k, c in sums.items()])
+        .join(offsets, F.col("_range") == F.col("_at"))
+        .select(*rows.columns, (F.col("_n0") + F.col("_n1")).alias("_n"), *[(F.col(f"{k}0") + F.col(f"{k}1")).alias(k) for k in sums])
+    )
+
+
 def targets(sources: DataFrame, weights: list[float], share: float, max_epochs: float) -> DataFrame:
     """sources (source, source_size) with target: capped water-filling.
 
-    The i-th source by code point (null last) weighs weights[i mod n]. All sources together get
-    share times the sum of sizes, split by weight. A source above max_epochs times its size is
-    clamped there; what it leaves over goes to the others by weight, until none is above. If all
-    are clamped, the rest is not given out. The table has a row for each source, and each round
-    clamps one more source at least.
+    The i-th source by code point (null last) weighs weights[i mod n], weights being above 0. All
+    sources together get share times the sum of sizes, split by weight. A source above max_epochs
+    times its size is clamped there; what it leaves over goes to the others by weight, until none is
+    above. If all are clamped, the rest is not given out.
+
+    The sources that are clamped are those with the least room for their weight, so one pass in the
+    order of room finds the level: the first source that is not above its cap when all before it are
+    clamped sets the rate. The table has a row for each source, and there may be many.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights)).cast("int") + 1)
-    level = cut(
-        sources.select(
-            "source",
-            "source_size",
-            weight.alias("_w"),
-            (F.col("source_size") * max_epochs).alias("_cap"),
-            F.lit(False).alias("_full"),
-        )
-    )
-    total = level.agg(F.sum("source_size")).first()[0] or 0
-    while True:
-        full, open_weight = level.agg(
-            F.sum(F.when(F.col("_full"), F.col("_cap")).otherwise(0.0)), F.sum(F.when(~F.col("_full"), F.col("_w")))
-        ).first()
-        rate = max(total * share - (full or 0.0), 0.0) / open_weight if open_weight else 0.0
-        now = F.col("_full") | (F.col("_w") * rate > F.col("_cap"))
-        if not open_weight or level.filter(now & ~F.col("_full")).isEmpty():
-            break
-        level = cut(level.withColumn("_full", now))
-    return level.select(
-        "source", "source_size", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * rate).alias("target")
-    )
+    numbered = _in_order(sources, [F.col("source").isNull(), F.col("source")])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_n") % len(weights)).cast("int") + 1)
+    cap = F.col("source_size") * float(max_epochs)
+    level = cut(numbered.select("source", "source_size", weight.alias("_w"), cap.alias("_cap"), (cap / weight).alias("_room")))
+    sizes, all_weights = level.agg(F.sum("source_size"), F.sum("_w")).first()
+    total = float(sizes or 0) * share
+    filled = _in_order(level, [F.col("_room"), F.col("source").isNull(), F.col("source")], _caps=F.col("_cap"), _ws=F.col("_w"))
+    rate = F.greatest(F.lit(total) - F.col("_caps"), F.lit(0.0)) / (F.lit(all_weights or 1.0) - F.col("_ws"))
+    first = filled.filter(F.col("_w") * rate <= F.col("_cap")).agg(F.min(F.struct("_n", rate.alias("rate"))).alias("m")).first()["m"]
+    share_of = F.col("_w") * F.lit(first["rate"]) if first else F.col("_cap")
+    return level.select("source", "source_size", F.least(share_of, F.col("_cap")).alias("target"))
 
 
 def mix(
@@ -78,12 +95,13 @@ def mix(
     The order depends on seed and id alone, so reruns agree; rows that repeat an id stand at one
     place and are taken alike. taken is size * times. A source without words has target 0.
     The front is found by sums over parts of the order (4096 at most at a time for a source),
-    so a source that holds most rows is never sorted or gathered in one place.
+    so a source that holds most rows is never sorted or gathered in one place. Null ids are one
+    place in the order. Further columns are not read, and an empty table gives an empty result.
     """
     sized = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
+            F.col(source_col).cast("string").alias("source"),
             n_words(text_or_empty(text_col)).alias("size"),
             _place(F.col(id_col), seed).alias("_u"),
         )
@@ -99,7 +117,7 @@ def mix(
 
     shift = _BITS * (_LEVELS - 1)
     for level in range(_LEVELS):
-        here = plan.select(F.col("source").alias("_s"), F.col("_prefix").alias("_at"))
+        here = plan.select(_fresh(F.col("source")).alias("_s"), F.col("_prefix").alias("_at"))
         part = F.shiftright("_u", shift)
         in_reach = sized.withColumn("_part", part)
         if level:
@@ -129,9 +147,8 @@ def mix(
             .drop("_s", "_m")
         )
         shift -= _BITS
-    ends = plan.select(
-        F.col("source").alias("_s"), "source_size", "target", "_whole", "_prefix", "_need"
-    )
+    # as a fresh expression, so that a hot source can be split, see dealt_anew
+    ends = plan.select(_fresh(F.col("source")).alias("_s"), "source_size", "target", "_whole", "_prefix", "_need")
     placed = sized.join(ends, F.col("source").eqNullSafe(F.col("_s")))
     times = F.col("_whole") + F.when((F.col("_u") <= F.col("_prefix")) & (F.col("_need") > 0), 1).otherwise(0)
     return placed.select(
@@ -140,13 +157,17 @@ def mix(
 
 
 def repeated(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs as the mix takes them, with all their columns: each as often as times says."""
+    """The rows of docs as the mix takes them, with all their columns, whatever their names: each as often as times says.
+
+    Rows are taken by id and source, so rows that share both (null ids too) are taken alike. An empty
+    table gives an empty one.
+    """
     id_col, source_col = settings.get("id_col", "doc_id"), settings.get("source_col", "source")
     times = (
         mix(docs, **settings).filter("times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "times").distinct()
     )
     rows = packed(docs, _own=F.col(id_col), _from=F.col(source_col))
-    return rows.join(times, F.col("_own").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_src"))).select(
+    return rows.join(times, F.col("_own").eqNullSafe(F.col("_id")) & F.col("_from").cast("string").eqNullSafe(F.col("_src"))).select(
         "row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_copy")
     ).select("row.*")
 
