@@ -3,8 +3,8 @@
 Nodes start in shards by hash. In each round a part of the linked nodes asks to move where most
 of its neighbours are, and as many of those moves are granted as the shard's quota of bytes
 lets in, best gains first. Pieces, the nodes that are not to be parted, are then put together in one
-exact join, as rounds leave some behind. Nodes without links, and whole pieces after them, even
-out the sizes. All sums that decide are taken over a fixed number of bins for each shard, so no shard is sorted or gathered.
+exact join, as rounds leave some behind. Nodes without links, whole pieces after them, and only then
+parts of large pieces even out the sizes. All sums that decide are taken over a fixed number of bins for each shard, so no shard is sorted or gathered.
 """
 
 from __future__ import annotations
@@ -34,26 +34,29 @@ def _loads(nodes: DataFrame, shards: int) -> list[int]:
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """nodes (node long, size long, perhaps piece long) with shard int: few links cut, sizes nearly even.
+    """nodes (node long, size long, perhaps piece long and sub long) with shard int: few links cut, sizes nearly even.
 
     links (a, b) are between different nodes, in any direction and any number. piece is the node
-    where all nodes of the same piece are placed; without it each node is a piece of its own. No
-    piece is divided, so a shard may differ from the mean by the size of a piece.
+    where all nodes of the same piece are placed, and sub a node of the same piece that stands for
+    some of them; without these columns each node is a piece of its own. See even_out() for when
+    pieces are divided.
     """
     if "piece" not in nodes.columns:
         nodes = nodes.withColumn("piece", F.col("node"))
+    if "sub" not in nodes.columns:
+        nodes = nodes.withColumn("sub", F.col("piece"))
     spark = nodes.sparkSession
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     linked = edges.select(F.col("a").alias("node")).distinct().withColumn("linked", F.lit(True))
     state = cut(
         nodes.join(linked, "node", "left").select(
-            "node", "size", "piece", F.coalesce("linked", F.lit(False)).alias("linked"), _bin(F.col("node"), -1, shards).alias("shard")
+            "node", "size", "piece", "sub", F.coalesce("linked", F.lit(False)).alias("linked"), _bin(F.col("node"), -1, shards).alias("shard")
         )
     )
     total = sum(_loads(state, shards))
     free = state.filter("not linked")
     free_loads = _loads(free, shards)
-    moving = cut(state.filter("linked").select("node", "size", "piece", "shard"))
+    moving = cut(state.filter("linked").select("node", "size", "piece", "sub", "shard"))
     idle = 0
     for r in range(rounds):
         loads = [a + b for a, b in zip(free_loads, _loads(moving, shards))]
@@ -91,7 +94,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROU
             ok = F.broadcast(spark.createDataFrame(granted, "to int, bin int"))
             moves = best.join(ok, ["to", "bin"]).select(F.col("a").alias("node"), "to")
             moving = cut(
-                moving.join(moves, "node", "left").select("node", "size", "piece", F.coalesce("to", "shard").alias("shard"))
+                moving.join(moves, "node", "left").select("node", "size", "piece", "sub", F.coalesce("to", "shard").alias("shard"))
             )
     moving = together(moving)
     state = free.select("node", "size", "piece", "shard", "linked").union(moving.select("node", "size", "piece", "shard", F.lit(True)))
@@ -99,28 +102,38 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROU
 
 
 def together(nodes: DataFrame) -> DataFrame:
-    """nodes (node, size, piece, shard) with each in the shard of the node that its piece is named for."""
+    """nodes (node, size, piece, sub, shard) with each in the shard of the node that its piece is named for.
+
+    The subs of a piece learn its shard first and the other nodes from them, so no key has more rows than
+    about the square root of a piece.
+    """
     at = nodes.filter("node = piece").select(F.col("node").alias("_at"), F.col("shard").alias("_shard"))
-    rows = nodes.withColumn("_piece", dealt_anew(F.col("piece")))
-    return rows.join(at, F.col("_piece") == F.col("_at"), "left").select("node", "size", "piece", F.coalesce("_shard", "shard").alias("shard"))
+    subs = nodes.filter("node = sub").select(F.col("node").alias("_sub"), dealt_anew(F.col("piece")).alias("_of"))
+    subs = subs.join(at, F.col("_of") == F.col("_at")).select(dealt_anew(F.col("_sub")).alias("_sub"), "_shard")
+    rows = nodes.withColumn("_under", dealt_anew(F.col("sub")))
+    return rows.join(subs, F.col("_under") == F.col("_sub"), "left").select("node", "size", "piece", F.coalesce("_shard", "shard").alias("shard"))
 
 
 def even_out(state: DataFrame, shards: int, total: int) -> DataFrame:
-    """state (node, size, piece, shard, linked) with bins of pieces moved from full shards to others.
+    """state (node, size, piece, shard, linked) with bins of nodes moved from full shards to others.
 
-    Nodes without links move first; pieces of linked ones only while a shard is off by over 2
-    percent, each as a whole, and nodes without links once more after them.
+    Nodes without links move first, then whole pieces while a shard is off by over 2 percent, and
+    nodes without links once more after them. Only where that is not enough, as where pieces are
+    nearly all there is, do the pieces of over an eighth of a shard move in parts.
     """
     spark, mean = state.sparkSession, total / shards
-    for k, salt in enumerate((101, 102, 103, 104, 105, 106)):
+    for k, step in enumerate(("free", "free", "free", "pieces", "pieces", "free", "parts", "parts", "free")):
         loads = _loads(state, shards)
         off = max(abs(x - mean) for x in loads)
         if off <= mean * 1e-4 or k >= 3 and off <= mean * 0.02:
             break
-        whole = k in (3, 4)
-        able = state if whole else state.filter("not linked")
+        by, may = F.col("node" if step == "parts" else "piece"), F.lit(True) if step == "pieces" else ~F.col("linked")
+        if step == "parts":
+            sizes = state.groupBy("piece").agg(F.sum("size").alias("z")).filter(F.col("z") > mean / 8)
+            large = [r["piece"] for r in sizes.collect()]  # 8 * shards at most
+            may = F.col("piece").isin(large)
         full = [s for s in range(shards) if loads[s] > mean]
-        bins = able.filter(F.col("shard").isin(full)).groupBy("shard", _bin(F.col("piece"), salt).alias("bin")).agg(F.sum("size").alias("z"))
+        bins = state.filter(may & F.col("shard").isin(full)).groupBy("shard", _bin(by, 101 + k).alias("bin")).agg(F.sum("size").alias("z"))
         moves = []
         for x in sorted(bins.collect(), key=lambda x: (-x["z"], x["shard"], x["bin"])):  # shards * BINS rows at most
             to = min(range(shards), key=loads.__getitem__)
@@ -131,9 +144,8 @@ def even_out(state: DataFrame, shards: int, total: int) -> DataFrame:
         if not moves:
             continue
         table = F.broadcast(spark.createDataFrame(moves, "shard int, bin int, to int"))
-        may = F.lit(True) if whole else ~F.col("linked")
         state = cut(
-            state.withColumn("bin", F.when(may, _bin(F.col("piece"), salt)))
+            state.withColumn("bin", F.when(may, _bin(by, 101 + k)))
             .join(table, ["shard", "bin"], "left")
             .select("node", "size", "piece", F.coalesce("to", "shard").alias("shard"), "linked")
         )
@@ -141,33 +153,36 @@ def even_out(state: DataFrame, shards: int, total: int) -> DataFrame:
 
 
 def equal_text_pieces(rows: DataFrame, piece_bytes: float) -> DataFrame:
-    """Rows (node, low, hub) for the nodes of texts that several rows have. rows: node, size, g, g2 (hashes of the text).
+    """Rows (node, sub, low, hub) for the nodes of texts that several rows have. rows: node, size, g, g2 (hashes of the text).
 
-    A group of over piece_bytes is dealt into pieces of about that size, so that a group that no
-    shard can hold is divided by pieces and nothing gathers in one place. low is the least node of
-    a piece and hub that of the group.
+    A group of over piece_bytes, which no shard can hold, is dealt into pieces of about that size by
+    hash, and each piece into subs, as many as each has nodes. sub, low and hub are the least nodes
+    of sub, piece and group.
     """
     groups = (
         rows.groupBy("g", "g2")
-        .agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("z"))
+        .agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / max(piece_bytes, 1.0)).alias("k"))
         .filter("n > 1")
-        .select(dealt_anew(F.col("g")).alias("_g"), F.col("g2").alias("_g2"), "hub", F.ceil(F.col("z") / max(piece_bytes, 1.0)).alias("k"))
+        .select(dealt_anew(F.col("g")).alias("_g"), F.col("g2").alias("_g2"), "hub", "k", F.ceil(F.sqrt(F.col("n") / F.col("k"))).alias("m"))
     )
+    part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("k") * F.col("m"))
     members = cut(
         rows.join(groups, (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2"))).select(
-            "node", "g", "g2", "hub", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).alias("piece")
+            "node", "g", "g2", "hub", part.alias("part"), F.pmod(part, F.col("k")).alias("piece")
         )
     )
-    pieces = members.groupBy("g", "g2", "piece").agg(F.min("node").alias("low"))
-    low = pieces.select(dealt_anew(F.col("g")).alias("_g"), F.col("g2").alias("_g2"), F.col("piece").alias("_piece"), "low")
-    inner = members.join(low, (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2")) & (F.col("piece") == F.col("_piece")))
-    return inner.select("node", "low", "hub").distinct()
+    parts = cut(members.groupBy("g", "g2", "hub", "piece", "part").agg(F.min("node").alias("sub")))
+    pieces = parts.groupBy("g", "g2", "piece").agg(F.min("sub").alias("low"))
+    named = parts.join(pieces, ["g", "g2", "piece"]).select(dealt_anew(F.col("g")).alias("_g"), F.col("g2").alias("_g2"), F.col("part").alias("_part"), "sub", "low")
+    same = (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2")) & (F.col("part") == F.col("_part"))
+    return members.join(named, same).select("node", "sub", "low", "hub").distinct()
 
 
 def equal_text_links(pieces: DataFrame) -> DataFrame:
-    """Links (a, b): each node to the least of its piece, and that to the least of its group."""
+    """Links (a, b), a tree over each group: nodes to the least of their sub, these to that of the piece, and these to that of the group."""
     return (
-        pieces.select(F.col("node").alias("a"), F.col("low").alias("b"))
+        pieces.select(F.col("node").alias("a"), F.col("sub").alias("b"))
+        .union(pieces.filter("node = sub").select(F.col("sub").alias("a"), F.col("low").alias("b")))
         .union(pieces.filter("node = low").select(F.col("low").alias("a"), F.col("hub").alias("b")))
         .filter("a <> b")
     )
@@ -193,11 +208,13 @@ def shard_equal_texts(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
     """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the UTF-8 bytes of the text (null: none) plus 1. The law is "bytes": sizes of shards
-    are nearly equal. Rows with equal texts are linked and always together, but for a group of
-    over an eighth of a shard's bytes: each of its pieces of about that size is together, and
-    pieces are apart where sizes ask for it. Repeated rows (the same id and text) are one node and always together; a null text
-    counts as empty. slot numbers a shard's rows from 0 without gaps; grown_shard is null under
-    this law. The result depends on ids, texts and shards only. Further columns are not read.
+    are nearly equal. Rows with equal texts are linked and together in a shard where it can hold
+    them: a group of over a shard's share of the bytes is dealt into pieces of that size at most, and
+    where shards would still differ by over 2 percent with whole groups, those of over an eighth of
+    a shard are divided. Repeated rows (the same id and text) are one node and always together; a null
+    id is an id, and a null text counts as empty. slot numbers a shard's rows from 0 without gaps;
+    grown_shard is null under this law. The result depends on ids, texts and shards only. Further
+    columns are not read. An empty table gives an empty result.
     """
     text = text_or_empty(text_col)
     rows = cut(
@@ -212,8 +229,10 @@ def shard_equal_texts(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
     )
     n_rows, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     nodes = rows.groupBy("node").agg(F.sum("size").alias("size"))
-    pieces = cut(equal_text_pieces(rows, (total or 0) / shards / 8))
-    nodes = nodes.join(pieces.select("node", "low"), "node", "left").select("node", "size", F.coalesce("low", "node").alias("piece"))
+    pieces = cut(equal_text_pieces(rows, (total or 0) / shards))
+    nodes = nodes.join(pieces.select("node", "low", "sub"), "node", "left").select(
+        "node", "size", F.coalesce("low", "node").alias("piece"), F.coalesce("sub", "node").alias("sub")
+    )
     placed = propagate(nodes, equal_text_links(pieces), shards).select("node", "shard")
     out = with_slots(rows.join(placed, "node"), n_rows)
     return out.select(
