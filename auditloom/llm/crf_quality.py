@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import in_lots
+from auditloom.llm.common import cut, in_lots
 
-#: Of the labelled documents, the model is fitted on so many at most (those with the smallest hash).
-TRAIN_DOCS = 4000
+#: Of the labelled documents, the model is fitted on so many at most (those with the smallest hash), and on
+#: fewer where their texts come to more than so many bytes.
+TRAIN_DOCS, TRAIN_BYTES = 4000, 64 << 20
 #: A document is predicted good from this score on.
 GOOD = 0.3
 
@@ -203,33 +204,48 @@ def fit(texts: list[str], good: list[int], steps: int = 120, ridge: float = 1e-3
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
-    """text and quality of the labelled documents to learn from, at most limit of them.
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, limit_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """doc_id, text and quality of the labelled documents to learn from.
 
-    Those whose crc32(doc_id as text) mod 5 is 0 are held out. Rows with a null label are none.
+    Those whose crc32(doc_id as text) mod 5 is 0 are held out, and null labels and ids are none. Of the
+    others the limit with the smallest hashes are taken, in this order while their texts (whole
+    ones) come to limit_bytes at most. Of rows that share an id the shortest text counts, then the
+    least; an id with several labels has the smaller one.
     """
     key = F.col("doc_id").cast("string")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     pick = (
         labels.filter(F.col("quality").isNotNull() & (F.crc32(key) % 5 != 0))
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(*order)
         .limit(limit)
     )
     # the pick has at most limit rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "text", "quality")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(pick), "doc_id")
+    rows = cut(rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.octet_length("text").alias("size"), "text")).alias("t")))
+    total, few = 0, 0
+    for r in rows.orderBy(*order).select("t.size").collect():  # limit numbers
+        total += r["size"]
+        if total > limit_bytes:
+            break
+        few += 1
+    return rows.orderBy(*order).limit(few).select("doc_id", "t.text", "quality")
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
-    rows = sorted(training_rows(docs, labels, limit).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], [int(r["quality"]) for r in rows])
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, limit_bytes: int = TRAIN_BYTES) -> Model:
+    """The model of training_rows(), which the driver fits: limit rows and limit_bytes of text at most."""
+    rows = sorted(training_rows(docs, labels, limit, limit_bytes).collect(), key=lambda r: r["doc_id"])
+    return fit([r["text"] for r in rows], [int(r["quality"]) for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score (0 to 1), predicted (1 from GOOD on).
 
-    The whole text is scored and nothing else is an input. A null text counts as empty, and an
-    empty text is one empty line. Equal texts score alike; further columns are not read.
+    The whole text is scored, however long, and nothing else is an input. A null text counts as
+    empty, and an empty text is one empty line. Equal texts score alike, repeated rows stay, and of a
+    null id held_out is null; further columns are not read. An empty table gives an empty result.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
