@@ -79,11 +79,27 @@ def dealt_anew(column: Column) -> Column:
     return column.bitwiseXOR(F.lit(0).cast("long"))
 
 
+def packed_text(text: str) -> bytes:
+    """A text compressed, for texts that have to move."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(text.encode("utf-8")) if text else b""
+
+
+def unpacked_text(packed: str | bytes | None) -> str:
+    """What packed_text() packed; a text that is not packed as it stands, and a null as an empty one."""
+    if isinstance(packed, bytes) and packed:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8")
+    return packed if packed and isinstance(packed, str) else ""
+
+
 def in_lots(column, chars: int = 2_000_000) -> Iterator[list[str]]:
-    """The texts of an Arrow string column (null: empty) in lots of about so many characters, at least one text each."""
+    """The texts of an Arrow column, packed or not (null: empty), in lots of about so many characters, at least one text each."""
     lot, size = [], 0
     for x in column:
-        text = x.as_py() or ""
+        text = unpacked_text(x.as_py())
         lot.append(text)
         size += len(text)
         if size >= chars:

@@ -8,7 +8,8 @@ from auditloom.llm.common import SPACE_CHARS
 
 _BLOCK = 1 << 20
 _M = (1 << 64) - 1
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so that they have inverses modulo 2^64
+#: For each of two independent hashes the base for bytes and that for words; odd, so that they have inverses modulo 2^64.
+_BASES = ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xC2B2AE3D27D4EB4F, 0x2545F4914F6CDD1D))
 
 _space = np.zeros(256, bool)
 _space[[ord(c) for c in SPACE_CHARS]] = True
@@ -22,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_bytes = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base)) for base, _ in _BASES]
 
 
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,26 +60,36 @@ class Words:
         limits = np.cumsum([0] + [len(x) + 1 for x in encoded])
         self.offsets = np.searchsorted(self.starts, limits)
         self.counts = np.diff(self.offsets)
-        self.hashes = np.zeros(len(self.starts), np.uint64)
+        self.hashes = self._hashed(0)
+
+    def _hashed(self, family: int) -> np.ndarray:
+        """A 64-bit hash of each word, by one of two independent ways."""
+        b, base_of = np.frombuffer(self.raw, np.uint8), _BASES[family][0]
+        out = np.zeros(len(self.starts), np.uint64)
         i = 0
         while i < len(self.starts):
             base = self.starts[i]
             j = max(i + 1, int(np.searchsorted(self.ends, base + _BLOCK)))
-            values = _byte[b[base : self.ends[j - 1]]]
-            self.hashes[i:j] = _stretches(values, self.starts[i:j] - base, self.ends[i:j] - base, _BASE)
+            values = _bytes[family][b[base : self.ends[j - 1]]]
+            out[i:j] = _stretches(values, self.starts[i:j] - base, self.ends[i:j] - base, base_of)
             i = j
+        return out
+
+    def windows(self, length: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of the window of so many words that begins at each word, and whether it stays in its text.
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of the window of so many words that begins at each word, and whether it stays in its text."""
-        n = len(self.hashes)
+        The hashes of both families together are 128 independent bits.
+        """
+        n = len(self.starts)
+        hashes = self.hashes if family == 0 else self._hashed(family)
         out, ok = np.zeros(n, np.uint64), np.zeros(n, bool)
         if n < length:
             return out, ok
         step = _BLOCK
         for i in range(0, n - length + 1, step):
-            part = self.hashes[i : i + step + length - 1]
+            part = hashes[i : i + step + length - 1]
             at = np.arange(len(part) - length + 1)
-            out[i : i + len(at)] = _stretches(part, at, at + length, _STEP)
+            out[i : i + len(at)] = _stretches(part, at, at + length, _BASES[family][1])
         left = np.repeat(self.offsets[1:], self.counts) - np.arange(n)
         ok = left >= length
         return out, ok
