@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
+from auditloom.functions.text import let
 
 
 def _map(pairs) -> Column:
@@ -35,11 +36,6 @@ def resolve_region(country: Column, state: Column, address: Column) -> Column:
     )
 
 
-def _let(value: Column, f) -> Column:
-    """f(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def _plan(region: Column) -> Column:
     """The numbering plan of a region; null if none is known."""
     plans = _map([(r, i) for i, r in enumerate(lx.PLANS)])
@@ -68,7 +64,7 @@ def normalize_phone(raw: Column, region: Column) -> Column:
         F.regexp_replace(F.regexp_replace(body, "[^0-9]", ""), F.when(body.rlike(r"^\s*00"), "^00").otherwise("^$"), "").alias("number"),
         F.upper(F.coalesce(region, F.lit(""))).alias("given"),
     )
-    return _let(read, lambda r: _let(_region(r), lambda own: _let(_plan(own), lambda p: _let(_national(r, p), lambda cut: _judged(r, p, cut)))))
+    return let(read, lambda r: let(_region(r), lambda own: let(_plan(own), lambda p: let(_national(r, p), lambda cut: _judged(r, p, cut)))))
 
 
 def _region(r: Column) -> Column:

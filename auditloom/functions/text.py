@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value worked out once: f's Column may use it often without growing the plan."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def strip(c: Column) -> Column:
     """c without white space at its ends (trim() takes spaces only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
+from auditloom.functions.text import let
 
 _PLACEHOLDERS = ["", "n/a", "na", "none", "null", "-", "--", "no website", "nil", "not available", "."]
 
@@ -43,27 +44,42 @@ def without_tracking(q: Column) -> Column:
     )
 
 
+def _parts(url: Column) -> Column:
+    """struct(scheme, place, way, query) of an absolute URL, split once; place is host and port in lower case."""
+    return F.struct(
+        F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)).alias("scheme"),
+        F.lower(_authority(url)).alias("place"),
+        path(url).alias("way"),
+        query(url).alias("query"),
+    )
+
+
 def normalize_url(raw: Column) -> Column:
     """The canonical http or https URL of a cell, or null where it holds none.
 
     Quotes and white space go, a missing scheme becomes https, the host is lower-cased and needs a
     dot, ports 80 and 443 go, an empty path is "/", tracking parameters and the fragment go.
     """
+
+    def full(b: Column) -> Column:
+        return (
+            F.when(F.lower(b).isin(_PLACEHOLDERS), F.lit(None))
+            .when(b.startswith("//"), F.concat(F.lit("https:"), b))
+            .when(b.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), b)
+            .when(b.rlike(r"^[^/?#:]*[.][^/?#]*"), F.concat(F.lit("https://"), b))
+        )
+
+    def put_together(p: Column) -> Column:
+        rest = without_tracking(p["query"])
+        url = F.concat(
+            p["scheme"], F.lit("://"), F.regexp_replace(p["place"], ":(80|443)$", ""), F.when(p["way"] == "", F.lit("/")).otherwise(p["way"]),
+            let(rest, lambda r: F.when(r != "", F.concat(F.lit("?"), r)).otherwise("")),
+        )
+        named = F.regexp_replace(F.regexp_replace(p["place"], "^.*@", ""), ":[0-9]*$", "").contains(".")
+        return F.when(p["scheme"].isin("http", "https") & named, url)
+
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^[\s'\"]+|[\s'\"]+$", ""), r"\s+", "")
-    full = (
-        F.when(bare.startswith("//"), F.concat(F.lit("https:"), bare))
-        .when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), bare)
-        .when(bare.rlike(r"^[^/?#:]*[.][^/?#]*"), F.concat(F.lit("https://"), bare))
-    )
-    scheme = F.lower(F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    place = F.regexp_replace(F.lower(_authority(full)), ":(80|443)$", "")
-    way = path(full)
-    rest = without_tracking(query(full))
-    ok = ~F.lower(bare).isin(_PLACEHOLDERS) & scheme.isin("http", "https") & host(full).contains(".")
-    return F.when(
-        ok,
-        F.concat(scheme, F.lit("://"), place, F.when(way == "", F.lit("/")).otherwise(way), F.when(rest != "", F.concat(F.lit("?"), rest)).otherwise("")),
-    )
+    return let(let(bare, full), lambda u: let(_parts(u), put_together))
 
 
 def registrable_domain(url: Column) -> Column:
@@ -110,21 +126,26 @@ def absolutize(base: Column, href: Column) -> Column:
 
     Dot segments are resolved one after the other, ten at most.
     """
+
+    def joined(h: Column) -> Column:
+        folder = F.regexp_extract(path(base), "^(.*/)", 1)
+        return (
+            F.when((h == "") | h.rlike("(?i)^(mailto|tel|javascript|data|sms|whatsapp|callto):"), F.lit(None))
+            .when(h.rlike("(?i)^https?://"), h)
+            .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z]+:)", 1), h))
+            .when(h.startswith("/"), F.concat(origin(base), h))
+            .when(h.startswith("?"), F.concat(origin(base), path(base), h))
+            .otherwise(F.concat(origin(base), F.when(folder == "", F.lit("/")).otherwise(folder), h))
+        )
+
+    def without_dots(u: Column) -> Column:
+        way = F.regexp_replace(u, r"/\./", "/")
+        for _ in range(10):
+            way = F.regexp_replace(way, r"^([a-zA-Z]+://[^/]*)((?:/[^/?#]+)*?)/(?!\.\./)[^/?#]+/\.\./", "$1$2/")
+        return F.when(u.contains("/."), F.regexp_replace(way, r"^([a-zA-Z]+://[^/]*)(/\.\.)+/", "$1/")).otherwise(u)
+
     h = F.regexp_replace(F.trim(F.coalesce(href, F.lit(""))), "#.*$", "")
-    folder = F.regexp_extract(path(base), "^(.*/)", 1)
-    joined = (
-        F.when(h.rlike("(?i)^https?://"), h)
-        .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z]+:)", 1), h))
-        .when(h.startswith("/"), F.concat(origin(base), h))
-        .when(h.startswith("?"), F.concat(origin(base), path(base), h))
-        .otherwise(F.concat(origin(base), F.when(folder == "", F.lit("/")).otherwise(folder), h))
-    )
-    way = F.regexp_replace(joined, r"/\./", "/")
-    for _ in range(10):
-        way = F.regexp_replace(way, r"^([a-zA-Z]+://[^/]*)((?:/[^/?#]+)*?)/(?!\.\./)[^/?#]+/\.\./", "$1$2/")
-    way = F.regexp_replace(way, r"^([a-zA-Z]+://[^/]*)(/\.\.)+/", "$1/")
-    refused = (h == "") | h.rlike("(?i)^(mailto|tel|javascript|data|sms|whatsapp|callto):")
-    return F.when(~refused, normalize_url(way))
+    return normalize_url(let(let(h, joined), without_dots))
 
 
 def url_key(url: Column) -> Column:
@@ -137,16 +158,23 @@ def url_key(url: Column) -> Column:
 
 
 def classify_page(url: Column, text: Column | None = None) -> Column:
-    """The page's type by its path and the text of the link to it."""
-    way = F.lower(path(url))
-    words = F.regexp_replace(way, "[/_-]", " ")
-    text = F.lower(F.coalesce(text, F.lit(""))) if text is not None else F.lit("")
-    out = F.when(way.isin("", "/"), F.lit("homepage"))
-    for kind, keys in lx.PAGE_TYPES.items():
-        any_of = r"\b(" + "|".join(k.replace("-", " ") for k in keys) + r")\b"
-        out = out.when(words.rlike(any_of) | text.rlike(r"\b(" + "|".join(keys) + r")\b") | text.rlike(any_of), F.lit(kind))
-    blog = F.concat(F.lower(url), F.lit(" "), text).rlike("blog|news|article|post")
-    return out.when(blog, F.lit("blog")).otherwise(F.lit("other"))
+    """The page's type by its path and the text of the link to it: one look for each type."""
+
+    def first_of(p: Column) -> Column:
+        out = F.when(p["way"].isin("", "/"), F.lit("homepage"))
+        for kind, keys in lx.PAGE_TYPES.items():
+            every = dict.fromkeys([*keys, *(k.replace("-", " ") for k in keys)])
+            out = out.when(p["both"].rlike(r"\b(" + "|".join(every) + r")\b"), F.lit(kind))
+        return out.when(p["all"].rlike("blog|news|article|post"), F.lit("blog")).otherwise(F.lit("other"))
+
+    said = F.lower(F.coalesce(text, F.lit(""))) if text is not None else F.lit("")
+    read = let(
+        F.struct(F.lower(path(url)).alias("way"), said.alias("said"), F.lower(url).alias("url")),
+        lambda p: F.struct(
+            p["way"].alias("way"), F.concat(F.regexp_replace(p["way"], "[/_-]", " "), F.lit("\n"), p["said"]).alias("both"), F.concat(p["url"], F.lit(" "), p["said"]).alias("all")
+        ),
+    )
+    return let(read, first_of)
 
 
 def name_tokens(name: Column) -> Column:

@@ -1,4 +1,4 @@
-"""HTML to page records: one tree pass in Arrow batches, and native twins of the simple extractions."""
+"""HTML to page records: one pass over the markup in Arrow batches, and native twins of the simple extractions."""
 
 from __future__ import annotations
 
@@ -11,23 +11,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions import lexicons as lx
+
 _DROP = {"script", "style", "noscript", "template", "svg", "iframe"}
 _VOID = {"meta", "link", "img", "br", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 FORM = "struct<has_email:boolean,has_phone:boolean,has_message:boolean,is_search:boolean,is_newsletter:boolean,inputs:int,unlabelled:int>"
 LINK = "struct<href:string,text:string>"
+BLOCK = "struct<types:array<string>,name:string,address:boolean,hours:boolean,same_as:boolean>"
 #: The page record that parse() adds.
 FIELDS = {
     "title": "string", "description": "string", "robots": "string", "viewport": "string", "canonical": "string",
     "lang": "string", "charset": "string", "h1": "array<string>", "h2": "array<string>", "h3": "array<string>",
-    "text": "string", "words": "int", "links": f"array<{LINK}>", "empty_links": "int", "images": "int",
+    "text": "string", "words": "int", "links": f"array<{LINK}>", "mailto": "array<string>", "tel": "array<string>",
+    "whatsapp": "array<string>", "social": "array<string>", "empty_links": "int", "images": "int",
     "images_alt": "int", "image_srcs": "array<string>", "forms": f"array<{FORM}>", "buttons": "array<string>",
     "scripts": "array<string>", "blocking": "int", "stylesheets": "array<string>", "styles": "array<string>",
-    "iframes": "array<string>", "jsonld": "array<string>", "schema_types": "array<string>", "og": "map<string,string>",
-    "twitter": "map<string,string>", "hreflang": "array<string>", "has_main": "boolean", "has_nav": "boolean",
-    "has_skip": "boolean", "head_foot": "string", "has_plugin": "boolean",
+    "iframes": "array<string>", "jsonld": "array<string>", "blocks": f"array<{BLOCK}>", "schema_types": "array<string>",
+    "og": "map<string,string>", "twitter": "map<string,string>", "hreflang": "array<string>", "has_main": "boolean", "has_nav": "boolean",
+    "has_skip": "boolean", "header": "string", "footer": "string", "fold": "string", "has_plugin": "boolean",
+    "has_menu": "boolean", "has_platform": "boolean", "attr_widths": "array<int>", "noscript_only": "boolean",
 }
 
+# --- fixed values: what links, menus, plugins and widths are told by
+_MAILTO, _TEL = re.compile(r"^mailto:([^?]+)", re.I), re.compile(r"^(?:tel|callto):(.+)", re.I)
+_CHAT = re.compile(r"(wa\.me/|api\.whatsapp\.com|whatsapp://|web\.whatsapp\.com)", re.I)
+_NO_PAGE = re.compile(r"(#|(mailto|tel|javascript|data|sms|whatsapp|callto):)", re.I)
+_MENU = re.compile(r"(hamburger|mobile-menu|menu-toggle|navbar-toggle|nav-toggle|burger)", re.I)
+_PLUGIN = re.compile(r"<(object|embed|applet)\b", re.I)
+_ATTR_WIDTH = re.compile(r'<(?:table|div|img)[^>]+width\s*=\s*"?(\d{3,5})', re.I)
+#: Characters of the markup that menus, plugins and widths are looked for in; of a header or a footer; of the body above the fold.
+MARKUP, FRAME, FOLD = 200_000, 60_000, 18_000
+
 
 def _clean(text: str, limit: int | None = None) -> str:
     return " ".join(text.split())[:limit]
@@ -39,11 +54,13 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.r: dict = {k: "" if t == "string" else 0 if t == "int" else False if t == "boolean" else {} if t[0] == "m" else [] for k, t in FIELDS.items()}
-        self.open: list[tuple[str, list[str]]] = []  # elements whose text is wanted
+        self.open: list[tuple[str, list[str], str | None]] = []  # elements whose text is wanted; of a button, its value
         self.dropped: list[str] = []
         self.body: list[str] = []
-        self.head_foot: list[str] = []
-        self.zone = 0
+        self.in_body = False
+        self.markup: list[str] = []  # the body's markup above the fold
+        self.markup_size = 0
+        self.zones: dict[str, tuple[int, list[str]]] = {}  # header and footer: depth, markup; depth 0 once closed
         self.form: dict | None = None
         self.labels: set[str] = set()
         self.fields: list[tuple[dict, str, bool]] = []
@@ -53,9 +70,11 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = {k: (v or "") for k, v in attrs}
         r = self.r
-        if self.zone or tag in ("header", "footer"):
-            self.zone += tag not in _VOID
-            self.head_foot.append(self.get_starttag_text() or "")
+        raw = self.get_starttag_text() or ""
+        self._frame(tag, a, raw)
+        if self.in_body and not self.dropped and tag not in _DROP:
+            self._mark(raw)
+        self.in_body |= tag == "body"
         self.body.append(" ")
         if tag == "html":
             r["lang"] = r["lang"] or a.get("lang", "").strip()
@@ -80,8 +99,6 @@ class _Reader(HTMLParser):
         elif tag == "script" and "src" in a:
             r["scripts"].append(a["src"])
             r["blocking"] += "async" not in a and "defer" not in a and a.get("type", "") not in ("module", "application/json", "application/ld+json")
-        elif tag in ("object", "embed", "applet"):
-            r["has_plugin"] = True
         elif tag == "label":
             self.in_label += 1
             self.labels.add(a.get("for", ""))
@@ -89,20 +106,40 @@ class _Reader(HTMLParser):
             self.form = {"has_email": False, "has_phone": False, "has_message": False, "is_search": "search" in str(a).lower(), "is_newsletter": "newsletter" in str(a).lower() or "subscribe" in str(a).lower(), "inputs": 0, "unlabelled": 0}
             r["forms"].append(self.form)
         elif tag == "a":
-            self.link = {"href": a.get("href", ""), "named": bool(a.get("aria-label") or a.get("title"))}
+            self.link = {"href": a.get("href", "").strip(), "named": bool(a.get("aria-label") or a.get("title"))}
         if tag in ("input", "textarea", "select") and self.form is not None:
             self._field(tag, a)
         if tag == "nav":
             r["has_nav"] = True
         if tag == "main" or a.get("role") == "main":
             r["has_main"] = True
-        if tag == "input" and a.get("type") in ("submit", "button") and a.get("value"):
-            r["buttons"].append(_clean(a["value"], 120))
+        as_button = tag == "button" or a.get("role") == "button" or bool({"btn", "button"} & set(a.get("class", "").split()))
+        if tag == "input" and (a.get("type") == "submit" or as_button):
+            self._button(a.get("value", ""))
         if tag in _DROP:
             self.dropped.append(tag)
         wanted = tag in ("title", "h1", "h2", "h3", "a", "button", "style") or tag == "script" and a.get("type") == "application/ld+json"
-        if tag not in _VOID and (wanted or a.get("role") == "button"):
-            self.open.append((tag, []))
+        if tag not in _VOID and (wanted or as_button):
+            self.open.append((tag, [], a.get("value", "") if as_button else None))
+
+    def _button(self, label):
+        label = _clean(label, 120)
+        if label and label not in self.r["buttons"] and len(self.r["buttons"]) < 60:
+            self.r["buttons"].append(label)
+
+    def _mark(self, markup):
+        if self.markup_size < FOLD:
+            self.markup.append(markup)
+            self.markup_size += len(markup)
+
+    def _frame(self, tag, a, raw):
+        """Keeps the markup of the first header and the first footer, by tag, id or class."""
+        for zone in ("header", "footer"):
+            depth, parts = self.zones.get(zone, (0, []))
+            if depth or zone not in self.zones and (tag == zone or a.get("id") == zone or zone in a.get("class", "").split()):
+                self.zones[zone] = (depth + (tag not in _VOID), parts + [raw] if not parts else parts)
+                if parts:
+                    parts.append(raw)
 
     def _meta(self, a):
         r, name, prop, content = self.r, a.get("name", "").lower(), a.get("property", "").lower(), a.get("content", "")
@@ -131,8 +168,12 @@ class _Reader(HTMLParser):
         self.fields.append((f, a.get("id", ""), named))
 
     def handle_endtag(self, tag):
-        if self.zone and tag not in _VOID:
-            self.zone -= 1
+        for zone, (depth, parts) in self.zones.items():
+            if depth and tag not in _VOID:
+                parts.append(f"</{tag}>")
+                self.zones[zone] = (depth - 1, parts)
+        if self.in_body and not self.dropped:
+            self._mark(f"</{tag}>")
         self.body.append(" ")
         if self.dropped and self.dropped[-1] == tag:
             self.dropped.pop()
@@ -142,7 +183,11 @@ class _Reader(HTMLParser):
             self.in_label -= 1
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is not None:
-            self._closed(tag, "".join(self.open[at][1]))
+            _, parts, value = self.open[at]
+            text = "".join(parts)
+            if value is not None:
+                self._button(_clean(text) or value)
+            self._closed(tag, text)
             del self.open[at]
 
     def _closed(self, tag, text):
@@ -150,20 +195,40 @@ class _Reader(HTMLParser):
         if tag == "title":
             r["title"] = r["title"] or flat[:500]
         elif tag in ("h1", "h2", "h3"):
-            if flat:
+            if flat and (tag == "h1" or len(r[tag]) < 40):
                 r[tag].append(flat[:300])
         elif tag == "a" and self.link is not None:
-            r["links"].append({"href": self.link["href"], "text": flat[:200]})
-            r["empty_links"] += not flat and not self.link["named"]
-            r["has_skip"] |= self.link["href"].startswith("#") and bool(re.search("skip.*(content|main|navigation)", flat.lower()))
+            self._routed(self.link["href"], flat[:200])
             self.link = None
-        elif tag == "button" and flat:
-            r["buttons"].append(flat[:120])
         elif tag == "style":
             r["styles"].append(text[:20_000])
         elif tag == "script":
             self._schema(text)
 
+    def _routed(self, href, text):
+        """A link goes to the addresses, numbers or chats, or to the links (and social profiles to both)."""
+        r = self.r
+        if not href:
+            return
+        r["empty_links"] += not text and not self.link["named"]
+        r["has_skip"] |= href.startswith("#") and bool(re.search("skip.*(content|main|navigation)", text.lower()))
+        for pattern, kind in ((_MAILTO, "mailto"), (_TEL, "tel")):
+            if m := pattern.match(href):
+                value = m.group(1).strip()
+                value = value.replace("%20", "").lower() if kind == "mailto" else value
+                if value and value not in r[kind]:
+                    r[kind].append(value)
+                return
+        if _CHAT.search(href):
+            if href not in r["whatsapp"]:
+                r["whatsapp"].append(href)
+            return
+        if any(d in href.lower() for d in lx.SOCIAL_LINKS) and href not in r["social"] and len(r["social"]) < 20:
+            r["social"].append(href)
+        if _NO_PAGE.match(href):
+            return
+        r["links"].append({"href": href, "text": text})
+
     def _schema(self, text):
         try:
             found = json.loads(text)
@@ -175,24 +240,42 @@ class _Reader(HTMLParser):
                 if isinstance(y, dict):
                     self.r["jsonld"].append(json.dumps(y))
                     kinds = y.get("@type") or y.get("type") or []
-                    self.r["schema_types"] += [k for k in ([kinds] if isinstance(kinds, str) else kinds) if isinstance(k, str)]
+                    kinds = [k for k in ([kinds] if isinstance(kinds, str) else kinds) if isinstance(k, str)]
+                    self.r["schema_types"] += kinds
+                    same = y.get("sameAs")
+                    self.r["blocks"].append({
+                        "types": kinds, "name": y["name"] if isinstance(y.get("name"), str) else "", "address": bool(y.get("address")),
+                        "hours": any("openinghours" in str(k).lower() for k in y),
+                        "same_as": isinstance(same, str) or isinstance(same, list) and any(isinstance(x, str) for x in same),
+                    })
 
     def handle_data(self, data):
-        for _, into in self.open:
+        for _, into, _ in self.open:
             into.append(data)
         if not self.dropped and not (self.open and self.open[-1][0] == "title"):
             self.body.append(data)
-        if self.zone:
-            self.head_foot.append(data)
+            if self.in_body:
+                self._mark(data)
+        for depth, parts in self.zones.values():
+            if depth:
+                parts.append(data)
 
-    def record(self) -> dict:
+    def record(self, html: str) -> dict:
         r = self.r
         r["text"] = _clean("".join(self.body))
         r["words"] = len(r["text"].split())
-        r["head_foot"] = "".join(self.head_foot)[:60_000]
+        for zone in ("header", "footer"):
+            r[zone] = "".join(self.zones.get(zone, (0, []))[1])[:FRAME]
+        r["fold"] = (r["header"] + "".join(self.markup)[:FOLD]).lower()
         r["schema_types"] = list(dict.fromkeys(r["schema_types"]))
         for f, ident, named in self.fields:
             f["unlabelled"] += not named and (not ident or ident not in self.labels)
+        part = html[:MARKUP]
+        r["has_menu"], r["has_plugin"] = bool(_MENU.search(part)), bool(_PLUGIN.search(part))
+        r["attr_widths"] = [int(x) for x in _ATTR_WIDTH.findall(part)]
+        low = html.lower()
+        r["has_platform"] = any(p in low for p in lx.BOOKING_PLATFORMS)
+        r["noscript_only"] = r["words"] < 30 and len(r["scripts"]) > 3
         return r | {"og": list(r["og"].items()), "twitter": list(r["twitter"].items())}
 
 
@@ -200,7 +283,7 @@ def read_html(html: str | None) -> dict:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    return reader.record()
+    return reader.record(html or "")
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -215,9 +298,16 @@ def _arrow(kind: str) -> pa.DataType:
 
 
 def parse(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with the columns of FIELDS in place of their html, and bytes, the html's length. No row moves."""
+    """pages with the columns of FIELDS in place of their html, bytes, the html's length, and lead. No row moves.
+
+    lead is the text of the pages that can be among the first LEAD characters of their site (by the columns
+    site and page_id, where pages has them), else null: pages of a batch behind others of their site that
+    fill it have none.
+    """
     keep = [f for f in pages.schema if f.name != html_col]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["bytes int"] + [f"{k} {t}" for k, t in FIELDS.items()])
+    names = [f.name for f in keep]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["bytes int"] + [f"{k} {t}" for k, t in FIELDS.items()] + ["lead string"])
+    by_site = "site" in names and "page_id" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,9 +317,28 @@ def parse(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 rows = [read_html(h) for h in html]
                 cols = [part.column(i) for i in range(len(keep))] + [pa.array([len(h or "") for h in html], pa.int32())]
                 cols += [pa.array([r[k] for r in rows], _arrow(t)) for k, t in FIELDS.items()]
-                yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in keep] + ["bytes", *FIELDS])
+                lead = [r["text"][:LEAD] for r in rows]
+                if by_site:
+                    lead = _leading(lead, part.column(names.index("site")).to_pylist(), part.column(names.index("page_id")).to_pylist())
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(lead, pa.string())], names=names + ["bytes", *FIELDS, "lead"])
+
+    return pages.select(*names, html_col).mapInArrow(run, schema)
+
+
+#: Characters of a site's pages, in order, that the rules look for wordings in.
+LEAD = 60_000
+
 
-    return pages.select(*[f.name for f in keep], html_col).mapInArrow(run, schema)
+def _leading(texts: list[str], sites: list, order: list) -> list[str | None]:
+    """texts, without those behind LEAD characters of their site's."""
+    out: list[str | None] = list(texts)
+    filled: dict = {}
+    for i in sorted(range(len(texts)), key=lambda i: (order[i] is None, order[i])):
+        size = filled.get(sites[i], 0)
+        if size >= LEAD:
+            out[i] = None
+        filled[sites[i]] = size + len(texts[i]) + 1
+    return out
 
 
 # --- native twins

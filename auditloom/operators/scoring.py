@@ -1,12 +1,15 @@
-"""Scores, rankings and the check catalogue over findings (site, seq, code, check, severity, deduction)."""
+"""Scores, rankings and the check catalogue over audits (rules.audit(): one row for each site, its findings an array).
+
+Every function here is a projection of a site's row: no rows meet, and a site without findings is
+scored like any other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
-from auditloom.operators.rules import STRONG
 
 _SPEED = lx.CARD_CODES["performance"]
 
@@ -15,14 +18,14 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "high", 0).when(severity == "medium", 1).otherwise(2)
 
 
-def display_category() -> Column:
-    return F.when(F.col("code").isin(_SPEED), F.lit("performance")).otherwise(F.col("check"))
+def display_category(f: Column) -> Column:
+    return F.when(f["code"].isin(_SPEED), F.lit("performance")).otherwise(f["check"])
 
 
-def card_category() -> Column:
-    out = F.when(F.col("check").isin(lx.UX_CHECKS), F.lit("ux_conversion")).otherwise(F.col("check"))
+def card_category(f: Column) -> Column:
+    out = F.when(f["check"].isin(lx.UX_CHECKS), F.lit("ux_conversion")).otherwise(f["check"])
     for category, codes in lx.CARD_CODES.items():
-        out = F.when(F.col("code").isin(codes), F.lit(category)).otherwise(out)
+        out = F.when(f["code"].isin(codes), F.lit(category)).otherwise(out)
     return out
 
 
@@ -30,24 +33,35 @@ def priority(severity: Column, deduction: Column) -> Column:
     return F.when((severity == "high") | (deduction >= 20), "P1").when((severity == "medium") | (deduction >= 10), "P2").otherwise("P3")
 
 
-def category_health(findings: DataFrame, category: Column, weights: dict[str, int]) -> DataFrame:
-    """One row for each site of findings: site and a map from every category of weights to its health, 0 to 100.
+def _categorised(audits: DataFrame, category) -> DataFrame:
+    """audits with lost: the category and the points lost of every finding."""
+    lost = F.transform("findings", lambda f: F.struct(category(f).alias("c"), F.greatest(F.lit(0), f["deduction"]).alias("d")))
+    return audits.select("*", lost.alias("lost"))
+
+
+def _of(k: str) -> Column:
+    return F.filter("lost", lambda x: x["c"] == k)
+
 
-    Health is 100 less the deductions of the category, 0 at least; other categories are ignored.
-    One aggregation; no join with a list of sites and categories.
+def _points(k: str) -> Column:
+    return F.aggregate(_of(k), F.lit(0), lambda n, x: n + x["d"])
+
+
+def category_health(audits: DataFrame, category, weights: dict[str, int]) -> DataFrame:
+    """audits with health, a map from every category of weights to 100 less what its findings cost, 0 at least.
+
+    Findings of other categories are ignored; a category without findings is at 100.
     """
-    lost = findings.select("site", category.alias("_c"), F.greatest(F.lit(0), "deduction").alias("_d"))
-    sums = [F.sum(F.when(F.col("_c") == k, F.col("_d")).otherwise(0)).alias(k) for k in weights]
-    pairs = [x for k in weights for x in (F.lit(k), F.greatest(F.lit(0), 100 - F.col(k)).cast("int"))]
-    return lost.groupBy("site").agg(*sums).select("site", F.create_map(*pairs).alias("health"))
+    scored = _categorised(audits, category)
+    pairs = [x for k in weights for x in (F.lit(k), F.greatest(F.lit(0), 100 - _points(k)).cast("int"))]
+    return scored.select("*", F.create_map(*pairs).alias("health"))
 
 
-def opportunity(findings: DataFrame, weights: dict[str, int] = lx.WEIGHTS) -> DataFrame:
+def opportunity(audits: DataFrame, weights: dict[str, int] = lx.WEIGHTS) -> DataFrame:
     """site, the health of each category, score (0 to 100, half to even: the weighted mean of 100 - health) and tier."""
-    health = category_health(findings, F.col("check"), weights)
-    chance = lambda k: 100 - F.col("health")[k]
-    total = sum(weights.values()) or 1
-    score = F.bround(sum(chance(k) * w for k, w in weights.items()) / total).cast("int")
+    health = category_health(audits, lambda f: f["check"], weights)
+    total = sum(max(0, w) for w in weights.values()) or 1
+    score = F.bround(sum((100 - F.col("health")[k]) * max(0, w) for k, w in weights.items()) / total).cast("int")
     out = health.withColumn("score", F.least(F.lit(100), F.greatest(F.lit(0), score)))
     return out.select("site", *[F.col("health")[k].alias(k) for k in weights], "score", tier(F.col("score")).alias("tier"))
 
@@ -59,73 +73,113 @@ def tier(score: Column) -> Column:
     return out.otherwise("Low")
 
 
-def explanation(scores: DataFrame, weights: dict[str, int] = lx.WEIGHTS) -> DataFrame:
-    """Rows (site, category, opportunity, weight, points): what each category adds; points times the weights' sum stay whole."""
-    rows = F.array(*[F.struct(F.lit(k).alias("category"), (100 - F.col(k)).alias("opportunity"), F.lit(w).alias("weight")) for k, w in weights.items()])
-    return scores.select("site", F.explode(rows).alias("x")).select("site", "x.*", (F.col("x.opportunity") * F.col("x.weight")).alias("points"))
-
+def explanation(audits: DataFrame, weights: dict[str, int] = lx.WEIGHTS) -> DataFrame:
+    """Rows (site, place, category, weight, health, opportunity, contribution, findings, deductions): what each category adds.
 
-def diverse_top(findings: DataFrame, k: int, category: Column, eligible: Column) -> DataFrame:
-    """The k worst eligible findings of each site with rank from 1: first the worst of each category, then the rest.
-
-    A site has a finding for each rule at most, so a window's group is bounded.
+    contribution is opportunity * weight over the sum of weights, to one decimal; place 1 adds most,
+    and equal ones stay in the order of weights.
     """
-    site = Window.partitionBy("site")
-    order = [severity_rank(F.col("severity")), F.col("deduction").desc(), F.col("seq")]
-    rows = findings.filter(eligible).withColumn("category", category)
-    rows = rows.withColumn("_lead", F.row_number().over(Window.partitionBy("site", "category").orderBy(*order)) == 1)
-    rows = rows.withColumn("_pick", F.row_number().over(site.orderBy(~F.col("_lead"), *order))).filter(F.col("_pick") <= k)
-    rank = F.row_number().over(site.orderBy(order[0], order[1], ~F.col("_lead"), "seq"))
-    return rows.withColumn("rank", rank).drop("_lead", "_pick")
+    total = sum(max(0, w) for w in weights.values()) or 1
+    health = category_health(audits, lambda f: f["check"], weights)
+    rows = []
+    for i, (k, w) in enumerate(weights.items()):
+        gain = 100 - F.col("health")[k]
+        share = F.bround(gain * max(0, w) / F.lit(float(total)), 1)
+        rows.append(F.struct(
+            (-share).alias("order"), F.lit(i).alias("i"), F.lit(k).alias("category"), F.lit(w).alias("weight"), F.col("health")[k].alias("health"),
+            gain.alias("opportunity"), share.alias("contribution"), F.size(_of(k)).alias("findings"), _points(k).alias("deductions"),
+        ))
+    out = health.select("site", F.posexplode(F.array_sort(F.array(*rows))).alias("at", "x")).select("site", (F.col("at") + 1).alias("place"), "x.*")
+    return out.drop("order", "i")
+
+
+def diverse_top(audits: DataFrame, k: int, category, eligible) -> DataFrame:
+    """The k worst eligible findings of each site with rank from 1: first the worst of each category, then the rest."""
+    keyed = F.transform(
+        F.filter("findings", eligible),
+        lambda f: F.struct(severity_rank(f["severity"]).alias("s"), (-f["deduction"]).alias("d"), f["seq"].alias("n"), category(f).alias("category"), f.alias("f")),
+    )
+    worst = audits.select("site", F.array_sort(keyed).alias("w")).select("site", "w", F.transform("w", lambda x: x["category"]).alias("cs"))
+    picked = F.transform(
+        "w", lambda x, i: F.struct((F.array_position("cs", x["category"]) != i + 1).alias("again"), x["s"].alias("s"), x["d"].alias("d"), x["n"].alias("n"), x["category"].alias("category"), x["f"].alias("f"))
+    )
+    first = worst.select("site", F.slice(F.array_sort(picked), 1, k).alias("w"))
+    ordered = F.array_sort(F.transform("w", lambda x: F.struct(x["s"].alias("s"), x["d"].alias("d"), x["again"].alias("again"), x["n"].alias("n"), x["category"].alias("category"), x["f"].alias("f"))))
+    return first.select("site", F.posexplode(ordered).alias("at", "x")).select("site", (F.col("at") + 1).alias("rank"), F.col("x.category").alias("category"), "x.f.*")
 
 
-def top_problems(findings: DataFrame, k: int = 7) -> DataFrame:
-    out = diverse_top(findings, k, display_category(), (F.col("deduction") > 0) | F.col("code").isin(STRONG))
-    return out.select("site", "rank", "code", "category", "severity", "deduction", F.col("code").isin(STRONG).alias("strong"))
+def top_problems(audits: DataFrame, k: int = 7) -> DataFrame:
+    """Rows (site, rank, code, category, severity, deduction, strong, evidence): the problems to open a conversation with."""
+    out = diverse_top(audits, k, display_category, lambda f: (f["deduction"] > 0) | f["code"].isin(lx.STRONG))
+    return out.select("site", "rank", "code", "category", "severity", "deduction", F.col("code").isin(lx.STRONG).alias("strong"), "evidence")
 
 
-def top_priorities(findings: DataFrame, k: int = 5) -> DataFrame:
-    out = diverse_top(findings, k, card_category(), F.col("deduction") > 0)
-    return out.select("site", "rank", "code", "category", priority(F.col("severity"), F.col("deduction")).alias("priority"), "deduction")
+def top_priorities(audits: DataFrame, k: int = 5) -> DataFrame:
+    out = diverse_top(audits, k, card_category, lambda f: f["deduction"] > 0)
+    return out.select("site", "rank", "code", "category", priority(F.col("severity"), F.col("deduction")).alias("priority"), "severity", "deduction", "evidence")
 
 
-def scorecard(findings: DataFrame, weights: dict[str, int] = lx.CARD_WEIGHTS) -> DataFrame:
-    """Rows (site, category, score, overall): the card's categories; local_seo has no score where it does not apply.
+def recommendations(problems: DataFrame) -> DataFrame:
+    """Rows (site, rank, problem_code, category, severity, recommendation) for the problems whose code has an advice."""
+    known = [x for code, text in lx.ADVICE.items() for x in (F.lit(code), F.lit(text))]
+    out = problems.withColumn("recommendation", F.try_element_at(F.create_map(*known), F.col("code")))
+    return out.filter("recommendation IS NOT NULL").select("site", "rank", F.col("code").alias("problem_code"), "category", "severity", "recommendation")
 
-    overall is the weighted mean of the scores of categories that apply, rounded half to even.
-    """
-    health = category_health(findings, card_category(), weights).join(findings.groupBy("site").agg(F.max("local_applies").alias("local")), "site")
-    applies = lambda k: F.col("local") if k == "local_seo" else F.lit(True)
+
+def _carded(audits: DataFrame, weights: dict[str, int]) -> tuple[DataFrame, Column]:
+    health = category_health(audits, card_category, weights)
+    applies = lambda k: F.col("local_applies") if k == "local_seo" else F.lit(True)
     top = sum(F.when(applies(k), (100 - F.col("health")[k]) * w).otherwise(0) for k, w in weights.items())
     bottom = sum(F.when(applies(k), w).otherwise(0) for k, w in weights.items())
-    rows = F.array(*[F.struct(F.lit(k).alias("category"), F.when(applies(k), F.col("health")[k]).alias("score")) for k in weights])
-    return health.select("site", (100 - F.bround(top / bottom)).cast("int").alias("overall"), F.explode(rows).alias("x")).select("site", "x.*", "overall")
+    rows = F.array(*[
+        F.struct(
+            F.lit(k).alias("category"), F.when(applies(k), F.col("health")[k]).alias("score"), applies(k).alias("applicable"), F.when(applies(k), w).otherwise(0).alias("weight"),
+            F.when(applies(k), F.size(_of(k))).otherwise(0).alias("findings"), F.when(applies(k), _points(k)).otherwise(0).alias("deductions"),
+        )
+        for k, w in weights.items()
+    ])
+    overall = (100 - F.bround(top / F.greatest(bottom, F.lit(1)))).cast("int")
+    return health.select("*", overall.alias("overall")), rows
+
+
+def scorecard(audits: DataFrame, weights: dict[str, int] = lx.CARD_WEIGHTS) -> DataFrame:
+    """Rows (site, category, score, applicable, weight, findings, deductions, overall): the card's categories in order.
+
+    local_seo has no score where it does not apply. overall is the weighted mean of the scores of
+    categories that apply, rounded half to even.
+    """
+    card, rows = _carded(audits, weights)
+    return card.select("site", "overall", F.explode(rows).alias("x")).select("site", "x.*", "overall")
 
 
-def check_results(findings: DataFrame) -> DataFrame:
-    """Rows (site, check_id, category, status): every check of the catalogue for each site, in one aggregation.
+def severity_counts(audits: DataFrame) -> DataFrame:
+    """site and how many findings of each severity cost points: high, medium, low."""
+    n = lambda s: F.size(F.filter("findings", lambda f: (f["severity"] == s) & (f["deduction"] > 0))).alias(s)
+    return audits.select("site", n("high"), n("medium"), n("low"))
 
-    The first fired code of a check decides: fail if its severity is high, else warning; none: pass.
-    """
-    sites = findings.groupBy("site").agg(
-        F.map_from_entries(F.collect_list(F.struct("code", "severity"))).alias("fired"),
-        F.max("local_applies").alias("local"),
-        F.bool_or(F.col("code") == "pagespeed_low").alias("slow"),
-    )
+
+def _checks(audits: DataFrame) -> tuple[DataFrame, Column]:
+    fired = F.map_from_entries(F.transform("findings", lambda f: F.struct(f["code"], f["severity"])))
+    status = lambda severity: F.when(severity == "high", "fail").when(severity.isNotNull(), "warning")
     rows = []
     for check_id, category, codes in lx.CHECKS:
-        severity = F.coalesce(*[F.try_element_at("fired", F.lit(c)) for c in codes])
-        status = F.when(severity == "high", "fail").when(severity.isNotNull(), "warning").otherwise("pass")
+        found = status(F.coalesce(*[F.try_element_at("fired", F.lit(c)) for c in codes])).otherwise("pass")
         if category == "local_seo":
-            status = F.when(F.col("local"), status).otherwise("not_applicable")
-        rows.append(F.struct(F.lit(check_id).alias("check_id"), F.lit(category).alias("category"), status.alias("status")))
-    for check_id, category in lx.NOT_VERIFIED + [("core_web_vitals", "performance")]:
-        status = F.lit("not_verified")
-        if check_id == "core_web_vitals":
-            severity = F.try_element_at("fired", F.lit("pagespeed_low"))
-            status = F.when(severity == "high", "fail").when(severity.isNotNull(), "warning").otherwise("not_verified")
-        rows.append(F.struct(F.lit(check_id).alias("check_id"), F.lit(category).alias("category"), status.alias("status")))
-    return sites.select("site", F.explode(F.array(*rows)).alias("x")).select("site", "x.*")
+            found = F.when(F.col("local_applies"), found).otherwise("not_applicable")
+        rows.append((check_id, category, found))
+    rows += [(check_id, category, F.lit("not_verified")) for check_id, category in lx.NOT_VERIFIED]
+    speed = F.when(F.col("speed_measured"), status(F.try_element_at("fired", F.lit("pagespeed_low"))).otherwise("pass")).otherwise("not_verified")
+    rows.append(("core_web_vitals", "performance", speed))
+    return audits.select("*", fired.alias("fired")), F.array(*[F.struct(F.lit(i).alias("check_id"), F.lit(c).alias("category"), s.alias("status")) for i, c, s in rows])
+
+
+def check_results(audits: DataFrame) -> DataFrame:
+    """Rows (site, check_id, category, status): every check of the catalogue for each site.
+
+    The first fired code of a check decides: fail if its severity is high, else warning; none: pass.
+    """
+    found, rows = _checks(audits)
+    return found.select("site", F.explode(rows).alias("x")).select("site", "x.*")
 
 
 def clear_opportunity(score: Column, problems: Column, strong: Column, least: int = 3) -> Column:
@@ -151,22 +205,44 @@ def band(score: Column) -> Column:
     return F.when(score >= 85, "strong").when(score >= 70, "fair").when(score >= 50, "weak").otherwise("poor")
 
 
-def executive_summary(card: DataFrame) -> DataFrame:
-    """One row for each site of scorecard(): overall, band, the best categories from 85 on, the worst under 70."""
-    order = {k: i for i, k in enumerate(lx.CARD_WEIGHTS)}
-    place = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])[F.col("category")]
-    scored = card.withColumn("_at", place)
-    entry = lambda sign: F.struct((sign * F.col("score")).alias("s"), "_at", "category")
-    best = F.array_sort(F.collect_list(F.when(F.col("score") >= 85, entry(-1))))
-    worst = F.array_sort(F.collect_list(F.when(F.col("score") < 70, entry(1))))
-    names = lambda a, n: F.array_join(F.transform(F.slice(a, 1, n), lambda x: x["category"]), ", ")
-    return scored.groupBy("site").agg(F.max("overall").alias("overall"), best.alias("b"), worst.alias("w")).select(
-        "site", "overall", band(F.col("overall")).alias("band"), names(F.col("b"), 4).alias("working"), names(F.col("w"), 3).alias("weak")
+def grade(score: Column) -> Column:
+    """A to F by tens, as report cards have it; null without a score."""
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").when(score.isNotNull(), "F")
+
+
+def _with_status(status: str) -> Column:
+    return F.size(F.filter("checks", lambda c: c["status"] == status))
+
+
+def executive_summary(audits: DataFrame, weights: dict[str, int] = lx.CARD_WEIGHTS) -> DataFrame:
+    """One row for each site: what the first page of a report says.
+
+    overall and its band; working: the best four categories from 85 on; weak: the worst three under 70; problems:
+    the codes of the worst three priorities; impacted: the card's first three categories with a
+    finding of high or medium severity; and how many checks have each status.
+    """
+    card, rows = _carded(audits, weights)
+    card, checks = _checks(card.select("*", rows.alias("card")))
+    at = F.create_map(*[x for i, k in enumerate(weights) for x in (F.lit(k), F.lit(i))])
+    listed = lambda least, most, sign, n: F.array_join(
+        F.transform(
+            F.slice(F.array_sort(F.transform(F.filter("card", lambda c: (c["score"] >= least) & (c["score"] < most)), lambda c: F.struct((sign * c["score"]).alias("s"), at[c["category"]].alias("i"), c["category"].alias("k")))), 1, n),
+            lambda x: x["k"],
+        ),
+        ", ",
+    )
+    hurt = F.array_distinct(F.transform(F.filter("findings", lambda f: (f["deduction"] > 0) & (f["severity"] != "low")), card_category))
+    out = card.select(
+        "site", "overall", band(F.col("overall")).alias("band"), listed(85, 101, -1, 4).alias("working"), listed(0, 70, 1, 3).alias("weak"),
+        F.array_join(F.slice(F.array_intersect(F.array(*[F.lit(k) for k in weights]), hurt), 1, 3), ", ").alias("impacted"), checks.alias("checks"),
+    )
+    return out.select(
+        *out.columns[:-1], *[_with_status(s).alias(f"n_{s}") for s in ("pass", "warning", "fail", "not_verified", "not_applicable")]
     )
 
 
-def issue_columns(priorities: DataFrame, n: int = 5) -> DataFrame:
-    """One row for each site: code, category, priority and deduction of its first n priorities side by side."""
+def issue_columns(audits: DataFrame, n: int = 5) -> DataFrame:
+    """One row for each site: code, category, priority and deduction of its first n priorities side by side, null beyond them."""
     at = lambda i, f: F.max(F.when(F.col("rank") == i, F.col(f)))
     cols = [at(i, f).alias(f"issue_{i}_{f}") for i in range(1, n + 1) for f in ("code", "category", "priority", "deduction")]
-    return priorities.groupBy("site").agg(*cols)
+    return audits.select("site").join(top_priorities(audits, n).groupBy("site").agg(*cols), "site", "left")

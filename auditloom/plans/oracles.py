@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from auditloom.functions import lexicons as lx
-from auditloom.operators.contacts import PREFERRED
-from auditloom.operators.rules import _AREA, _MAP, _STREET, STRONG
+from auditloom.plans import fixture_sql
+from auditloom.plans import sql_values as lx
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1))"
 _SITE = f"regexp_replace({_HOST}, '^(www|m|blog)[.]', '')"
@@ -80,11 +79,8 @@ def _type(u: str, text: str | None = None) -> str:
     return f"CASE {cases} WHEN regexp_matches({blog}, 'blog|news|article|post') THEN 'blog' ELSE 'other' END"
 
 
-_CRAWL = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS ord FROM (SELECT *, {_SITE} AS site FROM pages)) WHERE ord <= 12"
+_SITES = f"SELECT *, {_SITE} AS site FROM pages"
 _ALL_LINKS = f"SELECT page_id, url AS base, unnest({_HREFS}) AS href, unnest({_LINK_TEXTS}) AS text, CAST(generate_subscripts({_HREFS}, 1) AS INTEGER) AS pos FROM pages"
-_LINKS = (
-    f"SELECT page_id, site, ord, url AS base, unnest({_HREFS}) AS href, unnest({_LINK_TEXTS}) AS text, generate_subscripts({_HREFS}, 1) AS pos FROM ({_CRAWL})"
-)
 
 
 def _words(blob: str, words: list[str]) -> str:
@@ -102,15 +98,15 @@ def _re(text: str, pattern: str) -> str:
 def _findings() -> str:
     cta = lambda ws: _words("cta", ws)
     vp = "lower(regexp_extract(html, '(?i)<meta[^>]*name=\"viewport\"[^>]*content=\"([^\"]*)\"', 1))"
-    booking = f"({cta(lx.BOOKING)} OR {_words('blob', lx.BOOKING)} OR list_contains(types, 'booking') OR {_words('urls', lx.BOOKING_PLATFORMS)})"
+    booking = f"({cta(lx.BOOKING)} OR {_words('blob', lx.BOOKING)} OR list_contains(types, 'booking') OR platform)"
     asks = f"({cta(lx.QUOTE)} OR {_words('blob', lx.QUOTE)} OR {cta(lx.CONSULT)} OR {_words('blob', lx.CONSULT)})"
     praise = f"({_words('blob', lx.TESTIMONIAL)} OR list_contains(types, 'testimonials'))"
     hours = _words("blob", lx.HOURS)
-    area = f"({_re('blob', _AREA)} OR list_contains(types, 'locations'))"
+    area = f"({_re('blob', lx.LOCAL_AREA)} OR list_contains(types, 'locations'))"
+    strong = lx.BOOKING + lx.QUOTE + lx.CONSULT + lx.STRONG_CTA
     calls = lx.BOOKING + lx.QUOTE + lx.CONSULT + lx.CONTACT
-    street = _re("blob", _STREET)
+    street = _re("blob", lx.STREET)
     applies = f"(({street})::INT + (gmap)::INT + ({area})::INT >= 2)"
-    services = ["services", "what we do", "we offer", "our work", "treatments", "solutions", "specialise", "specialize", "products", "menu"]
     rows = [
         ("technical", "no_https", "NOT starts_with(url, 'https://')", "high", 30),
         ("technical", "mixed_content", f"starts_with(url, 'https://') AND {_tag('src="http://')}", "medium", 12),
@@ -138,21 +134,21 @@ def _findings() -> str:
         ("mobile", "small_mobile_text", "len(regexp_extract_all(html, 'font-size[ ]*:[ ]*[0-9]px')) >= 3", "low", 8),
         ("mobile", "no_mobile_tap_to_call", "NOT htel", "CASE WHEN tel THEN 'medium' ELSE 'high' END", "CASE WHEN tel THEN 12 ELSE 20 END"),
         ("mobile", "legacy_plugin_content", _tag("<(object|embed|applet)\\b"), "low", 6),
-        ("mobile", "no_mobile_menu", f"len({_HREFS}) > 25", "medium", 10),
-        ("conversion", "no_primary_cta_above_fold", f"NOT {_words('lower(substr(text, 1, 1600))', calls)} AND NOT framed", "high", 22),
+        ("mobile", "no_mobile_menu", f"len({_HREFS}) > 25 AND NOT {_tag('hamburger|mobile-menu|menu-toggle|navbar-toggle|nav-toggle|burger')}", "medium", 10),
+        ("conversion", "no_primary_cta_above_fold", f"NOT {_words('lower(substr(text, 1, 1600))', calls)} AND NOT htel AND NOT hmail", "high", 22),
         ("conversion", "no_phone_cta", "NOT tel", "high", 22),
         ("conversion", "no_contact_form", "NOT form", "CASE WHEN NOT tel AND NOT mail THEN 'high' ELSE 'medium' END", 15),
         ("conversion", "no_booking_cta", f"NOT {booking}", "medium", 16),
         ("conversion", "no_quote_cta", f"NOT {asks}", "low", 8),
         ("conversion", "no_email_cta", "NOT mail AND NOT form", "medium", 10),
         ("conversion", "no_contact_page", "NOT list_contains(types, 'contact')", "medium", 12),
-        ("conversion", "weak_cta_language", f"list_has_any(ctas, {_list(lx.GENERIC_CTA)}) AND NOT {cta(calls)}", "low", 6),
+        ("conversion", "weak_cta_language", f"list_has_any(ctas, {_list(lx.GENERIC_CTA)}) AND NOT {cta(strong)}", "low", 6),
         ("trust", "no_testimonials", f"NOT {praise}", "high", 24),
         ("trust", "reviews_not_structured", praise, "low", 5),
         ("trust", "no_credentials", f"NOT {_words('blob', lx.CREDENTIAL)}", "medium", 14),
         ("trust", "no_portfolio", f"NOT {_words('blob', lx.PORTFOLIO)}", "medium", 12),
         ("trust", "no_about_page", "NOT list_contains(types, 'about')", "low", 10),
-        ("trust", "no_social_presence_linked", "TRUE", "low", 6),
+        ("trust", "no_social_presence_linked", "NOT social", "low", 6),
         ("contact", "no_phone_on_site", "NOT tel", "high", 30),
         ("contact", "phone_not_on_homepage", "tel AND NOT htel", "medium", 15),
         ("contact", "no_email_on_site", "NOT mail", "medium", 15),
@@ -161,8 +157,8 @@ def _findings() -> str:
         ("contact", "contact_hard_to_find", "NOT framed AND NOT list_contains(types, 'contact')", "high", 20),
         ("content", "very_thin_homepage", "words < 120", "high", 28),
         ("content", "thin_homepage", "words BETWEEN 120 AND 299", "medium", 14),
-        ("content", "services_not_clear", f"NOT list_contains(types, 'services') AND NOT {_words('blob', services)}", "high", 22),
-        ("content", "generic_value_proposition", "lower(trim(first_h1)) IN ('welcome', 'home', 'welcome to our website', 'welcome to our site', 'homepage')", "medium", 12),
+        ("content", "services_not_clear", f"NOT list_contains(types, 'services') AND NOT {_words('blob', lx.SERVICES)}", "high", 22),
+        ("content", "generic_value_proposition", f"lower(trim(first_h1)) IN {_in(lx.EMPTY_HEADINGS)}", "medium", 12),
         ("content", "no_service_area", f"NOT {_words('blob', lx.SERVICE_AREA)} AND NOT list_contains(types, 'locations')", "low", 10),
         ("content", "no_heading_structure", "h2 = 0 AND words > 200", "low", 8),
         ("content", "minimal_navigation", f"len(list_distinct({_HREFS})) < 3", "medium", 12),
@@ -174,10 +170,10 @@ def _findings() -> str:
         ("onpage", "onpage_missing_open_graph", f"NOT {_tag('og:(title|description)')}", "medium", 10),
         ("onpage", "onpage_missing_twitter_card", f"NOT {_tag('twitter:card')}", "low", 4),
         ("onpage", "onpage_duplicate_titles", "twice", "medium", 10),
-        ("onpage", "onpage_duplicate_meta_description", "FALSE", "low", 5),
-        ("offpage", "offpage_no_social_profiles", "TRUE", "low", 8),
-        ("offpage", "offpage_sameas_not_structured", "FALSE", "low", 4),
-        ("performance", "perf_render_blocking_scripts", "FALSE", "medium", 10),
+        ("onpage", "onpage_duplicate_meta_description", "descr_twice", "low", 5),
+        ("offpage", "offpage_no_social_profiles", "NOT social AND NOT same_as", "low", 8),
+        ("offpage", "offpage_sameas_not_structured", "social AND NOT same_as", "low", 4),
+        ("performance", "perf_render_blocking_scripts", "len(list_filter(regexp_extract_all(html, '(?i)<script[^>]*src=[^>]*>'), lambda x: NOT regexp_matches(x, 'async|defer|module'))) > 4", "medium", 10),
         ("performance", "perf_no_compression", "FALSE", "medium", 8),
         ("performance", "perf_no_cache_headers", "FALSE", "low", 4),
         ("local_seo", "local_no_business_schema", applies, "high", 22),
@@ -195,9 +191,11 @@ def _findings() -> str:
         f"CASE WHEN {cond} THEN {{'seq': {i}, 'code': '{code}', 'check_name': '{check}', 'severity': {text(sev)}, 'deduction': CAST({ded} AS INTEGER)}} END"
         for i, (check, code, cond, sev, ded) in enumerate(rows)
     )
+    same_as = _tag('"sameAs"')
+    social_links = "facebook[.]com|instagram[.]com|twitter[.]com|x[.]com|linkedin[.]com|youtube[.]com|tiktok[.]com|pinterest[.]com"
     descr = "regexp_extract(html, '(?i)<meta[^>]*name=\"description\"[^>]*content=\"([^\"]*)\"', 1)"
     return f"""
-    c AS ({_CRAWL}),
+    c AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS ord FROM ({_SITES})),
     pg AS MATERIALIZED (
       SELECT site, ord, url, html, {_TITLE} AS title, {_TEXT} AS text, {descr} AS descr, len({_heads(1)}) AS h1, {_heads(1)}[1] AS first_h1,
              len({_heads(2)}) AS h2, len({_heads(3)}) AS h3, regexp_extract(html, '(?i)<html[^>]*\\blang="([^"]*)"', 1) AS lang,
@@ -205,10 +203,13 @@ def _findings() -> str:
              len(regexp_extract_all(html, '(?i)<img\\b')) AS img, {_LINK_TEXTS} AS texts, {_HREFS} AS hrefs,
              CASE WHEN ord = 1 THEN 'homepage' ELSE {_type('url')} END AS kind FROM c
     ), st AS (
-      SELECT site, bool_or(htel) AS tel, bool_or(hmail) AS mail, bool_or(hform) AS form, sum(img) AS images, FALSE AS framed,
+      SELECT site, bool_or(htel) AS tel, bool_or(hmail) AS mail, bool_or(hform) AS form, sum(img) AS images,
+             bool_or(regexp_matches(html, '(?is)<(header|footer)[^>]*>.*(tel|mailto):')) AS framed, bool_or({_words('lower(html)', lx.BOOKING_PLATFORMS)}) AS platform,
+             bool_or({same_as}) AS same_as, regexp_matches(lower(array_to_string(flatten(list(hrefs)), chr(10))), '{social_links}') AS social,
+             count(*) FILTER (descr <> '') > count(DISTINCT lower(trim(descr))) FILTER (descr <> '') AS descr_twice,
              list(DISTINCT kind) AS types, lower(substr(string_agg(text, ' ' ORDER BY ord), 1, 60000)) AS blob,
              list_filter(list_transform(flatten(list(texts)), lambda x: lower(trim(x))), lambda x: length(x) BETWEEN 2 AND 60) AS ctas,
-             array_to_string(flatten(list(hrefs)), chr(10)) AS urls, regexp_matches(array_to_string(flatten(list(hrefs)), chr(10)), '{_MAP}') AS gmap,
+             regexp_matches(array_to_string(flatten(list(hrefs)), chr(10)), '{lx.MAP_LINK}') AS gmap,
              len(list_filter(flatten(list(texts)), lambda x: x = '')) AS empty_links,
              count(*) FILTER (title <> '') > count(DISTINCT lower(title)) FILTER (title <> '') AS twice
       FROM pg GROUP BY site
@@ -218,11 +219,13 @@ def _findings() -> str:
       FROM st JOIN pg ON pg.site = st.site AND pg.ord = 1
     ), f0 AS (
       SELECT site, {applies} AS local_applies, unnest(list_filter([{structs}], lambda x: x IS NOT NULL)) AS f FROM hs
-    ), f AS (SELECT site, local_applies, f.seq AS seq, f.code AS code, f.check_name AS check_name, f.severity AS severity, f.deduction AS deduction FROM f0)
+    ), au AS (SELECT site, {applies} AS local_applies, NULL::INTEGER AS speed FROM hs), f AS (SELECT site, local_applies, f.seq AS seq, f.code AS code, f.check_name AS check_name, f.severity AS severity, f.deduction AS deduction FROM f0)
     """
 
 
 _F = _findings()
+#: The same of the made-up sites.
+_X = fixture_sql.FINDINGS + ", au AS (SELECT site, applies AS local_applies, CASE WHEN k % 2 = 1 THEN speed END AS speed FROM s)"
 _RANK = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 _DISPLAY = f"CASE WHEN code IN {_in(lx.CARD_CODES['performance'])} THEN 'performance' ELSE check_name END"
 _CARD = (
@@ -243,14 +246,25 @@ def _even(x: str) -> str:
 _TIER = "CASE " + " ".join(f"WHEN score >= {m} THEN '{n}'" for m, n in lx.TIERS) + " ELSE 'Low' END"
 _OPP = (
     "o AS (SELECT *, " + _even("(" + " + ".join(f"(100 - {k}) * {w}" for k, w in lx.WEIGHTS.items()) + f") / {float(sum(lx.WEIGHTS.values()))}")
-    + " AS score FROM (SELECT site, " + ", ".join(f"CAST({_health('check_name', k)} AS INTEGER) AS {k}" for k in lx.WEIGHTS) + " FROM f GROUP BY site))"
+    + " AS score FROM (SELECT au.site, " + ", ".join(f"CAST({_health('check_name', k)} AS INTEGER) AS {k}" for k in lx.WEIGHTS) + " FROM au LEFT JOIN f ON f.site = au.site GROUP BY au.site))"
 )
-_KEEP = lambda k: f"(category <> 'local_seo' OR local)" if k is None else ("local" if k == "local_seo" else "TRUE")
+_KEEP = lambda k: "local" if k == "local_seo" else "TRUE"
+def _lost(k: str) -> str:
+    return f"coalesce(sum(greatest(0, deduction)) FILTER ({_CARD} = '{k}'), 0)"
+
+
 _SCORES = (
-    "hc AS (SELECT site, bool_or(local_applies) AS local, " + ", ".join(f"CAST({_health(_CARD, k)} AS INTEGER) AS {k}" for k in lx.CARD_WEIGHTS) + " FROM f GROUP BY site), "
-    "card AS (SELECT site, unnest(" + _list(lx.CARD_WEIGHTS) + ") AS category, unnest([" + ", ".join(f"CASE WHEN {_KEEP(k)} THEN {k} END" for k in lx.CARD_WEIGHTS) + "]) AS score, "
-    "100 - " + _even("(" + " + ".join(f"CASE WHEN {_KEEP(k)} THEN (100 - {k}) * {w} ELSE 0 END" for k, w in lx.CARD_WEIGHTS.items()) + ") / (0.0::DOUBLE + "
-    + " + ".join(f"CASE WHEN {_KEEP(k)} THEN {w} ELSE 0 END" for k, w in lx.CARD_WEIGHTS.items()) + ")") + " AS overall FROM hc)"
+    "hc AS (SELECT au.site, bool_or(au.local_applies) AS local, "
+    + ", ".join(f"CAST({_health(_CARD, k)} AS INTEGER) AS {k}, CAST({_lost(k)} AS INTEGER) AS {k}_lost, CAST(count(code) FILTER ({_CARD} = '{k}') AS INTEGER) AS {k}_n" for k in lx.CARD_WEIGHTS)
+    + " FROM au LEFT JOIN f ON f.site = au.site GROUP BY au.site), card AS ("
+    + " UNION ALL ".join(
+        f"SELECT site, '{k}' AS category, CASE WHEN {_KEEP(k)} THEN {k} END AS score, {_KEEP(k)} AS applicable, CASE WHEN {_KEEP(k)} THEN {w} ELSE 0 END AS weight, "
+        f"CASE WHEN {_KEEP(k)} THEN {k}_n ELSE 0 END AS findings, CASE WHEN {_KEEP(k)} THEN {k}_lost ELSE 0 END AS deductions, "
+        + "100 - " + _even("(" + " + ".join(f"CASE WHEN {_KEEP(j)} THEN (100 - {j}) * {v} ELSE 0 END" for j, v in lx.CARD_WEIGHTS.items()) + ") / (0.0::DOUBLE + "
+        + " + ".join(f"CASE WHEN {_KEEP(j)} THEN {v} ELSE 0 END" for j, v in lx.CARD_WEIGHTS.items()) + ")") + " AS overall FROM hc"
+        for k, w in lx.CARD_WEIGHTS.items()
+    )
+    + ")"
 )
 
 
@@ -264,7 +278,7 @@ def _top(category: str, eligible: str, k: int) -> str:
     """
 
 
-_PROBLEMS = _top(_DISPLAY, f"deduction > 0 OR code IN {_in(STRONG)}", 7)
+_PROBLEMS = _top(_DISPLAY, f"deduction > 0 OR code IN {_in(lx.STRONG)}", 7)
 _PRIORITIES = _top(_CARD, "deduction > 0", 5)
 
 
@@ -274,15 +288,68 @@ def _check_rows() -> str:
         first = "coalesce(" + ", ".join(f"max(severity) FILTER (code = '{c}')" for c in codes) + ")"
         status = f"CASE WHEN {first} = 'high' THEN 'fail' WHEN {first} IS NOT NULL THEN 'warning' ELSE 'pass' END"
         if category == "local_seo":
-            status = f"CASE WHEN bool_or(local_applies) THEN {status} ELSE 'not_applicable' END"
+            status = f"CASE WHEN bool_or(au.local_applies) THEN {status} ELSE 'not_applicable' END"
         out.append((check_id, category, status))
-    out += [(i, c, "'not_verified'") for i, c in [*lx.NOT_VERIFIED, ("core_web_vitals", "performance")]]
+    out += [(i, c, "'not_verified'") for i, c in lx.NOT_VERIFIED]
+    out.append(("core_web_vitals", "performance", "CASE WHEN max(speed) IS NULL THEN 'not_verified' WHEN max(speed) < 40 THEN 'fail' WHEN max(speed) < 80 THEN 'warning' ELSE 'pass' END"))
     return (
-        f"ck AS (SELECT site, unnest({_list(x[0] for x in out)}) AS check_id, unnest({_list(x[1] for x in out)}) AS category, "
-        f"unnest([{', '.join(x[2] for x in out)}]) AS status FROM f GROUP BY site)"
+        f"ck AS (SELECT au.site, unnest({_list(x[0] for x in out)}) AS check_id, unnest({_list(x[1] for x in out)}) AS category, "
+        f"unnest([{', '.join(x[2] for x in out)}]) AS status FROM au LEFT JOIN f ON f.site = au.site GROUP BY au.site)"
     )
 
 
+def _summary() -> str:
+    hurt = " ".join(f"WHEN {_CARD} = '{k}' THEN {i}" for i, k in enumerate(lx.CARD_WEIGHTS))
+    counts = ", ".join(f"CAST(count(*) FILTER (status = '{x}') AS INTEGER) AS n_{x}" for x in ("pass", "warning", "fail", "not_verified", "not_applicable"))
+    return f"""
+    a AS (SELECT *, list_position({_list(lx.CARD_WEIGHTS)}, category) AS place FROM card),
+    w AS (SELECT site, max(overall) AS overall,
+        coalesce(array_to_string((list(category ORDER BY score DESC, place) FILTER (score >= 85))[1:4], ', '), '') AS working,
+        coalesce(array_to_string((list(category ORDER BY score, place) FILTER (score < 70))[1:3], ', '), '') AS weak FROM a GROUP BY site),
+    i0 AS (SELECT DISTINCT site, {_CARD} AS category, CASE {hurt} END AS place FROM f WHERE deduction > 0 AND severity <> 'low'),
+    i AS (SELECT site, array_to_string((list(category ORDER BY place))[1:3], ', ') AS impacted FROM i0 GROUP BY site),
+    n AS (SELECT site, {counts} FROM ck GROUP BY site)
+    SELECT w.site, overall, CASE WHEN overall >= 85 THEN 'strong' WHEN overall >= 70 THEN 'fair' WHEN overall >= 50 THEN 'weak' ELSE 'poor' END AS band,
+           working, weak, coalesce(impacted, '') AS impacted, n.* EXCLUDE (site)
+    FROM w JOIN n ON n.site = w.site LEFT JOIN i ON i.site = w.site"""
+
+
+def _explained() -> str:
+    total = float(sum(lx.WEIGHTS.values()))
+    parts = " UNION ALL ".join(
+        f"SELECT au.site, '{k}' AS category, {w} AS weight, {i} AS i, CAST({_health('check_name', k)} AS INTEGER) AS health, CAST(count(code) FILTER (check_name = '{k}') AS INTEGER) AS findings, "
+        f"CAST(coalesce(sum(greatest(0, deduction)) FILTER (check_name = '{k}'), 0) AS INTEGER) AS deductions FROM au LEFT JOIN f ON f.site = au.site GROUP BY au.site"
+        for i, (k, w) in enumerate(lx.WEIGHTS.items())
+    )
+    return f"""
+    x AS (SELECT *, 100 - health AS opportunity, round_even((100 - health) * weight / {total}, 1) AS contribution FROM ({parts}))
+    SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY contribution DESC, i) AS INTEGER) AS place, category, weight, health, opportunity, contribution, findings, deductions FROM x"""
+
+
+def _audit_queries(prefix: str, f: str) -> dict[str, str]:
+    """SQL of all queries over findings, whatever they are found in."""
+    issues = ", ".join(f"max({c}) FILTER (rank = {i}) AS issue_{i}_{c}" for i in range(1, 6) for c in ("code", "category", "priority", "deduction"))
+    out = {
+        "findings_all": "SELECT site, seq, code, check_name, severity, deduction FROM f",
+        "findings_by_code": "SELECT check_name, code, count(*) AS sites, CAST(sum(deduction) AS BIGINT) AS points FROM f GROUP BY 1, 2",
+        "opportunity_score": f", {_OPP} SELECT *, {_TIER} AS tier FROM o",
+        "score_explanation": f", {_explained()}",
+        "top_problems": f", {_PROBLEMS} SELECT site, rank, code, category, severity, deduction, code IN {_in(lx.STRONG)} AS strong FROM t",
+        "top_priorities": f", {_PRIORITIES} SELECT site, rank, code, category, {_PRIORITY} AS priority, deduction FROM t",
+        "premium_scorecard": f", {_SCORES} SELECT * FROM card",
+        "check_results": f", {_check_rows()} SELECT * FROM ck",
+        "check_status_counts": f", {_check_rows()} SELECT site, status, count(*) AS n FROM ck GROUP BY 1, 2",
+        "severity_counts": "SELECT au.site, " + ", ".join(f"CAST(count(*) FILTER (severity = '{x}' AND deduction > 0) AS INTEGER) AS {x}" for x in ("high", "medium", "low")) + " FROM au LEFT JOIN f ON f.site = au.site GROUP BY au.site",
+        "executive_summary": f", {_SCORES}, {_check_rows()}, {_summary()}",
+        "lead_tiers": f""", {_OPP}, {_PROBLEMS}, q AS (SELECT site, count(*) AS problems, count(*) FILTER (code IN {_in(lx.STRONG)}) AS strong FROM t GROUP BY site),
+          r AS (SELECT o.site, score, coalesce(problems, 0) AS problems, coalesce(strong, 0) AS strong FROM o LEFT JOIN q ON q.site = o.site)
+          SELECT site, score, problems, strong, problems >= 3 AND (strong > 0 OR score >= 40) AS clear,
+          CASE WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN problems = 0 THEN 'D' ELSE 'C' END AS tier FROM r""",
+        "export_issue_columns": f", {_PRIORITIES}, p AS (SELECT *, {_PRIORITY} AS priority FROM t) SELECT au.site, {issues} FROM au LEFT JOIN p ON p.site = au.site GROUP BY au.site",
+    }
+    return {prefix + k: f"WITH {f} {v}" for k, v in out.items()}
+
+
 _EMAIL = "[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}[.])+[A-Za-z]{2,24}"
 _MAILS = f"m AS (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '{_EMAIL}'))) AS email FROM documents), g AS (SELECT doc_id, email, count(*) AS n FROM m GROUP BY 1, 2)"
 
@@ -294,33 +361,8 @@ ORACLES = {
     "page_head_facts": f"SELECT page_id, {_TITLE} AS title, regexp_extract(html, '(?i)<html[^>]*\\blang=\"([^\"]*)\"', 1) AS lang, CAST(len({_heads(1)}) AS INTEGER) AS h1, CAST(len({_HREFS}) AS INTEGER) AS links FROM pages",
     "page_text_stats": f"SELECT page_id, CAST(length(t) AS INTEGER) AS chars, CAST(len(regexp_extract_all(t, '[^ ]+')) AS INTEGER) AS words, md5(t) AS digest FROM (SELECT page_id, {_TEXT} AS t FROM pages)",
     "duplicate_titles": f"SELECT site, title, count(*) AS n FROM (SELECT {_SITE} AS site, lower({_TITLE}) AS title FROM pages) WHERE title <> '' GROUP BY 1, 2 HAVING count(*) > 1",
-    "frontier_plan": f"""WITH l AS (SELECT site, lower(regexp_extract(base, '^([A-Za-z]+://[^/?#]+)', 1)) || href AS url, text, ord AS depth, pos FROM ({_LINKS})),
-      k AS (SELECT site, url, {_key('url')} AS key, {_type('url', 'text')} AS type, depth, pos FROM l),
-      o AS (SELECT site, key, type, min(depth * 100000 + pos) AS dp FROM k GROUP BY 1, 2, 3),
-      t AS (SELECT *, row_number() OVER (PARTITION BY site, type ORDER BY dp, key) AS n FROM o),
-      r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY coalesce(map_extract_value(MAP {{{', '.join(f"'{a}': {b}" for a, b in lx.PAGE_PRIORITY.items())}}}, type), 20), dp, key) AS rank FROM t WHERE n = 1 OR type = 'other')
-      SELECT site, key, type, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12""",
-    "findings_all": f"WITH {_F} SELECT site, seq, code, check_name, severity, deduction FROM f",
-    "findings_by_code": f"WITH {_F} SELECT check_name, code, count(*) AS sites, CAST(sum(deduction) AS BIGINT) AS points FROM f GROUP BY 1, 2",
-    "opportunity_score": f"WITH {_F}, {_OPP} SELECT *, {_TIER} AS tier FROM o",
-    "score_explanation": f"WITH {_F}, {_OPP} SELECT site, unnest({_list(lx.WEIGHTS)}) AS category, unnest([{', '.join(f'(100 - {k}) * {w}' for k, w in lx.WEIGHTS.items())}]) AS points FROM o",
-    "top_problems": f"WITH {_F}, {_PROBLEMS} SELECT site, rank, code, category, severity, deduction, code IN {_in(STRONG)} AS strong FROM t",
-    "top_priorities": f"WITH {_F}, {_PRIORITIES} SELECT site, rank, code, category, {_PRIORITY} AS priority, deduction FROM t",
-    "premium_scorecard": f"WITH {_F}, {_SCORES} SELECT site, category, score, overall FROM card",
-    "check_results": f"WITH {_F}, {_check_rows()} SELECT * FROM ck",
-    "check_status_counts": f"WITH {_F}, {_check_rows()} SELECT site, status, count(*) AS n FROM ck GROUP BY 1, 2",
-    "executive_summary": f"""WITH {_F}, {_SCORES}, a AS (SELECT *, list_position({_list(lx.CARD_WEIGHTS)}, category) AS place FROM card)
-      SELECT site, max(overall) AS overall, CASE WHEN max(overall) >= 85 THEN 'strong' WHEN max(overall) >= 70 THEN 'fair' WHEN max(overall) >= 50 THEN 'weak' ELSE 'poor' END AS band,
-        coalesce(array_to_string((list(category ORDER BY score DESC, place) FILTER (score >= 85))[1:4], ', '), '') AS working,
-        coalesce(array_to_string((list(category ORDER BY score, place) FILTER (score < 70))[1:3], ', '), '') AS weak FROM a GROUP BY site""",
-    "lead_tiers": f"""WITH {_F}, {_OPP}, {_PROBLEMS}, s AS (SELECT site, count(*) AS problems, count(*) FILTER (code IN {_in(STRONG)}) AS strong FROM t GROUP BY site)
-      SELECT o.site, score, problems, strong, problems >= 3 AND (strong > 0 OR score >= 40) AS clear,
-        CASE WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN problems = 0 THEN 'D' ELSE 'C' END AS tier FROM o JOIN s USING (site)""",
-    "export_issue_columns": f"WITH {_F}, {_PRIORITIES}, p AS (SELECT *, {_PRIORITY} AS priority FROM t) SELECT site, "
-    + ", ".join(f"max({c}) FILTER (rank = {i}) AS issue_{i}_{c}" for i in range(1, 6) for c in ("code", "category", "priority", "deduction"))
-    + " FROM p GROUP BY site",
     "email_scan": f"WITH {_MAILS} SELECT doc_id, email, n FROM g",
-    "email_rank": f"WITH {_MAILS} SELECT doc_id, email, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(list_position({_list(PREFERRED)}, split_part(email, '@', 1)), {len(PREFERRED) + 1}), n DESC, email) AS INTEGER) AS rank FROM g",
+    "email_rank": f"WITH {_MAILS} SELECT doc_id, email, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(list_position({_list(lx.PREFERRED)}, split_part(email, '@', 1)), {len(lx.PREFERRED) + 1}), n DESC, email) AS INTEGER) AS rank FROM g",
     "phone_scan": "SELECT doc_id, raw, '+' || regexp_replace(raw, '[^0-9]', '', 'g') AS e164, substr(regexp_replace(raw, '[^0-9]', '', 'g'), 2, 10) AS national FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}'))) AS raw FROM documents)",
     "candidate_domains": "SELECT c_custkey, u.url, CAST(u.pos AS INTEGER) AS pos FROM (SELECT c_custkey, list_distinct_keep AS l FROM (SELECT c_custkey, ['https://' || b || '.com', 'https://' || b || '.net', 'https://' || d || '.com', 'https://' || d || '.net'] AS list_distinct_keep FROM (SELECT c_custkey, replace(lower(c_name), '#', '') AS b, replace(lower(c_name), '#', '-') AS d FROM customer))), unnest(l) WITH ORDINALITY AS u(url, pos)",
     "dedup_keep_first": f"SELECT page_id, CASE WHEN min(page_id) OVER (PARTITION BY key) <> page_id THEN min(page_id) OVER (PARTITION BY key) END AS duplicate_of FROM (SELECT page_id, {_SITE} AS key FROM pages)",
@@ -343,3 +385,25 @@ ORACLES = {
     "channel_choice": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'whatsapp' WHEN c_custkey % 3 = 0 THEN 'email' WHEN c_custkey % 5 = 0 THEN 'linkedin' WHEN c_custkey % 2 = 0 THEN 'call' ELSE 'none' END AS channel FROM customer",
     "replace_by_key": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT c_custkey, c_custkey, 'new' FROM customer WHERE c_mktsegment = 'BUILDING'",
 }
+ORACLES |= _audit_queries("", _F) | _audit_queries("made_up_", _X)
+
+_GRAPH = f"""l AS (SELECT page_id, {_SITE} AS site, {_key(_normal('url'))} AS page_key, href, text, pos, lower(regexp_extract(base, '^([A-Za-z]+://[^/?#]+)', 1)) || href AS url
+         FROM (SELECT page_id, base AS url, base, href, text, pos FROM ({_ALL_LINKS}))),
+  g AS (SELECT site, page_id, page_key, pos, {_key('url')} AS key, {_type('url', 'text')} AS type FROM l
+        WHERE NOT regexp_matches(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '[.](pdf|jpg|jpeg|png|gif|svg|webp|ico|zip|rar|mp4|mp3|avi|mov|docx?|xlsx?|pptx?|css|js|json|xml|woff2?|ttf|eot|dmg|exe)$')
+          AND NOT {_words('lower(url)', lx.SKIP_PARTS)})"""
+_PRIO = f"coalesce(map_extract_value(MAP {{{', '.join(f"'{a}': {b}" for a, b in lx.PAGE_PRIORITY.items())}}}, type), 20)"
+ORACLES["frontier_plan"] = f"""WITH {_GRAPH},
+  h AS (SELECT site, min_by(page_key, page_id) AS key FROM g GROUP BY site),
+  a AS (SELECT g.site, g.key, type, 1 AS depth, min(lpad(CAST(pos AS VARCHAR), 9, '0') || '/') AS found FROM g JOIN h ON h.site = g.site AND h.key = g.page_key GROUP BY 1, 2, 3),
+  a1 AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.site = a.site AND h.key = a.key) QUALIFY row_number() OVER (PARTITION BY site, key ORDER BY found) = 1),
+  b AS (SELECT g.site, g.key, g.type, 2 AS depth, min(a1.found || lpad(CAST(pos AS VARCHAR), 9, '0') || '/') AS found FROM g JOIN a1 ON a1.site = g.site AND a1.key = g.page_key WHERE g.type NOT IN ('other', 'blog') GROUP BY 1, 2, 3),
+  b1 AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.site = b.site AND h.key = b.key) AND NOT EXISTS (SELECT 1 FROM a1 WHERE a1.site = b.site AND a1.key = b.key)
+         QUALIFY row_number() OVER (PARTITION BY site, key ORDER BY found) = 1),
+  t AS (SELECT *, row_number() OVER (PARTITION BY site, type ORDER BY depth, found, key) AS n FROM (SELECT * FROM a1 UNION ALL SELECT * FROM b1) WHERE type <> 'homepage'),
+  r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {_PRIO}, depth, found, key) AS rank FROM t WHERE n = 1 OR type = 'other')
+  SELECT site, key, type, depth, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 12"""
+ORACLES["link_check_sample"] = f"""WITH {_GRAPH}, o AS (SELECT site, key, min((page_id, pos)) AS m FROM g GROUP BY 1, 2),
+  c AS (SELECT {_SITE} AS site, {_key(_normal('url'))} AS key FROM pages),
+  s AS (SELECT site, key, m[1] AS page_id, m[2] AS pos, CAST(row_number() OVER (PARTITION BY site ORDER BY m[1], m[2], key) AS INTEGER) AS n FROM o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.site = o.site AND c.key = o.key))
+  SELECT * FROM s WHERE n <= 12"""

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
 from auditloom.functions import text, urls
-from auditloom.operators import contacts, leads, pages, rules, scoring
-from auditloom.sources.tables import crawl_set, replace_by_key, table
+from auditloom.operators import contacts, frontier, leads, pages, rules, scoring
+from auditloom.plans import fixture
+from auditloom.sources.tables import replace_by_key, table
 from auditloom.streaming import events as feed
 
 QUERIES = {}
@@ -19,17 +20,14 @@ def query(f):
     return f
 
 
-def _findings(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.findings(rules.facts(pages.parse(crawl_set(table(spark, sf, "pages")))))
+def _audits(spark: SparkSession, sf: str) -> DataFrame:
+    """The audits of all sites, over all their pages."""
+    sites = table(spark, sf, "pages").withColumn("site", urls.site_key(F.col("url")))
+    return rules.audit(rules.facts(pages.parse(sites)))
 
 
-def _links(p: DataFrame) -> DataFrame:
-    """The links of pages, by position, with the address that each leads to."""
-    anchors = F.regexp_extract_all("html", F.lit(r"(?is)<a[^>]*>(.*?)</a>"), F.lit(1))
-    both = F.arrays_zip(pages.hrefs(F.col("html")).alias("href"), F.transform(anchors, pages._flat).alias("text"))
-    rows = p.withColumnRenamed("url", "base").select(*[c if c != "url" else "base" for c in p.columns if c != "html"], F.posexplode(both).alias("at", "x"))
-    rows = rows.withColumn("pos", F.col("at") + 1).select("*", "x.href", "x.text").drop("at", "x")
-    return rows.withColumn("target", urls.absolutize(F.col("base"), F.col("href")))
+def _made_up(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.audit(rules.facts(pages.parse(fixture.sites(spark, sf)), fixture.meta(spark, sf)))
 
 
 @query
@@ -51,7 +49,8 @@ def registrable_domains(spark, sf):
 
 @query
 def page_links(spark, sf):
-    return _links(table(spark, sf, "pages")).select("page_id", "pos", "href", "target", urls.classify_page(F.col("target"), F.col("text")).alias("page_type"))
+    rows = frontier.links(pages.parse(table(spark, sf, "pages")))
+    return rows.select("page_id", "pos", "href", "target", urls.classify_page(F.col("target"), F.col("text")).alias("page_type"))
 
 
 @query
@@ -80,80 +79,65 @@ def duplicate_titles(spark, sf):
     return p.filter("title <> ''").groupBy("site", "title").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query
-def frontier_plan(spark, sf):
-    t = F.col("target")
-    l = _links(crawl_set(table(spark, sf, "pages"))).filter(urls.is_crawlable(t) & ~urls.should_skip(t)).select(
-        "site", t.alias("url"), urls.url_key(t).alias("key"), urls.classify_page(t, F.col("text")).alias("type"), F.col("ord").alias("depth"), "pos"
-    )
-    rank = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in lx.PAGE_PRIORITY.items() for x in (F.lit(k), F.lit(v))]), F.col("type")), F.lit(20))
-    return contacts.frontier(l, rank).select("site", "key", "type", "rank")
-
-
-@query
-def findings_all(spark, sf):
-    return _findings(spark, sf).select("site", "seq", "code", F.col("check").alias("check_name"), "severity", "deduction")
-
-
-@query
-def findings_by_code(spark, sf):
-    return _findings(spark, sf).groupBy(F.col("check").alias("check_name"), "code").agg(F.count(F.lit(1)).alias("sites"), F.sum("deduction").alias("points"))
-
-
-@query
-def opportunity_score(spark, sf):
-    return scoring.opportunity(_findings(spark, sf))
-
-
-@query
-def score_explanation(spark, sf):
-    return scoring.explanation(scoring.opportunity(_findings(spark, sf))).select("site", "category", "points")
+def _graph(spark, sf):
+    sites = table(spark, sf, "pages").withColumn("site", urls.site_key(F.col("url")))
+    return frontier.edges(frontier.links(pages.parse(sites)))
 
 
 @query
-def top_problems(spark, sf):
-    return scoring.top_problems(_findings(spark, sf))
+def frontier_plan(spark, sf):
+    return frontier.frontier(_graph(spark, sf)).select("site", "key", "type", "depth", "rank")
 
 
 @query
-def top_priorities(spark, sf):
-    return scoring.top_priorities(_findings(spark, sf))
+def link_check_sample(spark, sf):
+    """The links to check, where every page of the table counts as crawled."""
+    sites = table(spark, sf, "pages").select(urls.site_key(F.col("url")).alias("site"), urls.url_key(urls.normalize_url(F.col("url"))).alias("key"))
+    return frontier.link_sample(_graph(spark, sf), sites).select("site", "key", "page_id", "pos", "n")
 
 
-@query
-def premium_scorecard(spark, sf):
-    return scoring.scorecard(_findings(spark, sf))
+def findings_all(audits):
+    return rules.findings(audits).select("site", "seq", "code", F.col("check").alias("check_name"), "severity", "deduction")
 
 
-@query
-def check_results(spark, sf):
-    return scoring.check_results(_findings(spark, sf))
+def findings_by_code(audits):
+    return rules.findings(audits).groupBy(F.col("check").alias("check_name"), "code").agg(F.count(F.lit(1)).alias("sites"), F.sum("deduction").alias("points"))
 
 
-@query
-def check_status_counts(spark, sf):
-    return scoring.check_results(_findings(spark, sf)).groupBy("site", "status").agg(F.count(F.lit(1)).alias("n"))
+def lead_tiers(audits):
+    """Tiers of leads whose site was reached and for which no contact is usable; a site without problems has zeros."""
+    p = scoring.top_problems(audits).groupBy("site").agg(F.count(F.lit(1)).alias("problems"), F.count_if("strong").alias("strong"))
+    c, no, zero = F.col, F.lit(False), F.lit(0).cast("long")
+    rows = scoring.opportunity(audits).join(p, "site", "left").select("site", "score", F.coalesce("problems", zero).alias("problems"), F.coalesce("strong", zero).alias("strong"))
+    return rows.select(
+        "*", scoring.clear_opportunity(c("score"), c("problems"), c("strong")).alias("clear"),
+        scoring.lead_tier(c("score"), no, c("strong"), c("problems"), F.lit(True), no, F.lit(None).cast("boolean")).alias("tier"),
+    )
 
 
-@query
-def executive_summary(spark, sf):
-    return scoring.executive_summary(scoring.scorecard(_findings(spark, sf)))
+#: Queries over audits: of the sites in pages, and as made_up_... of sites for which every rule is in reach.
+_AUDIT = {
+    "findings_all": findings_all,
+    "findings_by_code": findings_by_code,
+    "opportunity_score": scoring.opportunity,
+    "score_explanation": scoring.explanation,
+    "top_problems": lambda a: scoring.top_problems(a).drop("evidence"),
+    "top_priorities": lambda a: scoring.top_priorities(a).drop("evidence", "severity"),
+    "premium_scorecard": scoring.scorecard,
+    "check_results": scoring.check_results,
+    "check_status_counts": lambda a: scoring.check_results(a).groupBy("site", "status").agg(F.count(F.lit(1)).alias("n")),
+    "severity_counts": scoring.severity_counts,
+    "executive_summary": scoring.executive_summary,
+    "lead_tiers": lead_tiers,
+    "export_issue_columns": lambda a: scoring.issue_columns(a),
+}
 
 
-@query
-def lead_tiers(spark, sf):
-    f = _findings(spark, sf)
-    p = scoring.top_problems(f).groupBy("site").agg(F.count(F.lit(1)).alias("problems"), F.count_if("strong").alias("strong"))
-    c, no = F.col, F.lit(False)
-    return scoring.opportunity(f).join(p, "site").select(
-        "site", "score", "problems", "strong", scoring.clear_opportunity(c("score"), c("problems"), c("strong")).alias("clear"),
-        scoring.lead_tier(c("score"), no, c("strong"), c("problems"), F.lit(True), no, F.lit(None).cast("boolean")).alias("tier"),
-    )
+def _over(audits, f):
+    return lambda spark, sf: f(audits(spark, sf))
 
 
-@query
-def export_issue_columns(spark, sf):
-    return scoring.issue_columns(scoring.top_priorities(_findings(spark, sf)))
+QUERIES |= {prefix + name: _over(audits, f) for prefix, audits in (("", _audits), ("made_up_", _made_up)) for name, f in _AUDIT.items()}
 
 
 @query

@@ -1,31 +1,14 @@
-"""Tables as Parquet files, and pages dealt to sites."""
+"""Tables as Parquet files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from auditloom.functions import urls
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def crawl_set(pages: DataFrame, max_pages: int = 12) -> DataFrame:
-    """pages (page_id, url, html) with site and ord: each site's first max_pages pages in crawl order.
-
-    max_pages is the crawl budget of an audit. The rank limit is taken before the shuffle, too, so
-    a site with most of the pages sends max_pages rows from each task.
-    """
-    order = Window.partitionBy("site").orderBy("page_id")
-    return (
-        pages.withColumn("site", urls.site_key(F.col("url")))
-        .withColumn("ord", F.row_number().over(order))
-        .filter(F.col("ord") <= max_pages)
-    )
-
-
 def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old without the keys of new, and new: what a replacing write leaves."""
+    """old without the keys of new, and new: what a replacing write leaves. A null key matches none and stays."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
