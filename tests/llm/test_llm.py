@@ -154,7 +154,10 @@ def _weights(docs):
     return {i: {s: c * idf(s) for s, c in x.items()} for i, x in sets.items()}
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("block", [near_dedup._BLOCK, 2])
+def test_near_duplicates_against_brute_force(spark, block, monkeypatch):
+    """With blocks of two rows, every key is a hot one and is split."""
+    monkeypatch.setattr(near_dedup, "_BLOCK", block)
     r = random.Random(5)
     base = [[f"v{r.randrange(4000)}" for _ in range(r.randrange(60, 160))] for _ in range(60)]
     docs = []
@@ -187,8 +190,10 @@ def test_near_duplicates_against_brute_force(spark):
     assert sum(x["kept"] for x in out.values()) == len({x["class_id"] for x in out.values()})
 
 
-def test_prefix_filter_finds_all_across_components(spark):
-    """Texts that meet in no band are joined by the filter alone if they are alike."""
+@pytest.mark.parametrize("block", [near_dedup._BLOCK, 2])
+def test_prefix_filter_finds_all_across_components(spark, block, monkeypatch):
+    """Texts that meet in no band are joined by the filter alone if they are alike, also where a shingle is hot."""
+    monkeypatch.setattr(near_dedup, "_BLOCK", block)
     r = random.Random(7)
     b = [f"v{i}" for i in range(100)]
     docs = [(bytes([k]), " ".join(b if k == 0 else b[:at] + [f"n{k}"] + b[at + 1 :])) for k in range(12) for at in [r.randrange(10, 90)]]
