@@ -22,32 +22,66 @@ def sitemap_of(robots: Column) -> Column:
     return F.nullif(F.regexp_extract(robots, r"(?im)^\s*sitemap:\s*(\S+)", 1), F.lit(""))
 
 
-def identity(name: Column, domain: Column, title: Column, body: Column, phone: Column, postal: Column, city: Column) -> Column:
+def identity(
+    name: Column, domain: Column, title: Column, body: Column, phone: Column, postal: Column, city: Column,
+    address: Column | None = None, category: Column | None = None,
+) -> Column:
     """How sure a page is the named business's, 0 to 1 in thousandths: evidence adds up and is capped at 1."""
-    words = urls.distinctive_tokens(name)
-    core = F.regexp_replace(F.substring_index(domain, ".", 1), "[^a-z0-9]", "")
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    t, b = low(title), low(body)
-    share = lambda where: F.size(F.filter(words, lambda w: F.contains(where, w))) / F.greatest(F.size(words), F.lit(1))
-    long = F.filter(words, lambda w: F.length(w) >= 4)
-    hits = F.size(F.filter(long, lambda w: F.contains(core, w)))
-    initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-    full = F.array_join(words, "")
-    digits = F.regexp_replace(F.coalesce(phone, F.lit("")), "[^0-9]", "")
-    in_domain = (
-        F.when((full != "") & F.contains(core, full), 0.45).when(hits > 0, 0.34 * hits / F.greatest(F.size(long), F.lit(1)))
-        .when((F.size(words) >= 3) & F.contains(core, initials), 0.16).otherwise(0.0)
+    low = lambda c: F.lower(F.coalesce(c, F.lit(""))) if c is not None else F.lit("")
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    read = F.struct(
+        urls.distinctive_tokens(name).alias("words"), F.regexp_replace(F.substring_index(domain, ".", 1), "[^a-z0-9]", "").alias("core"), low(title).alias("title"), low(body).alias("body"),
+        F.right(digits(F.coalesce(phone, F.lit(""))), F.lit(9)).alias("tail"), F.replace(F.trim(low(postal)), F.lit(" "), F.lit("")).alias("postal"), F.length(F.trim(low(postal))).alias("postal_size"),
+        low(city).alias("city"), F.slice(F.filter(F.split(F.regexp_replace(low(address), "[^a-z0-9 ]", " "), r"\s+"), lambda w: F.length(w) > 3), 1, 4).alias("street"),
+        F.filter(F.split(low(category), "[^a-z]+"), lambda w: F.length(w) > 3).alias("kinds"),
     )
-    in_title = F.when(share(t) >= 0.6, 0.22).when(share(t) > 0, 0.1).otherwise(0.0)
-    in_body = F.when(share(b) >= 1, 0.14).when(share(b) > 0, 0.07).otherwise(0.0)
-    called = F.when((F.length(digits) >= 7) & F.contains(F.regexp_replace(b, "[^0-9]", ""), F.right(digits, F.lit(9))), 0.28).otherwise(0.0)
-    at = F.when((low(postal) != "") & F.contains(b, low(postal)), 0.12).otherwise(0.0)
-    in_city = F.when((low(city) != "") & F.contains(b, low(city)), 0.08).otherwise(0.0)
-    return F.bround(F.least(F.lit(1.0), in_domain + in_title + in_body + called + at + in_city), 3)
+
+    def judged(p: Column) -> Column:
+        words, core, t, b = p["words"], p["core"], p["title"], p["body"]
+        n = F.size(words)
+        share = lambda where: F.size(F.filter(words, lambda w: F.contains(where, w))) / F.greatest(n, F.lit(1))
+        hits = F.size(F.filter(words, lambda w: (F.length(w) >= 4) & F.contains(core, w)))
+        full, initials = F.array_join(words, ""), F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+        in_domain = (
+            F.when((full != "") & F.contains(core, full), 0.45).when((core != "") & (hits > 0), 0.34 * hits / F.greatest(n, F.lit(1)))
+            .when((n >= 3) & (core != "") & F.contains(core, initials), 0.16).otherwise(0.0)
+        )
+        in_title = F.when((n > 0) & (share(t) >= 0.6), 0.22).when((n > 0) & (share(t) > 0), 0.1).otherwise(0.0)
+        in_body = F.when((n > 0) & (b != "") & (share(b) >= 1), 0.14).when((n > 0) & (share(b) > 0), 0.07).otherwise(0.0)
+        called = F.when((F.length(p["tail"]) >= 7) & F.contains(digits(b), p["tail"]), 0.28).otherwise(0.0)
+        at = F.when((p["postal_size"] >= 4) & F.contains(F.replace(b, F.lit(" "), F.lit("")), p["postal"]), 0.12).otherwise(0.0)
+        in_city = F.when((F.length(p["city"]) > 2) & F.contains(b, p["city"]), 0.08).otherwise(0.0)
+        streets = F.size(F.filter(p["street"], lambda w: F.contains(b, w)))
+        on_street = F.when((F.size(p["street"]) > 0) & (streets >= F.greatest(F.lit(2), F.size(p["street"]) - 1)), 0.1).otherwise(0.0)
+        of_kind = F.when(F.exists(p["kinds"], lambda w: F.contains(b, w)), 0.05).otherwise(0.0)
+        return F.round(F.least(F.lit(1.0), in_domain + in_title + in_body + called + at + in_city + on_street + of_kind), 3)
+
+    return text.let(read, judged)
 
 
 def verdict(confidence: Column) -> Column:
-    return F.when(confidence >= 0.8, "strong").when(confidence >= 0.55, "probable").when(confidence >= 0.3, "weak").otherwise("no_match")
+    return F.when(confidence >= 0.8, "strong_match").when(confidence >= 0.55, "probable_match").when(confidence >= 0.3, "weak_match").otherwise("no_match")
+
+
+def direct(raw: Column, final_url: Column, error: Column) -> Column:
+    """struct(status, confidence, verdict) of an address that the user names: it is the site, so only what became of it counts."""
+    status = website_status(raw, final_url, error, F.lit(1.0))
+    ok = status.isin("valid", "redirected")
+    return F.struct(status.alias("status"), F.when(ok, 1.0).alias("confidence"), F.when(ok, "explicit_url").alias("verdict"))
+
+
+#: Wordings of pages on domains that nobody uses, in own choice.
+PARKED = {
+    "domain is for sale": "for sale", "buy this domain": "for sale", "domain parking": "parked", "parked free": "parked", "this domain is parked": "parked",
+    "coming soon": "not built yet", "under construction": "not built yet", "default web page": "server default", "welcome to nginx": "server default", "account suspended": "suspended",
+}
+
+
+def parked(body: Column) -> Column:
+    """The signs that a page is parked, as an array of notes: wordings, and a text under 200 characters."""
+    low = F.lower(F.coalesce(body, F.lit("")))
+    notes = [F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in PARKED.items()]
+    return F.array_distinct(F.array_compact(F.array(*notes, F.when(F.length(F.trim(low)) < 200, F.lit("short")))))
 
 
 def website_status(raw: Column, final_url: Column, error: Column, confidence: Column) -> Column:

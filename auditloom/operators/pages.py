@@ -30,7 +30,7 @@ FIELDS = {
     "iframes": "array<string>", "jsonld": "array<string>", "blocks": f"array<{BLOCK}>", "schema_types": "array<string>",
     "og": "map<string,string>", "twitter": "map<string,string>", "hreflang": "array<string>", "has_main": "boolean", "has_nav": "boolean",
     "has_skip": "boolean", "header": "string", "footer": "string", "fold": "string", "has_plugin": "boolean",
-    "has_menu": "boolean", "has_platform": "boolean", "attr_widths": "array<int>", "noscript_only": "boolean",
+    "names": "array<string>", "has_menu": "boolean", "has_platform": "boolean", "attr_widths": "array<int>", "noscript_only": "boolean",
 }
 
 # --- fixed values: what links, menus, plugins and widths are told by
@@ -48,6 +48,16 @@ def _clean(text: str, limit: int | None = None) -> str:
     return " ".join(text.split())[:limit]
 
 
+_LABEL, _NAME = re.compile(lx.NAME_LABEL), re.compile(lx.NAME)
+
+
+def _names(headings: list[str], text: str) -> list[str]:
+    """The first five names of two capitalised words in headings and within 90 characters of a word for a role."""
+    near = [text[max(0, m.start() - 90) : m.end() + 90] for m in _LABEL.finditer(text)]
+    pairs = [m.groups() for w in headings + near for m in _NAME.finditer(w)]
+    return [f"{a} {b}" for a, b in pairs if a.lower() not in lx.NO_NAMES and b.lower() not in lx.NO_NAMES][:5]
+
+
 class _Reader(HTMLParser):
     """Collects a page record from the events of one document."""
 
@@ -275,6 +285,7 @@ class _Reader(HTMLParser):
         r["attr_widths"] = [int(x) for x in _ATTR_WIDTH.findall(part)]
         low = html.lower()
         r["has_platform"] = any(p in low for p in lx.BOOKING_PLATFORMS)
+        r["names"] = _names(r["h2"] + r["h3"], r["text"])
         r["noscript_only"] = r["words"] < 30 and len(r["scripts"]) > 3
         return r | {"og": list(r["og"].items()), "twitter": list(r["twitter"].items())}
 

@@ -97,3 +97,12 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN k % 7 <> 2 THEN int(k % 6) END AS broken", f"CASE WHEN k % 11 > 1 THEN map_from_entries(array_compact(array({pairs}))) END AS headers",
         "CASE WHEN k % 2 = 1 THEN int(k * 13 % 100) END AS pagespeed", "int(k % 2) AS emails",
     )
+
+
+def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (domain, mx, has_a, error): lookups of the sites' domains."""
+    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    return k.selectExpr(
+        "concat('site', k, '.test') AS domain", "CASE WHEN k % 5 < 2 THEN array('mx1.test') ELSE cast(array() AS array<string>) END AS mx", "k % 5 = 2 AS has_a",
+        "CASE k % 5 WHEN 3 THEN 'nxdomain' WHEN 4 THEN 'timeout' END AS error",
+    )

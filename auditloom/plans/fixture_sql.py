@@ -111,3 +111,23 @@ s0 AS (
 ), f AS (
   SELECT site, local_applies, f.seq AS seq, f.code AS code, f.check_name AS check_name, f.severity AS severity, f.deduction AS deduction FROM f0
 )"""
+#: Addresses of the made-up sites: on contact pages, in footers (twice, once written out) and in structured data.
+EMAILS = """
+e AS (
+  SELECT c_custkey AS k, 'site' || c_custkey || '.test' AS site FROM customer
+), found AS (
+  SELECT site, k, 'office@' || site AS email, '/contact' AS path, 'mailto' AS source_type, 'contact' AS page_type, 0.99 AS confidence, TRUE AS is_role, TRUE AS own_domain, 7 AS place FROM e WHERE k % 4 = 0
+  UNION ALL SELECT site, k, 'info@' || site, '/', 'footer', 'homepage', round((0.5 + 0.25 * 0.9) * (0.6 + 0.4 * 0.92) + 0.28, 3), TRUE, TRUE, 0 FROM e WHERE k % 8 = 6
+  UNION ALL SELECT site, k, 'jane@' || site, '/', 'footer', 'homepage', round((0.5 + 0.25 * 0.9) * (0.6 + 0.4 * 0.92) + 0.22, 3), FALSE, TRUE, 19 FROM e WHERE k % 8 = 6
+  UNION ALL SELECT site, k, 'info@roofs-ltd.test', '/', 'jsonld', 'homepage', round((0.5 + 0.25 * 0.95) * (0.6 + 0.4 * 0.92) + 0.06, 3), TRUE, FALSE, 0 FROM e WHERE k % 8 = 1
+)"""
+CONTACTS = """
+SELECT site, CASE WHEN tel THEN '+14155550100' ELSE '' END AS tel, CASE WHEN chat THEN 'https://wa.me/4915112345' || k ELSE '' END AS whatsapp,
+       CASE WHEN chat THEN '4915112345' || k ELSE '' END AS whatsapp_numbers,
+       CASE WHEN k % 10 < 5 THEN 'https://www.facebook.com/x' || k ELSE '' END || CASE WHEN k % 10 < 5 AND about THEN '|' ELSE '' END
+         || CASE WHEN about THEN 'https://www.linkedin.com/company/roofs?x=1' ELSE '' END AS social,
+       CASE WHEN about THEN 'https://www.linkedin.com/company/roofs' ELSE '' END AS linkedin,
+       CASE WHEN k % 5 = 0 THEN CASE WHEN k % 7 = 0 THEN 'http' ELSE 'https' END || '://' || site || '/' ELSE '' END AS forms,
+       CASE WHEN about THEN 'Mary Jones|John Smith' ELSE '' END AS names
+FROM (SELECT c_custkey AS k, 'site' || c_custkey || '.test' AS site, c_custkey % 3 = 0 OR c_custkey % 6 = 4 AS tel, c_custkey % 4 = 0 AS chat, c_custkey % 3 <> 1 AS about FROM customer)
+WHERE tel OR chat OR k % 10 < 5 OR about OR k % 5 = 0"""

@@ -350,8 +350,22 @@ def _audit_queries(prefix: str, f: str) -> dict[str, str]:
     return {prefix + k: f"WITH {f} {v}" for k, v in out.items()}
 
 
-_EMAIL = "[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}[.])+[A-Za-z]{2,24}"
-_MAILS = f"m AS (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '{_EMAIL}'))) AS email FROM documents), g AS (SELECT doc_id, email, count(*) AS n FROM m GROUP BY 1, 2)"
+_LOCAL = "[A-Za-z0-9._%+-]"
+_LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+_PLAIN = f"(?:^|[^A-Za-z0-9._%+-])({_LOCAL}{{1,64}})@({_LABEL}(?:[.]{_LABEL})+)"
+_AT = "\\s*(?:\\[at\\]|\\(at\\)|\\{at\\}|\\s+at\\s+|&#64;|%40)\\s*"
+_DOT = "(?:\\s*(?:\\[dot\\]|\\(dot\\)|\\{dot\\})\\s*|\\s+dot\\s+|\\.)"
+_HIDDEN = f"(?i)({_LOCAL}{{1,64}}){_AT}((?:[a-z0-9-]{{1,63}}{_DOT})+[a-z]{{2,24}})"
+_MAILS = f"""
+  c AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_PLAIN}', 1)) AS l, unnest(regexp_extract_all(t, '{_PLAIN}', 2)) AS d FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '{_HIDDEN}', 1)), regexp_replace(unnest(regexp_extract_all(t, '{_HIDDEN}', 2)), '{_DOT}', '.', 'gi') FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+  m AS (SELECT doc_id, lower(regexp_replace(trim(l, '.'), '^-+', '')) AS l, lower(trim(d, '.')) AS d FROM c),
+  g AS (SELECT doc_id, l || '@' || d AS email, count(*) AS n FROM m
+        WHERE l <> '' AND l NOT IN {_in(lx.JUNK_LOCALS)} AND NOT regexp_matches(l, '^({'|'.join(lx.JUNK_PREFIXES)})') AND NOT regexp_matches(l, '^[0-9a-f]{{16,}}$')
+          AND NOT regexp_matches(d, '(^|[.])({'|'.join(x.replace('.', '[.]') for x in lx.JUNK_DOMAINS if not x.startswith('example.'))})$')
+          AND split_part(d, '.', -1) NOT IN {_in(lx.FILE_ENDINGS)} AND NOT regexp_matches(d, '[.]([0-9]+|.)$')
+        GROUP BY 1, 2)"""
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY site ORDER BY NOT own_domain, place, confidence DESC, email) AS rank FROM found"
 
 ORACLES = {
     "url_normalize": f"SELECT page_id, {_normal('url')} AS normal, {_SITE} AS site FROM pages",
@@ -362,8 +376,18 @@ ORACLES = {
     "page_text_stats": f"SELECT page_id, CAST(length(t) AS INTEGER) AS chars, CAST(len(regexp_extract_all(t, '[^ ]+')) AS INTEGER) AS words, md5(t) AS digest FROM (SELECT page_id, {_TEXT} AS t FROM pages)",
     "duplicate_titles": f"SELECT site, title, count(*) AS n FROM (SELECT {_SITE} AS site, lower({_TITLE}) AS title FROM pages) WHERE title <> '' GROUP BY 1, 2 HAVING count(*) > 1",
     "email_scan": f"WITH {_MAILS} SELECT doc_id, email, n FROM g",
-    "email_rank": f"WITH {_MAILS} SELECT doc_id, email, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(list_position({_list(lx.PREFERRED)}, split_part(email, '@', 1)), {len(lx.PREFERRED) + 1}), n DESC, email) AS INTEGER) AS rank FROM g",
-    "phone_scan": "SELECT doc_id, raw, '+' || regexp_replace(raw, '[^0-9]', '', 'g') AS e164, substr(regexp_replace(raw, '[^0-9]', '', 'g'), 2, 10) AS national FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}'))) AS raw FROM documents)",
+    "email_rank": f"""WITH {_MAILS} SELECT doc_id, email, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(list_position({_list(lx.PREFERRED)}, split_part(email, '@', 1)),
+      CASE WHEN split_part(email, '@', 1) IN {_in(lx.ROLES)} THEN 19 ELSE 20 END), n DESC, email) AS INTEGER) AS rank FROM g""",
+    "phone_scan": """SELECT doc_id, raw, '+' || regexp_replace(raw, '[^0-9]', '', 'g') AS e164, substr(regexp_replace(raw, '[^0-9]', '', 'g'), 2, 10) AS national, 'valid' AS status
+      FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}'))) AS raw FROM documents) WHERE regexp_matches(raw, '^[+]1 [(][2-9]..[)] [2-9]')""",
+    "made_up_emails": f"""WITH {fixture_sql.EMAILS}, r AS ({_RANKED}) SELECT site, email, CASE WHEN k % 7 = 0 THEN 'http' ELSE 'https' END || '://' || site || path AS source_url, source_type, page_type,
+      CAST(confidence AS DOUBLE) AS confidence, is_role, own_domain, CAST(rank AS INTEGER) AS rank FROM r""",
+    "made_up_validation": f"""WITH {fixture_sql.EMAILS}, r AS ({_RANKED}),
+      v AS (SELECT *, CASE WHEN NOT own_domain THEN 'unknown' WHEN k % 5 < 2 THEN 'valid_public' WHEN k % 5 = 2 THEN 'domain_valid' WHEN k % 5 = 3 THEN 'invalid' ELSE 'unknown' END AS status FROM r WHERE rank <= 5)
+      SELECT site, email, status, CAST(CASE status WHEN 'invalid' THEN 0 WHEN 'unknown' THEN round(0.3 + 0.1 * confidence, 3)
+        ELSE round(least(0.99, 0.35 + CASE status WHEN 'valid_public' THEN 0.55 ELSE 0.2 END + 0.1 * confidence + 0.05), 3) END AS DOUBLE) AS valid_confidence,
+        status IN ('valid_public', 'mx_valid', 'domain_valid') AS usable FROM v""",
+    "made_up_contacts": fixture_sql.CONTACTS,
     "candidate_domains": "SELECT c_custkey, u.url, CAST(u.pos AS INTEGER) AS pos FROM (SELECT c_custkey, list_distinct_keep AS l FROM (SELECT c_custkey, ['https://' || b || '.com', 'https://' || b || '.net', 'https://' || d || '.com', 'https://' || d || '.net'] AS list_distinct_keep FROM (SELECT c_custkey, replace(lower(c_name), '#', '') AS b, replace(lower(c_name), '#', '-') AS d FROM customer))), unnest(l) WITH ORDINALITY AS u(url, pos)",
     "dedup_keep_first": f"SELECT page_id, CASE WHEN min(page_id) OVER (PARTITION BY key) <> page_id THEN min(page_id) OVER (PARTITION BY key) END AS duplicate_of FROM (SELECT page_id, {_SITE} AS key FROM pages)",
     "lead_search": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE (c_name ILIKE '%00001%' OR c_mktsegment ILIKE '%00001%') AND c_acctbal >= 0",

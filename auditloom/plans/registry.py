@@ -140,20 +140,40 @@ def _over(audits, f):
 QUERIES |= {prefix + name: _over(audits, f) for prefix, audits in (("", _audits), ("made_up_", _made_up)) for name, f in _AUDIT.items()}
 
 
+#: The addresses of the tables are all at domains below example.com, which count as junk elsewhere.
+_JUNK = [d for d in lx.JUNK_DOMAINS if not d.startswith("example.")]
+
+
 @query
 def email_scan(spark, sf):
-    # the addresses of the table are all at domains that count as junk elsewhere
-    return contacts.scan_emails(table(spark, sf, "documents"), junk=[])
+    return contacts.scan_emails(table(spark, sf, "documents"), _JUNK)
 
 
 @query
 def email_rank(spark, sf):
-    return contacts.rank_emails(contacts.scan_emails(table(spark, sf, "documents"), junk=[])).select("doc_id", "email", "rank")
+    return contacts.rank_emails(contacts.scan_emails(table(spark, sf, "documents"), _JUNK)).select("doc_id", "email", "rank")
 
 
 @query
 def phone_scan(spark, sf):
-    return contacts.scan_phones(table(spark, sf, "documents"))
+    return contacts.scan_phones(table(spark, sf, "documents")).select("doc_id", "raw", "e164", "national", "status")
+
+
+@query
+def made_up_emails(spark, sf):
+    return contacts.site_emails(pages.parse(fixture.sites(spark, sf)))
+
+
+@query
+def made_up_validation(spark, sf):
+    found = contacts.validate(contacts.site_emails(pages.parse(fixture.sites(spark, sf))), fixture.dns(spark, sf))
+    return found.select("site", "email", "status", "valid_confidence", "usable")
+
+
+@query
+def made_up_contacts(spark, sf):
+    c = contacts.site_contacts(pages.parse(fixture.sites(spark, sf)))
+    return c.select("site", *[F.array_join(k, "|").alias(k) for k in c.columns if k != "site"])
 
 
 @query
