@@ -71,3 +71,24 @@ def has_word(text: Column, words: list[str]) -> Column:
     for w in words:
         out = out | F.contains(text, F.lit(w))
     return out
+
+
+def fmt_time(c: Column) -> Column:
+    """A time to the second, empty for null."""
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+
+
+def fmt_bytes(c: Column) -> Column:
+    """A size with the unit in which it is under 1024, to one decimal from KB on."""
+    step = lambda n, unit: F.concat(F.round(c / float(1 << n), 1).cast("string"), F.lit(unit))
+    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1 << 20, step(10, " KB")).when(c < 1 << 30, step(20, " MB")).otherwise(step(30, " GB"))
+
+
+def fmt_duration(seconds: Column) -> Column:
+    """Whole seconds as 5s, 2m 5s or 1h 2m."""
+    part = lambda n: F.floor(seconds / n).cast("string")
+    left = lambda n, m: F.floor((seconds % n) / m).cast("string")
+    return (
+        F.when(seconds < 60, F.concat(part(1), F.lit("s"))).when(seconds < 3600, F.concat(part(60), F.lit("m "), left(60, 1), F.lit("s")))
+        .otherwise(F.concat(part(3600), F.lit("h "), left(3600, 60), F.lit("m")))
+    )

@@ -65,14 +65,63 @@ def requeued(status: Column, resume: bool) -> Column:
     return F.when(status == ("running" if resume else "failed"), "pending").otherwise(status)
 
 
-def shapes(columns: DataFrame) -> DataFrame:
-    """columns (column, value): for each column the share of its values that look like an address, e-mail, phone, number or rating."""
-    v = F.trim("value")
-    looks = {
-        "url": v.rlike(r"(?i)^(https?://|www[.])"),
-        "email": v.rlike(r"^[^@\s]+@[^@\s]+[.][^@\s]+$"),
-        "phone": v.rlike(r"^[+(]?[0-9][0-9 ().-]{6,}$"),
-        "integer": v.rlike(r"^[0-9]+$"),
-        "rating": v.rlike(r"^[0-5]([.,][0-9]+)?$"),
-    }
-    return columns.filter(v != "").groupBy("column").agg(*[(F.count_if(c) / F.count(F.lit(1))).alias(k) for k, c in looks.items()])
+#: Orders of a list of leads: column, falling, nulls last (fixed values).
+ORDERS = {
+    "score_desc": ("score", True), "score_asc": ("score", False), "name_asc": ("name", False), "name_desc": ("name", True),
+    "processed_desc": ("processed_at", True), "row_asc": ("row_index", False),
+}
+
+
+def ordered(name: str, columns: dict[str, str], key: str) -> list[Column]:
+    """The order of that name over columns (score, name, processed_at, row_index to the caller's own), nulls last, ties by key."""
+    column, falling = ORDERS[name if name in ORDERS else "score_desc"]
+    c = F.col(columns[column])
+    return [c.desc_nulls_last() if falling else c.asc_nulls_last(), F.col(key)]
+
+
+def counted_page(leads: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> tuple[int, DataFrame]:
+    """How many leads there are before paging, and one page of them."""
+    return leads.count(), page(leads, order, number, size)
+
+
+def detail(key_value, key: str, lead: DataFrame, **children: DataFrame) -> DataFrame:
+    """One lead by its key with its children as arrays of structs, each of which has the key, too. No row if there is none."""
+    out = lead.filter(F.col(key) == key_value)
+    for name, rows in children.items():
+        own = rows.filter(F.col(key) == key_value)
+        listed = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns if c != key]))).alias(name))
+        out = out.join(listed, key, "left")
+    return out
+
+
+def cascade_delete(keys: DataFrame, key: str, *tables: DataFrame) -> list[DataFrame]:
+    """tables without the rows of keys, parents and children alike."""
+    return [t.join(keys.select(key), key, "left_anti") for t in tables]
+
+
+def jobs(items: DataFrame, key: str, status: Column, started: Column, now: Column, done: list[str], failed: list[str]) -> DataFrame:
+    """progress() of each job with rate (items a minute since it started) and eta_seconds of what is left; null while nothing is done."""
+    out = items.groupBy(key).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(status.isin(done)).alias("done"), F.count_if(status.isin(failed)).alias("failed"),
+        (F.max(now).cast("double") - F.min(started).cast("double")).alias("_s"),
+    )
+    ended = F.col("done") + F.col("failed")
+    rate = F.when((F.col("_s") > 0) & (ended > 0), ended * 60 / F.col("_s"))
+    out = out.withColumn("percent", F.floor(F.col("done") * 1000 / F.col("total")) / 10).withColumn("_rate", rate).withColumn("rate", F.round("_rate", 4))
+    return out.withColumn("eta_seconds", F.round((F.col("total") - ended) * 60 / F.col("_rate")).cast("long")).drop("_s", "_rate")
+
+
+def reranked(rows: DataFrame, key: str, order: list[Column], value: str) -> DataFrame:
+    """rows with rank in their key, and share, the part of the key's sum of value (four decimals; null if that is 0).
+
+    The sums are taken before they meet their rows, so a hot key is not gathered for them.
+    """
+    sums = rows.groupBy(key).agg(F.sum(value).alias("_sum")).withColumnRenamed(key, "_key")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked.join(sums, F.col(key) == F.col("_key")).withColumn("share", F.round(F.col(value) / F.nullif("_sum", F.lit(0)), 4)).drop("_key", "_sum")
+
+
+def mark_sent(drafts: DataFrame, sent: DataFrame, keys: list[str]) -> DataFrame:
+    """drafts with sent_manually set where keys are among sent."""
+    marks = sent.select(*keys, F.lit(True).alias("_sent")).distinct()
+    return drafts.join(marks, keys, "left").withColumn("sent_manually", F.coalesce("_sent", "sent_manually")).drop("_sent").select(drafts.columns)

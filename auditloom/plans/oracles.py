@@ -431,3 +431,51 @@ ORACLES["link_check_sample"] = f"""WITH {_GRAPH}, o AS (SELECT site, key, min((p
   c AS (SELECT {_SITE} AS site, {_key(_normal('url'))} AS key FROM pages),
   s AS (SELECT site, key, m[1] AS page_id, m[2] AS pos, CAST(row_number() OVER (PARTITION BY site ORDER BY m[1], m[2], key) AS INTEGER) AS n FROM o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.site = o.site AND c.key = o.key))
   SELECT * FROM s WHERE n <= 12"""
+
+_T = "regexp_replace(code, '^(security|a11y|onpage|offpage|perf|local)_', '')"
+_CODE_WORDS = f"upper(substr({_T}, 1, 1)) || replace(substr({_T}, 2), '_', ' ')"
+_LABELS = "CASE category WHEN 'technical' THEN 'Technical SEO' WHEN 'onpage' THEN 'On-Page SEO' WHEN 'local_seo' THEN 'Local SEO' WHEN 'offpage' THEN 'Off-Page & Authority' WHEN 'ux_conversion' THEN 'UX & Conversion' ELSE upper(substr(category, 1, 1)) || substr(category, 2) END"
+_ISSUES = ", ".join(f"max({c}) FILTER (rank = {i}) AS top_issue_{i}{k}" for i in range(1, 6) for k, c in (("", _CODE_WORDS), ("_category", _LABELS), ("_severity", "upper(severity)")))
+_EMPTY = (
+    "website_status website_final website_source email_1 email_1_source email_1_status email_2 email_2_source email_2_status phone_normalized phone_country phone_type "
+    "whatsapp_reason whatsapp_url linkedin_url opportunity_tier problems recommendations contact_channel_reason whatsapp_message whatsapp_draft_url email_subject "
+    "email_message email_draft_url linkedin_message call_notes audit_report_path audit_error processed_at"
+).split() + [f"top_issue_{i}{k}" for i in range(1, 6) for k in ("", "_category", "_severity", "_fix")]
+ORACLES |= {
+    "made_up_issue_texts": f"""WITH {_X}, {_OPP}, pr AS (WITH {_PROBLEMS} SELECT site, string_agg(rank || '. ' || {_CODE_WORDS}, ' | ' ORDER BY rank) AS problems FROM t GROUP BY site),
+      ti AS (WITH {_PRIORITIES} SELECT site, {_ISSUES} FROM t GROUP BY site)
+      SELECT o.site, score AS website_score, {_TIER} AS opportunity_tier, problems, ti.* EXCLUDE (site) FROM o LEFT JOIN pr ON pr.site = o.site LEFT JOIN ti ON ti.site = o.site""",
+    "made_up_report_pages": f"""WITH {_X}, {_SCORES}, {_check_rows()}, p AS (SELECT site, count(*) AS passed FROM ck WHERE status = 'pass' GROUP BY site)
+      SELECT card.site, replace(card.site, '.', '-') || '.html' AS name, CAST(count(*) AS INTEGER) AS rows, max(overall) AS overall, CAST(coalesce(max(passed), 0) AS INTEGER) AS passed, 0 AS scripts
+      FROM card LEFT JOIN p ON p.site = card.site GROUP BY card.site""",
+    "lead_export": "SELECT c_custkey AS row_index, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, '''=' || c_mktsegment AS lead_tier, " + ", ".join(f"'' AS {c}" for c in _EMPTY)
+    + """, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey % 100 AS VARCHAR) ELSE '' END AS website_score, CASE WHEN c_custkey % 3 > 0 THEN 'B' ELSE '' END AS audit_lead_tier,
+      CASE c_custkey % 4 WHEN 0 THEN 'WHATSAPP' WHEN 1 THEN 'CALL' ELSE 'SKIP' END AS contact_channel, CAST(round(c_custkey % 7 / 7.0::DOUBLE, 3) AS VARCHAR) AS website_identity_confidence,
+      CASE WHEN c_custkey % 3 > 0 THEN 'completed' ELSE 'not_processed' END AS audit_status, c_name AS phone_raw_original, 'unavailable' AS phone_status, 'no_phone' AS whatsapp_status, 'not_checked' AS linkedin_status FROM customer""",
+    "lead_orders": "WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS score, c_name, c_custkey * 7919 % 1000 AS p FROM customer) " + " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{n}' AS ordering, c_custkey FROM c ORDER BY {o} NULLS LAST, c_custkey LIMIT 20)"
+        for n, o in (("score_desc", "score DESC"), ("score_asc", "score"), ("name_asc", "c_name"), ("name_desc", "c_name DESC"), ("processed_desc", "p DESC"), ("row_asc", "c_custkey"))
+    ),
+    "lead_counts": "SELECT c_custkey, c_acctbal, (SELECT count(*) FROM customer WHERE c_acctbal >= 0) AS total FROM customer WHERE c_acctbal >= 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 25",
+    "lead_detail": "SELECT c_custkey, c_name, (SELECT string_agg(o_orderkey || '/' || o_orderstatus, ',' ORDER BY o_orderkey) FROM orders WHERE o_custkey = 7) AS orders FROM customer WHERE c_custkey = 7",
+    "cascade_delete": "SELECT 'customer' AS \"of\", c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "job_list": """WITH j AS (SELECT o_custkey AS job, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS failed, epoch(max(o_orderdate)::TIMESTAMP) - epoch(min(o_orderdate)::TIMESTAMP) AS s FROM orders GROUP BY 1),
+      r AS (SELECT *, CASE WHEN s > 0 AND done + failed > 0 THEN (done + failed) * 60 / s END AS rate0 FROM j)
+      SELECT job, total, done, failed, floor(done * 1000 / total) / 10 AS percent, round(rate0, 4) AS rate, CAST(round((total - done - failed) * 60 / rate0) AS BIGINT) AS eta_seconds FROM r""",
+    "order_shares": """WITH o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
+      SELECT o_custkey, o_orderkey, cents, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY cents DESC, o_orderkey) AS INTEGER) AS rank, round(cents / nullif(sum(cents) OVER (PARTITION BY o_custkey), 0)::DOUBLE, 4) AS share FROM o""",
+    "drafts_sent": "SELECT o_orderkey, o_custkey AS lead, o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 1) AS sent_manually FROM orders",
+    "events_since": "SELECT event_id, event_type FROM events WHERE event_id > 1000 ORDER BY event_id LIMIT 100",
+    "events_merged": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_type ELSE 'client' END AS event_type FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0 ORDER BY event_id DESC LIMIT 500",
+    "formatted_values": """WITH c AS (SELECT c_custkey AS k, c_custkey * c_custkey * c_custkey AS b, c_custkey * 7 AS s, c_name FROM customer)
+      SELECT k AS c_custkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN round(b / 1024.0::DOUBLE, 1) || ' KB' WHEN b < 1073741824 THEN round(b / 1048576.0::DOUBLE, 1) || ' MB' ELSE round(b / 1073741824.0::DOUBLE, 1) || ' GB' END AS bytes,
+      CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm ' || s % 60 || 's' ELSE s // 3600 || 'h ' || s % 3600 // 60 || 'm' END AS duration,
+      strftime(make_timestamp(k * 86461 * 1000000), '%Y-%m-%d %H:%M:%S') AS time, replace(lower(c_name), '#', '-') AS slug FROM c""",
+    "whatsapp_status": """SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN 'no_phone' WHEN c_custkey % 11 = 3 OR c_custkey % 7 = 0 THEN 'invalid_number' WHEN c_custkey % 5 = 0 THEN 'confirmed_on_website'
+      WHEN c_custkey % 4 IN (1, 3) THEN 'unlikely' ELSE 'usable_unverified' END AS status FROM customer""",
+    "identity_scores": """WITH s AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 0.45 WHEN 1 THEN 0.34 / 3 WHEN 2 THEN 0.16 ELSE 0 END + CASE c_custkey % 3 WHEN 0 THEN 0.22 WHEN 1 THEN 0.1 ELSE 0 END
+        + CASE c_custkey % 5 WHEN 0 THEN 0.14 WHEN 1 THEN 0.07 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 0.28 ELSE 0 END + CASE WHEN c_custkey % 6 = 0 THEN 0.2 ELSE 0 END
+        + CASE WHEN c_custkey % 7 = 0 THEN 0.1 ELSE 0 END + CASE WHEN c_custkey % 11 = 0 THEN 0.05 ELSE 0 END AS c FROM customer),
+      r AS (SELECT k, CAST(round(least(1, c), 3) AS DOUBLE) AS confidence FROM s)
+      SELECT k AS c_custkey, confidence, CASE WHEN confidence >= 0.8 THEN 'strong_match' WHEN confidence >= 0.55 THEN 'probable_match' WHEN confidence >= 0.3 THEN 'weak_match' ELSE 'no_match' END AS verdict FROM r""",
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
 from auditloom.functions import text, urls
-from auditloom.operators import contacts, frontier, leads, pages, rules, scoring
+from auditloom.operators import contacts, discovery, frontier, leads, pages, reports, rules, scoring
 from auditloom.plans import fixture
 from auditloom.sources.tables import replace_by_key, table
 from auditloom.streaming import events as feed
@@ -291,6 +291,129 @@ def channel_choice(spark, sf):
     return table(spark, sf, "customer").select(k, contacts.choose_channel(status, k % 3 == 0, k % 5 == 0, F.when(k % 2 == 0, "valid").otherwise("invalid")).alias("channel"))
 
 
+@query
+def made_up_issue_texts(spark, sf):
+    """Scores, problems and top issues of the made-up sites as an export words them."""
+    c = reports.audit_columns(_made_up(spark, sf))
+    return c.select("site", "website_score", "opportunity_tier", "problems", *[f"top_issue_{i}{k}" for i in range(1, 6) for k in ("", "_category", "_severity")])
+
+
+@query
+def made_up_report_pages(spark, sf):
+    """The HTML reports of the made-up sites, by what can be told of them without their wording."""
+    r = reports.reports(_made_up(spark, sf))
+    count = lambda what: F.regexp_count("text", F.lit(what))
+    return r.select("site", "name", count("<tr>").alias("rows"), F.regexp_extract("text", "<p>([0-9]+)/100", 1).cast("int").alias("overall"), count(": pass</li>").alias("passed"), count("<script").alias("scripts"))
+
+
+@query
+def lead_export(spark, sf):
+    """All columns of an export; an original column has the name of an added one."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(k, k.alias("row_index"), "c_name", "c_nationkey", F.concat(F.lit("="), "c_mktsegment").alias("lead_tier"), "c_acctbal")
+    known = {
+        "website_score": F.when(k % 3 > 0, k % 100), "lead_tier": F.when(k % 3 > 0, F.lit("B")), "contact_channel": F.when(k % 4 == 0, "whatsapp").when(k % 4 == 1, "call"),
+        "website_identity_confidence": F.round(k % 7 / F.lit(7.0), 3), "audit_status": F.when(k % 3 > 0, "completed"), "phone_raw_original": F.col("c_name"),
+    }
+    out = reports.export(rows, ["c_name", "c_nationkey", "lead_tier"], known)
+    return out.select([text.formula_guard(F.col(c)).alias(c) if c != "row_index" else F.col(c) for c in out.columns])
+
+
+@query
+def lead_orders(spark, sf):
+    """The first page of each order of a list of leads."""
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")).alias("score"), F.col("c_name").alias("name"), (F.col("c_custkey") * 7919 % 1000).alias("processed_at"))
+    columns = {"score": "score", "name": "name", "processed_at": "processed_at", "row_index": "c_custkey"}
+    out = None
+    for name in leads.ORDERS:
+        rows = leads.page(c, leads.ordered(name, columns, "c_custkey"), size=20).select(F.lit(name).alias("ordering"), "c_custkey")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query
+def lead_counts(spark, sf):
+    """How many leads there are before a page is taken, and the page."""
+    c = table(spark, sf, "customer").filter("c_acctbal >= 0").select("c_custkey", "c_acctbal")
+    n, rows = leads.counted_page(c, [F.col("c_acctbal").desc(), F.col("c_custkey")], 2, 25)
+    return rows.withColumn("total", F.lit(n).cast("long"))
+
+
+@query
+def lead_detail(spark, sf):
+    """One lead with its orders."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    d = leads.detail(7, "c_custkey", table(spark, sf, "customer").select("c_custkey", "c_name"), orders=o)
+    return d.select("c_custkey", "c_name", F.array_join(F.transform("orders", lambda x: F.concat_ws("/", x["o_orderkey"].cast("string"), x["o_orderstatus"])), ",").alias("orders"))
+
+
+@query
+def cascade_delete(spark, sf):
+    """What is left of two tables once the leads of a segment and their orders go."""
+    c, o = table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    left, orders = leads.cascade_delete(c.filter("c_mktsegment = 'BUILDING'"), "c_custkey", c, o)
+    return left.select(F.lit("customer").alias("of"), F.col("c_custkey").alias("id")).union(orders.select(F.lit("orders"), "o_orderkey"))
+
+
+@query
+def job_list(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("job"), "o_orderstatus", F.col("o_orderdate").cast("timestamp").alias("at"))
+    return leads.jobs(o, "job", F.col("o_orderstatus"), F.col("at"), F.col("at"), ["F"], ["P"])
+
+
+@query
+def order_shares(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return leads.reranked(o, "o_custkey", [F.col("cents").desc(), F.col("o_orderkey")], "cents")
+
+
+@query
+def drafts_sent(spark, sf):
+    d = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("lead"), F.lit(False).alias("sent_manually"))
+    return leads.mark_sent(d, table(spark, sf, "customer").filter("c_custkey % 4 = 1").select(F.col("c_custkey").alias("lead")), ["lead"])
+
+
+@query
+def events_since(spark, sf):
+    return feed.since(table(spark, sf, "events").select("event_id", "event_type"), 1000, 100)
+
+
+@query
+def events_merged(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    return feed.merged(e.filter("event_id % 3 <> 0"), e.filter("event_id % 2 = 0").withColumn("event_type", F.lit("client")), 500)
+
+
+@query
+def formatted_values(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(k, text.fmt_bytes(k * k * k).alias("bytes"), text.fmt_duration(k * 7).alias("duration"), text.fmt_time(F.timestamp_seconds(k * 86_461)).alias("time"), text.slug(F.col("c_name")).alias("slug"))
+
+
+@query
+def whatsapp_status(spark, sf):
+    k = F.col("c_custkey")
+    e164 = F.when(k % 7 > 0, F.concat(F.lit("+1555"), k.cast("string")))
+    status = F.when(k % 11 == 3, "invalid").when(k % 2 == 0, "valid").otherwise("possible")
+    line = F.element_at(F.array(*[F.lit(x) for x in ("mobile", "fixed_line", "voip", "voicemail")]), (k % 4).cast("int") + 1)
+    on_site = F.when(k % 5 == 0, F.array(F.concat(F.lit("1555"), k.cast("string"))))
+    return table(spark, sf, "customer").select(k, contacts.whatsapp(F.when(k % 13 > 0, F.lit("x")), status, e164, on_site, line).alias("status"))
+
+
+@query
+def identity_scores(spark, sf):
+    k, name = F.col("c_custkey"), F.concat(F.lit("Blue "), F.col("c_name"), F.lit(" Ltd"))
+    number = F.right("c_name", F.lit(9))
+    domain = F.when(k % 4 == 0, F.concat(F.lit("bluecustomer"), number, F.lit(".com"))).when(k % 4 == 1, "customer-shop.com").when(k % 4 == 2, "bc0-works.com").otherwise("other.com")
+    title = F.when(k % 3 == 0, F.concat(F.lit("Blue Customer "), number)).when(k % 3 == 1, "Customer page").otherwise("none")
+    body = F.concat(
+        F.lit("all of "), F.when(k % 5 == 0, F.concat(F.lit("blue customer "), number)).when(k % 5 == 1, "blue sky").otherwise("words"), F.when(k % 2 == 0, " tel 0113 496 0000").otherwise(""),
+        F.when(k % 6 == 0, " LS1 4AP leeds").otherwise(""), F.when(k % 7 == 0, " high street near park").otherwise(""), F.when(k % 11 == 0, " plumbing").otherwise(""),
+    )
+    score = discovery.identity(name, domain, title, body, F.lit("+44 113 496 0000"), F.lit("ls14ap"), F.lit("Leeds"), F.lit("5 High Street, Park"), F.lit("Plumbing help"))
+    return table(spark, sf, "customer").select(k, score.alias("confidence")).withColumn("verdict", discovery.verdict(F.col("confidence")))
+
+
 @query
 def replace_by_key_write(spark, sf):
     old = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")

@@ -39,3 +39,22 @@ def stream_windows(spark: SparkSession, path: str, schema, out: str, checkpoint:
     feed = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     query = per_window(feed, width).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return query.outputMode("append").trigger(availableNow=True).start()
+
+
+def since(events: DataFrame, after: int, n: int = 100) -> DataFrame:
+    """The n events after an id, in order: what a reader with a cursor asks for next."""
+    return events.filter(F.col("event_id") > after).orderBy("event_id").limit(n)
+
+
+def merged(server: DataFrame, client: DataFrame, n: int) -> DataFrame:
+    """The newest n of two logs, each event once; where both have one the server's counts."""
+    rows = server.withColumn("_at", F.lit(0)).unionByName(client.withColumn("_at", F.lit(1)), allowMissingColumns=True)
+    once = rows.groupBy("event_id").agg(F.min_by(F.struct(*server.columns), "_at").alias("m"))
+    return newest(once.select("m.*"), n)
+
+
+def stream_log(spark: SparkSession, path: str, schema, out: str, checkpoint: str):
+    """Starts a stream that appends the events of a folder to a table, each once, and goes on where its checkpoint ends."""
+    feed = spark.readStream.schema(schema).parquet(path)
+    query = feed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return query.outputMode("append").trigger(availableNow=True).start()
