@@ -4,7 +4,7 @@ Windows that repeat at one length alone are extended to about twice that length,
 length asked for is reached or no candidates survive. At the shorter lengths not every window
 is sent: every run of windows that makes up a window of the full length has its least hash as
 its anchor, equal passages have equal anchors, and a full window can repeat only if its anchor
-does. So nothing that repeats is lost, and about a tenth of the windows moves. At the shorter
+does. So nothing that repeats is lost, and about a fourteenth of the windows moves. At the shorter
 lengths a hash of 64 bits can only let too many windows through; what is removed is decided by
 128 bits of the full window. Texts that have to meet their windows again move compressed.
 """
@@ -24,12 +24,8 @@ from auditloom.llm.hashing import Words, sliding
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def levels(length: int, least: int = 10) -> list[int]:
-    """The lengths from the shortest on, each at most twice the one before, up to length.
-
-    Every level after the first moves the texts with candidates once more, so a smaller least means fewer
-    candidates at the end and more text that moves.
-    """
+def levels(length: int, least: int = 9) -> list[int]:
+    """The lengths from the shortest on, each at most twice the one before, up to length."""
     out = [length]
     while (out[0] + 1) // 2 >= least:
         out.insert(0, (out[0] + 1) // 2)
@@ -159,7 +155,7 @@ def _movable(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t bigint, text binary")
 
 
-def repeated_windows(docs: DataFrame, length: int, least: int = 10) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, length: int, least: int = 9) -> tuple[DataFrame, DataFrame]:
     """The texts (doc_id, t, text packed), and rows (_d, _t, at, copied) of texts with repeated windows.
 
     at has the first words of these windows; of a copied text all windows repeat, and at is null.
@@ -171,7 +167,6 @@ def repeated_windows(docs: DataFrame, length: int, least: int = 10) -> tuple[Dat
     every = copies.select(F.col("_id").alias("_d"), F.col("_x").alias("_t"), F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("copied"))
     found, before = None, 0
     for level in levels(length, least):
-        last = level == length
         if found is None:
             here = docs.select("doc_id", F.xxhash64("text").alias("t"), F.lit(False).alias("copied"), "text")
         else:
@@ -179,11 +174,13 @@ def repeated_windows(docs: DataFrame, length: int, least: int = 10) -> tuple[Dat
             here = texts.join(one, _same("t", "doc_id", "_t", "_d")).select(
                 "doc_id", "t", F.col("first").isNotNull().alias("copied"), "text", "at"
             )
-        found, before = _repeated(_windows(here, level, length, before), last), level
-        if not last:
+        found, before = _repeated(_windows(here, level, length, before), level == length), level
+        if level != length and before == levels(length, least)[0]:
+            # The first level needs no text to move. If no window repeats at its length, none does at the full one,
+            # and no text of that length has copies. The later levels are one job, in which the texts move once for
+            # all of them; where a level has no survivors, adaptive execution leaves out those after it.
             found = cut(found)
             if found.isEmpty():
-                # where no window repeats at this length, none does at the full one, and no text of that length has copies
                 break
     single = found.join(copies, _same("_x", "_id", "_t", "_d"), "left_anti").select("_d", "_t", "at", F.lit(False).alias("copied"))
     return texts, single.union(every)
@@ -193,7 +190,7 @@ def _same(t: str, d: str, t2: str, d2: str):
     return (F.col(t) == F.col(t2)) & F.col(d).eqNullSafe(F.col(d2))
 
 
-def substring_dedup(docs: DataFrame, length: int = 35, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 35, least: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; a null or empty text has none. Each word covered by a
