@@ -17,6 +17,28 @@ def fetch_error(status: Column, content_type: Column) -> Column:
     return F.struct(code.alias("code"), (status.isin(429, 503) | (status >= 500)).alias("retryable"))
 
 
+def exception_error(kind: Column, message: Column) -> Column:
+    """struct(code, retryable) of a fetch that gave no answer: kind is timeout, redirects, connect, protocol, http or other."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    code = (
+        F.when(kind == "timeout", "timeout").when(kind == "redirects", "redirect_loop").when((kind == "connect") & low.rlike("certificate|ssl|tls"), "ssl_error")
+        .when((kind == "connect") & low.rlike("name or service not known|getaddrinfo|nodename|no address"), "dns_failure").when(kind == "connect", "connection_error")
+        .when(kind == "protocol", "protocol_error").when(kind == "http", "http_error").otherwise("fetch_failed")
+    )
+    return F.struct(code.alias("code"), code.isin("timeout", "connection_error", "protocol_error", "http_error").alias("retryable"))
+
+
+def sitemap_found(robots: Column, probe: Column) -> Column:
+    """Whether there is a sitemap: one that the first 200 lines of robots.txt name, else an answer at /sitemap.xml that looks like markup."""
+    start = F.array_join(F.slice(F.split(F.coalesce(robots, F.lit("")), "\n"), 1, 200), "\n")
+    return sitemap_of(start).isNotNull() | F.coalesce(F.contains(F.substring(probe, 1, 2000), F.lit("<")), F.lit(False))
+
+
+def goes_on_to_guesses(raw: Column) -> Column:
+    """Whether candidates are tried: only where the cell holds no address that can be read."""
+    return urls.normalize_url(raw).isNull()
+
+
 def sitemap_of(robots: Column) -> Column:
     """The first sitemap that a robots.txt names; null if none."""
     return F.nullif(F.regexp_extract(robots, r"(?im)^\s*sitemap:\s*(\S+)", 1), F.lit(""))
@@ -111,15 +133,25 @@ def best_candidate(candidates: DataFrame, key: str, least: float = 0.55, sure: f
 
 
 def page_speed(payload: Column) -> Column:
-    """struct(score, lcp, fcp, tbt, cls) of a measurement's JSON; null where it does not say."""
+    """struct(score, lcp, fcp, tbt, cls, speed_index, opportunities, field_category) of a measurement's JSON; null where it does not say.
+
+    opportunities are the six largest savings of 250 ms and more: id, title, savings_ms.
+    """
     at = lambda p: F.get_json_object(payload, f"$.lighthouseResult.{p}").cast("double")
     audit = lambda a: at(f"audits.{a}.numericValue")
+    kind = "map<string,struct<title:string,details:struct<type:string,overallSavingsMs:double>>>"
+    audits = F.map_entries(F.from_json(F.get_json_object(payload, "$.lighthouseResult.audits"), kind))
+    worth = F.filter(audits, lambda e: (e["value"]["details"]["type"] == "opportunity") & (e["value"]["details"]["overallSavingsMs"] >= 250))
+    saved = F.transform(worth, lambda e: F.struct((-F.bround(e["value"]["details"]["overallSavingsMs"])).cast("int").alias("n"), e["key"].alias("id"), e["value"]["title"].alias("title")))
     return F.struct(
         F.bround(100 * at("categories.performance.score")).cast("int").alias("score"),
         F.bround(audit("largest-contentful-paint") / 1000, 2).alias("lcp"),
         F.bround(audit("first-contentful-paint") / 1000, 2).alias("fcp"),
         F.bround(audit("total-blocking-time")).alias("tbt"),
         F.bround(audit("cumulative-layout-shift"), 3).alias("cls"),
+        F.bround(audit("speed-index") / 1000, 2).alias("speed_index"),
+        F.transform(F.slice(F.array_sort(saved), 1, 6), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), (-x["n"]).alias("savings_ms"))).alias("opportunities"),
+        F.get_json_object(payload, "$.loadingExperience.overall_category").alias("field_category"),
     )
 
 

@@ -87,6 +87,24 @@ def assign(scores: DataFrame, columns: list[str], least: float = 0.45) -> dict[s
     return out
 
 
+#: Fields that a table of leads has to have.
+REQUIRED = ["business_name"]
+
+
+def suggestion(scores: DataFrame, columns: list[str]) -> dict:
+    """assign() with what a reviewer needs: mapping, confidence, evidence (name and shape), unmapped, missing_required, low_confidence, needs_review."""
+    mapping = assign(scores, columns)
+    found = {(r["field"], r["header"]): r for r in scores.collect()}  # columns times fields at most
+    sure = {f: round(found[f, h]["score"], 3) for f, h in mapping.items()}
+    missing = [f for f in REQUIRED if f not in mapping]
+    low = [f for f, c in sure.items() if c < 0.7]
+    return {
+        "mapping": mapping, "confidence": sure,
+        "evidence": {f: {"name": round(found[f, h]["name"], 3), "shape": round(found[f, h]["shape"], 3)} for f, h in mapping.items()},
+        "unmapped": [c for c in columns if c not in mapping.values()], "missing_required": missing, "low_confidence": low, "needs_review": bool(missing or low),
+    }
+
+
 def typed(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """rows with the fields of a mapping as typed columns and dedup_key; fields without a header are empty."""
     cell = lambda f: F.trim(F.coalesce(F.col(f"`{mapping[f]}`"), F.lit(""))) if f in mapping else F.lit("")

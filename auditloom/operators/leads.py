@@ -65,18 +65,24 @@ def requeued(status: Column, resume: bool) -> Column:
     return F.when(status == ("running" if resume else "failed"), "pending").otherwise(status)
 
 
-#: Orders of a list of leads: column, falling, nulls last (fixed values).
+#: Orders of a list of leads: column, falling, nulls first, key falling (fixed values).
 ORDERS = {
-    "score_desc": ("score", True), "score_asc": ("score", False), "name_asc": ("name", False), "name_desc": ("name", True),
-    "processed_desc": ("processed_at", True), "row_asc": ("row_index", False),
+    "score_desc": ("score", True, False, False), "score_asc": ("score", False, True, False), "name_asc": ("name", False, False, False),
+    "name_desc": ("name", True, False, False), "row_asc": ("row_index", False, False, False), "recent": ("processed_at", True, False, True),
 }
 
 
 def ordered(name: str, columns: dict[str, str], key: str) -> list[Column]:
-    """The order of that name over columns (score, name, processed_at, row_index to the caller's own), nulls last, ties by key."""
-    column, falling = ORDERS[name if name in ORDERS else "score_desc"]
-    c = F.col(columns[column])
-    return [c.desc_nulls_last() if falling else c.asc_nulls_last(), F.col(key)]
+    """The order of that name over columns (score, name, processed_at, row_index to the caller's own), ties by key; an unknown one is score_desc."""
+    column, falling, first, key_falling = ORDERS.get(name, ORDERS["score_desc"])
+    c, k = F.col(columns[column]), F.col(key)
+    by = (c.desc_nulls_first() if first else c.desc_nulls_last()) if falling else (c.asc_nulls_first() if first else c.asc_nulls_last())
+    return [by, k.desc() if key_falling else k]
+
+
+def newest_jobs(jobs_: DataFrame, key: str, limit: int = 50) -> DataFrame:
+    """The jobs with the largest keys, 1 to 200 of them."""
+    return jobs_.orderBy(F.col(key).desc()).limit(min(max(limit, 1), 200))
 
 
 def counted_page(leads: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> tuple[int, DataFrame]:

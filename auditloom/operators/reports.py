@@ -117,19 +117,91 @@ def pick(key: Column, choices: list[str], salt: str = "") -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in choices]), F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(len(choices))).cast("int") + 1)
 
 
-def drafts(problems: DataFrame, name: Column, most: int = 2) -> DataFrame:
-    """Rows (site, subject, message, call_notes, based_on) of first messages in own words, from the first problems of each site.
+#: What observations are about; two of a message are about different things. The rules of one topic are alike.
+TOPICS = {
+    "phone": ["no_phone_cta", "no_phone_on_site", "phone_not_on_homepage", "no_mobile_tap_to_call"], "mobile": ["missing_viewport", "viewport_not_responsive", "fixed_width_layout", "zoom_disabled", "small_mobile_text", "no_mobile_menu"],
+    "speed": ["slow_response", "pagespeed_low", "heavy_page", "many_scripts", "perf_render_blocking_scripts", "perf_no_compression"], "contact": ["no_contact_form", "no_contact_page", "contact_hard_to_find", "no_email_on_site", "no_email_cta", "no_address"],
+    "action": ["no_primary_cta_above_fold", "no_booking_cta", "no_quote_cta", "weak_cta_language"], "trust": ["no_testimonials", "reviews_not_structured", "no_credentials", "no_portfolio", "no_about_page"],
+    "text": ["very_thin_homepage", "thin_homepage", "services_not_clear", "generic_value_proposition", "no_service_area", "no_heading_structure"], "safety": ["no_https", "mixed_content"],
+    "search": ["noindex", "missing_title", "title_too_short", "title_too_long", "missing_meta_description", "meta_description_short", "missing_h1", "multiple_h1", "missing_sitemap", "broken_internal_links"],
+}
 
-    problems: site, rank, code (see scoring.top_problems). Only what was found is said; based_on has the codes.
+
+def observations(problems: DataFrame, limit: int = 2, salt: str = "") -> DataFrame:
+    """Rows (site, place, code, topic, line): the first problems of each site that can be put in a sentence, of different topics.
+
+    problems: site, rank, code, evidence (see scoring.top_problems). A sentence is one of three by a
+    hash of the site; with a measure of the finding where it has one.
+    """
+    topic = F.lit(None).cast("string")
+    for name, codes in TOPICS.items():
+        topic = F.when(F.col("code").isin(codes), name).otherwise(topic)
+    listed = problems.withColumn("topic", topic).filter("topic IS NOT NULL").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("rank", "code", "topic", "evidence"))).alias("p"))
+    firsts = listed.select("site", "p", F.transform("p", lambda x: x["topic"]).alias("ts"))
+    kept = F.slice(F.filter(F.transform("p", lambda x, i: F.struct((F.array_position("ts", x["topic"]) == i + 1).alias("first"), x.alias("x"))), lambda y: y["first"]), 1, limit)
+    rows = firsts.select("site", F.posexplode(kept).alias("at", "y")).select("site", (F.col("at") + 1).alias("place"), "y.x.code", "y.x.topic", "y.x.evidence")
+    seed = F.pmod(F.xxhash64("site", F.lit(salt)), F.lit(997)).cast("int") + F.col("place") - 1
+    measure = F.get(F.filter("evidence", lambda e: F.coalesce(e["value"], F.lit("")).rlike("^[0-9.]+$")), 0)
+    proof = F.when(measure.isNotNull(), F.concat(F.lit(" ("), F.replace(measure["name"], F.lit("_"), F.lit(" ")), F.lit(" "), measure["value"], F.lit(")"))).otherwise("")
+    said = F.lower(_title(F.col("code")))
+    lines = F.array(F.concat(F.lit("I noticed: "), said, proof), F.concat(F.lit("What I found first is: "), said, proof), F.concat(F.lit("On your site there is: "), said, proof))
+    return rows.select("site", "place", "code", "topic", F.element_at(lines, F.pmod(seed, F.lit(3)) + 1).alias("line"))
+
+
+#: Endings of trades, whose plural names people, and of trades that have no plural (fixed values).
+TRADES = ("er", "or", "ist", "ian", "eur", "smith", "wright", "ess", "ant", "ard")
+NO_PLURAL = ("ing", "al", "ance", "ence", "ment", "care", "work", "repair", "wear")
+
+
+def industry_phrase(category: Column) -> Column:
+    """Whom a message speaks of: a category in the plural, or its businesses."""
+    low = F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(category, F.lit("")))), r"\s*[|/,].*$", ""))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(low, r"\b(services?|companies|company|businesses|business)\b", ""), r"\s+", " "))
+
+    def named(c: Column) -> Column:
+        ends = lambda words: c.rlike("(" + "|".join(words) + ")$")
+        ies = F.concat(F.regexp_replace(c, "y$", ""), F.lit("ies"))
+        of_y = c.endswith("y") & ~ends(("ay", "ey", "oy", "uy"))
+        many = F.when(ends(("s", "sh", "ch", "x", "z")), F.concat(c, F.lit("es"))).when(of_y, ies).otherwise(F.concat(c, F.lit("s")))
+        return (
+            F.when(c == "", "local businesses").when(c.contains(" "), F.concat(c, F.lit(" businesses"))).when(c.endswith("s") & ~c.endswith("ss"), c)
+            .when(ends(NO_PLURAL), F.concat(c, F.lit(" businesses"))).when(ends(TRADES), many).when(of_y, ies).otherwise(F.concat(c, F.lit(" businesses")))
+        )
+
+    return t.let(bare, named)
+
+
+#: How messages begin and end, by tone, in own words.
+TONES = {
+    "professional": ("Good day", "Would you like the details?"), "friendly": ("Hi", "Shall I send you what I found?"), "direct": ("Hello", "Interested?"), "helpful": ("Hello", "I am glad to explain."),
+}
+#: What a sender has to have said before anything is drafted.
+PROFILE = ("sender_name", "offer")
+
+
+def drafts(seen: DataFrame, name: Column, profile: dict[str, str], tone: str = "friendly", most: int = 2) -> DataFrame:
+    """Rows (site, channel, variant, subject, message, based_on): messages from the observations of each site, for every channel.
+
+    seen: site, place, code, line (see observations). Only what was found is said; based_on has the codes.
+    A profile without what PROFILE asks for is refused. The call's message are notes for a call.
     """
-    first = problems.filter(F.col("rank") <= most).groupBy("site", name.alias("name")).agg(F.array_sort(F.collect_list(F.struct("rank", "code"))).alias("p"))
-    codes = F.transform("p", lambda x: x["code"])
-    seen = F.array_join(F.transform("p", lambda x: F.lower(_title(x["code"]))), " and ")
-    hello = pick(F.col("site"), ["Hello", "Good day", "Hi"])
-    subject = F.concat(F.lit("Your website, "), "name")
-    message = F.concat(hello, F.lit(" "), "name", F.lit(",\n\nwhile looking at your website I noticed: "), seen, F.lit(". "), _advice(F.get(codes, 0)), F.lit(" Shall I send you the details?"))
-    notes = F.concat(F.lit("Say what was found: "), seen, F.lit("."))
-    return first.select("site", subject.alias("subject"), message.alias("message"), notes.alias("call_notes"), codes.alias("based_on"))
+    missing = [k for k in PROFILE if not profile.get(k)]
+    if missing:
+        raise ValueError(f"the profile lacks {', '.join(missing)}")
+    hello, end = TONES[tone]
+    first = seen.filter(F.col("place") <= most).groupBy("site", name.alias("name")).agg(F.array_sort(F.collect_list(F.struct("place", "code", "line"))).alias("p"))
+    lines = F.array_join(F.transform("p", lambda x: x["line"]), ". ")
+    who, what = F.lit(profile["sender_name"]), F.lit(profile["offer"])
+    body = F.concat(F.lit(hello + " "), "name", F.lit(",\n\n"), lines, F.lit(". "), what, F.lit(". " + end + "\n\n"), who)
+    again = F.concat(F.lit(hello + " "), "name", F.lit(",\n\nmy message on this may have been lost: "), lines, F.lit(".\n\n"), who)
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("channel"), F.lit(v).alias("variant"), (F.concat(F.lit("Your website, "), "name") if c == "email" else F.lit("")).alias("subject"), m.alias("message"))
+        for c, v, m in (
+            ("email", "initial", body), ("email", "follow_up", again), ("whatsapp", "initial", body), ("whatsapp", "follow_up", again),
+            ("linkedin", "initial", F.substring(body, 1, 300)), ("call", "initial", F.concat(F.lit("Ask for the owner. Say: "), lines, F.lit(". Offer: "), what)),
+        )
+    ])
+    return first.select("site", F.transform("p", lambda x: x["code"]).alias("based_on"), F.explode(rows).alias("x")).select("site", "x.*", "based_on")
 
 
 def mail_link(address: Column, subject: Column, message: Column) -> Column:

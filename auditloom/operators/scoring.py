@@ -205,9 +205,41 @@ def band(score: Column) -> Column:
     return F.when(score >= 85, "strong").when(score >= 70, "fair").when(score >= 50, "weak").otherwise("poor")
 
 
+#: Letter grades by the least score for each (fixed values).
+GRADES = [
+    (95, "A+"), (90, "A"), (85, "A\u2212"), (80, "B+"), (75, "B"), (70, "B\u2212"),
+    (65, "C+"), (60, "C"), (55, "C\u2212"), (50, "D+"), (40, "D"), (0, "F"),
+]
+
+
 def grade(score: Column) -> Column:
-    """A to F by tens, as report cards have it; null without a score."""
-    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").when(score.isNotNull(), "F")
+    """The letter of a score; empty without one."""
+    out = F.when(score.isNull(), "")
+    for least, letter in GRADES:
+        out = out.when(score >= least, letter)
+    return out.otherwise("F")
+
+
+def evidence_rows(evidence: Column, limit: int = 6) -> Column:
+    """The first limit measures of a finding as label and value for readers: no empty ones, Yes and No, 240 characters at most."""
+    some = F.filter(evidence, lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    value = lambda e: F.when(e["value"] == "true", "Yes").when(e["value"] == "false", "No").otherwise(F.substring(e["value"], 1, 240))
+    return F.transform(F.slice(some, 1, limit), lambda e: F.struct(F.replace(e["name"], F.lit("_"), F.lit(" ")).alias("label"), value(e).alias("value")))
+
+
+def findings_context(audits: DataFrame) -> DataFrame:
+    """Rows (site, place, code, category, severity, deduction): all findings, the worst first, as a report lists them by severity."""
+    keyed = F.transform("findings", lambda f: F.struct(severity_rank(f["severity"]).alias("s"), (-f["deduction"]).alias("d"), f["seq"].alias("n"), f.alias("f"), card_category(f).alias("category")))
+    rows = audits.select("site", F.posexplode(F.array_sort(keyed)).alias("at", "x"))
+    return rows.select("site", (F.col("at") + 1).alias("place"), F.col("x.f.code").alias("code"), F.col("x.category").alias("category"), F.col("x.f.severity").alias("severity"), F.col("x.f.deduction").alias("deduction"))
+
+
+def shares(audits: DataFrame) -> DataFrame:
+    """Rows (site, category, findings, percent_of_most, percent_of_all): what bars and rings of a report show, to one decimal."""
+    card = scorecard(audits)
+    listed = card.groupBy("site").agg(F.collect_list(F.struct("category", "findings")).alias("cs"), F.max("findings").alias("most"), F.sum("findings").alias("sum"))
+    part = lambda whole: F.round(100 * F.col("c.findings") / F.nullif(F.col(whole), F.lit(0)), 1)
+    return listed.select("site", "most", "sum", F.explode("cs").alias("c")).select("site", "c.category", "c.findings", part("most").alias("percent_of_most"), part("sum").alias("percent_of_all"))
 
 
 def _with_status(status: str) -> Column:

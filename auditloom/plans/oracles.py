@@ -326,6 +326,9 @@ def _explained() -> str:
     SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY contribution DESC, i) AS INTEGER) AS place, category, weight, health, opportunity, contribution, findings, deductions FROM x"""
 
 
+_GRADES = [(95, "A+"), (90, "A"), (85, "A\u2212"), (80, "B+"), (75, "B"), (70, "B\u2212"), (65, "C+"), (60, "C"), (55, "C\u2212"), (50, "D+"), (40, "D"), (0, "F")]
+
+
 def _audit_queries(prefix: str, f: str) -> dict[str, str]:
     """SQL of all queries over findings, whatever they are found in."""
     issues = ", ".join(f"max({c}) FILTER (rank = {i}) AS issue_{i}_{c}" for i in range(1, 6) for c in ("code", "category", "priority", "deduction"))
@@ -347,6 +350,16 @@ def _audit_queries(prefix: str, f: str) -> dict[str, str]:
           CASE WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN problems = 0 THEN 'D' ELSE 'C' END AS tier FROM r""",
         "export_issue_columns": f", {_PRIORITIES}, p AS (SELECT *, {_PRIORITY} AS priority FROM t) SELECT au.site, {issues} FROM au LEFT JOIN p ON p.site = au.site GROUP BY au.site",
     }
+    topic = "CASE " + " ".join(f"WHEN code IN {_in(codes)} THEN '{k}'" for k, codes in lx.TOPICS.items()) + " END"
+    out |= {
+        "findings_context": f"SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY {_RANK}, deduction DESC, seq) AS INTEGER) AS place, code, {_CARD} AS category, severity, deduction FROM f",
+        "category_shares": f", {_SCORES} SELECT site, category, findings, round(100 * findings / nullif(max(findings) OVER w, 0)::DOUBLE, 1) AS percent_of_most, round(100 * findings / nullif(sum(findings) OVER w, 0)::DOUBLE, 1) AS percent_of_all FROM card WINDOW w AS (PARTITION BY site)",
+        "report_grades": f", {_SCORES} SELECT site, category, CASE WHEN score IS NULL THEN '' " + " ".join(f"WHEN score >= {a} THEN '{b}'" for a, b in _GRADES) + " END AS grade FROM card",
+        "observations": f""", {_PROBLEMS}, tp AS (SELECT site, rank, code, {topic} AS topic FROM t),
+          od AS (SELECT * FROM tp WHERE topic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY site, topic ORDER BY rank) = 1)
+          SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY rank) AS INTEGER) AS place, code, topic FROM od QUALIFY row_number() OVER (PARTITION BY site ORDER BY rank) <= 2""",
+        "recommended_codes": f", {_PROBLEMS} SELECT site, rank, code AS problem_code, category, severity FROM t",
+    }
     return {prefix + k: f"WITH {f} {v}" for k, v in out.items()}
 
 
@@ -453,8 +466,11 @@ ORACLES |= {
       CASE c_custkey % 4 WHEN 0 THEN 'WHATSAPP' WHEN 1 THEN 'CALL' ELSE 'SKIP' END AS contact_channel, CAST(round(c_custkey % 7 / 7.0::DOUBLE, 3) AS VARCHAR) AS website_identity_confidence,
       CASE WHEN c_custkey % 3 > 0 THEN 'completed' ELSE 'not_processed' END AS audit_status, c_name AS phone_raw_original, 'unavailable' AS phone_status, 'no_phone' AS whatsapp_status, 'not_checked' AS linkedin_status FROM customer""",
     "lead_orders": "WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS score, c_name, c_custkey * 7919 % 1000 AS p FROM customer) " + " UNION ALL ".join(
-        f"SELECT * FROM (SELECT '{n}' AS ordering, c_custkey FROM c ORDER BY {o} NULLS LAST, c_custkey LIMIT 20)"
-        for n, o in (("score_desc", "score DESC"), ("score_asc", "score"), ("name_asc", "c_name"), ("name_desc", "c_name DESC"), ("processed_desc", "p DESC"), ("row_asc", "c_custkey"))
+        f"SELECT * FROM (SELECT '{n}' AS ordering, c_custkey FROM c ORDER BY {o} LIMIT 20)"
+        for n, o in (
+            ("score_desc", "score DESC NULLS LAST, c_custkey"), ("score_asc", "score NULLS FIRST, c_custkey"), ("name_asc", "c_name, c_custkey"), ("name_desc", "c_name DESC, c_custkey"),
+            ("recent", "p DESC NULLS LAST, c_custkey DESC"), ("row_asc", "c_custkey"),
+        )
     ),
     "lead_counts": "SELECT c_custkey, c_acctbal, (SELECT count(*) FROM customer WHERE c_acctbal >= 0) AS total FROM customer WHERE c_acctbal >= 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 25",
     "lead_detail": "SELECT c_custkey, c_name, (SELECT string_agg(o_orderkey || '/' || o_orderstatus, ',' ORDER BY o_orderkey) FROM orders WHERE o_custkey = 7) AS orders FROM customer WHERE c_custkey = 7",
@@ -479,3 +495,8 @@ ORACLES |= {
       r AS (SELECT k, CAST(round(least(1, c), 3) AS DOUBLE) AS confidence FROM s)
       SELECT k AS c_custkey, confidence, CASE WHEN confidence >= 0.8 THEN 'strong_match' WHEN confidence >= 0.55 THEN 'probable_match' WHEN confidence >= 0.3 THEN 'weak_match' ELSE 'no_match' END AS verdict FROM r""",
 }
+ORACLES |= {
+    "industry_phrases": """SELECT DISTINCT c_mktsegment, CASE c_mktsegment WHEN 'MACHINERY' THEN 'machineries' ELSE lower(c_mktsegment) || ' businesses' END AS phrase FROM customer
+      UNION ALL SELECT * FROM (VALUES ('Plumber', 'plumbers'), ('Bakery Services', 'bakeries'), ('Hair Salon | Spa', 'hair salon businesses'), ('Coach', 'coach businesses'), ('Glass', 'glass businesses'), (NULL, 'local businesses'))""",
+    "job_newest": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 200",
+}

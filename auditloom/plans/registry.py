@@ -130,6 +130,11 @@ _AUDIT = {
     "executive_summary": scoring.executive_summary,
     "lead_tiers": lead_tiers,
     "export_issue_columns": lambda a: scoring.issue_columns(a),
+    "findings_context": scoring.findings_context,
+    "category_shares": scoring.shares,
+    "report_grades": lambda a: scoring.scorecard(a).select("site", "category", scoring.grade(F.col("score")).alias("grade")),
+    "observations": lambda a: reports.observations(scoring.top_problems(a)).drop("line"),
+    "recommended_codes": lambda a: scoring.recommendations(scoring.top_problems(a)).select("site", "rank", "problem_code", "category", "severity"),
 }
 
 
@@ -414,6 +419,18 @@ def identity_scores(spark, sf):
     return table(spark, sf, "customer").select(k, score.alias("confidence")).withColumn("verdict", discovery.verdict(F.col("confidence")))
 
 
+@query
+def industry_phrases(spark, sf):
+    rows = table(spark, sf, "customer").select("c_mktsegment").distinct()
+    more = spark.createDataFrame([("Plumber",), ("Bakery Services",), ("Hair Salon | Spa",), ("Coach",), ("Glass",), (None,)], "c_mktsegment string")
+    return rows.union(more).select("c_mktsegment", reports.industry_phrase(F.col("c_mktsegment")).alias("phrase"))
+
+
+@query
+def job_newest(spark, sf):
+    return leads.newest_jobs(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 500)
+
+
 @query
 def replace_by_key_write(spark, sf):
     old = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")

@@ -110,3 +110,13 @@ FILE_ENDINGS = ['png', 'jpg', 'jpeg', 'gif', 'svg', 'webp', 'ico', 'bmp', 'tiff'
 STREET = r"(?i)\b[0-9]{1,5}\s+[a-z][a-z.\- ]{3,40}\s+(street|st|road|rd|avenue|ave|lane|ln|drive|dr|way|court|ct|boulevard|blvd|place|pl|parade|terrace)\b"
 MAP_LINK = r"(?i)google\.com/maps|maps\.google\.|goo\.gl/maps|g\.page/|business\.google\.com"
 LOCAL_AREA = r"(?i)\b(areas we serve|service areas?|areas covered|locations we serve|our service area)\b"
+TOPICS = {'phone': ['no_phone_cta', 'no_phone_on_site', 'phone_not_on_homepage', 'no_mobile_tap_to_call'],
+ 'mobile': ['missing_viewport', 'viewport_not_responsive', 'fixed_width_layout', 'zoom_disabled', 'small_mobile_text', 'no_mobile_menu'],
+ 'speed': ['slow_response', 'pagespeed_low', 'heavy_page', 'many_scripts', 'perf_render_blocking_scripts', 'perf_no_compression'],
+ 'contact': ['no_contact_form', 'no_contact_page', 'contact_hard_to_find', 'no_email_on_site', 'no_email_cta', 'no_address'],
+ 'action': ['no_primary_cta_above_fold', 'no_booking_cta', 'no_quote_cta', 'weak_cta_language'],
+ 'trust': ['no_testimonials', 'reviews_not_structured', 'no_credentials', 'no_portfolio', 'no_about_page'],
+ 'text': ['very_thin_homepage', 'thin_homepage', 'services_not_clear', 'generic_value_proposition', 'no_service_area', 'no_heading_structure'],
+ 'safety': ['no_https', 'mixed_content'],
+ 'search': ['noindex', 'missing_title', 'title_too_short', 'title_too_long', 'missing_meta_description', 'meta_description_short', 'missing_h1',
+            'multiple_h1', 'missing_sitemap', 'broken_internal_links']}

@@ -58,3 +58,32 @@ def stream_log(spark: SparkSession, path: str, schema, out: str, checkpoint: str
     feed = spark.readStream.schema(schema).parquet(path)
     query = feed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return query.outputMode("append").trigger(availableNow=True).start()
+
+
+def stream_transitions(spark: SparkSession, path: str, schema, out: str, checkpoint: str, key: str = "user_id", status: str = "event_type"):
+    """Starts the streaming form of transitions(): the last status of each key is state, kept over restarts by the checkpoint.
+
+    Within a batch events are taken by ts and event_id; an event that comes after later ones of its
+    key is compared with the status at that point, as a feed would show it.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = {f.name: f.dataType.simpleString() for f in schema}
+    result = f"event_id {kind['event_id']}, {key} {kind[key]}, ts timestamp, from_status string, to_status string"
+
+    def step(k, frames, state):
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        found = []
+        for e, at, s in zip(rows["event_id"], rows["ts"], rows[status]):
+            if last is not None and s != last:
+                found.append((e, k[0], at, last, s))
+            last = s
+        state.update((last,))
+        yield pd.DataFrame(found, columns=["event_id", key, "ts", "from_status", "to_status"])
+
+    feed = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    changes = feed.groupBy(key).applyInPandasWithState(step, result, "last string", "append", GroupStateTimeout.NoTimeout)
+    query = changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return query.outputMode("append").trigger(availableNow=True).start()
