@@ -4,9 +4,10 @@ Windows that repeat at one length alone are extended to about twice that length,
 length asked for is reached or no candidates survive. At the shorter lengths not every window
 is sent: every run of windows that makes up a window of the full length has its least hash as
 its anchor, equal passages have equal anchors, and a full window can repeat only if its anchor
-does. So nothing that repeats is lost, and about a fourteenth of the windows moves. At the shorter
+does. So nothing that repeats is lost, and about a tenth of the windows moves. At the shorter
 lengths a hash of 64 bits can only let too many windows through; what is removed is decided by
-128 bits of the full window. Texts that have to meet their windows again move compressed.
+96 bits of the full window from two independent hashes. Texts that have to meet their windows again
+move compressed, and once for all levels.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from auditloom.llm.hashing import Words, sliding
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def levels(length: int, least: int = 9) -> list[int]:
+def levels(length: int, least: int = 10) -> list[int]:
     """The lengths from the shortest on, each at most twice the one before, up to length."""
     out = [length]
     while (out[0] + 1) // 2 >= least:
@@ -51,18 +52,19 @@ def _candidates(w: Words, level: int, length: int, survivors: np.ndarray | None,
 
 
 def _send(w: Words, level: int, length: int, survivors: np.ndarray | None, before: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words at which the windows to compare at this level begin, and their hashes, one or at the full length two."""
+    """Words at which the windows to compare at this level begin, and their hashes: 64 bits, and at the full length 32 more."""
     alive = _candidates(w, level, length, survivors, before)
     if level == length:
         at = np.flatnonzero(alive)
-        return at, [w.windows(length, family)[0][at] for family in (0, 1)]
+        other = (w.windows(length, 1)[0][at] >> np.uint64(32)).astype(np.uint32)
+        return at, [w.windows(length)[0][at].view(np.int64), other.view(np.int32)]
     h, anchor, _ = _anchored(w, level, length)
     width = length - level + 1
     runs = np.where(alive, anchor, np.uint64(0))
     # a window is the anchor of a run that it stands in if its hash is the run's; runs end where it begins, at the latest
     last = np.concatenate([np.zeros(width - 1, np.uint64), runs])
     at = np.flatnonzero((sliding(last, width, False)[: len(h)] == h) & (h > 0))
-    return at, [h[at]]
+    return at, [h[at].view(np.int64)]
 
 
 def _windows(docs: DataFrame, level: int, length: int, before: int) -> DataFrame:
@@ -90,17 +92,17 @@ def _windows(docs: DataFrame, level: int, length: int, before: int) -> DataFrame
                     [
                         *[b.column(i).take(pick) for i in range(3)],
                         pa.array((at - w.offsets[row]).astype(np.int32)),
-                        *[pa.array(h.view(np.int64)) for h in hashes],
+                        *[pa.array(h) for h in hashes],
                     ],
                     names=["doc_id", "t", "copied", "pos", *keys],
                 )
                 done += len(lot)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, t bigint, copied boolean, pos int, " + ", ".join(f"{k} bigint" for k in keys))
+    return docs.mapInArrow(run, f"doc_id {kind}, t bigint, copied boolean, pos int, " + ", ".join(f"{k} {t}" for k, t in keys.items()))
 
 
-def _keys(last: bool) -> list[str]:
-    return ["h", "g"] if last else ["h"]
+def _keys(last: bool) -> dict[str, str]:
+    return {"h": "bigint", "g": "int"} if last else {"h": "bigint"}
 
 
 def _repeated(windows: DataFrame, last: bool) -> DataFrame:
@@ -114,7 +116,7 @@ def _repeated(windows: DataFrame, last: bool) -> DataFrame:
         windows.groupBy(*keys)
         .agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n"))
         .filter("n > 1")
-        .select(*[dealt_anew(F.col(k)).alias(f"_{k}") for k in keys])
+        .select(dealt_anew(F.col("h")).alias("_h"), *[F.col(k).alias(f"_{k}") for k in keys if k != "h"])
     )
     same = F.col("h") == F.col("_h")
     return (
@@ -155,7 +157,7 @@ def _movable(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t bigint, text binary")
 
 
-def repeated_windows(docs: DataFrame, length: int, least: int = 9) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, length: int, least: int = 10) -> tuple[DataFrame, DataFrame]:
     """The texts (doc_id, t, text packed), and rows (_d, _t, at, copied) of texts with repeated windows.
 
     at has the first words of these windows; of a copied text all windows repeat, and at is null.
@@ -190,13 +192,13 @@ def _same(t: str, d: str, t2: str, d2: str):
     return (F.col(t) == F.col(t2)) & F.col(d).eqNullSafe(F.col(d2))
 
 
-def substring_dedup(docs: DataFrame, length: int = 35, least: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 35, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; a null or empty text has none. Each word covered by a
     window of length words whose word sequence also starts anywhere else, in the same text or
     another, is removed; windows are judged on the input, so no copy stays. Windows of the full length
-    are compared by two independent 64-bit hashes of their words, and whole texts likewise. Repeated
+    are compared by 96 bits of two independent hashes of their words, and whole texts by 128. Repeated
     rows are copies of each other; rows that share an id or have none are told apart by their text.
     Texts under length words stay whole, and long ones are read whole. Further columns are not read.
     An empty table gives an empty result.
