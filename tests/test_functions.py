@@ -207,6 +207,8 @@ def test_mapping_and_leads(spark, tmp_path):
     assert rows.filter("_extra_columns <> ''").first()["_extra_columns"] == "extra | more"
     mapping = ingest.assign(ingest.mapping_scores(rows.drop("_extra_columns")), rows.columns)
     assert mapping["business_name"] == "Business Name" and mapping["phone"] == "Phone_Number" and mapping["website"] == "Web" and mapping["rating"] == "Ratng"
+    review = ingest.suggestion(ingest.mapping_scores(rows.drop("_extra_columns")), rows.columns)
+    assert review["mapping"] == mapping and not review["missing_required"] and "notes" in review["unmapped"] and review["confidence"]["business_name"] >= 0.7 and set(review["evidence"]) == set(mapping)
     keys = [r["dedup_key"] for r in ingest.typed(rows, mapping).collect()]
     assert keys == ["site:acme.com", "site:acme.com", "name:two lines|"]
     delimited.write_delimited(rows, str(tmp_path / "out"))
@@ -229,6 +231,13 @@ def test_discovery(spark):
     assert values(spark, d.sitemap_of(F.col("x")), "User-agent: *\nSitemap: https://a.com/s.xml\n", "none") == ["https://a.com/s.xml", None]
     speed = values(spark, d.page_speed(F.col("x")), '{"lighthouseResult": {"categories": {"performance": {"score": 0.345}}, "audits": {"largest-contentful-paint": {"numericValue": 2510}}}}', "{}")
     assert speed[0]["score"] == 34 and speed[0]["lcp"] == 2.51 and speed[1]["score"] is None
+    audits_ = ", ".join(f'"a{i}": {{"title": "T{i}", "details": {{"type": "opportunity", "overallSavingsMs": {100 * i}}}}}' for i in range(12)) + ', "b": {"title": "B", "details": {"type": "table", "overallSavingsMs": 9000}}'
+    full = values(spark, d.page_speed(F.col("x")), f'{{"loadingExperience": {{"overall_category": "SLOW"}}, "lighthouseResult": {{"audits": {{{audits_}}}}}}}')[0]
+    assert [x["savings_ms"] for x in full["opportunities"]] == [1100, 1000, 900, 800, 700, 600] and full["field_category"] == "SLOW"
+    errors = values(spark, d.exception_error(F.col("x"), F.col("y")), ("timeout", ""), ("connect", "SSL: bad certificate"), ("connect", "getaddrinfo failed"), ("connect", "refused"), ("redirects", ""), ("other", ""))
+    assert [(r["code"], r["retryable"]) for r in errors] == [("timeout", True), ("ssl_error", False), ("dns_failure", False), ("connection_error", True), ("redirect_loop", False), ("fetch_failed", False)]
+    assert values(spark, d.sitemap_found(F.col("x"), F.col("y")), ("Sitemap: https://a.com/s", None), ("", "<urlset>"), ("", "none"), (None, None)) == [True, True, False, False]
+    assert values(spark, d.goes_on_to_guesses(F.col("x")), "", "n/a", "a.com") == [True, True, False]
 
 
 def test_links_keep_their_texts(spark):
@@ -295,8 +304,15 @@ def test_reports_and_drafts(spark, found):
 
     page = {r["site"]: r["text"] for r in reports.reports(found).collect()}
     assert "<ol><li>" in page["poor"] and "P1" in page["poor"] and "<script" not in page["poor"] and "/100" in page["good"]
-    d = reports.drafts(scoring.top_problems(found), F.upper("site")).filter("site = 'poor'").first()
-    assert "POOR" in d["subject"] and len(d["based_on"]) == 2 and d["message"].count("\n") == 2
+    seen = reports.observations(scoring.top_problems(found))
+    made = reports.drafts(seen, F.upper("site"), {"sender_name": "Ann", "offer": "I mend sites"}).filter("site = 'poor'").collect()
+    assert {(r["channel"], r["variant"]) for r in made} == {("email", "initial"), ("email", "follow_up"), ("whatsapp", "initial"), ("whatsapp", "follow_up"), ("linkedin", "initial"), ("call", "initial")}
+    mail = next(r for r in made if r["channel"] == "email" and r["variant"] == "initial")
+    assert "POOR" in mail["subject"] and mail["message"].endswith("Ann") and "I mend sites" in mail["message"] and len(mail["based_on"]) == 2
+    with pytest.raises(ValueError, match="offer"):
+        reports.drafts(seen, F.col("site"), {"sender_name": "Ann"})
+    rows = found.select(F.explode("findings").alias("f")).filter("f.code = 'no_mobile_tap_to_call'").select(scoring.evidence_rows(F.col("f.evidence")).alias("e")).collect()
+    assert [tuple(x) for x in rows[0]["e"]] == [("pages", "1"), ("found elsewhere", "No")]
     assert values(spark, reports.mail_link(F.col("x"), F.lit("a b"), F.lit("c&d")), "j@s.com", "") == ["mailto:j@s.com?subject=a%20b&body=c%26d", None]
     assert values(spark, discovery.parked(F.col("x")), "This domain is for sale", "x" * 300) == [["for sale", "short"], []]
     direct = values(spark, discovery.direct(F.col("x"), F.col("y"), F.lit(None).cast("string")), ("a.com", "https://a.com/"), ("a.com", "https://b.com/"))

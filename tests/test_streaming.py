@@ -22,3 +22,27 @@ def test_stream_equals_batch(spark):
     # only windows that the watermark has not passed are still open
     last = max(r[0] for r in batch)
     assert all((last - r[0]).total_seconds() <= 86_400 + 3_600 for r in batch - out)
+
+
+def test_transitions_over_restarts(spark):
+    """Two runs of the stream, each with later files, give what one query over all events gives."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows = table(spark, SF, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).filter("user_id % 5 = 0")
+    half = rows.approxQuantile("event_id", [0.5], 0.0)[0]
+    order = rows.withColumn("ts", F.timestamp_seconds("event_id"))  # later ids are later events
+    for part in (order.filter(F.col("event_id") <= half), order.filter(F.col("event_id") > half)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        query = events.stream_transitions(spark, f"{folder}/in", order.schema, f"{folder}/out", f"{folder}/checkpoint")
+        query.awaitTermination(120)
+    out = {tuple(r) for r in spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "from_status", "to_status").collect()}
+    batch = {tuple(r) for r in events.transitions(order, "user_id", "event_type").select("event_id", "user_id", "from_status", "to_status").collect()}
+    assert out == batch and out
+
+
+def test_a_log_is_appended_once(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows = table(spark, SF, "events")
+    for _ in range(2):
+        rows.limit(50).write.mode("append").parquet(f"{folder}/in")
+        events.stream_log(spark, f"{folder}/in", rows.schema, f"{folder}/out", f"{folder}/checkpoint").awaitTermination(120)
+    assert spark.read.parquet(f"{folder}/out").count() == 100
