@@ -387,3 +387,55 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         if n:
             want[r[0], len(ids), sha(" ".join(map(str, ids))), sha(r[1])] += n
     assert got == want and sum(want.values()) > 50
+
+
+def test_values_of_edge_rows(spark):
+    """Nulls, empty and white texts, repeated rows, a null id, a very long text and clashing names: every operator's values, row by row."""
+    import zlib
+
+    import test_llm
+
+    docs, rows = test_llm.edge(spark), [(x[0], x[1] or "", x[3]) for x in test_llm.EDGE]
+    flat = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    of = lambda key: {k: [r for r in rows if key(r) == k] for k in {key(r) for r in rows}}
+    least = lambda group: min((r[0] for r in group if r[0] is not None), default=None)
+
+    same = of(lambda r: flat(r[1]))
+    want = Counter((i, least(same[flat(t)]), len(same[flat(t)]), i == least(same[flat(t)]), sha(flat(t))) for i, t, _ in rows)
+    assert Counter(map(tuple, exact_dedup.exact_dedup(docs).collect())) == want
+
+    out = line_dedup.line_dedup(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()) == Counter((i, t, t.count("\n") + 1, 0) for i, t, _ in rows)
+
+    count = Counter(tuple(w[k : k + 35]) for _, t, _ in rows for w in [words(t)] for k in range(len(w) - 34))
+    want = Counter()
+    for i, t, _ in rows:
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(35)}
+        want[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    assert Counter(map(tuple, substring_dedup.substring_dedup(docs).collect())) == want
+
+    own, _ = classes([t for _, t, _ in rows], near_dedup.FREQUENT)
+    members = defaultdict(list)
+    for r, c in zip(rows, own):
+        members[c].append(r)
+    want = Counter((r[0], least(members[c]), len(members[c]), r[0] == least(members[c])) for r, c in zip(rows, own))
+    assert Counter(map(tuple, near_dedup.near_duplicates(docs).collect())) == want
+
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    for r in mixing.mix(docs).collect():
+        assert (r["size"], r["source_size"]) in {(len(words(t)), sizes[r["source"]]) for i, t, s in rows if i == r["doc_id"] and s == r["source"]}
+        assert r["taken"] == r["times"] * r["size"] and 0 <= r["times"] <= 2
+
+    want = Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t, _ in rows)
+    shards = sharding.shard_equal_texts(docs).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in shards) == want
+    assert {r["law"] for r in shards} == {"bytes"} and {r["grown_shard"] for r in shards} == {None}
+
+    scores = defaultdict(set)
+    for r in crf_quality.score(docs, crf_quality.fit(["good text here.", "##$$%%"], [1, 0])).collect():
+        scores[r["doc_id"]].add((r["score"], r["predicted"], r["held_out"]))
+    assert scores[4] and {s for s, _, _ in scores[4]} == {s for s, _, _ in scores[5]} and {h for _, _, h in scores[None]} == {None}
