@@ -500,3 +500,8 @@ ORACLES |= {
       UNION ALL SELECT * FROM (VALUES ('Plumber', 'plumbers'), ('Bakery Services', 'bakeries'), ('Hair Salon | Spa', 'hair salon businesses'), ('Coach', 'coach businesses'), ('Glass', 'glass businesses'), (NULL, 'local businesses'))""",
     "job_newest": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 200",
 }
+ORACLES["page_parse_full"] = f"""SELECT page_id, {_TITLE} AS title, regexp_extract(html, '(?i)<html[^>]*\\blang="([^"]*)"', 1) AS lang, CAST(len({_heads(1)}) AS INTEGER) AS h1,
+  CAST(len(list_filter({_HREFS}, lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(#|(mailto|tel|javascript|data|sms|whatsapp|callto):)'))) AS INTEGER) AS links,
+  CAST(len(regexp_extract_all({_TEXT}, '[^ ]+')) AS INTEGER) AS words, CAST(len(regexp_extract_all(html, '(?i)<img\\b')) AS INTEGER) AS images,
+  CAST(len(list_filter({_LINK_TEXTS}, lambda x: x = '')) AS INTEGER) AS empty_links, CAST(len(list_filter(regexp_extract_all(html, '(?i)<script[^>]*src=[^>]*>'), lambda x: NOT regexp_matches(x, 'async|defer|module'))) AS INTEGER) AS blocking,
+  regexp_matches(html, '(?i)<nav\\b') AS has_nav, regexp_matches(html, '(?i)<main\\b|role="main"') AS has_main, md5({_TEXT}) AS digest FROM pages"""

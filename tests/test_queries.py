@@ -3,13 +3,22 @@
 import compare
 import pytest
 
+from auditloom.plans import registry
 from auditloom.plans.oracles import ORACLES
 from auditloom.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: Queries over audits; these are audited once for all of them, and a few run as they are registered.
+AUDITS = {prefix + name for prefix in ("", "made_up_") for name in registry._AUDIT}
+WHOLE = {"premium_scorecard", "made_up_findings_all"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.fixture(scope="module")
+def audited(spark):
+    return {"": registry._audits(spark, SF).persist(), "made_up_": registry._made_up(spark, SF).persist()}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - AUDITS | WHOLE))
 def test_query(spark, name):
     found = QUERIES[name](spark, SF)
     if name in ORACLES:
@@ -18,6 +27,13 @@ def test_query(spark, name):
         assert found.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(AUDITS - WHOLE))
+def test_query_over_audits(spark, audited, name):
+    prefix = "made_up_" if name.startswith("made_up_") else ""
+    found = registry._AUDIT[name.removeprefix(prefix)](audited[prefix])
+    assert not compare.differences(found, compare.database(SF), ORACLES[name])
+
+
 def test_entry_points_agree():
     import __spark_entry__ as entry
 
