@@ -56,7 +56,8 @@ def frontier(graph: DataFrame, max_depth: int = 2, max_pages: int = 12) -> DataF
         seen = seen.unionByName(level)
     taken = seen.filter("depth > 0 AND type <> 'homepage'")
     first = F.row_number().over(Window.partitionBy("site", "type").orderBy("depth", "found", "key"))
-    per_type = taken.withColumn("_n", first).filter((F.col("_n") == 1) | ((F.col("type") == "other") & (F.col("_n") < max_pages))).drop("_n")
+    # the first limit is taken before the shuffle, too
+    per_type = taken.withColumn("_n", first).filter(F.col("_n") < max_pages).filter((F.col("_n") == 1) | (F.col("type") == "other")).drop("_n")
     rank = F.row_number().over(Window.partitionBy("site").orderBy(priority(F.col("type")), "depth", "found", "key"))
     return per_type.withColumn("rank", rank).filter(F.col("rank") < max_pages).drop("found")
 
