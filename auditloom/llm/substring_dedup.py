@@ -164,7 +164,8 @@ def repeated_windows(docs: DataFrame, length: int, least: int = 10) -> tuple[Dat
     After the first level one of the copies of a text is compared for all of them.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = _movable(docs)
+    # no t is null; the filter is what the inner joins below would add, so that all joins share one exchange of the texts
+    texts = _movable(docs).filter("t IS NOT NULL")
     copies = cut(_copies(docs))
     every = copies.select(F.col("_id").alias("_d"), F.col("_x").alias("_t"), F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("copied"))
     found, before = None, 0
