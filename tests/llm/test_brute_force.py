@@ -239,12 +239,29 @@ def classes(texts, floor=0.0):
     return [find(i) for i in range(len(texts))], links
 
 
-@pytest.mark.parametrize("sf, floor", [("sf0.001", 0.0), ("sf0.01", near_dedup.FREQUENT)])
-def test_near_duplicates_of_documents(spark, sf, floor):
-    """All pairs of the table; those of the smallest one by plain TF-IDF, without the floor of document frequencies."""
+def test_few_texts_have_plain_weights(spark):
+    """Up to 1 / FREQUENT texts the floor of document frequencies changes nothing: the classes are those of plain TF-IDF."""
+    r = random.Random(8)
+    texts = []
+    for k in range(10):
+        base = [f"w{k}x{i}" for i in range(100)]
+        for j in range(4):
+            copy = list(base)
+            for at in r.sample(range(100), j):
+                copy[at] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    assert len(texts) <= 1 / near_dedup.FREQUENT
+    own, links = classes(texts, 0.0)
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(own)) and links and len(set(own)) >= 10
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_duplicates_of_documents(spark, sf):
+    """All pairs of the tables, with the floor of document frequencies."""
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").orderBy("doc_id")
     rows = docs.select("doc_id", "text").collect()
-    own, _ = classes([r["text"] or "" for r in rows], floor)
+    own, _ = classes([r["text"] or "" for r in rows], near_dedup.FREQUENT)
     want = {r["doc_id"]: rows[c]["doc_id"] for r, c in zip(rows, own)}
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
     pairs = lambda f: {(a, f[a]) for a in f if f[a] != a}
