@@ -49,14 +49,20 @@ def packed(docs: DataFrame, **more: Column) -> DataFrame:
 def rows_that_stay(docs: DataFrame, stays: DataFrame, row_id: Column, sha: Column) -> DataFrame:
     """The rows of docs whose id and digest of the text are in stays (_id, _sha), with all their columns: one row for each.
 
-    stays has no row twice. Rows that repeat an id and a digest meet after each task has kept one
-    of its own; the one with the least hash of its columns stays. As a struct, a null id is a value like others.
+    stays has no row twice. Only its rows are looked for, and only where several have one id and digest
+    do they meet: the one with the least hash of its columns stays, after each task has kept one of
+    its own. As a struct, a null id is a value like others.
     """
     hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    rows = packed(docs, _key=F.struct(row_id.alias("id"), sha.alias("sha")), _h=F.xxhash64(*hashed))
-    once = rows.groupBy("_key").agg(F.min_by("row", "_h").alias("row"))
-    wanted = stays.select(F.struct(F.col("_id").alias("id"), F.col("_sha").alias("sha")).alias("_stay"))
-    return once.join(wanted, F.col("_key") == F.col("_stay"), "left_semi").select("row.*")
+    key = F.struct(row_id.alias("id"), sha.alias("sha"))
+    counts = docs.select(key.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    stay = F.struct(F.col("_id").alias("id"), F.col("_sha").alias("sha"))
+    wanted = counts.join(stays.select(stay.alias("_stay")), F.col("_key") == F.col("_stay"), "left_semi")
+    fresh = F.concat("_key.sha", F.substring("_key.sha", 1, 0))  # as dealt_anew() does for numbers
+    wanted = wanted.select(F.struct(F.col("_key.id").alias("id"), fresh.alias("sha")).alias("_stay"), "_n")
+    rows = packed(docs, _key=key, _h=F.xxhash64(*hashed)).join(wanted, F.col("_key") == F.col("_stay"))
+    again = rows.filter("_n > 1").groupBy("_key").agg(F.min_by("row", "_h").alias("row"))
+    return rows.filter("_n = 1").select("row.*").union(again.select("row.*"))
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -31,3 +31,14 @@ def test_near_copies_of_one_id(spark):
     out = [(r["doc_id"], r["text"]) for r in near_dedup.keep_one(docs).collect()]
     assert sorted(i for i, _ in out if i is not None) == [4, 9] and (9, B) in out
     assert sum(t.startswith(C) for _, t in out) == 1 and (None, D) in out and len(out) == 4
+
+
+def test_near_copies_without_ids(spark):
+    """Each row without an id meets its own text only: so many rows are joined as there are texts, and one stays."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(None, " ".join(base[:k] + [f"new{k}"] + base[k + 1 :])) for k in range(0, 400, 5)]
+    docs = spark.createDataFrame(rows + [(None, A)], "doc_id long, text string")
+    out = near_dedup.near_duplicates(docs).collect()
+    assert sorted(r["class_size"] for r in out) == [1] + [len(rows)] * len(rows)
+    kept = [r["text"] for r in near_dedup.keep_one(docs).collect()]
+    assert len(kept) == 2 and A in kept
