@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and the SQL of those that SQL can express."""
+"""The queries op1 to op13 and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import bpe, chat, crf_quality, exact_dedup, line_dedup, mixing, near_dedup, sharding, substring_dedup, weak_rules
+from auditloom.llm import bpe, chat, crf_quality, exact_dedup, fill_middle, line_dedup, mixing, near_dedup, ngram_lm, sharding, spelling, substring_dedup, weak_rules
 from auditloom.llm.common import table
 
 
@@ -59,11 +59,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
+def op12_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_shard_by_label_propagation, op2_chat_format, op3_crf_quality, op4_exact_dedup, op5_mix_sources,
         op6_minhash_near_dedup, op7_weak_quality_rules, op8_substring_dedup, op9_byte_bpe, op10_line_dedup,
+        op11_spelling_variants, op12_interpolated_lm, op13_fill_in_middle,
     )
 }
 
@@ -73,4 +89,6 @@ ORACLES = {
     "op5_mix_sources": mixing.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
+    "op13_fill_in_middle": fill_middle.ORACLE,
 }
