@@ -318,3 +318,18 @@ def test_reports_and_drafts(spark, found):
     direct = values(spark, discovery.direct(F.col("x"), F.col("y"), F.lit(None).cast("string")), ("a.com", "https://a.com/"), ("a.com", "https://b.com/"))
     assert [(r["status"], r["verdict"]) for r in direct] == [("valid", "explicit_url"), ("redirected", "explicit_url")]
     assert len(set(values(spark, reports.pick(F.col("x"), ["a", "b"]), *map(str, range(20))))) == 2
+
+
+def test_very_many_pages_of_a_site(spark, monkeypatch):
+    """A site of 100000 pages gathers under twice the characters that the rules look at, the first of them in page order."""
+    kept = []
+    real = rules._by_range
+    monkeypatch.setattr(rules, "_by_range", lambda *a: kept.append(real(*a)) or kept[-1])
+    html = "concat('<html><body><h1>Page</h1>text of page ', 100000 - id, repeat(' and more', int(id % 3)), '</body></html>')"
+    site = spark.range(100_000).selectExpr("if(id % 50000 = 7, 'small', 'large') as site", "100000 - id as page_id", "concat('https://x.test/', id) as url", f"{html} as html")
+    out = {r["site"]: r for r in rules.facts(pages.parse(site.repartition(8))).select("site", "pages", "blob").collect()}
+    size = {r["site"]: r["n"] for r in kept[0].groupBy("site").agg(F.sum(F.length("lead")).alias("n")).collect()}
+    assert out["large"]["pages"] == 99_998 and size["large"] < 2 * pages.LEAD
+    texts = [f"page text of page {p}" + " and more" * ((100_000 - p) % 3) for p in range(1, 4_000) if (100_000 - p) % 50_000 != 7]
+    assert out["large"]["blob"] == " ".join(texts)[: pages.LEAD]
+    assert out["small"]["blob"].startswith("page text of page 49993")
