@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.functions import lexicons as lx
 from auditloom.functions import text, urls
 
 
@@ -92,18 +93,17 @@ def direct(raw: Column, final_url: Column, error: Column) -> Column:
     return F.struct(status.alias("status"), F.when(ok, 1.0).alias("confidence"), F.when(ok, "explicit_url").alias("verdict"))
 
 
-#: Wordings of pages on domains that nobody uses, in own choice.
-PARKED = {
-    "domain is for sale": "for sale", "buy this domain": "for sale", "domain parking": "parked", "parked free": "parked", "this domain is parked": "parked",
-    "coming soon": "not built yet", "under construction": "not built yet", "default web page": "server default", "welcome to nginx": "server default", "account suspended": "suspended",
-}
+def parked(title: Column, body: Column) -> Column:
+    """The notes on a page that is parked or unfinished, in the order of lexicons.PARKED.
 
-
-def parked(body: Column) -> Column:
-    """The signs that a page is parked, as an array of notes: wordings, and a text under 200 characters."""
-    low = F.lower(F.coalesce(body, F.lit("")))
-    notes = [F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in PARKED.items()]
-    return F.array_distinct(F.array_compact(F.array(*notes, F.when(F.length(F.trim(low)) < 200, F.lit("short")))))
+    Wordings are looked for in the title and the first 4000 characters of the text; a page without any whose text
+    has under 200 characters is noted as almost empty. Null counts as empty.
+    """
+    text = F.coalesce(body, F.lit(""))
+    low = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(text, 1, 4000)))
+    notes = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in lx.PARKED.items()]))
+    short = F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) < 200
+    return F.when((F.size(notes) == 0) & short, F.array(F.lit(lx.EMPTY_PAGE))).otherwise(notes)
 
 
 def website_status(raw: Column, final_url: Column, error: Column, confidence: Column) -> Column:

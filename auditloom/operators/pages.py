@@ -308,8 +308,8 @@ def _arrow(kind: str) -> pa.DataType:
     return pa.struct([(n, _arrow(t)) for n, t in (x.split(":") for x in kind[7:-1].split(","))])
 
 
-def parse(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with the columns of FIELDS in place of their html, bytes, the html's length, and lead. No row moves.
+def parse(pages: DataFrame, html_col: str = "html", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """pages with the columns of FIELDS (or those of fields alone) in place of their html, bytes, the html's length, and lead. No row moves.
 
     lead is the text of the pages that can be among the first LEAD characters of their site (by the columns
     site and page_id, where pages has them), else null: pages of a batch behind others of their site that
@@ -317,7 +317,9 @@ def parse(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """
     keep = [f for f in pages.schema if f.name != html_col]
     names = [f.name for f in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["bytes int"] + [f"{k} {t}" for k, t in FIELDS.items()] + ["lead string"])
+    wanted = {k: t for k, t in FIELDS.items() if fields is None or k in fields}
+    more = ["bytes int"] + [f"{k} {t}" for k, t in wanted.items()] + (["lead string"] if fields is None else [])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + more)
     by_site = "site" in names and "page_id" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,11 +329,14 @@ def parse(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 html = part.column(part.num_columns - 1).to_pylist()
                 rows = [read_html(h) for h in html]
                 cols = [part.column(i) for i in range(len(keep))] + [pa.array([len(h or "") for h in html], pa.int32())]
-                cols += [pa.array([r[k] for r in rows], _arrow(t)) for k, t in FIELDS.items()]
+                cols += [pa.array([r[k] for r in rows], _arrow(t)) for k, t in wanted.items()]
+                if fields is not None:
+                    yield pa.RecordBatch.from_arrays(cols, names=names + ["bytes", *wanted])
+                    continue
                 lead = [r["text"][:LEAD] for r in rows]
                 if by_site:
                     lead = _leading(lead, part.column(names.index("site")).to_pylist(), part.column(names.index("page_id")).to_pylist())
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(lead, pa.string())], names=names + ["bytes", *FIELDS, "lead"])
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(lead, pa.string())], names=names + ["bytes", *wanted, "lead"])
 
     return pages.select(*names, html_col).mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
 
-_SPEED = lx.CARD_CODES["performance"]
+_SPEED = [k for k, v in lx.CARD_CATEGORY.items() if v == "performance"]
 
 
 def severity_rank(severity: Column) -> Column:
@@ -23,10 +23,8 @@ def display_category(f: Column) -> Column:
 
 
 def card_category(f: Column) -> Column:
-    out = F.when(f["check"].isin(lx.UX_CHECKS), F.lit("ux_conversion")).otherwise(f["check"])
-    for category, codes in lx.CARD_CODES.items():
-        out = F.when(f["code"].isin(codes), F.lit(category)).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in lx.CARD_CATEGORY.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, f["code"]), f["check"])
 
 
 def priority(severity: Column, deduction: Column) -> Column:

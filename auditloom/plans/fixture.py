@@ -106,3 +106,13 @@ def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('site', k, '.test') AS domain", "CASE WHEN k % 5 < 2 THEN array('mx1.test') ELSE cast(array() AS array<string>) END AS mx", "k % 5 = 2 AS has_a",
         "CASE k % 5 WHEN 3 THEN 'nxdomain' WHEN 4 THEN 'timeout' END AS error",
     )
+
+
+def placeholders(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows (of, id, title, text), one for each customer: pages that nobody has built yet, some of them almost empty."""
+    says = """CASE k % 13 WHEN 0 THEN 'This Domain is FOR SALE' WHEN 1 THEN 'Buy this domain. Coming soon' WHEN 2 THEN 'Under  construction' WHEN 3 THEN 'under construction'
+      WHEN 4 THEN 'Site is temporarily unavailable' WHEN 5 THEN 'Default Web Page' WHEN 6 THEN 'Apache2 Ubuntu Default Page' WHEN 7 THEN 'Future home of something quite cool'
+      WHEN 8 THEN 'this domain is parked, buy this domain: the domain is for sale' WHEN 9 THEN 'godaddy.com' WHEN 10 THEN repeat('long ', 800) || 'coming soon' ELSE '' END"""
+    rows = table(spark, sf, "customer").selectExpr("c_custkey AS id", "c_custkey AS k")
+    title = "CASE k % 7 WHEN 0 THEN 'Welcome to nginx!' WHEN 1 THEN NULL ELSE 'Title' END"
+    return rows.selectExpr("'made up' AS of", "id", f"{title} AS title", f"concat({says}, repeat('  word', int(k % 60)))  AS text")

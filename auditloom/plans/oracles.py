@@ -227,11 +227,8 @@ _F = _findings()
 #: The same of the made-up sites.
 _X = fixture_sql.FINDINGS + ", au AS (SELECT site, applies AS local_applies, CASE WHEN k % 2 = 1 THEN speed END AS speed FROM s)"
 _RANK = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
-_DISPLAY = f"CASE WHEN code IN {_in(lx.CARD_CODES['performance'])} THEN 'performance' ELSE check_name END"
-_CARD = (
-    "CASE " + " ".join(f"WHEN code IN {_in(v)} THEN '{k}'" for k, v in lx.CARD_CODES.items())
-    + f" WHEN check_name IN {_in(lx.UX_CHECKS)} THEN 'ux_conversion' ELSE check_name END"
-)
+_CARD = f"coalesce(map_from_entries([{', '.join(f'{p!r}' for p in lx.CARD)}])[code], check_name)"
+_DISPLAY = f"CASE WHEN {_CARD} = 'performance' THEN 'performance' ELSE check_name END"
 _PRIORITY = "CASE WHEN severity = 'high' OR deduction >= 20 THEN 'P1' WHEN severity = 'medium' OR deduction >= 10 THEN 'P2' ELSE 'P3' END"
 
 
@@ -505,3 +502,13 @@ ORACLES["page_parse_full"] = f"""SELECT page_id, {_TITLE} AS title, regexp_extra
   CAST(len(regexp_extract_all({_TEXT}, '[^ ]+')) AS INTEGER) AS words, CAST(len(regexp_extract_all(html, '(?i)<img\\b')) AS INTEGER) AS images,
   CAST(len(list_filter({_LINK_TEXTS}, lambda x: x = '')) AS INTEGER) AS empty_links, CAST(len(list_filter(regexp_extract_all(html, '(?i)<script[^>]*src=[^>]*>'), lambda x: NOT regexp_matches(x, 'async|defer|module'))) AS INTEGER) AS blocking,
   regexp_matches(html, '(?i)<nav\\b') AS has_nav, regexp_matches(html, '(?i)<main\\b|role="main"') AS has_main, md5({_TEXT}) AS digest FROM pages"""
+
+_SAYS = """CASE k % 13 WHEN 0 THEN 'this domain is for sale' WHEN 1 THEN 'buy this domain. coming soon' WHEN 3 THEN 'under construction' WHEN 4 THEN 'site is temporarily unavailable' WHEN 5 THEN 'default web page'
+  WHEN 6 THEN 'apache2 ubuntu default page' WHEN 7 THEN 'future home of something quite cool' WHEN 8 THEN 'this domain is parked, buy this domain: the domain is for sale' ELSE '' END"""
+_NOTES = ", ".join(f"CASE WHEN contains(t, '{k}') THEN '{v.replace(chr(39), chr(39) * 2)}' END" for k, v in lx.PARKED)
+_LENGTH = """CASE k % 13 WHEN 0 THEN 23 WHEN 1 THEN 28 WHEN 2 THEN 18 WHEN 3 THEN 18 WHEN 4 THEN 31 WHEN 5 THEN 16 WHEN 6 THEN 27 WHEN 7 THEN 35 WHEN 8 THEN 62 WHEN 9 THEN 11 WHEN 10 THEN 4011 ELSE 0 END"""
+ORACLES["parked_pages"] = f"""WITH r AS (
+    SELECT 'page' AS of, page_id AS id, lower(title || ' ' || substr(text, 1, 4000)) AS t, length(text) AS n FROM (SELECT page_id, {_TITLE} AS title, {_TEXT} AS text FROM pages)
+    UNION ALL SELECT 'made up', k, CASE WHEN k % 7 = 0 THEN 'welcome to nginx! ' ELSE '' END || {_SAYS}, {_LENGTH} + 5 * (k % 60) - CASE WHEN k % 13 > 10 AND k % 60 > 0 THEN 1 ELSE 0 END FROM (SELECT c_custkey AS k FROM customer)),
+  m AS (SELECT of, id, n, array_to_string(list_filter([{_NOTES}], lambda x: x IS NOT NULL), '|') AS notes FROM r)
+  SELECT of, id, CASE WHEN notes = '' AND n < 200 THEN 'The page contains almost no content.' ELSE notes END AS notes FROM m"""

@@ -49,7 +49,7 @@ def registrable_domains(spark, sf):
 
 @query
 def page_links(spark, sf):
-    rows = frontier.links(pages.parse(table(spark, sf, "pages")))
+    rows = frontier.links(pages.parse(table(spark, sf, "pages"), fields=("links",)))
     return rows.select("page_id", "pos", "href", "target", urls.classify_page(F.col("target"), F.col("text")).alias("page_type"))
 
 
@@ -69,7 +69,8 @@ def page_text_stats(spark, sf):
 
 @query
 def page_parse_full(spark, sf):
-    p = pages.parse(table(spark, sf, "pages"))
+    asked = ("title", "lang", "h1", "links", "words", "images", "empty_links", "blocking", "has_nav", "has_main", "text")
+    p = pages.parse(table(spark, sf, "pages"), fields=asked)
     return p.select("page_id", "title", "lang", F.size("h1").alias("h1"), F.size("links").alias("links"), "words", "images", "empty_links", "blocking", "has_nav", "has_main", F.md5("text").alias("digest"))
 
 
@@ -81,7 +82,7 @@ def duplicate_titles(spark, sf):
 
 def _graph(spark, sf):
     sites = table(spark, sf, "pages").withColumn("site", urls.site_key(F.col("url")))
-    return frontier.edges(frontier.links(pages.parse(sites)))
+    return frontier.edges(frontier.links(pages.parse(sites, fields=("links",))))
 
 
 @query
@@ -419,6 +420,14 @@ def identity_scores(spark, sf):
     return table(spark, sf, "customer").select(k, score.alias("confidence")).withColumn("verdict", discovery.verdict(F.col("confidence")))
 
 
+@query
+def parked_pages(spark, sf):
+    """The notes on all pages, and on placeholders made up from the customers, whose wordings the pages do not have."""
+    p = pages.parse(table(spark, sf, "pages"), fields=("title", "text")).select(F.lit("page").alias("of"), F.col("page_id").alias("id"), "title", "text")
+    rows = p.unionByName(fixture.placeholders(spark, sf))
+    return rows.select("of", "id", F.array_join(discovery.parked(F.col("title"), F.col("text")), "|").alias("notes"))
+
+
 @query
 def industry_phrases(spark, sf):
     rows = table(spark, sf, "customer").select("c_mktsegment").distinct()

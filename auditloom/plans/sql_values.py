@@ -84,15 +84,66 @@ CHECKS = [('https', 'security', ['no_https']), ('mixed_content', 'security', ['m
  ('local_hours', 'local_seo', ['local_no_opening_hours']), ('local_reviews', 'local_seo', ['local_no_reviews_or_testimonials']),
  ('local_reviews_structured', 'local_seo', ['local_reviews_not_structured']), ('local_name_consistency', 'local_seo', ['local_name_mismatch'])]
 NOT_VERIFIED = [('color_contrast', 'accessibility'), ('backlink_profile', 'offpage'), ('domain_authority', 'offpage')]
-CARD_CODES = {'technical': ['noindex', 'missing_sitemap', 'missing_robots', 'broken_internal_links', 'long_redirect_chain'],
- 'security': ['no_https', 'mixed_content'],
- 'onpage': ['missing_title', 'title_too_short', 'title_too_long', 'missing_meta_description', 'meta_description_short', 'missing_h1', 'multiple_h1',
-            'missing_canonical', 'generic_value_proposition', 'no_heading_structure', 'very_thin_homepage', 'thin_homepage', 'services_not_clear',
-            'no_service_area'],
- 'accessibility': ['missing_lang', 'low_alt_coverage'],
- 'performance': ['slow_response', 'heavy_page', 'many_scripts', 'pagespeed_low'],
- 'offpage': ['no_social_presence_linked']}
-UX_CHECKS = ['mobile', 'conversion', 'trust', 'contact', 'content']
+CARD = [
+    ('noindex', 'technical'),
+    ('missing_sitemap', 'technical'),
+    ('missing_robots', 'technical'),
+    ('broken_internal_links', 'technical'),
+    ('long_redirect_chain', 'technical'),
+    ('no_https', 'security'),
+    ('mixed_content', 'security'),
+    ('missing_title', 'onpage'),
+    ('title_too_short', 'onpage'),
+    ('title_too_long', 'onpage'),
+    ('missing_meta_description', 'onpage'),
+    ('meta_description_short', 'onpage'),
+    ('missing_h1', 'onpage'),
+    ('multiple_h1', 'onpage'),
+    ('missing_canonical', 'onpage'),
+    ('generic_value_proposition', 'onpage'),
+    ('no_heading_structure', 'onpage'),
+    ('very_thin_homepage', 'onpage'),
+    ('thin_homepage', 'onpage'),
+    ('services_not_clear', 'onpage'),
+    ('no_service_area', 'onpage'),
+    ('missing_lang', 'accessibility'),
+    ('low_alt_coverage', 'accessibility'),
+    ('slow_response', 'performance'),
+    ('heavy_page', 'performance'),
+    ('many_scripts', 'performance'),
+    ('pagespeed_low', 'performance'),
+    ('missing_viewport', 'ux_conversion'),
+    ('viewport_not_responsive', 'ux_conversion'),
+    ('zoom_disabled', 'ux_conversion'),
+    ('fixed_width_layout', 'ux_conversion'),
+    ('small_mobile_text', 'ux_conversion'),
+    ('no_mobile_tap_to_call', 'ux_conversion'),
+    ('legacy_plugin_content', 'ux_conversion'),
+    ('no_mobile_menu', 'ux_conversion'),
+    ('minimal_navigation', 'ux_conversion'),
+    ('no_primary_cta_above_fold', 'ux_conversion'),
+    ('no_phone_cta', 'ux_conversion'),
+    ('no_contact_form', 'ux_conversion'),
+    ('no_booking_cta', 'ux_conversion'),
+    ('no_quote_cta', 'ux_conversion'),
+    ('no_email_cta', 'ux_conversion'),
+    ('no_contact_page', 'ux_conversion'),
+    ('weak_cta_language', 'ux_conversion'),
+    ('no_testimonials', 'ux_conversion'),
+    ('reviews_not_structured', 'ux_conversion'),
+    ('no_credentials', 'ux_conversion'),
+    ('no_portfolio', 'ux_conversion'),
+    ('no_about_page', 'ux_conversion'),
+    ('no_phone_on_site', 'ux_conversion'),
+    ('phone_not_on_homepage', 'ux_conversion'),
+    ('no_email_on_site', 'ux_conversion'),
+    ('no_address', 'ux_conversion'),
+    ('no_opening_hours', 'ux_conversion'),
+    ('contact_hard_to_find', 'ux_conversion'),
+    ('no_website_detected', 'ux_conversion'),
+    ('social_profile_only', 'ux_conversion'),
+    ('no_social_presence_linked', 'offpage'),
+]
 PREFERRED = ['info', 'hello', 'contact', 'enquiries', 'enquiry', 'inquiries', 'office', 'sales', 'bookings', 'booking', 'appointments', 'reception', 'hi', 'team',
  'admin', 'support', 'help', 'service']
 ROLES = ['info', 'hello', 'contact', 'sales', 'support', 'enquiries', 'enquiry', 'inquiries', 'admin', 'office', 'team', 'help', 'service', 'customerservice',
@@ -120,3 +171,15 @@ TOPICS = {'phone': ['no_phone_cta', 'no_phone_on_site', 'phone_not_on_homepage',
  'safety': ['no_https', 'mixed_content'],
  'search': ['noindex', 'missing_title', 'title_too_short', 'title_too_long', 'missing_meta_description', 'meta_description_short', 'missing_h1',
             'multiple_h1', 'missing_sitemap', 'broken_internal_links']}
+PARKED = [
+    ('domain is for sale', 'The domain appears to be listed for sale.'),
+    ('buy this domain', 'The domain appears to be listed for sale.'),
+    ('under construction', 'The page says it is under construction.'),
+    ('coming soon', 'The page says it is coming soon.'),
+    ('site is temporarily unavailable', 'The host reports the site as unavailable.'),
+    ('default web page', "This is the hosting provider's default page."),
+    ('welcome to nginx', 'This is an unconfigured nginx default page.'),
+    ('apache2 ubuntu default page', 'This is an unconfigured Apache default page.'),
+    ('future home of something quite cool', 'This is a hosting placeholder page.'),
+    ('this domain is parked', 'The domain is parked.'),
+]

@@ -138,6 +138,10 @@ def test_every_rule_has_a_card_category_and_advice(spark):
     a = audits(spark, ("s", [(i, code, check, "low", 1, []) for i, (check, code, *_) in enumerate(rules.RULES)]))
     cats = a.select(F.explode(F.transform("findings", lambda f: scoring.card_category(f))).alias("c")).distinct().collect()
     assert {r["c"] for r in cats} == set(lx.CARD_WEIGHTS)
+    known = {code: check for check, code, *_ in rules.RULES} | {"no_website_detected": "conversion", "social_profile_only": "conversion"}
+    assert set(lx.CARD_CATEGORY) <= set(known) and len(lx.CARD_CATEGORY) == 58
+    of = a.select(F.explode(F.transform("findings", lambda f: F.struct(f["code"].alias("code"), scoring.card_category(f).alias("c")))).alias("x")).select("x.*").collect()
+    assert {r["code"]: r["c"] for r in of} == {c: lx.CARD_CATEGORY.get(c, check) for check, c, *_ in rules.RULES}
     assert {r[1] for r in rules.RULES} <= set(lx.ADVICE)
 
 
@@ -314,7 +318,8 @@ def test_reports_and_drafts(spark, found):
     rows = found.select(F.explode("findings").alias("f")).filter("f.code = 'no_mobile_tap_to_call'").select(scoring.evidence_rows(F.col("f.evidence")).alias("e")).collect()
     assert [tuple(x) for x in rows[0]["e"]] == [("pages", "1"), ("found elsewhere", "No")]
     assert values(spark, reports.mail_link(F.col("x"), F.lit("a b"), F.lit("c&d")), "j@s.com", "") == ["mailto:j@s.com?subject=a%20b&body=c%26d", None]
-    assert values(spark, discovery.parked(F.col("x")), "This domain is for sale", "x" * 300) == [["for sale", "short"], []]
+    sale, empty = "The domain appears to be listed for sale.", "The page contains almost no content."
+    assert values(spark, discovery.parked(F.col("x"), F.col("y")), ("This domain is for sale", ""), ("", "x" * 300), (None, None), ("a", "y" * 4000 + "coming soon")) == [[sale], [], [empty], []]
     direct = values(spark, discovery.direct(F.col("x"), F.col("y"), F.lit(None).cast("string")), ("a.com", "https://a.com/"), ("a.com", "https://b.com/"))
     assert [(r["status"], r["verdict"]) for r in direct] == [("valid", "explicit_url"), ("redirected", "explicit_url")]
     assert len(set(values(spark, reports.pick(F.col("x"), ["a", "b"]), *map(str, range(20))))) == 2
