@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
 from auditloom.functions import urls
+from auditloom.sources.tables import checkpointed
 
 
 def links(parsed: DataFrame) -> DataFrame:
@@ -34,32 +35,90 @@ def priority(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(known, kind), F.lit(20))
 
 
-def frontier(graph: DataFrame, max_depth: int = 2, max_pages: int = 12) -> DataFrame:
-    """The crawl plan of each site of edges(): site, url, key, type, depth, rank.
+#: Steps between two checkpoints of a crawl.
+STEPS = 6
+_LINK = "struct<p:int,d:int,s:int,key:string,type:string,url:string,ok:boolean,ms:bigint>"
+_FRESH = "get(filter(todo, x -> NOT array_contains(have, x.type)), 0)"
+_MORE = "get(filter(todo, x -> x.type = 'other'), 0)"
 
-    A crawl starts at the page with the smallest page_id and goes max_depth levels: a level is a
-    join of the edges with the pages reached before, without the keys seen so far. Pages of type
-    other and blog are not taken at the last level. Of a type other than "other" one page is taken
-    (the homepage's is there already), a key once, and max_pages with the homepage. Candidates are
-    known at once here, so they are taken by priority, depth and the order in which they are found.
+
+def _linked(graph: DataFrame, fetches: DataFrame | None) -> DataFrame:
+    """Rows (site, page, links): the edges of each page in their order, with what a fetch of each gives."""
+    if fetches is None:
+        rows = graph.select("*", F.lit(True).alias("ok"), F.lit(0).cast("long").alias("ms"))
+    else:
+        rows = graph.join(fetches.select(F.col("key").alias("_key"), "ok", F.col("ms").cast("long").alias("ms")), F.col("key") == F.col("_key"), "left")
+        rows = rows.withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn("ms", F.coalesce("ms", F.lit(0).cast("long")))
+    link = F.struct("page_id", "pos", "key", "type", "url", priority(F.col("type")).cast("int").alias("p"), "ok", "ms")
+    return rows.groupBy("site", F.col("page_key").alias("page")).agg(F.array_sort(F.collect_list(link)).alias("links"))
+
+
+def _step(state: DataFrame, linked: DataFrame, max_depth: int, max_pages: int, budget_ms: int) -> DataFrame:
+    """state after each open site has taken one page, or has none to take.
+
+    The next page is the first of a type that is not taken yet or, where there is none, the first other page.
+    What a crawl taking one candidate at a time would drop before it is dropped: of the known types, all that have a
+    priority below 10 and stand before the next page, and where no new type is left all that stand before it.
+    """
+    stop = f"size(todo) = 0 OR size(taken) >= {max_pages} OR ms > {budget_ms}"
+    chosen = state.selectExpr("*", f"CASE WHEN open AND NOT ({stop}) THEN {_FRESH} END AS fresh", f"CASE WHEN open AND NOT ({stop}) THEN {_MORE} END AS more")
+    chosen = chosen.selectExpr("* EXCEPT (open, exhausted, fresh, more)", f"open AND NOT ({stop}) AS open", f"exhausted OR (open AND size(todo) > 0 AND (size(taken) >= {max_pages} OR ms > {budget_ms})) AS exhausted", "fresh IS NOT NULL AS fresh", "coalesce(fresh, more) AS next")
+    rest = """CASE WHEN NOT open THEN todo WHEN next IS NULL THEN array() WHEN fresh THEN filter(todo, x -> x > next OR x < next AND x.p >= 10)
+              ELSE filter(todo, x -> x > next AND x.p >= 10) END AS todo"""
+    moved = chosen.selectExpr("* EXCEPT (todo)", rest).withColumn("_page", F.expr(f"CASE WHEN next.ok AND next.d < {max_depth} THEN next.key END"))
+    # rows that need no links are joined to none, by a value of their own
+    own = F.coalesce("_page", F.concat(F.lit("\n"), "site"))
+    met = moved.withColumn("_page", own).join(linked.select(F.col("site").alias("_s"), "page", "links"), (F.col("site") == F.col("_s")) & (F.col("_page") == F.col("page")), "left")
+    wanted = f"filter(coalesce(links, array()), x -> NOT array_contains(seen, x.key) AND NOT (x.type IN ('other', 'blog') AND next.d + 1 >= {max_depth}))"
+    met = met.selectExpr("* EXCEPT (_s, _page, page, links)", f"{wanted} AS links")
+    # of the links of one key the first, and these in their order again
+    met = met.selectExpr("* EXCEPT (links)", "array_sort(transform(links, (x, i) -> struct(x.key AS key, i AS i, x AS x))) AS links")
+    met = met.selectExpr("* EXCEPT (links)", "transform(array_sort(transform(filter(links, (y, i) -> i = 0 OR links[i - 1].key <> y.key), y -> struct(y.i AS i, y.x AS x))), y -> y.x) AS links")
+    return met.selectExpr(
+        "site", "CASE WHEN next.ok THEN array_append(have, next.type) ELSE have END AS have", "concat(seen, transform(links, x -> x.key)) AS seen",
+        f"array_sort(concat(todo, transform(links, (x, i) -> cast(struct(x.p, next.d + 1, n + i, x.key, x.type, x.url, x.ok, x.ms) AS {_LINK})))) AS todo",
+        "CASE WHEN next.ok THEN array_append(taken, struct(next.key AS key, next.url AS url, next.type AS type, next.d AS depth)) ELSE taken END AS taken",
+        "CASE WHEN next.ok IS FALSE THEN failed + 1 ELSE failed END AS failed", "ms + coalesce(next.ms, 0L) AS ms", "n + size(links) AS n", "open", "exhausted",
+    )
+
+
+def crawl(graph: DataFrame, fetches: DataFrame | None = None, max_depth: int = 2, max_pages: int = 12, budget_ms: int = 90_000, cut=None) -> DataFrame:
+    """One row for each site of edges(): site, taken (key, url, type, depth, in the order of the crawl), failed, ms, exhausted.
+
+    A crawl starts at the page with the smallest page_id and takes one page at a time, over all sites at once: the known links
+    are sorted by priority, depth and the order in which they were found, and the first of a type that was not taken
+    yet is fetched, or an other page where there is none. Its links join the known ones if it is above max_depth;
+    other and blog pages of the last level are left out. It ends at max_pages pages, with nothing left, or once the
+    fetches took over budget_ms; exhausted tells whether known links were left then. fetches (key, ok, ms) has
+    what a fetch gives, a key that is not there fails; without it all fetches succeed and take no time.
+    The state of a site is its known and seen links, those of max_pages pages at most; it is cut by a checkpoint
+    every STEPS steps. An empty table gives an empty result.
     """
-    homes = graph.groupBy("site").agg(F.min(F.struct("page_id", "page_key")).alias("m")).select("site", F.col("m.page_key").alias("key"))
-    seen = level = homes.select("site", "key", F.lit("").alias("url"), F.lit("homepage").alias("type"), F.lit(0).alias("depth"), F.lit("").alias("found"))
-    for depth in range(1, max_depth + 1):
-        parents = level.select(F.col("site").alias("_s"), F.col("key").alias("_k"), "found")
-        place = F.concat("found", F.lpad(F.col("pos").cast("string"), 9, "0"), F.lit("/"))
-        next_ = graph.join(parents, (F.col("site") == F.col("_s")) & (F.col("page_key") == F.col("_k"))).select("site", "key", "url", "type", F.lit(depth).alias("depth"), place.alias("found"))
-        if depth >= max_depth:
-            next_ = next_.filter(~F.col("type").isin("other", "blog"))
-        next_ = next_.groupBy("site", "key").agg(F.min(F.struct("found", "url", "type", "depth")).alias("m")).select("site", "key", "m.url", "m.type", "m.depth", "m.found")
-        level = next_.join(seen.select("site", "key"), ["site", "key"], "left_anti")
-        seen = seen.unionByName(level)
-    taken = seen.filter("depth > 0 AND type <> 'homepage'")
-    first = F.row_number().over(Window.partitionBy("site", "type").orderBy("depth", "found", "key"))
-    # the first limit is taken before the shuffle, too
-    per_type = taken.withColumn("_n", first).filter(F.col("_n") < max_pages).filter((F.col("_n") == 1) | (F.col("type") == "other")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("site").orderBy(priority(F.col("type")), "depth", "found", "key"))
-    return per_type.withColumn("rank", rank).filter(F.col("rank") < max_pages).drop("found")
+    cut = cut or checkpointed
+    linked = cut(_linked(graph, fetches).repartition("site", "page"))
+    first = F.row_number().over(Window.partitionBy("site").orderBy("id"))
+    homes = linked.select("site", "page", F.get("links", 0)["page_id"].alias("id")).withColumn("_n", first).filter("_n = 1")
+    if fetches is None:
+        homes = homes.withColumn("ms", F.lit(0).cast("long"))
+    else:
+        homes = homes.join(fetches.select("key", F.col("ms").cast("long").alias("ms")), F.col("page") == F.col("key"), "left").withColumn("ms", F.coalesce("ms", F.lit(0).cast("long")))
+    start = homes.selectExpr(
+        "site", "cast(array() AS array<string>) AS have", "array(page) AS seen", f"array(cast(struct(0, 0, 0, page, 'homepage', '', true, ms) AS {_LINK})) AS todo",
+        "cast(array() AS array<struct<key:string,url:string,type:string,depth:int>>) AS taken", "0 AS failed", "0L AS ms", "1 AS n", "true AS open", "false AS exhausted",
+    )
+    state = _step(start, linked, max_depth, max_pages, budget_ms)  # the homepage
+    while True:
+        for _ in range(STEPS):
+            state = _step(state, linked, max_depth, max_pages, budget_ms)
+        state = cut(state)
+        if state.filter("open").isEmpty():
+            return state.select("site", "taken", "failed", "ms", "exhausted")
+
+
+def frontier(graph: DataFrame, fetches: DataFrame | None = None, max_depth: int = 2, max_pages: int = 12, budget_ms: int = 90_000) -> DataFrame:
+    """The pages that crawl() takes of each site after its homepage: site, key, url, type, depth, rank."""
+    rows = crawl(graph, fetches, max_depth, max_pages, budget_ms).select("site", F.posexplode("taken").alias("rank", "x"))
+    return rows.filter("rank > 0").select("site", "x.key", "x.url", "x.type", "x.depth", "rank")
 
 
 def link_sample(graph: DataFrame, crawled: DataFrame, limit: int = 12) -> DataFrame:

@@ -427,16 +427,43 @@ _GRAPH = f"""l AS (SELECT page_id, {_SITE} AS site, {_key(_normal('url'))} AS pa
         WHERE NOT regexp_matches(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '[.](pdf|jpg|jpeg|png|gif|svg|webp|ico|zip|rar|mp4|mp3|avi|mov|docx?|xlsx?|pptx?|css|js|json|xml|woff2?|ttf|eot|dmg|exe)$')
           AND NOT {_words('lower(url)', lx.SKIP_PARTS)})"""
 _PRIO = f"coalesce(map_extract_value(MAP {{{', '.join(f"'{a}': {b}" for a, b in lx.PAGE_PRIORITY.items())}}}, type), 20)"
-ORACLES["frontier_plan"] = f"""WITH {_GRAPH},
-  h AS (SELECT site, min_by(page_key, page_id) AS key FROM g GROUP BY site),
-  a AS (SELECT g.site, g.key, type, 1 AS depth, min(lpad(CAST(pos AS VARCHAR), 9, '0') || '/') AS found FROM g JOIN h ON h.site = g.site AND h.key = g.page_key GROUP BY 1, 2, 3),
-  a1 AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.site = a.site AND h.key = a.key) QUALIFY row_number() OVER (PARTITION BY site, key ORDER BY found) = 1),
-  b AS (SELECT g.site, g.key, g.type, 2 AS depth, min(a1.found || lpad(CAST(pos AS VARCHAR), 9, '0') || '/') AS found FROM g JOIN a1 ON a1.site = g.site AND a1.key = g.page_key WHERE g.type NOT IN ('other', 'blog') GROUP BY 1, 2, 3),
-  b1 AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.site = b.site AND h.key = b.key) AND NOT EXISTS (SELECT 1 FROM a1 WHERE a1.site = b.site AND a1.key = b.key)
-         QUALIFY row_number() OVER (PARTITION BY site, key ORDER BY found) = 1),
-  t AS (SELECT *, row_number() OVER (PARTITION BY site, type ORDER BY depth, found, key) AS n FROM (SELECT * FROM a1 UNION ALL SELECT * FROM b1) WHERE type <> 'homepage'),
-  r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {_PRIO}, depth, found, key) AS rank FROM t WHERE n = 1 OR type = 'other')
-  SELECT site, key, type, depth, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 12"""
+
+
+def _crawl(depth: int, fetches: str | None = None, budget: int = 90_000) -> str:
+    """st: the states of each site's crawl, a candidate at a time; those with the largest step are how it ends."""
+    known = f"LEFT JOIN ({fetches}) ft ON ft.key = g.key" if fetches else ""
+    ok, ms = ("coalesce(ft.ok, false)", "coalesce(ft.ms, 0)") if fetches else ("true", "0")
+    return f"""{_GRAPH},
+      e AS (SELECT site, page_key AS page, list({{'p': {_PRIO}, 'key': g.key, 'type': type, 'ok': {ok}, 'ms': {ms}}} ORDER BY page_id, pos) AS links FROM g {known} GROUP BY 1, 2),
+      h AS (SELECT site, min_by(page_key, page_id) AS key FROM g GROUP BY site),
+      st AS (
+        SELECT site, 0 AS step, []::VARCHAR[] AS have, [g.key] AS seen, [{{'p': 0, 'd': 0, 's': 0, 'key': g.key, 'type': 'homepage', 'ok': true, 'ms': {ms}}}] AS todo,
+               []::STRUCT(key VARCHAR, type VARCHAR, depth INTEGER)[] AS taken, 0 AS failed, 0::BIGINT AS ms, 1 AS n FROM h g {known}
+        UNION ALL
+        SELECT site, step + 1, CASE WHEN fetched AND c.ok THEN list_append(have, c.type) ELSE have END, list_concat(seen, list_transform(found, lambda x: x.key)),
+               list_concat(rest, list_transform(found, lambda x, i: {{'p': x.p, 'd': c.d + 1, 's': n + i, 'key': x.key, 'type': x.type, 'ok': x.ok, 'ms': x.ms}})),
+               CASE WHEN fetched AND c.ok THEN list_append(taken, {{'key': c.key, 'type': c.type, 'depth': c.d}}) ELSE taken END,
+               failed + CASE WHEN fetched AND NOT c.ok THEN 1 ELSE 0 END, ms + CASE WHEN fetched THEN c.ms ELSE 0 END, n + len(found)
+        FROM (SELECT *, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: y.key), x.key) = i) AS found FROM (
+          SELECT s4.*, list_filter(coalesce(e.links, []), lambda x: NOT list_contains(seen, x.key) AND NOT (x.type IN ('other', 'blog') AND c.d + 1 >= {depth})) AS l FROM (
+            SELECT *, c.type = 'other' OR NOT list_contains(have, c.type) AS fetched FROM (
+              SELECT *, q[i] AS c, list_concat(q[1:i - 1], q[i + 1:]) AS rest FROM (
+                SELECT *, coalesce(list_position(list_transform(q, lambda x: x.p < 10 OR NOT list_contains(have, x.type)), true), 1) AS i FROM (
+                  SELECT *, list_sort(todo) AS q FROM st WHERE len(todo) > 0 AND len(taken) < 12 AND ms <= {budget})))) s4
+          LEFT JOIN e ON e.site = s4.site AND e.page = c.key AND fetched AND c.ok AND c.d < {depth}))),
+      z AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY site ORDER BY step DESC) = 1)"""
+
+
+def _plan(depth: int) -> str:
+    return f"""SELECT site, x.key AS key, x.type AS type, x.depth AS depth, CAST(place - 1 AS INTEGER) AS rank
+      FROM (WITH RECURSIVE {_crawl(depth)} SELECT site, unnest(taken) AS x, generate_subscripts(taken, 1) AS place FROM z) WHERE place > 1"""
+
+
+_FETCHES = "SELECT DISTINCT key, length(key) % 7 <> 3 AS ok, CAST(length(key) * 1237 % 9000 + 500 AS BIGINT) AS ms FROM (SELECT key FROM g UNION ALL SELECT page_key FROM g)"
+ORACLES["frontier_plan"] = _plan(2)
+ORACLES["frontier_depths"] = " UNION ALL ".join(f"SELECT {d} AS max_depth, * FROM ({_plan(d)})" for d in (1, 3, 5))
+ORACLES["crawl_outcome"] = f"""WITH RECURSIVE {_crawl(4, _FETCHES, 20_000)}
+  SELECT site, array_to_string(list_transform(taken, lambda x: x.key), ' ') AS taken, CAST(failed AS BIGINT) AS failed, ms, len(todo) > 0 AS exhausted FROM z"""
 ORACLES["link_check_sample"] = f"""WITH {_GRAPH}, o AS (SELECT site, key, min((page_id, pos)) AS m FROM g GROUP BY 1, 2),
   c AS (SELECT {_SITE} AS site, {_key(_normal('url'))} AS key FROM pages),
   s AS (SELECT site, key, m[1] AS page_id, m[2] AS pos, CAST(row_number() OVER (PARTITION BY site ORDER BY m[1], m[2], key) AS INTEGER) AS n FROM o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.site = o.site AND c.key = o.key))

@@ -9,7 +9,7 @@ from auditloom.functions import lexicons as lx
 from auditloom.functions import text, urls
 from auditloom.operators import contacts, discovery, frontier, leads, pages, reports, rules, scoring
 from auditloom.plans import fixture
-from auditloom.sources.tables import replace_by_key, table
+from auditloom.sources.tables import checkpointed, replace_by_key, table
 from auditloom.streaming import events as feed
 
 QUERIES = {}
@@ -90,6 +90,24 @@ def frontier_plan(spark, sf):
     return frontier.frontier(_graph(spark, sf)).select("site", "key", "type", "depth", "rank")
 
 
+@query
+def frontier_depths(spark, sf):
+    """The same crawl to several depths, over the edges of one parse."""
+    graph = checkpointed(_graph(spark, sf))
+    out = [frontier.frontier(graph, max_depth=d).select(F.lit(d).alias("max_depth"), "site", "key", "type", "depth", "rank") for d in (1, 3, 5)]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query
+def crawl_outcome(spark, sf):
+    """A crawl in which some fetches fail and time runs out: whether and how long a page takes follows from its key's length."""
+    graph = checkpointed(_graph(spark, sf))
+    n = F.length("key")
+    keys = graph.select("key").union(graph.select("page_key")).distinct()
+    out = frontier.crawl(graph, keys.select("key", (n % 7 != 3).alias("ok"), (n * 1237 % 9000 + 500).alias("ms")), max_depth=4, budget_ms=20_000)
+    return out.select("site", F.array_join(F.transform("taken", lambda x: x["key"]), " ").alias("taken"), F.col("failed").cast("long").alias("failed"), "ms", "exhausted")
+
+
 @query
 def link_check_sample(spark, sf):
     """The links to check, where every page of the table counts as crawled."""

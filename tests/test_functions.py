@@ -254,7 +254,7 @@ def test_links_keep_their_texts(spark):
     assert [r["url"] for r in frontier.edges(frontier.links(p)).collect()] == ["https://a.com/contact", "https://a.com/q"]
 
 
-def test_frontier_goes_two_levels(spark):
+def test_frontier_takes_one_page_at_a_time(spark):
     from auditloom.operators import frontier
 
     graph = spark.createDataFrame([
@@ -262,7 +262,14 @@ def test_frontier_goes_two_levels(spark):
         ("s", 2, "s/a", 3, "s/b2", "s/b2", "about"), ("s", 3, "s/c", 1, "s/e", "s/e", "team"),
     ], "site string, page_id long, page_key string, pos int, url string, key string, type string")
     plan = frontier.frontier(graph).orderBy("rank").collect()
-    assert [(r["key"], r["depth"]) for r in plan] == [("s/c", 2), ("s/b", 1), ("s/a", 1)]
+    assert [(r["key"], r["depth"]) for r in plan] == [("s/b", 1), ("s/a", 1), ("s/c", 2)]
+    (deep,) = frontier.crawl(graph, max_depth=3).collect()
+    assert [x["key"] for x in deep["taken"]] == ["s", "s/b", "s/a", "s/c", "s/e", "s/d"] and not deep["exhausted"]
+    few = spark.createDataFrame([("s", True, 900), ("s/b", False, 2000), ("s/a", True, 50), ("s/c", True, 1)], "key string, ok boolean, ms int")
+    for most, budget, want, lost, left in ((12, 90_000, ["s", "s/a", "s/c"], 2, False), (2, 90_000, ["s", "s/a"], 1, True), (12, 1_000, ["s"], 1, True), (12, 2_940, ["s", "s/a"], 1, True)):
+        (r,) = frontier.crawl(graph, few, max_pages=most, budget_ms=budget).collect()
+        assert [x["key"] for x in r["taken"]] == want and r["failed"] == lost and r["exhausted"] == left
+    assert frontier.crawl(graph.limit(0)).count() == 0
     sample = frontier.link_sample(graph, spark.createDataFrame([("s", "s"), ("s", "s/a")], "site string, key string"))
     assert [r["key"] for r in sample.orderBy("n").collect()] == ["s/b", "s/c", "s/d", "s/b2", "s/e"]
     fetches = spark.createDataFrame([("s/b", 404, None), ("s/c", 403, None), ("s/d", None, "dns_failure"), ("s/e", 200, None)], "key string, status int, error string")
