@@ -31,7 +31,7 @@ BLOCK, RANGE = 4_000_000, 750_000
 #: Buckets of context counts: unseen, 1, 2-3, 4-7, ...
 BUCKETS = 64
 #: Ratios of estimates are told apart in so many steps for each factor of two when weights are learned.
-STEPS = 16
+STEPS = 4
 ROUNDS = 60
 
 _BEGIN, _END = mix(np.array([0xB16B00B5, 0xDEADE4D5], np.uint64))
