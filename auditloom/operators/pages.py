@@ -27,7 +27,7 @@ FIELDS = {
     "whatsapp": "array<string>", "social": "array<string>", "empty_links": "int", "images": "int",
     "images_alt": "int", "image_srcs": "array<string>", "forms": f"array<{FORM}>", "buttons": "array<string>",
     "scripts": "array<string>", "blocking": "int", "stylesheets": "array<string>", "styles": "array<string>",
-    "iframes": "array<string>", "jsonld": "array<string>", "blocks": f"array<{BLOCK}>", "schema_types": "array<string>",
+    "iframes": "array<string>", "jsonld": "array<string>", "jsonld_emails": "array<string>", "blocks": f"array<{BLOCK}>", "schema_types": "array<string>",
     "og": "map<string,string>", "twitter": "map<string,string>", "hreflang": "array<string>", "has_main": "boolean", "has_nav": "boolean",
     "has_skip": "boolean", "header": "string", "footer": "string", "fold": "string", "has_plugin": "boolean",
     "names": "array<string>", "has_menu": "boolean", "has_platform": "boolean", "attr_widths": "array<int>", "noscript_only": "boolean",
@@ -58,6 +58,19 @@ def _names(headings: list[str], text: str) -> list[str]:
     return [f"{a} {b}" for a, b in pairs if a.lower() not in lx.NO_NAMES and b.lower() not in lx.NO_NAMES][:5]
 
 
+def _emails(value) -> Iterator[str]:
+    """The strings that stand under a key "email" of a JSON value, at any depth, in the order of the text."""
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, str):
+            yield v
+        elif isinstance(v, dict):
+            todo += [x for k, x in reversed(v.items()) if isinstance(x, (dict, list)) or isinstance(x, str) and k.lower() == "email"]
+        elif isinstance(v, list):
+            todo += [x for x in reversed(v) if isinstance(x, (dict, list))]
+
+
 class _Reader(HTMLParser):
     """Collects a page record from the events of one document."""
 
@@ -249,6 +262,7 @@ class _Reader(HTMLParser):
             for y in inner if isinstance(inner, list) else [x]:
                 if isinstance(y, dict):
                     self.r["jsonld"].append(json.dumps(y))
+                    self.r["jsonld_emails"] += _emails(y)
                     kinds = y.get("@type") or y.get("type") or []
                     kinds = [k for k in ([kinds] if isinstance(kinds, str) else kinds) if isinstance(k, str)]
                     self.r["schema_types"] += kinds

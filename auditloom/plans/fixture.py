@@ -116,3 +116,28 @@ def placeholders(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").selectExpr("c_custkey AS id", "c_custkey AS k")
     title = "CASE k % 7 WHEN 0 THEN 'Welcome to nginx!' WHEN 1 THEN NULL ELSE 'Title' END"
     return rows.selectExpr("'made up' AS of", "id", f"{title} AS title", f"concat({says}, repeat('  word', int(k % 60)))  AS text")
+
+
+def hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows (host): a host for each customer, with suffixes of every kind and of one to six labels."""
+    ends = ["com", "co.uk", "test", "region.test", "x.region.test", "city.region.test", "a.b.region.test", "b.region.test", "ck", "www.ck", "any.ck", "CO.UK", "unknown.", "10.0.0.7"]
+    cases = " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(ends))
+    names = "CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN concat('n', k % 97, '.') WHEN 2 THEN concat('www.n', k % 89, '.') ELSE 'a.b.c.' END"
+    return table(spark, sf, "customer").selectExpr("c_custkey AS k").selectExpr(f"CASE WHEN k % {len(ends)} = 13 THEN '10.0.0.7' ELSE concat({names}, CASE k % {len(ends)} {cases} END) END AS host")
+
+
+#: Structured data in which KEY stands for a spelling of the key and MAIL for an address.
+STRUCTURED = [
+    '{"@type": "Shop", "KEY": "MAIL"}', '{"a": {"KEY": "MAIL", "b": "x"}, "KEY": {"name": "no"}}', '[{"a": [{"KEY": "MAIL"}, {"KEY": "second"}], "c": 1}]',
+    '{"@graph": [{"a": {"b": [{"KEY": "MAIL"}]}}, {"KEY": "graph"}]}', '{"a": [[{"b": {"c": {"KEY": "MAIL"}}}]], "KEY": ["in a list"]}',
+    '{"a": {"b": {"c": {"d": {"e": {"KEY": "MAIL"}}}}}, "text": "\\"KEY\\": \\"no\\"", "KEY": null}', '{"KEY": 7, "emails": "no", "z": {"KEY": true}}',
+]
+
+
+def structured(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows (page_id, html): a page with structured data for each customer."""
+    cases = " ".join(f"WHEN {i} THEN r'{x}'" for i, x in enumerate(STRUCTURED))
+    key = "CASE k % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'Email' ELSE 'EMAIL' END"
+    mail = r"CASE k % 4 WHEN 0 THEN concat('m', k, '@a.test') WHEN 1 THEN concat(r'm\u0040', k, r'\u00e9') WHEN 2 THEN concat(r'say \"', k, r'\"') ELSE concat(r'a\\', k, r'\/b') END"
+    json = f"replace(replace(CASE k % {len(STRUCTURED)} {cases} END, 'KEY', {key}), 'MAIL', {mail})"
+    return table(spark, sf, "customer").selectExpr("c_custkey AS k").selectExpr("k AS page_id", f"concat('<html><script type=\"application/ld+json\">', {json}, '</script></html>') AS html")

@@ -131,3 +131,14 @@ SELECT site, CASE WHEN tel THEN '+14155550100' ELSE '' END AS tel, CASE WHEN cha
        CASE WHEN about THEN 'Mary Jones|John Smith' ELSE '' END AS names
 FROM (SELECT c_custkey AS k, 'site' || c_custkey || '.test' AS site, c_custkey % 3 = 0 OR c_custkey % 6 = 4 AS tel, c_custkey % 4 = 0 AS chat, c_custkey % 3 <> 1 AS about FROM customer)
 WHERE tel OR chat OR k % 10 < 5 OR about OR k % 5 = 0"""
+
+#: The hosts and the structured data of the fixture once more.
+HOSTS = """SELECT CASE WHEN k % 14 = 13 THEN '10.0.0.7' ELSE CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'n' || k % 97 || '.' WHEN 2 THEN 'www.n' || k % 89 || '.' ELSE 'a.b.c.' END
+  || ['com', 'co.uk', 'test', 'region.test', 'x.region.test', 'city.region.test', 'a.b.region.test', 'b.region.test', 'ck', 'www.ck', 'any.ck', 'CO.UK', 'unknown.'][k % 14 + 1] END AS host
+  FROM (SELECT c_custkey AS k FROM customer)"""
+STRUCTURED = r"""SELECT k, replace(replace(CASE k % 7 WHEN 0 THEN '{"@type": "Shop", "KEY": "MAIL"}' WHEN 1 THEN '{"a": {"KEY": "MAIL", "b": "x"}, "KEY": {"name": "no"}}'
+    WHEN 2 THEN '[{"a": [{"KEY": "MAIL"}, {"KEY": "second"}], "c": 1}]' WHEN 3 THEN '{"@graph": [{"a": {"b": [{"KEY": "MAIL"}]}}, {"KEY": "graph"}]}'
+    WHEN 4 THEN '{"a": [[{"b": {"c": {"KEY": "MAIL"}}}]], "KEY": ["in a list"]}' WHEN 5 THEN '{"a": {"b": {"c": {"d": {"e": {"KEY": "MAIL"}}}}}, "text": "\"KEY\": \"no\"", "KEY": null}'
+    ELSE '{"KEY": 7, "emails": "no", "z": {"KEY": true}}' END, 'KEY', ['email', 'Email', 'EMAIL'][k % 3 + 1]),
+    'MAIL', CASE k % 4 WHEN 0 THEN 'm' || k || '@a.test' WHEN 1 THEN 'm\u0040' || k || '\u00e9' WHEN 2 THEN 'say \"' || k || '\"' ELSE 'a\\' || k || '\/b' END)::JSON AS j
+  FROM (SELECT c_custkey AS k FROM customer)"""

@@ -539,3 +539,23 @@ ORACLES["parked_pages"] = f"""WITH r AS (
     UNION ALL SELECT 'made up', k, CASE WHEN k % 7 = 0 THEN 'welcome to nginx! ' ELSE '' END || {_SAYS}, {_LENGTH} + 5 * (k % 60) - CASE WHEN k % 13 > 10 AND k % 60 > 0 THEN 1 ELSE 0 END FROM (SELECT c_custkey AS k FROM customer)),
   m AS (SELECT of, id, n, array_to_string(list_filter([{_NOTES}], lambda x: x IS NOT NULL), '|') AS notes FROM r)
   SELECT of, id, CASE WHEN notes = '' AND n < 200 THEN 'The page contains almost no content.' ELSE notes END AS notes FROM m"""
+
+_RULES = [*lx.SUFFIXES, "test", "*.region.test", "!city.region.test", "a.b.region.test", "*.ck", "!www.ck"]
+
+
+def _suffixes(hosts: str, rules: list[str]) -> str:
+    """Of each host the rule that counts, found by trying every rule on every host."""
+    return f"""WITH h AS (SELECT DISTINCT host, regexp_replace(lower(host), '[.]$', '') AS name FROM ({hosts})),
+      r AS (SELECT unnest({_list(rules)}) AS rule),
+      m AS (SELECT host, rule, len(string_split(rule, '.')) - CASE WHEN rule[1] = '!' THEN 1 ELSE 0 END AS n FROM h, r
+            WHERE regexp_matches('.' || name, '[.]' || replace(replace(ltrim(rule, '!'), '.', '[.]'), '*', '[^.]+') || '$')),
+      b AS (SELECT host, arg_max(n, (rule[1] = '!', n)) AS n FROM m GROUP BY host),
+      l AS (SELECT h.host, name, string_split(name, '.') AS l, coalesce(n, 1) AS n FROM h LEFT JOIN b ON b.host = h.host)
+      SELECT host, CASE WHEN regexp_full_match(name, '[0-9.]*') THEN '' ELSE array_to_string(l[-n:], '.') END AS suffix,
+             CASE WHEN regexp_full_match(name, '[0-9.]*') OR n >= len(l) THEN name ELSE array_to_string(l[-n - 1:], '.') END AS domain FROM l"""
+
+
+ORACLES["public_suffixes"] = _suffixes(f"SELECT {_HOST} AS host FROM pages UNION ALL {fixture_sql.HOSTS}", _RULES)
+ORACLES["page_domains"] = f"SELECT page_id, domain FROM pages p JOIN ({_suffixes(f'SELECT {_HOST} AS host FROM pages', lx.SUFFIXES)}) d ON d.host = {_HOST.replace('url', 'p.url')}"
+ORACLES["jsonld_emails"] = f"""SELECT k AS page_id, CAST(row_number() OVER (PARTITION BY k ORDER BY id) - 1 AS INTEGER) AS place, atom ->> '$' AS email
+  FROM (SELECT s.k, t.id, t.atom FROM ({fixture_sql.STRUCTURED}) s, json_tree(s.j) t WHERE lower(t.key) = 'email' AND t.type = 'VARCHAR')"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
 from auditloom.functions import text, urls
-from auditloom.operators import contacts, discovery, frontier, leads, pages, reports, rules, scoring
+from auditloom.operators import contacts, discovery, domains, frontier, leads, pages, reports, rules, scoring
 from auditloom.plans import fixture
 from auditloom.sources.tables import checkpointed, replace_by_key, table
 from auditloom.streaming import events as feed
@@ -47,6 +47,26 @@ def registrable_domains(spark, sf):
     return table(spark, sf, "pages").groupBy(urls.registrable_domain(u).alias("domain")).agg(F.count(F.lit(1)).alias("pages"), F.count_distinct(urls.host(u)).alias("hosts"))
 
 
+@query
+def public_suffixes(spark, sf):
+    """The domains of the hosts of all pages and of hosts made up from the customers, by rules of every kind."""
+    rules_ = domains.known_rules(spark).union(spark.createDataFrame([("test",), ("*.region.test",), ("!city.region.test",), ("a.b.region.test",), ("*.ck",), ("!www.ck",)], "rule string"))
+    return domains.suffixes(table(spark, sf, "pages").select(urls.host(F.col("url")).alias("host")).union(fixture.hosts(spark, sf)), rules_)
+
+
+@query
+def page_domains(spark, sf):
+    """The domain of every page by suffix rules."""
+    return domains.with_domains(table(spark, sf, "pages").select("page_id", "url"), domains.known_rules(spark)).select("page_id", "domain")
+
+
+@query
+def jsonld_emails(spark, sf):
+    """Addresses in structured data at depths 1 to 6, in arrays, with escapes and in keys of any case."""
+    found = pages.parse(fixture.structured(spark, sf), fields=("jsonld_emails",))
+    return found.select("page_id", F.posexplode("jsonld_emails").alias("place", "email"))
+
+
 @query
 def page_links(spark, sf):
     rows = frontier.links(pages.parse(table(spark, sf, "pages"), fields=("links",)))

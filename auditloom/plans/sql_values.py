@@ -183,3 +183,5 @@ PARKED = [
     ('future home of something quite cool', 'This is a hosting placeholder page.'),
     ('this domain is parked', 'The domain is parked.'),
 ]
+SUFFIXES = ['co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'me.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'org.nz', 'com.pk', 'net.pk', 'org.pk', 'co.in', 'net.in', 'org.in',
+ 'co.za', 'org.za', 'com.br', 'co.jp', 'com.mx', 'com.tr', 'com.sg', 'com.my', 'com.hk']

@@ -345,3 +345,26 @@ def test_very_many_pages_of_a_site(spark, monkeypatch):
     texts = [f"page text of page {p}" + " and more" * ((100_000 - p) % 3) for p in range(1, 4_000) if (100_000 - p) % 50_000 != 7]
     assert out["large"]["blob"] == " ".join(texts)[: pages.LEAD]
     assert out["small"]["blob"].startswith("page text of page 49993")
+
+
+def test_public_suffix_rules(spark):
+    from auditloom.operators import domains
+
+    rules_ = spark.createDataFrame([(r,) for r in ("com", "co.uk", "*.ck", "!www.ck", " CO.UK ", "*", None, "")], "rule string")
+    want = {
+        "a.b.com": ("com", "b.com"), "com": ("com", "com"), "x.co.uk": ("co.uk", "x.co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "y.x.any.ck": ("any.ck", "x.any.ck"), "any.ck": ("any.ck", "any.ck"),
+        "ck": ("ck", "ck"), "a.www.ck": ("ck", "www.ck"), "www.ck": ("ck", "www.ck"), "n.other": ("other", "n.other"), "10.0.0.1": ("", "10.0.0.1"), "": ("", ""), "X.COM.": ("COM", "X.COM"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in [*want, None, "com"]], "host string")
+    got = {r["host"]: (r["suffix"], r["domain"]) for r in domains.suffixes(hosts, rules_).collect()}
+    assert got == {h: (s.lower(), d.lower()) for h, (s, d) in want.items()}
+    rows = spark.createDataFrame([(1, "https://a.b.com/x"), (2, None), (3, "no url")], "domain int, url string")
+    assert {r["url"]: r["domain"] for r in domains.with_domains(rows, rules_).collect()} == {"https://a.b.com/x": "b.com", None: "", "no url": ""}
+    assert domains.suffixes(hosts.limit(0), rules_).count() == 0 and domains.suffixes(hosts, rules_.limit(0)).filter("host = 'x.co.uk'").first()["domain"] == "co.uk"
+
+
+def test_addresses_in_structured_data():
+    found = pages.read_html('<script type="application/ld+json">{"email": ["a"], "a": {"EMAIL": "x\\u0040y"}, "b": [[{"email": "q\\"z"}], {"Email": 7, "email": "l"}]}</script>')
+    assert found["jsonld_emails"] == ["x@y", 'q"z', "l"]
+    deep = '{"a": ' * 400 + '{"email": "d"}' + "}" * 400
+    assert pages.read_html(f'<script type="application/ld+json">{deep}</script>')["jsonld_emails"] == ["d"]
