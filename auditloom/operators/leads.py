@@ -131,3 +131,24 @@ def mark_sent(drafts: DataFrame, sent: DataFrame, keys: list[str]) -> DataFrame:
     """drafts with sent_manually set where keys are among sent."""
     marks = sent.select(*keys, F.lit(True).alias("_sent")).distinct()
     return drafts.join(marks, keys, "left").withColumn("sent_manually", F.coalesce("_sent", "sent_manually")).drop("_sent").select(drafts.columns)
+
+
+def uploads_to_remove(jobs: DataFrame, deleted: DataFrame, job: str, upload: str) -> DataFrame:
+    """The stored uploads (upload) of deleted jobs that no job left refers to; a null upload is none.
+
+    jobs has a row for each job as before the delete; an upload is counted by the jobs that are left, in one grouping.
+    """
+    gone = deleted.select(F.col(job).alias("_job")).distinct()
+    marked = jobs.filter(F.col(upload).isNotNull()).join(gone, F.col(job) == F.col("_job"), "left")
+    left = marked.groupBy(upload).agg(F.count_if(F.col("_job").isNull()).alias("left"), F.count("_job").alias("gone"))
+    return left.filter("left = 0 AND gone > 0").select(upload)
+
+
+def regenerated(drafts: DataFrame, new: DataFrame, lead: str = "lead", channel: str = "channel") -> tuple[DataFrame, DataFrame]:
+    """What a store's commit takes to regenerate drafts: the new rows, and the keys (lead, channel) whose old ones go.
+
+    Drafts that were sent stay as they are, and so does what is drafted for their lead and channel.
+    """
+    sent = drafts.filter("sent_manually").select(F.struct(lead, channel).alias("_sent")).distinct()
+    rows = new.withColumn("_own", F.struct(lead, channel)).join(sent, F.col("_own") == F.col("_sent"), "left_anti").drop("_own")
+    return rows, rows.select(lead, channel).distinct()

@@ -559,3 +559,11 @@ ORACLES["public_suffixes"] = _suffixes(f"SELECT {_HOST} AS host FROM pages UNION
 ORACLES["page_domains"] = f"SELECT page_id, domain FROM pages p JOIN ({_suffixes(f'SELECT {_HOST} AS host FROM pages', lx.SUFFIXES)}) d ON d.host = {_HOST.replace('url', 'p.url')}"
 ORACLES["jsonld_emails"] = f"""SELECT k AS page_id, CAST(row_number() OVER (PARTITION BY k ORDER BY id) - 1 AS INTEGER) AS place, atom ->> '$' AS email
   FROM (SELECT s.k, t.id, t.atom FROM ({fixture_sql.STRUCTURED}) s, json_tree(s.j) t WHERE lower(t.key) = 'email' AND t.type = 'VARCHAR')"""
+
+ORACLES["store_commits"] = """WITH l AS (SELECT c_custkey AS lead, CASE WHEN c_custkey % 7 = 0 THEN 'replaced' ELSE c_name END AS value FROM customer WHERE c_custkey % 11 <> 3),
+    o AS (SELECT o_custkey AS lead, o_orderkey AS draft, o_orderstatus AS channel, o_orderkey % 5 = 0 AS sent FROM orders WHERE o_custkey % 7 <> 0
+          UNION ALL SELECT c_custkey, -c_custkey, 'O', false FROM customer WHERE c_custkey % 7 = 0),
+    d AS (SELECT *, channel = 'P' AND lead % 2 = 0 AND NOT bool_or(sent) OVER (PARTITION BY lead, channel) AS again FROM o WHERE lead % 11 <> 3)
+  SELECT 'lead' AS of, lead, value, NULL::BIGINT AS draft FROM l
+  UNION ALL SELECT 'draft', lead, channel, draft + CASE WHEN again THEN 1000000000 ELSE 0 END FROM d"""
+ORACLES["uploads_to_remove"] = "SELECT CAST(trunc(o_totalprice / 100) AS BIGINT) AS upload FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 3 = 0) = 0"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from auditloom.functions import lexicons as lx
 from auditloom.functions import text, urls
 from auditloom.operators import contacts, discovery, domains, frontier, leads, pages, reports, rules, scoring
 from auditloom.plans import fixture
-from auditloom.sources.tables import checkpointed, replace_by_key, table
+from auditloom.sources.store import Store
+from auditloom.sources.tables import checkpointed, replace_by_key, shared_folder, table
 from auditloom.streaming import events as feed
 
 QUERIES = {}
@@ -486,4 +489,36 @@ def replace_by_key_write(spark, sf):
     return replace_by_key(old, new, "o_custkey")
 
 
+def _committed(spark, sf):
+    """A store of leads and their drafts after three commits: drafts replaced, leads deleted with theirs, drafts regenerated by channel."""
+    k, at = F.col("c_custkey"), F.col("o_orderkey")
+    lead = table(spark, sf, "customer").select(k.alias("lead"), "c_name")
+    draft = table(spark, sf, "orders").select(F.col("o_custkey").alias("lead"), at.alias("draft"), F.col("o_orderstatus").alias("channel"), (at % 5 == 0).alias("sent_manually"))
+    place = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "lead", buckets=16)
+    place.commit({"leads": lead, "drafts": draft})
+    new = lead.filter("lead % 7 = 0").select("lead", (-F.col("lead")).alias("draft"), F.lit("O").alias("channel"), F.lit(False).alias("sent_manually"))
+    place.commit({"leads": lead.filter("lead % 7 = 0").withColumn("c_name", F.lit("replaced")), "drafts": new})
+    place.delete(lead.filter("lead % 11 = 3").select("lead"))
+    old = place.read("drafts")
+    again = old.filter("channel = 'P' AND lead % 2 = 0").select("lead", (F.col("draft") + 1_000_000_000).alias("draft"), "channel", F.lit(False).alias("sent_manually"))
+    rows, keys = leads.regenerated(old, again)
+    place.commit({"drafts": rows}, by=["lead", "channel"], keys=keys)
+    place.vacuum(keep=1)
+    return place
+
+
+@query
+def store_commits(spark, sf):
+    place = _committed(spark, sf)
+    one = place.read("leads").select(F.lit("lead").alias("of"), "lead", F.col("c_name").alias("value"), F.lit(None).cast("long").alias("draft"))
+    return one.union(place.read("drafts").select(F.lit("draft"), "lead", "channel", F.col("draft").cast("long")))
+
+
+@query
+def uploads_to_remove(spark, sf):
+    """Orders as jobs that share an upload for each hundred prices."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).cast("long").alias("upload"))
+    return leads.uploads_to_remove(o, o.filter("o_orderkey % 3 <> 0").select("o_orderkey"), "o_orderkey", "upload")
+
+
 QUERIES["replace_by_key"] = QUERIES.pop("replace_by_key_write")

@@ -16,17 +16,22 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder and read again, so that what follows neither repeats nor keeps its plan.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
 
-    The folder is spark.checkpoint.dir. Where nothing names one, a temporary folder is set if all runs in this one
-    process, as in tests; on a cluster that is an error, as a folder of one machine is lost with it.
+    Where nothing names one, a temporary folder is set if all runs in this one process, as in tests; on a cluster that
+    is an error, as a folder of one machine is lost with it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith(("local[", "local*")) and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to shared_folder() and read again, so that what follows neither repeats nor keeps its plan."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
