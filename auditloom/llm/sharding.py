@@ -1,10 +1,10 @@
 """Sharding by balanced label propagation (operator 1).
 
-Nodes start in shards by hash. In each round a part of the linked nodes asks to move where most
-of its neighbours are, and as many of those moves are granted as the shard's quota of bytes
-lets in, best gains first. Pieces, the nodes that are not to be parted, are then put together in one
-exact join, as rounds leave some behind. Nodes without links, whole pieces after them, and only then
-parts of large pieces even out the sizes. All sums that decide are taken over a fixed number of bins for each shard, so no shard is sorted or gathered.
+Nodes are texts: all rows of one text are a node with their bytes, unless they are more than a shard holds, and nodes that
+share passages are linked. Nodes start in shards by hash. In each round a part of the linked nodes asks to move where
+most of its neighbours are, and as many of those moves are granted as the shard's quota of bytes lets in, best
+gains first. After the rounds nodes without links even out the sizes, and whole linked nodes only where that is not
+enough. All sums that decide are taken over a fixed number of bins for each shard, so no shard is sorted or gathered.
 """
 
 from __future__ import annotations
@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import cut, dealt_anew, text_or_empty
+from auditloom.llm.exact_dedup import chunks
 
 ROUNDS = 8
 #: How far over its share a shard may grow while labels propagate.
 SLACK = 0.1
 BINS = 1024
+#: Passages of a text, those with the smallest hashes, that link it to others with the same one.
+SKETCH = 4
 #: Rows that are numbered in one sort, about.
 NUMBERED = 20_000
 
@@ -34,29 +37,31 @@ def _loads(nodes: DataFrame, shards: int) -> list[int]:
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """nodes (node long, size long, perhaps piece long and sub long) with shard int: few links cut, sizes nearly even.
+    """nodes (node long, size long, perhaps piece long) with shard int: few links cut, sizes nearly even.
 
-    links (a, b) are between different nodes, in any direction and any number. piece is the node
-    where all nodes of the same piece are placed, and sub a node of the same piece that stands for
-    some of them; without these columns each node is a piece of its own. See even_out() for when
-    pieces are divided.
+    links (a, b) are between different nodes, in any direction and any number. Nodes with the same piece move as one
+    node of all their bytes, and links between pieces are those of their nodes.
     """
-    if "piece" not in nodes.columns:
-        nodes = nodes.withColumn("piece", F.col("node"))
-    if "sub" not in nodes.columns:
-        nodes = nodes.withColumn("sub", F.col("piece"))
+    if "piece" in nodes.columns:
+        of = nodes.select(F.col("node").alias("_n"), "piece")
+        whole = nodes.groupBy(F.col("piece").alias("node")).agg(F.sum("size").alias("size"))
+        there = links.join(of, F.col("a") == F.col("_n")).select(F.col("piece").alias("a"), "b")
+        there = there.join(of, F.col("b") == F.col("_n")).select("a", F.col("piece").alias("b")).filter("a <> b")
+        placed = propagate(whole, there, shards, rounds, slack).select(F.col("node").alias("_p"), "shard")
+        return nodes.withColumn("_own", dealt_anew(F.col("piece"))).join(placed, F.col("_own") == F.col("_p")).select("node", "size", "shard")
+    nodes = nodes.withColumn("piece", F.col("node"))
     spark = nodes.sparkSession
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     linked = edges.select(F.col("a").alias("node")).distinct().withColumn("linked", F.lit(True))
     state = cut(
         nodes.join(linked, "node", "left").select(
-            "node", "size", "piece", "sub", F.coalesce("linked", F.lit(False)).alias("linked"), _bin(F.col("node"), -1, shards).alias("shard")
+            "node", "size", "piece", F.coalesce("linked", F.lit(False)).alias("linked"), _bin(F.col("node"), -1, shards).alias("shard")
         )
     )
     total = sum(_loads(state, shards))
     free = state.filter("not linked")
     free_loads = _loads(free, shards)
-    moving = cut(state.filter("linked").select("node", "size", "piece", "sub", "shard"))
+    moving = cut(state.filter("linked").select("node", "size", "piece", "shard"))
     idle = 0
     for r in range(rounds):
         loads = [a + b for a, b in zip(free_loads, _loads(moving, shards))]
@@ -94,26 +99,12 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROU
             ok = F.broadcast(spark.createDataFrame(granted, "to int, bin int"))
             moves = best.join(ok, ["to", "bin"]).select(F.col("a").alias("node"), "to")
             moving = cut(
-                moving.join(moves, "node", "left").select("node", "size", "piece", "sub", F.coalesce("to", "shard").alias("shard"))
+                moving.join(moves, "node", "left").select("node", "size", "piece", F.coalesce("to", "shard").alias("shard"))
             )
-    moving = together(moving)
     state = free.select("node", "size", "piece", "shard", "linked").union(moving.select("node", "size", "piece", "shard", F.lit(True)))
     return even_out(cut(state), shards, total).select("node", "size", "shard")
 
 
-def together(nodes: DataFrame) -> DataFrame:
-    """nodes (node, size, piece, sub, shard) with each in the shard of the node that its piece is named for.
-
-    The subs of a piece learn its shard first and the other nodes from them, so no key has more rows than
-    about the square root of a piece.
-    """
-    at = nodes.filter("node = piece").select(F.col("node").alias("_at"), F.col("shard").alias("_shard"))
-    subs = nodes.filter("node = sub").select(F.col("node").alias("_sub"), dealt_anew(F.col("piece")).alias("_of"))
-    subs = subs.join(at, F.col("_of") == F.col("_at")).select(dealt_anew(F.col("_sub")).alias("_sub"), "_shard")
-    rows = nodes.withColumn("_under", dealt_anew(F.col("sub")))
-    return rows.join(subs, F.col("_under") == F.col("_sub"), "left").select("node", "size", "piece", F.coalesce("_shard", "shard").alias("shard"))
-
-
 def even_out(state: DataFrame, shards: int, total: int) -> DataFrame:
     """state (node, size, piece, shard, linked) with bins of nodes moved from full shards to others.
 
@@ -153,39 +144,33 @@ def even_out(state: DataFrame, shards: int, total: int) -> DataFrame:
 
 
 def equal_text_pieces(rows: DataFrame, piece_bytes: float) -> DataFrame:
-    """Rows (node, sub, low, hub) for the nodes of texts that several rows have. rows: node, size, g, g2 (hashes of the text).
+    """rows (node, size, g, g2, the hashes of the text, and further columns) with piece, the same for rows of one text.
 
-    A group of over piece_bytes, which no shard can hold, is dealt into pieces of about that size by
-    hash, and each piece into subs, as many as each has nodes. sub, low and hub are the least nodes
-    of sub, piece and group.
+    A group of over piece_bytes, which no shard can hold, is dealt into pieces of about that size by hash.
     """
-    groups = (
-        rows.groupBy("g", "g2")
-        .agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / max(piece_bytes, 1.0)).alias("k"))
-        .filter("n > 1")
-        .select(dealt_anew(F.col("g")).alias("_g"), F.col("g2").alias("_g2"), "hub", "k", F.ceil(F.sqrt(F.col("n") / F.col("k"))).alias("m"))
-    )
-    part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("k") * F.col("m"))
-    members = cut(
-        rows.join(groups, (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2"))).select(
-            "node", "g", "g2", "hub", part.alias("part"), F.pmod(part, F.col("k")).alias("piece")
-        )
-    )
-    parts = cut(members.groupBy("g", "g2", "hub", "piece", "part").agg(F.min("node").alias("sub")))
-    pieces = parts.groupBy("g", "g2", "piece").agg(F.min("sub").alias("low"))
-    named = parts.join(pieces, ["g", "g2", "piece"]).select(dealt_anew(F.col("g")).alias("_g"), F.col("g2").alias("_g2"), F.col("part").alias("_part"), "sub", "low")
-    same = (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2")) & (F.col("part") == F.col("_part"))
-    return members.join(named, same).select("node", "sub", "low", "hub").distinct()
+    sizes = rows.groupBy("g", "g2").agg(F.ceil(F.sum("size") / max(piece_bytes, 1.0)).alias("k")).filter("k > 1")
+    sizes = sizes.select(F.col("g").alias("_g"), F.col("g2").alias("_g2"), "k")  # fewer than twice as many as shards or pieces
+    part = F.pmod(F.xxhash64("node", F.lit(7)), F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("_h", dealt_anew(F.col("g"))).join(F.broadcast(sizes), (F.col("_h") == F.col("_g")) & (F.col("g2") == F.col("_g2")), "left")
+    return rows.withColumn("piece", F.xxhash64("g", "g2", part)).drop("_h", "_g", "_g2", "k")
 
 
-def equal_text_links(pieces: DataFrame) -> DataFrame:
-    """Links (a, b), a tree over each group: nodes to the least of their sub, these to that of the piece, and these to that of the group."""
-    return (
-        pieces.select(F.col("node").alias("a"), F.col("sub").alias("b"))
-        .union(pieces.filter("node = sub").select(F.col("sub").alias("a"), F.col("low").alias("b")))
-        .union(pieces.filter("node = low").select(F.col("low").alias("a"), F.col("hub").alias("b")))
-        .filter("a <> b")
-    )
+def passage_links(pieces: DataFrame) -> DataFrame:
+    """Links (a, b) between the pieces that share a passage: a tree over each passage's. pieces: piece, sketch (array of hashes).
+
+    Each piece is linked to the least of about the square root of a passage's pieces, and these to the least of all, so a
+    passage adds no more links to one piece than that.
+    """
+    members = cut(pieces.select("piece", F.explode("sketch").alias("c")).distinct())
+    sizes = members.groupBy("c").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = sizes.select(dealt_anew(F.col("c")).alias("_c"), "m")
+    dealt = cut(members.join(sizes, F.col("c") == F.col("_c")).select("c", "piece", F.pmod(F.xxhash64("piece", F.lit(9)), F.col("m")).alias("part")))
+    subs = cut(dealt.groupBy("c", "part").agg(F.min("piece").alias("sub")))
+    hubs = subs.groupBy("c").agg(F.min("sub").alias("hub")).select(dealt_anew(F.col("c")).alias("_c"), "hub")
+    below = subs.select(dealt_anew(F.col("c")).alias("_c"), F.col("part").alias("_part"), "sub")
+    near = dealt.join(below, (F.col("c") == F.col("_c")) & (F.col("part") == F.col("_part"))).select(F.col("piece").alias("a"), F.col("sub").alias("b"))
+    far = subs.join(hubs, F.col("c") == F.col("_c")).select(F.col("sub").alias("a"), F.col("hub").alias("b"))
+    return near.union(far).filter("a <> b").distinct()
 
 
 def with_slots(rows: DataFrame, n_rows: int) -> DataFrame:
@@ -204,19 +189,20 @@ def with_slots(rows: DataFrame, n_rows: int) -> DataFrame:
     )
 
 
-def shard_equal_texts(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_equal_texts(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the UTF-8 bytes of the text (null: none) plus 1. The law is "bytes": sizes of shards
-    are nearly equal. Rows with equal texts are linked and together in a shard where it can hold
-    them: a group of over a shard's share of the bytes is dealt into pieces of that size at most, and
-    where shards would still differ by over 2 percent with whole groups, those of over an eighth of
-    a shard are divided. Repeated rows (the same id and text) are one node and always together; a null
-    id is an id, and a null text counts as empty. slot numbers a shard's rows from 0 without gaps;
-    grown_shard is null under this law. The result depends on ids, texts and shards only. Further
-    columns are not read. An empty table gives an empty result.
+    are nearly equal. Rows with equal texts are in one shard where it can hold them: a group of over a shard's share of
+    the bytes is dealt into pieces of that size at most, and where shards would still differ by over 2 percent with
+    whole groups, those of over an eighth of a shard are divided. Different texts are linked by passages
+    that they share (SKETCH of each text's, see exact_dedup.chunks) and propagation brings them together. Repeated rows (the
+    same id and text) are always together; a null id is an id, and a null text counts as empty. Whole texts are
+    read, however long. slot numbers a shard's rows from 0 without gaps; grown_shard is null under this law. The result
+    depends on ids, texts, shards and rounds only. Further columns are not read. An empty table gives an empty result.
     """
     text = text_or_empty(text_col)
+    sketch = F.slice(F.array_sort(F.array_distinct(F.transform(chunks(text), lambda c: F.xxhash64(c)))), 1, SKETCH)
     rows = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -225,16 +211,20 @@ def shard_equal_texts(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
             F.xxhash64(F.col(id_col), text).alias("node"),
             F.xxhash64(text).alias("g"),
             F.xxhash64(F.lit("second"), text).alias("g2"),
+            sketch.alias("sketch"),
         )
     )
     n_rows, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
-    nodes = rows.groupBy("node").agg(F.sum("size").alias("size"))
-    pieces = cut(equal_text_pieces(rows, (total or 0) / shards))
-    nodes = nodes.join(pieces.select("node", "low", "sub"), "node", "left").select(
-        "node", "size", F.coalesce("low", "node").alias("piece"), F.coalesce("sub", "node").alias("sub")
-    )
-    placed = propagate(nodes, equal_text_links(pieces), shards).select("node", "shard")
-    out = with_slots(rows.join(placed, "node"), n_rows)
-    return out.select(
+    share = (total or 0) / shards
+    for most in (share, share / 8):
+        pieces = equal_text_pieces(rows, most)
+        nodes = pieces.groupBy(F.col("piece").alias("node")).agg(F.sum("size").alias("size"))
+        placed = cut(propagate(nodes, passage_links(pieces.select("piece", "sketch")), shards, rounds))
+        if max([abs(x - share) for x in _loads(placed, shards)]) <= 0.02 * share:
+            break
+    at = placed.select(F.col("node").alias("_p"), "shard")
+    # a piece of many rows is a hot key
+    own = pieces.withColumn("_own", dealt_anew(F.col("piece"))).join(at, F.col("_own") == F.col("_p")).drop("_own", "_p", "piece", "sketch")
+    return with_slots(own, n_rows).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
