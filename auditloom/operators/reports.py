@@ -117,35 +117,68 @@ def pick(key: Column, choices: list[str], salt: str = "") -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in choices]), F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(len(choices))).cast("int") + 1)
 
 
-#: What observations are about; two of a message are about different things. The rules of one topic are alike.
-TOPICS = {
-    "phone": ["no_phone_cta", "no_phone_on_site", "phone_not_on_homepage", "no_mobile_tap_to_call"], "mobile": ["missing_viewport", "viewport_not_responsive", "fixed_width_layout", "zoom_disabled", "small_mobile_text", "no_mobile_menu"],
-    "speed": ["slow_response", "pagespeed_low", "heavy_page", "many_scripts", "perf_render_blocking_scripts", "perf_no_compression"], "contact": ["no_contact_form", "no_contact_page", "contact_hard_to_find", "no_email_on_site", "no_email_cta", "no_address"],
-    "action": ["no_primary_cta_above_fold", "no_booking_cta", "no_quote_cta", "weak_cta_language"], "trust": ["no_testimonials", "reviews_not_structured", "no_credentials", "no_portfolio", "no_about_page"],
-    "text": ["very_thin_homepage", "thin_homepage", "services_not_clear", "generic_value_proposition", "no_service_area", "no_heading_structure"], "safety": ["no_https", "mixed_content"],
-    "search": ["noindex", "missing_title", "title_too_short", "title_too_long", "missing_meta_description", "meta_description_short", "missing_h1", "multiple_h1", "missing_sitemap", "broken_internal_links"],
+def _value(name: str) -> Column:
+    return F.get(F.filter("evidence", lambda e: e["name"] == name), 0)["value"]
+
+
+#: The measure that the phrasing of a code may name.
+MEASURED = {
+    "slow_response": lambda: _value("ms"), "pagespeed_low": lambda: _value("score"), "broken_internal_links": lambda: F.nullif(_value("count"), F.lit("0")),
+    "heavy_page": lambda: F.round(_value("bytes").cast("double") / 1_000_000, 1).cast("string"), "very_thin_homepage": lambda: _value("words"), "thin_homepage": lambda: _value("words"),
+    "generic_value_proposition": lambda: F.nullif(_value("h1"), F.lit("")),
 }
 
 
 def observations(problems: DataFrame, limit: int = 2, salt: str = "") -> DataFrame:
     """Rows (site, place, code, topic, line): the first problems of each site that can be put in a sentence, of different topics.
 
-    problems: site, rank, code, evidence (see scoring.top_problems). A sentence is one of three by a
-    hash of the site; with a measure of the finding where it has one.
+    problems: site, rank, code, evidence (see scoring.top_problems). The wording of a code is one of its PHRASES by a hash of the
+    site and the place, with what was measured; where that is not known it is the code's first wording without it.
     """
-    topic = F.lit(None).cast("string")
-    for name, codes in TOPICS.items():
-        topic = F.when(F.col("code").isin(codes), name).otherwise(topic)
+    pairs = lambda table: F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)])
+    topic = F.try_element_at(pairs({k: F.lit(v) for k, v in lx.TOPIC.items()}), F.col("code"))
     listed = problems.withColumn("topic", topic).filter("topic IS NOT NULL").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("rank", "code", "topic", "evidence"))).alias("p"))
     firsts = listed.select("site", "p", F.transform("p", lambda x: x["topic"]).alias("ts"))
     kept = F.slice(F.filter(F.transform("p", lambda x, i: F.struct((F.array_position("ts", x["topic"]) == i + 1).alias("first"), x.alias("x"))), lambda y: y["first"]), 1, limit)
     rows = firsts.select("site", F.posexplode(kept).alias("at", "y")).select("site", (F.col("at") + 1).alias("place"), "y.x.code", "y.x.topic", "y.x.evidence")
     seed = F.pmod(F.xxhash64("site", F.lit(salt)), F.lit(997)).cast("int") + F.col("place") - 1
-    measure = F.get(F.filter("evidence", lambda e: F.coalesce(e["value"], F.lit("")).rlike("^[0-9.]+$")), 0)
-    proof = F.when(measure.isNotNull(), F.concat(F.lit(" ("), F.replace(measure["name"], F.lit("_"), F.lit(" ")), F.lit(" "), measure["value"], F.lit(")"))).otherwise("")
-    said = F.lower(_title(F.col("code")))
-    lines = F.array(F.concat(F.lit("I noticed: "), said, proof), F.concat(F.lit("What I found first is: "), said, proof), F.concat(F.lit("On your site there is: "), said, proof))
-    return rows.select("site", "place", "code", "topic", F.element_at(lines, F.pmod(seed, F.lit(3)) + 1).alias("line"))
+    lines = F.element_at(pairs({k: F.array(*[F.lit(x) for x in v]) for k, v in lx.PHRASES.items()}), F.col("code"))
+    measure = F.lit(None).cast("string")
+    for code, of in MEASURED.items():
+        measure = F.when(F.col("code") == code, of()).otherwise(measure)
+    rows = rows.select("site", "place", "code", "topic", seed.alias("seed"), lines.alias("lines"), measure.alias("measure"))
+    chosen = F.element_at("lines", F.pmod(F.col("seed"), F.size("lines")) + 1)
+    plain = F.get(F.filter("lines", lambda x: ~F.contains(x, F.lit("{}"))), 0)
+    line = F.when(~F.contains(chosen, F.lit("{}")), chosen).when(F.col("measure").isNull(), plain).otherwise(F.replace(chosen, F.lit("{}"), F.col("measure")))
+    return rows.select("site", "place", "code", "topic", line.alias("line"))
+
+
+def evidence_rows(evidence: Column, limit: int = 6) -> Column:
+    """array(struct(k, v)): the first limit measures of a finding as a report shows them. evidence is a VARIANT object, such as parse_json gives.
+
+    Null and empty values and objects are left out; of a list the first four items are named, by the url or the title of
+    those that are objects, 110 characters of each, and how many more there are; true and false are Yes and No, and
+    other values are cut at 240 characters. Names are in the order of the object's own (alphabetical), with blanks for underscores.
+    """
+    fields = F.map_entries(F.try_variant_get(evidence, "$", "map<string,variant>"))
+
+    def named(x: Column) -> Column:
+        about = lambda p: F.nullif(F.try_variant_get(x, p, "string"), F.lit(""))
+        return F.substring(F.coalesce(about("$.url"), about("$.title"), F.try_variant_get(x, "$", "string"), F.to_json(x)), 1, 110)
+
+    def shown(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        items = F.try_variant_get(v, "$", "array<variant>")
+        more = F.when(F.size(items) > 4, F.concat(F.lit(" (+"), (F.size(items) - 4).cast("string"), F.lit(" more)"))).otherwise("")
+        listed = F.when(F.size(items) > 0, F.concat(F.array_join(F.transform(F.slice(items, 1, 4), named), ", "), more))
+        return (
+            F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT") | (kind == "VOID"), F.lit(None))
+            .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), "Yes").otherwise("No"))
+            .otherwise(F.nullif(F.substring(F.try_variant_get(v, "$", "string"), 1, 240), F.lit("")))
+        )
+
+    rows = F.transform(fields, lambda e: F.struct(F.replace(e["key"], F.lit("_"), F.lit(" ")).alias("k"), shown(e["value"]).alias("v")))
+    return F.slice(F.filter(rows, lambda r: r["v"].isNotNull()), 1, limit)
 
 
 #: Endings of trades, whose plural names people, and of trades that have no plural (fixed values).

@@ -6,7 +6,7 @@ what an audit has to find. Each feature depends on the remainder of the number b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.sources.tables import table
@@ -141,3 +141,15 @@ def structured(spark: SparkSession, sf: str) -> DataFrame:
     mail = r"CASE k % 4 WHEN 0 THEN concat('m', k, '@a.test') WHEN 1 THEN concat(r'm\u0040', k, r'\u00e9') WHEN 2 THEN concat(r'say \"', k, r'\"') ELSE concat(r'a\\', k, r'\/b') END"
     json = f"replace(replace(CASE k % {len(STRUCTURED)} {cases} END, 'KEY', {key}), 'MAIL', {mail})"
     return table(spark, sf, "customer").selectExpr("c_custkey AS k").selectExpr("k AS page_id", f"concat('<html><script type=\"application/ld+json\">', {json}, '</script></html>') AS html")
+
+
+def evidence(k: Column) -> Column:
+    """The JSON of a finding's evidence: broken links as objects, plain lists, truths, numbers, nested and empty values."""
+    broken = F.transform(F.sequence(F.lit(1), (k % 7).cast("int") + 1), lambda i: F.when(i % 3 == 2, F.concat(F.lit('{"title": "Page '), i.cast("string"), F.lit('"}'))).otherwise(F.concat(F.lit('{"url": "/p'), i.cast("string"), F.lit('", "status": 404}'))))
+    words = F.transform(F.sequence(F.lit(1), (k % 6).cast("int") + 1), lambda i: F.concat(F.lit('"'), F.repeat(F.lit("w"), i * 40), F.lit('"')))
+    parts = [
+        F.concat(F.lit('"broken_pages": ['), F.when(k % 4 > 0, F.array_join(broken, ", ")).otherwise(""), F.lit("]")), F.concat(F.lit('"count": '), (k % 5).cast("string")),
+        F.concat(F.lit('"found_elsewhere": '), (k % 2 == 0).cast("string")), F.lit('"inner": {"a": 1}'), F.lit('"nothing": null'), F.concat(F.lit('"score": '), (k % 9).cast("string"), F.lit(".5")),
+        F.concat(F.lit('"text": "'), F.repeat(F.lit("t"), (k % 3).cast("int") * 200), F.lit('"')), F.concat(F.lit('"words": ['), F.array_join(words, ", "), F.lit("]")), F.lit('"zone": "last"'),
+    ]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))

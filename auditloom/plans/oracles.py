@@ -347,7 +347,7 @@ def _audit_queries(prefix: str, f: str) -> dict[str, str]:
           CASE WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN problems = 0 THEN 'D' ELSE 'C' END AS tier FROM r""",
         "export_issue_columns": f", {_PRIORITIES}, p AS (SELECT *, {_PRIORITY} AS priority FROM t) SELECT au.site, {issues} FROM au LEFT JOIN p ON p.site = au.site GROUP BY au.site",
     }
-    topic = "CASE " + " ".join(f"WHEN code IN {_in(codes)} THEN '{k}'" for k, codes in lx.TOPICS.items()) + " END"
+    topic = f"map_from_entries([{', '.join(f'{p!r}' for p in lx.TOPIC)}])[code]"
     out |= {
         "findings_context": f"SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY {_RANK}, deduction DESC, seq) AS INTEGER) AS place, code, {_CARD} AS category, severity, deduction FROM f",
         "category_shares": f", {_SCORES} SELECT site, category, findings, round(100 * findings / nullif(max(findings) OVER w, 0)::DOUBLE, 1) AS percent_of_most, round(100 * findings / nullif(sum(findings) OVER w, 0)::DOUBLE, 1) AS percent_of_all FROM card WINDOW w AS (PARTITION BY site)",
@@ -567,3 +567,12 @@ ORACLES["store_commits"] = """WITH l AS (SELECT c_custkey AS lead, CASE WHEN c_c
   SELECT 'lead' AS of, lead, value, NULL::BIGINT AS draft FROM l
   UNION ALL SELECT 'draft', lead, channel, draft + CASE WHEN again THEN 1000000000 ELSE 0 END FROM d"""
 ORACLES["uploads_to_remove"] = "SELECT CAST(trunc(o_totalprice / 100) AS BIGINT) AS upload FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 3 = 0) = 0"
+
+_MORE = "CASE WHEN {n} > 4 THEN ' (+' || ({n} - 4) || ' more)' ELSE '' END"
+ORACLES["evidence_lists"] = f"""WITH c AS (SELECT c_custkey AS k FROM customer), r AS (
+    SELECT k, 1 AS o, 'broken pages' AS label, array_to_string(list_transform(range(1, least(k % 7 + 1, 4) + 1), lambda i: CASE WHEN i % 3 = 2 THEN 'Page ' || i ELSE '/p' || i END), ', ') || {_MORE.format(n='(k % 7 + 1)')} AS value FROM c WHERE k % 4 > 0
+    UNION ALL SELECT k, 2, 'count', CAST(k % 5 AS VARCHAR) FROM c UNION ALL SELECT k, 3, 'found elsewhere', CASE WHEN k % 2 = 0 THEN 'Yes' ELSE 'No' END FROM c
+    UNION ALL SELECT k, 4, 'score', (k % 9) || '.5' FROM c UNION ALL SELECT k, 5, 'text', repeat('t', CASE k % 3 WHEN 1 THEN 200 ELSE 240 END) FROM c WHERE k % 3 > 0
+    UNION ALL SELECT k, 6, 'words', array_to_string(list_transform(range(1, least(k % 6 + 1, 4) + 1), lambda i: repeat('w', least(i * 40, 110))), ', ') || {_MORE.format(n='(k % 6 + 1)')} FROM c
+    UNION ALL SELECT k, 7, 'zone', 'last' FROM c)
+  SELECT k AS c_custkey, place, label, value FROM (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS INTEGER) AS place FROM r) WHERE place < 6"""

@@ -461,6 +461,14 @@ def identity_scores(spark, sf):
     return table(spark, sf, "customer").select(k, score.alias("confidence")).withColumn("verdict", discovery.verdict(F.col("confidence")))
 
 
+@query
+def evidence_lists(spark, sf):
+    """Evidence with lists, nested values, truths and nothing, as a report shows it; what there is follows from the customer's number."""
+    k = table(spark, sf, "customer").select("c_custkey", F.parse_json(fixture.evidence(F.col("c_custkey"))).alias("e"))
+    rows = k.select("c_custkey", F.posexplode(reports.evidence_rows(F.col("e"))).alias("place", "r"))
+    return rows.select("c_custkey", "place", F.col("r.k").alias("label"), F.col("r.v").alias("value"))
+
+
 @query
 def parked_pages(spark, sf):
     """The notes on all pages, and on placeholders made up from the customers, whose wordings the pages do not have."""

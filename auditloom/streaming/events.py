@@ -87,3 +87,83 @@ def stream_transitions(spark: SparkSession, path: str, schema, out: str, checkpo
     changes = feed.groupBy(key).applyInPandasWithState(step, result, "last string", "append", GroupStateTimeout.NoTimeout)
     query = changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return query.outputMode("append").trigger(availableNow=True).start()
+
+
+def bounded_queue(key: str, capacity: int, columns: list[str]):
+    """A state processor that keeps the newest events of each key, capacity at most, and returns the key's queue after each batch.
+
+    State is a list of events by event_id; what does not fit any more is dropped, the oldest first, as frames come in,
+    so neither the state nor a task holds more of a key than capacity events and one frame. An event that comes
+    twice is one.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Queue(StatefulProcessor):
+        def init(self, handle):
+            self.queue = handle.getListState("queue", ", ".join(columns))
+
+        def handleInputRows(self, k, frames, timers):
+            names = [c.split()[0] for c in columns]
+            held = pd.DataFrame(list(self.queue.get()), columns=names)
+            for frame in frames:
+                held = pd.concat([held, frame[names]]).drop_duplicates("event_id").sort_values("event_id").tail(capacity)
+            self.queue.put([tuple(r) for r in held.itertuples(index=False)])
+            out = held.copy()
+            out.insert(0, key, k[0])
+            yield out
+
+        def close(self):
+            pass
+
+    return Queue()
+
+
+def stream_fan_out(spark: SparkSession, path: str, schema, store, table: str, checkpoint: str, key: str, capacity: int, columns: list[str]):
+    """Starts the streaming form of fan_out(): the queue of each subscriber is state and, after each batch, its rows of a store's table.
+
+    A batch that runs again after a crash replaces the same subscribers' rows by the same queues. columns are
+    those of a queued event with their types, event_id first. The session needs RocksDB as its state store
+    (spark.sql.streaming.stateStore.providerClass).
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in schema}
+    queue = bounded_queue(key, capacity, columns)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    changed = feed.groupBy(key).transformWithStateInPandas(queue, f"{key} {kinds[key]}, {', '.join(columns)}", "Update", "None")
+
+    def write(rows: DataFrame, _: int) -> None:
+        rows = rows.persist()  # the commit reads it more than once
+        try:
+            store.commit({table: rows})
+        finally:
+            rows.unpersist()
+
+    query = changed.writeStream.foreachBatch(write).outputMode("update")
+    return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_feed(spark: SparkSession, path: str, schema, out: str, checkpoint: str):
+    """Starts a stream that appends the events of a folder to a feed that readers follow by cursors, each event once.
+
+    A batch's events lie in a folder of its number, which a batch that runs again after a crash writes anew; its place in
+    the feed is (batch, event_id).
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return query.trigger(availableNow=True).start()
+
+
+def follow(feed: DataFrame, cursor: tuple[int, int] | None, n: int, recent: int = 50) -> DataFrame:
+    """What a reader gets next of a feed (batch, event_id, ...), in order: the newest recent events at first, then n after its cursor.
+
+    A reader's next cursor is the last row's (batch, event_id). Each reader has its own, and none changes the feed. Only
+    the folders of batches from the cursor's on are read.
+    """
+    if cursor is None:
+        return feed.orderBy(F.col("batch").desc(), F.col("event_id").desc()).limit(recent).orderBy("batch", "event_id")
+    batch, event = cursor
+    return feed.filter((F.col("batch") > batch) | ((F.col("batch") == batch) & (F.col("event_id") > event))).orderBy("batch", "event_id").limit(n)

@@ -368,3 +368,22 @@ def test_addresses_in_structured_data():
     assert found["jsonld_emails"] == ["x@y", 'q"z', "l"]
     deep = '{"a": ' * 400 + '{"email": "d"}' + "}" * 400
     assert pages.read_html(f'<script type="application/ld+json">{deep}</script>')["jsonld_emails"] == ["d"]
+
+
+def test_observations_say_what_was_measured(spark):
+    """Each code has a wording, with its measure where there is one and without it elsewhere; topics are not repeated."""
+    from auditloom.functions import lexicons as lx
+    from auditloom.operators import reports
+
+    assert set(lx.PHRASES) == set(lx.TOPIC) and len(lx.TOPIC) == 48 and len(set(lx.TOPIC.values())) == 40
+    assert all(any("{}" not in x for x in v) for v in lx.PHRASES.values()) and {k for k, v in lx.PHRASES.items() if any("{}" in x for x in v)} == set(reports.MEASURED)
+    names = {"slow_response": ("ms", "2700"), "pagespeed_low": ("score", "41"), "broken_internal_links": ("count", "3"), "heavy_page": ("bytes", "3210000"), "very_thin_homepage": ("words", "80"), "thin_homepage": ("words", "200"), "generic_value_proposition": ("h1", "Welcome")}
+    kind = "site string, rank int, code string, evidence array<struct<name:string,value:string>>"
+    rows = [(f"{code}/{i}/{known}", 1, code, [names[code]] if known and code in names else []) for code in lx.TOPIC for i in range(20) for known in (True, False)]
+    out = reports.observations(spark.createDataFrame(rows, kind)).collect()
+    assert len(out) == len(rows) and not any("{}" in r["line"] or "null" in r["line"] for r in out)
+    said = {c: [r["line"] for r in out if r["code"] == c and r["site"].endswith("True")] for c in names}
+    for code, shown in (("slow_response", "2700 ms"), ("pagespeed_low", "41 of 100"), ("heavy_page", "3.2 MB"), ("thin_homepage", "200 words")):
+        assert any(shown in x for x in said[code]) and not any(shown in r["line"] for r in out if r["site"] == f"{code}/0/False")
+    many = spark.createDataFrame([("s", i, c, []) for i, c in enumerate(["slow_response", "unknown", "pagespeed_low", "missing_viewport", "no_https"])], kind)
+    assert [(r["code"], r["topic"]) for r in reports.observations(many, 2).orderBy("place").collect()] == [("slow_response", "page speed"), ("missing_viewport", "mobile layout")]
