@@ -142,3 +142,51 @@ STRUCTURED = r"""SELECT k, replace(replace(CASE k % 7 WHEN 0 THEN '{"@type": "Sh
     ELSE '{"KEY": 7, "emails": "no", "z": {"KEY": true}}' END, 'KEY', ['email', 'Email', 'EMAIL'][k % 3 + 1]),
     'MAIL', CASE k % 4 WHEN 0 THEN 'm' || k || '@a.test' WHEN 1 THEN 'm\u0040' || k || '\u00e9' WHEN 2 THEN 'say \"' || k || '\"' ELSE 'a\\' || k || '\/b' END)::JSON AS j
   FROM (SELECT c_custkey AS k FROM customer)"""
+
+
+def _is(c: str, yes: str = "Present", no: str = "Not found", unknown: str = "Not measured") -> str:
+    return f"CASE WHEN {c} THEN '{yes}' WHEN NOT ({c}) THEN '{no}' ELSE '{unknown}' END"
+
+
+def _head(c: str) -> str:
+    return f"CASE WHEN NOT measured THEN 'Not measured' WHEN {c} THEN 'Present' ELSE 'Missing' END"
+
+
+_N = "(6 * (k % 4 = 1)::INT + (k % 10 = 0)::INT)"
+_ALT = "(6 * (k % 4 = 1 AND k % 3 = 0)::INT + (k % 10 = 0)::INT)"
+#: In the order of the report: the signal's place, panel, label, value by the number (null: none), and what stands for none.
+_SIGNALS = [
+    (0, "headline", "HTTPS", _is("k % 7 <> 0", "Enabled", "Not enabled")), (1, "headline", "Homepage response time", "ms || ' ms'"),
+    (2, "headline", "Pages crawled", "1 + (k % 2 = 0)::INT + (k % 3 <> 1)::INT + (k % 4 <> 1)::INT + (k % 5 = 3)::INT + (k % 6 = 3)::INT + (k % 7 = 3)::INT"),
+    (3, "headline", "Indexable", "CASE WHEN k % 13 = 0 THEN 'No — noindex present' ELSE 'Yes' END"),
+    (4, "headline", "XML sitemap", "['Not found', 'Found', 'Not measured'][k % 3 + 1]"), (5, "headline", "robots.txt", "['Not found', 'Found', 'Not measured', 'Not measured'][k % 4 + 1]"),
+    (6, "headline", "Image alt coverage", f"CASE WHEN {_N} > 0 THEN CAST(floor(round({_ALT} / {_N}, 3) * 100) AS INT) || '% of ' || {_N} || ' images' END"),
+    (7, "headline", "Security headers measured", _is("measured", "Yes", "No")), (9, "headline", "Google PageSpeed score", "CASE WHEN k % 2 = 1 THEN speed || '/100 (mobile)' END", "Not Verified"),
+    (10, "headline", "Backlinks / referring domains / domain authority", "NULL", "Not Verified"), (11, "headline", "Organic traffic / keyword rankings", "NULL", "Not Verified"),
+    (12, "technical", "Final URL", "CASE WHEN k % 7 = 0 THEN 'http' ELSE 'https' END || '://' || site || '/'"), (13, "technical", "Redirect hops", "k % 5"),
+    (14, "technical", "Canonical URL", "CASE WHEN k % 4 > 0 THEN 'https://c.test/' END"), (15, "technical", "Meta robots", "CASE WHEN k % 13 = 0 THEN 'noindex, follow' END"),
+    (16, "technical", "Broken internal links", "CASE WHEN k % 7 <> 2 THEN k % 6 END"),
+    (17, "onpage", "Title", "CASE k % 11 WHEN 0 THEN NULL WHEN 1 THEN 'Short' WHEN 2 THEN rtrim(repeat('Long title ', 8)) ELSE 'Site ' || k || ' repairs of roofs in town' END"),
+    (18, "onpage", "Meta description", "CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Short text' ELSE 'Site ' || k || ' mends and builds roofs of every kind in all the town' END"),
+    (19, "onpage", "H1", "CASE k % 8 WHEN 0 THEN NULL WHEN 1 THEN 'One, Two' WHEN 2 THEN 'Welcome' ELSE 'Roofs ' || k END"), (20, "onpage", "Open Graph tags", "CASE WHEN k % 3 = 1 THEN 'title' END"),
+    (21, "onpage", "Twitter/X card tags", "CASE WHEN k % 4 = 2 THEN 'card' END"), (22, "onpage", "Declared language", "CASE WHEN k % 9 <> 0 THEN 'en' END"),
+    (23, "local_seo", "LocalBusiness/Organization schema", _is("k % 8 IN (0, 1, 4)")), (24, "local_seo", "Schema contains a postal address", _is("k % 8 = 0", "Yes", "No")),
+    (25, "local_seo", "Address published on site", _is("address", "Yes")), (26, "local_seo", "Map embed or Google Business Profile link", _is("k % 9 = 4")),
+    (27, "local_seo", "Service-area content", _is("area")), (28, "local_seo", "Opening hours", _is("hours", "Published")),
+    (29, "offpage", "Social profiles linked from the site", "CASE WHEN social THEN 'Yes' END"), (30, "offpage", "sameAs entries in structured data", "CASE WHEN k % 8 = 4 THEN 'Yes' END"),
+    (31, "offpage", "Backlink count", "NULL", "Not Verified"), (32, "offpage", "Referring domains", "NULL", "Not Verified"), (33, "offpage", "Domain authority", "NULL", "Not Verified"),
+    (34, "performance", "Response time", "ms || ' ms'"), (36, "performance", "Scripts on homepage", "CASE k % 17 WHEN 0 THEN 30 WHEN 1 THEN 6 ELSE 1 END + (k % 11 = 5)::INT"),
+    (37, "performance", "Render-blocking scripts", "CASE WHEN k % 17 = 1 THEN 6 ELSE 0 END"), (38, "performance", "Stylesheets", "0"),
+    (39, "performance", "Content-Encoding", "CASE WHEN k % 11 > 1 AND k % 9 > 4 THEN 'gzip' END"), (40, "performance", "Cache-Control", "CASE WHEN k % 11 > 1 AND k % 10 > 7 THEN 'no-store' WHEN k % 11 > 1 AND k % 10 > 3 THEN 'max-age=9' END"),
+    (41, "accessibility", "Language declared", _is("k % 9 <> 0", "Yes", "No")), (42, "accessibility", "<main> landmark", _is("k % 5 <> 2", "Present", "Missing")),
+    (43, "accessibility", "Unlabelled form inputs", "CASE WHEN k % 5 = 0 THEN k % 3 ELSE 0 END"), (44, "accessibility", "Links with no accessible text", "k % 3"), (45, "accessibility", "Colour contrast", "NULL", "Not Verified"),
+    (46, "security", "HTTPS", _is("k % 7 <> 0", "Enabled", "Not enabled")), (47, "security", "Strict-Transport-Security", _head("k % 4 < 2")), (48, "security", "Content-Security-Policy", _head("k % 6 < 3")),
+    (49, "security", "X-Content-Type-Options", "CASE WHEN k % 11 > 1 AND k % 3 = 1 THEN 'NoSniff' WHEN k % 11 > 1 AND k % 3 = 2 THEN 'other' END"), (50, "security", "X-Frame-Options", "CASE WHEN k % 11 > 1 AND k % 5 = 1 THEN 'DENY' END"),
+    (51, "security", "Referrer-Policy", _head("k % 7 > 2")), (52, "security", "Permissions-Policy", _head("false")), (53, "security", "Mixed content items", "CASE WHEN k % 7 <> 0 AND k % 10 = 0 THEN 1 ELSE 0 END"),
+    (54, "ux_conversion", "Mobile viewport", "['', 'width=900', 'width=device-width, user-scalable=no', 'width=device-width, maximum-scale=1.0', 'width=device-width', 'width=device-width'][k % 6 + 1]"),
+    (55, "ux_conversion", "Tap-to-call on homepage", _is("k % 3 = 0")), (56, "ux_conversion", "Mobile navigation pattern", _is("k % 2 = 0", "Detected", "Not detected")),
+    (57, "ux_conversion", "Contact form", _is("k % 5 = 0")), (58, "ux_conversion", "Booking CTA", _is("k % 9 = 1 OR k % 7 = 3 OR k % 11 = 5")),
+]
+PANELS = f"WITH {FINDINGS}, v AS (" + " UNION ALL ".join(
+    f"SELECT site, {x[0]} AS place, '{x[1]}' AS panel, '{x[2]}' AS label, nullif(CAST({x[3]} AS VARCHAR), '') AS v, '{x[4] if len(x) > 4 else 'Not Available'}' AS none FROM s" for x in _SIGNALS
+) + ") SELECT site, place, panel, label, coalesce(v, none) AS value, v IS NULL AS missing FROM v"

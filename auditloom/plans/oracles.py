@@ -576,3 +576,5 @@ ORACLES["evidence_lists"] = f"""WITH c AS (SELECT c_custkey AS k FROM customer),
     UNION ALL SELECT k, 6, 'words', array_to_string(list_transform(range(1, least(k % 6 + 1, 4) + 1), lambda i: repeat('w', least(i * 40, 110))), ', ') || {_MORE.format(n='(k % 6 + 1)')} FROM c
     UNION ALL SELECT k, 7, 'zone', 'last' FROM c)
   SELECT k AS c_custkey, place, label, value FROM (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS INTEGER) AS place FROM r) WHERE place < 6"""
+
+ORACLES["made_up_signal_panels"] = fixture_sql.PANELS

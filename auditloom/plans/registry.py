@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
 from auditloom.functions import text, urls
-from auditloom.operators import contacts, discovery, domains, frontier, leads, pages, reports, rules, scoring
+from auditloom.operators import contacts, discovery, domains, frontier, leads, pages, reports, rules, scoring, signals
 from auditloom.plans import fixture
 from auditloom.sources.store import Store
 from auditloom.sources.tables import checkpointed, replace_by_key, shared_folder, table
@@ -180,6 +180,17 @@ _AUDIT = {
 }
 
 
+#: Sizes of pages are not told by the number that a made-up site follows from.
+_SIZES = ("Page HTML size", "HTML size")
+
+
+@query
+def made_up_signal_panels(spark, sf):
+    """All signals of the made-up sites, with their values, but the sizes of pages."""
+    found = signals.panels(rules.facts(pages.parse(fixture.sites(spark, sf)), fixture.meta(spark, sf)))
+    return found.filter(~F.col("label").isin(*_SIZES)).drop("reason")
+
+
 def _over(audits, f):
     return lambda spark, sf: f(audits(spark, sf))
 
