@@ -151,7 +151,8 @@ def with_fallback(starts: DataFrame, fetches: DataFrame) -> DataFrame:
 def robots_rules(robots: DataFrame) -> DataFrame:
     """Rows (site, agent, allow, prefix, n) of robots texts (site, robots): each rule under each agent of its group, in order.
 
-    A group is the agents that follow each other and the rules after them; null and empty texts have none.
+    A group is the agents that follow each other and the rules after them; null and empty texts have none. A
+    rule that names no path allows all.
     """
     lines = F.transform(F.split(F.coalesce("robots", F.lit("")), "\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
     known = F.filter(lines, lambda x: x.rlike("(?i)^(user-agent|allow|disallow)\\s*:"))
@@ -160,8 +161,8 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     def step(a: Column, x: Column) -> Column:
         agent, value = x.rlike("(?i)^user-agent"), F.trim(F.regexp_replace(x, "^[^:]*:", ""))
         named = F.struct(F.concat(F.when(a["open"], a["agents"]).otherwise(F.array().cast("array<string>")), F.array(F.lower(value))).alias("agents"), F.lit(True).alias("open"), a["rules"].alias("rules"))
-        rule = F.array(F.struct(a["agents"].alias("agents"), x.rlike("(?i)^allow").alias("allow"), value.alias("prefix")))
-        ruled = F.struct(a["agents"].alias("agents"), F.lit(False).alias("open"), F.when(value == "", a["rules"]).otherwise(F.concat(a["rules"], rule)).alias("rules"))
+        rule = F.array(F.struct(a["agents"].alias("agents"), (x.rlike("(?i)^allow") | (value == "")).alias("allow"), value.alias("prefix")))
+        ruled = F.struct(a["agents"].alias("agents"), F.lit(False).alias("open"), F.concat(a["rules"], rule).alias("rules"))
         return F.when(agent, named).otherwise(ruled)
 
     found = robots.select("site", F.posexplode(F.aggregate(known, start, step)["rules"]).alias("n", "r"))
@@ -169,12 +170,14 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 
 
 def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """pages (site, url) with allowed: by the first rule whose prefix the path has, of the agent's own rules or those of "*".
+    """pages (site, url) with allowed: by the first rule whose prefix the path has, of the agent's own rules.
 
-    Where neither group speaks of a path it is allowed; it is also if one of the two groups allows it.
+    An agent without rules of its own has those of "*". A path that no rule speaks of is allowed, and so is one that
+    the rules of "*" allow.
     """
     own = rules.filter(F.col("agent").isin(agent.lower(), "*")).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("n", "agent", "allow", "prefix"))).alias("rules"))
     way = F.coalesce(F.nullif(F.concat(urls.path(F.col("url")), F.regexp_extract("url", r"(\?[^#]*)", 1)), F.lit("")), F.lit("/"))
     first = lambda name: F.coalesce(F.get(F.filter("rules", lambda r: (r["agent"] == name) & F.startswith(F.col("_way"), r["prefix"])), 0)["allow"], F.lit(True))
     out = pages.withColumn("_way", way).join(own, "site", "left")
-    return out.withColumn("allowed", F.col("rules").isNull() | first(agent.lower()) | first("*")).drop("rules", "_way")
+    named = F.coalesce(F.exists("rules", lambda r: r["agent"] == agent.lower()), F.lit(False))
+    return out.withColumn("allowed", F.col("rules").isNull() | (named & first(agent.lower())) | first("*")).drop("rules", "_way")

@@ -42,7 +42,6 @@ def name_score(header: Column) -> Column:
     return F.create_map(*fields)
 
 
-@F.pandas_udf("double")
 def likeness(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """How alike two short strings are, by matching blocks."""
     for a, b in pairs:
@@ -63,7 +62,7 @@ def mapping_scores(rows: DataFrame, sample: int = 200) -> DataFrame:
     aliases = F.create_map(*[x for f, ns in lx.ALIASES.items() for x in (F.lit(f), F.array(*[F.lit(n) for n in ns]))])
     alike = (
         pairs.filter("exact = 0").select("header", "h", "field", F.explode(aliases[F.col("field")]).alias("alias"))
-        .groupBy("header", "field").agg(F.max(likeness("h", "alias")).alias("r"))
+        .groupBy("header", "field").agg(F.max(F.pandas_udf(likeness, "double")("h", "alias")).alias("r"))
     )
     name = F.greatest("exact", F.when(F.col("r") > 0.86, 0.85 * F.col("r")).otherwise(0.0))
     shaped = F.coalesce(F.try_element_at("shapes", F.col("field")), F.lit(0.0))

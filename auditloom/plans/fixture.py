@@ -153,3 +153,30 @@ def evidence(k: Column) -> Column:
         F.concat(F.lit('"text": "'), F.repeat(F.lit("t"), (k % 3).cast("int") * 200), F.lit('"')), F.concat(F.lit('"words": ['), F.array_join(words, ", "), F.lit("]")), F.lit('"zone": "last"'),
     ]
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def robots(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows (site, robots, url): a robots text for each customer, and pages that it may speak of."""
+    says = r"""CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN 'User-agent: *\nDisallow: /private # no\nAllow: /' WHEN 2 THEN 'User-agent: AuditBot\nDisallow: /\n\nUser-agent: *\nDisallow: /x'
+      WHEN 3 THEN 'User-agent: auditbot\nUser-agent: other\nDisallow:\n\nUser-agent: *\nDisallow: /' WHEN 4 THEN 'User-agent: other\nDisallow: /' ELSE 'USER-AGENT: *\r\nALLOW: /private/open\r\nDISALLOW: /private' END"""
+    rows = table(spark, sf, "customer").selectExpr("c_custkey AS k").selectExpr("concat('site', k) AS site", f"{says} AS robots")
+    return rows.selectExpr("*", "explode(array('/', '/x/y', '/private', '/private/open?a=1')) AS way").selectExpr("site", "robots", "concat('https://', site, '.test', way) AS url")
+
+
+def phones(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows (k, raw, country, state, address): a number for each customer in one of ten layouts, and where it is from."""
+    n = "lpad(string(k % 1000), 3, '0')"
+    raw = f"""CASE k % 10 WHEN 0 THEN concat('0113 496 0', {n}) WHEN 1 THEN concat('(415) 555-0', {n}) WHEN 2 THEN concat('+49 151 12345', {n}) WHEN 3 THEN concat('0412 345 ', {n})
+      WHEN 4 THEN concat('415.555.0', {n}, ' ext. 12') WHEN 5 THEN concat('0044 (113) 4960', {n}) WHEN 6 THEN concat('415-555-0', {n}) WHEN 7 THEN '1111111111' WHEN 8 THEN '12' ELSE '  ' END"""
+    return table(spark, sf, "customer").selectExpr("c_custkey AS k").selectExpr(
+        "k", f"{raw} AS raw", "CASE k % 10 WHEN 0 THEN 'United Kingdom' WHEN 1 THEN 'usa' WHEN 2 THEN 'Germany' WHEN 3 THEN 'AU' END AS country", "CASE k % 10 WHEN 4 THEN 'CA' WHEN 7 THEN 'TX' END AS state",
+        "CASE k % 10 WHEN 8 THEN '1 Main St, Austin TX 78701' WHEN 6 THEN 'nowhere' END AS address",
+    )
+
+
+def leads(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows (k, website, place_id, business_name, city, phone): leads some of which are the same one."""
+    return table(spark, sf, "customer").selectExpr("c_custkey AS k").selectExpr(
+        "k", "CASE k % 5 WHEN 0 THEN concat('https://www.shop', k % 30, '.co.uk/about?utm_source=x') WHEN 1 THEN concat('shop', k % 30, '.co.uk') WHEN 2 THEN 'https://www.facebook.com/shop' ELSE 'n/a' END AS website",
+        "CASE WHEN k % 5 = 2 THEN concat('  PLACE', k % 40) ELSE '' END AS place_id", "CASE WHEN k % 5 = 3 THEN concat('Joe ', k % 50) END AS business_name", "'Leeds' AS city", "concat('0113 ', k % 60) AS phone",
+    )

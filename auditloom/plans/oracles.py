@@ -578,3 +578,18 @@ ORACLES["evidence_lists"] = f"""WITH c AS (SELECT c_custkey AS k FROM customer),
   SELECT k AS c_custkey, place, label, value FROM (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS INTEGER) AS place FROM r) WHERE place < 6"""
 
 ORACLES["made_up_signal_panels"] = fixture_sql.PANELS
+
+ORACLES["robots_decisions"] = """SELECT 'site' || k AS site, 'https://site' || k || '.test' || p AS url,
+    CASE k % 6 WHEN 1 THEN p NOT LIKE '/private%' WHEN 2 THEN p NOT LIKE '/x%' WHEN 5 THEN p NOT LIKE '/private%' OR p LIKE '/private/open%' ELSE true END AS allowed
+  FROM (SELECT c_custkey AS k, unnest(['/', '/x/y', '/private', '/private/open?a=1']) AS p FROM customer)"""
+ORACLES["phone_layouts"] = """WITH c AS (SELECT c_custkey AS k, c_custkey % 10 AS i, lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS n FROM customer),
+    r AS (SELECT *, CASE WHEN i IN (0, 5) THEN '1134960' || n WHEN i IN (1, 4) THEN '4155550' || n WHEN i = 2 THEN '15112345' || n WHEN i = 3 THEN '412345' || n END AS national FROM c)
+  SELECT k AS c_custkey, ['GB', 'US', 'DE', 'AU', 'US', NULL, NULL, 'US', 'US', NULL][i + 1] AS home, ['valid', 'valid', 'valid', 'valid', 'valid', 'valid', 'ambiguous_region', 'invalid', 'unparseable', 'empty'][i + 1] AS status,
+         ['+44', '+1', '+49', '+61', '+1', '+44'][i + 1] || national AS e164, national, ['GB', 'US', 'DE', 'AU', 'US', 'GB'][i + 1] AS region,
+         ['fixed_line', 'fixed_line_or_mobile', 'mobile', 'mobile', 'fixed_line_or_mobile', 'fixed_line'][i + 1] AS line, CASE WHEN i = 4 THEN '12' END AS extension FROM r"""
+ORACLES["lead_keys"] = """WITH c AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 2 THEN 'place:place' || c_custkey % 40 WHEN 3 THEN 'name:joe ' || c_custkey % 50 || '|leeds' WHEN 4 THEN 'phone:0113' || c_custkey % 60
+    ELSE 'site:shop' || c_custkey % 30 || '.co.uk' END AS key FROM customer) SELECT k AS c_custkey, key, min(k) OVER (PARTITION BY key) AS first FROM c"""
+ORACLES["website_decisions"] = """WITH c AS (SELECT c_custkey AS k FROM customer), t AS (SELECT k, unnest([1, 2, 3, 4]) AS pos FROM c), s AS (SELECT k, pos, (k * pos * 37) % 100 AS sure FROM t),
+    b AS (SELECT * FROM s x WHERE sure >= 55 AND NOT EXISTS (SELECT 1 FROM s y WHERE y.k = x.k AND y.pos < x.pos AND y.sure >= 85) QUALIFY row_number() OVER (PARTITION BY k ORDER BY sure DESC, pos) = 1)
+  SELECT c.k AS c_custkey, CASE WHEN c.k % 5 > 2 THEN 'not_found' WHEN c.k % 5 = 2 THEN 'not_a_website' WHEN c.k % 7 = 1 THEN 'blocked' WHEN c.k % 7 = 2 THEN 'unavailable' WHEN c.k % 10 < 2 THEN 'mismatch' WHEN c.k % 3 = 0 THEN 'redirected' ELSE 'valid' END AS status,
+         b.pos AS taken FROM c LEFT JOIN b ON b.k = c.k"""

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
-from auditloom.functions import text, urls
-from auditloom.operators import contacts, discovery, domains, frontier, leads, pages, reports, rules, scoring, signals
+from auditloom.functions import phones, text, urls
+from auditloom.operators import contacts, discovery, domains, frontier, ingest, leads, pages, reports, rules, scoring, signals
 from auditloom.plans import fixture
 from auditloom.sources.store import Store
 from auditloom.sources.tables import checkpointed, replace_by_key, shared_folder, table
@@ -480,6 +480,41 @@ def evidence_lists(spark, sf):
     return rows.select("c_custkey", "place", F.col("r.k").alias("label"), F.col("r.v").alias("value"))
 
 
+@query
+def robots_decisions(spark, sf):
+    """Which pages a crawler of its own name may fetch, by the robots texts of made-up sites."""
+    r = fixture.robots(spark, sf)
+    rules_ = frontier.robots_rules(r.select("site", "robots").distinct())
+    return frontier.robots_allowed(r.select("site", "url"), rules_, "AuditBot").select("site", "url", "allowed")
+
+
+@query
+def phone_layouts(spark, sf):
+    """Numbers in ten layouts, with the region that country, state or address tell."""
+    p = fixture.phones(spark, sf).withColumn("home", phones.resolve_region(F.col("country"), F.col("state"), F.col("address")))
+    p = p.withColumn("p", phones.normalize_phone(F.col("raw"), F.col("home")))
+    return p.select(F.col("k").alias("c_custkey"), "home", "p.status", "p.e164", "p.national", "p.region", "p.line", "p.extension")
+
+
+@query
+def lead_keys(spark, sf):
+    """What makes leads one, and the first lead of each."""
+    rows = fixture.leads(spark, sf).withColumn("key", ingest.dedup_key(*[F.col(c) for c in ("website", "place_id", "business_name", "city", "phone")]))
+    first = rows.groupBy(F.col("key").alias("_key")).agg(F.min("k").alias("first"))
+    return rows.join(first, F.col("key") == F.col("_key")).select(F.col("k").alias("c_custkey"), "key", "first")
+
+
+@query
+def website_decisions(spark, sf):
+    """What became of the address of each lead, by made-up fetches, and of the addresses guessed for it the one that is taken."""
+    k = F.col("k")
+    rows = fixture.leads(spark, sf).withColumn("final", F.when(k % 3 == 0, "https://other.test/").otherwise(urls.normalize_url(F.col("website")))).withColumn("error", F.when(k % 7 == 1, "blocked").when(k % 7 == 2, "timeout"))
+    rows = rows.select("k", discovery.website_status(F.col("website"), F.col("final"), F.col("error"), k % 10 / F.lit(10.0)).alias("status"))
+    tried = rows.select("k", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("pos")).withColumn("confidence", (F.col("k") * F.col("pos") * 37 % 100) / F.lit(100.0))
+    best = discovery.best_candidate(tried, "k").select(F.col("k").alias("_k"), F.col("pos").alias("taken"))
+    return rows.join(best, k == F.col("_k"), "left").select(k.alias("c_custkey"), "status", "taken")
+
+
 @query
 def parked_pages(spark, sf):
     """The notes on all pages, and on placeholders made up from the customers, whose wordings the pages do not have."""

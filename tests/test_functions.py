@@ -282,9 +282,13 @@ def test_robots_and_fallback(spark):
     text_ = "User-agent: a\nUser-agent: *\nDisallow: /private # no\nAllow: /\n\nUser-agent: bot\nDisallow: /x\nDisallow:\n"
     found = frontier.robots_rules(spark.createDataFrame([("s", text_), ("t", None)], "site string, robots string"))
     got = {(r["agent"], r["allow"], r["prefix"]) for r in found.collect()}
-    assert got == {("a", False, "/private"), ("*", False, "/private"), ("a", True, "/"), ("*", True, "/"), ("bot", False, "/x")}
+    assert got == {("a", False, "/private"), ("*", False, "/private"), ("a", True, "/"), ("*", True, "/"), ("bot", False, "/x"), ("bot", True, "")}
     urls_ = spark.createDataFrame([("s", "https://s.com/private/1"), ("s", "https://s.com/"), ("t", "https://t.com/private")], "site string, url string")
     assert [r["allowed"] for r in frontier.robots_allowed(urls_, found, "a").orderBy("url").collect()] == [True, False, True]
+    # an agent that is not named has the rules of all, and one whose group allows all has no others
+    assert [r["allowed"] for r in frontier.robots_allowed(urls_, found, "other").orderBy("url").collect()] == [True, False, True]
+    free = frontier.robots_rules(spark.createDataFrame([("s", "User-agent: x\nDisallow:\n\nUser-agent: *\nDisallow: /")], "site string, robots string"))
+    assert [[r["allowed"] for r in frontier.robots_allowed(urls_, free, a).orderBy("url").collect()] for a in ("x", "y")] == [[True] * 3, [False, False, True]]
     starts = spark.createDataFrame([("s", "https://s.com/"), ("t", "https://t.com/")], "site string, url string")
     fetches = spark.createDataFrame([("https://s.com/", None, "ssl_error"), ("http://s.com/", 200, None), ("https://t.com/", 500, None)], "url string, status int, error string")
     out = {r["site"]: (r["url"], r["status"], r["https_unavailable"]) for r in frontier.with_fallback(starts, fetches).collect()}
