@@ -25,9 +25,11 @@ def having(leads: DataFrame, others: DataFrame, on: Column, yes: bool) -> DataFr
 
 def statistics(leads: DataFrame, dimensions: dict[str, str]) -> DataFrame:
     """Rows (dimension, value, n) for several dimensions in one pass by grouping sets; empty values get dimensions' label."""
-    cols = {d: F.coalesce(F.nullif(F.col(d).cast("string"), F.lit("")), F.lit(label)).alias(d) for d, label in dimensions.items()}
-    rows = leads.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), c.alias("value")) for d, c in cols.items()])).alias("x"))
-    return rows.select("x.*").groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = list(dimensions)
+    rows = leads.select(*[F.coalesce(F.nullif(F.col(d).cast("string"), F.lit("")), F.lit(label)).alias(d) for d, label in dimensions.items()])
+    sets = rows.groupingSets([[d] for d in names], *names).agg(F.count(F.lit(1)).alias("n"), *[F.grouping(d).alias(f"_{i}") for i, d in enumerate(names)])
+    which = [F.when(F.col(f"_{i}") == 0, F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"))) for i, d in enumerate(names)]
+    return sets.select(F.coalesce(*which).alias("x"), "n").select("x.dimension", "x.value", "n")
 
 
 def children(parents: DataFrame, rows: DataFrame, key: str, order: str, value: str, k: int) -> DataFrame:
@@ -85,9 +87,10 @@ def newest_jobs(jobs_: DataFrame, key: str, limit: int = 50) -> DataFrame:
     return jobs_.orderBy(F.col(key).desc()).limit(min(max(limit, 1), 200))
 
 
-def counted_page(leads: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> tuple[int, DataFrame]:
-    """How many leads there are before paging, and one page of them."""
-    return leads.count(), page(leads, order, number, size)
+def counted_page(leads: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> DataFrame:
+    """One page of leads, with total: how many there are before paging. Both are one query; a page without rows tells no total."""
+    total = leads.agg(F.count(F.lit(1))).scalar()
+    return page(leads, order, number, size).withColumn("total", total)
 
 
 def detail(key_value, key: str, lead: DataFrame, **children: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
+from auditloom.functions import text
 
 _SPEED = [k for k, v in lx.CARD_CATEGORY.items() if v == "performance"]
 
@@ -147,7 +148,7 @@ def scorecard(audits: DataFrame, weights: dict[str, int] = lx.CARD_WEIGHTS) -> D
     categories that apply, rounded half to even.
     """
     card, rows = _carded(audits, weights)
-    return card.select("site", "overall", F.explode(rows).alias("x")).select("site", "x.*", "overall")
+    return card.select("site", "overall", F.explode_outer(rows).alias("x")).select("site", "x.*", "overall")
 
 
 def severity_counts(audits: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def check_results(audits: DataFrame) -> DataFrame:
     The first fired code of a check decides: fail if its severity is high, else warning; none: pass.
     """
     found, rows = _checks(audits)
-    return found.select("site", F.explode(rows).alias("x")).select("site", "x.*")
+    return found.select("site", F.explode_outer(rows).alias("x")).select("site", "x.*")
 
 
 def clear_opportunity(score: Column, problems: Column, strong: Column, least: int = 3) -> Column:
@@ -234,10 +235,16 @@ def findings_context(audits: DataFrame) -> DataFrame:
 
 def shares(audits: DataFrame) -> DataFrame:
     """Rows (site, category, findings, percent_of_most, percent_of_all): what bars and rings of a report show, to one decimal."""
-    card = scorecard(audits)
-    listed = card.groupBy("site").agg(F.collect_list(F.struct("category", "findings")).alias("cs"), F.max("findings").alias("most"), F.sum("findings").alias("sum"))
-    part = lambda whole: F.round(100 * F.col("c.findings") / F.nullif(F.col(whole), F.lit(0)), 1)
-    return listed.select("site", "most", "sum", F.explode("cs").alias("c")).select("site", "c.category", "c.findings", part("most").alias("percent_of_most"), part("sum").alias("percent_of_all"))
+    card, rows = _carded(audits, lx.CARD_WEIGHTS)
+    found = lambda c: c["findings"]
+    part = lambda c, whole: F.round(100 * found(c) / F.nullif(whole, F.lit(0)), 1)
+
+    def shared(cs: Column) -> Column:
+        whole = F.struct(F.array_max(F.transform(cs, found)).alias("most"), F.aggregate(cs, F.lit(0), lambda a, c: a + found(c)).alias("sum"))
+        row = lambda c, m: F.struct(c["category"].alias("category"), found(c).alias("findings"), part(c, m["most"]).alias("percent_of_most"), part(c, m["sum"]).alias("percent_of_all"))
+        return text.let(whole, lambda m: F.transform(cs, lambda c: row(c, m)))
+
+    return card.select("site", F.explode_outer(text.let(rows, shared)).alias("c")).select("site", "c.*")
 
 
 def _with_status(status: str) -> Column:
@@ -247,9 +254,9 @@ def _with_status(status: str) -> Column:
 def executive_summary(audits: DataFrame, weights: dict[str, int] = lx.CARD_WEIGHTS) -> DataFrame:
     """One row for each site: what the first page of a report says.
 
-    overall and its band; working: the best four categories from 85 on; weak: the worst three under 70; problems:
-    the codes of the worst three priorities; impacted: the card's first three categories with a
-    finding of high or medium severity; and how many checks have each status.
+    overall and its band; working: the best four categories from 85 on; weak: the worst three under 70; impacted: the
+    card's first three categories with a finding of high or medium severity; and how many checks have each status. The
+    problems of that page and what to do about them are the first of top_priorities() and recommendations().
     """
     card, rows = _carded(audits, weights)
     card, checks = _checks(card.select("*", rows.alias("card")))

@@ -101,4 +101,4 @@ def panels(sites: DataFrame) -> DataFrame:
     by = {p: [r for r, s in zip(rows, SIGNALS) if s[0] == p] for p in dict.fromkeys(s[0] for s in SIGNALS)}
     # an array for each panel keeps the generated methods small
     parts = shared.select("site", *[F.expr(f"concat({', '.join(r)})").alias(f"_{p}") for p, r in by.items()])
-    return parts.select("site", F.explode(F.concat(*[f"_{p}" for p in by])).alias("s")).select("site", "s.*")
+    return parts.select("site", F.explode_outer(F.concat(*[f"_{p}" for p in by])).alias("s")).select("site", "s.*")
