@@ -52,8 +52,9 @@ def exact_dedup(
     Texts are equal if they agree after each run of [\\x20\\x09-\\x0D] becomes one space; a null
     text counts as empty, and all empty texts are one group. The smallest id of a group is
     keep_id, and its row is kept. Rows that repeat an id with an equal text are all kept and all
-    count in group_size (see keep_first to keep one of them); a null id sorts last. Further
-    columns of docs are not read. An empty table gives an empty result.
+    count in group_size (see keep_first to keep one of them); a null id sorts last. Whole texts are
+    compared, however long: a text is a list of chunks of at most `longest` characters, and only the lists
+    move as a whole. Further columns of docs are not read. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), normalised(text_or_empty(text_col)).alias("_t"))
     pieces = chunks(F.col("_t"), cut_at, longest)

@@ -56,7 +56,8 @@ def line_dedup(
     but for all those of the largest id that holds it. Rows that repeat an id count as one
     document, and each loses the shared lines of its own text; rows with a null id are in no count
     and lose their shared lines only. One id on several texts holds all their lines as one document.
-    A document may lose every line; its text is then empty. An empty table gives an empty result. All
+    A document may lose every line; its text is then empty. Whole texts are split, however long: only the hashes of
+    their lines meet, a row for each line. An empty table gives an empty result. All
     further columns of docs stay as they are; if docs has an n_lines or n_dropped of its own, the
     counts are named with as many underscores at the end as it takes to differ.
     """
