@@ -9,6 +9,7 @@ in a whole band meet, and every pair that is looked at is verified by its exact
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,22 +19,17 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import cut, dealt_anew, in_lots, rows_that_stay, text_or_empty
 from auditloom.llm.hashing import Words, mix
+from auditloom.llm.ngram_lm import _packed, _unpacked
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 meets in a band with probability 0.51 and in none of 9 with 0.0016.
 BANDS, ROWS = 9, 3
-#: The floor of document frequencies: shingles in fewer than this share of the texts all weigh as if they
-#: were in this share. Without it the weight of a changed word would grow with the corpus and that of a passage
-#: fall with its copies, so that near copies would come apart just where they are many. And only the
-#: frequent shingles need their document frequency: at most 1 / FREQUENT times those of a mean text, whatever
-#: the input. Up to 1 / FREQUENT texts, the weights are plain TF-IDF.
-FREQUENT = 0.02
-#: Candidates for these are marked in a map of so many bits.
-_MAP_BITS = 22
+#: The floor of document frequencies, as a share of the rows: under one row of any table, so there is none.
+FREQUENT = 2.0**-63
+#: Characters of a block of texts, and shingles of a range of hashes, about.
+BLOCK, RANGE = 6_000_000, 1_500_000
 #: A pair of texts that share several shingles comes once if they are among the first so many, else more often.
 _FEW = 64
-#: Shingles counted at once, in a task.
-_COUNTED = 1_000_000
 
 _steps = 1 << 16
 _uniform = (np.arange(_steps) + 0.5) / _steps
@@ -77,20 +73,14 @@ def shingles(lot: list[str]) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]
 
 
 class Weights:
-    """Inverse document frequencies: of the frequent shingles by hash, and of all others."""
+    """Inverse document frequencies of some shingles among n rows, by hash."""
 
     def __init__(self, n: int, hashes: np.ndarray, df: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.idf = hashes[order], 1 + np.log(n / np.maximum(df[order], FREQUENT * n))
-        self.rest = 1 - np.log(FREQUENT)
+        self.hashes, self.idf = hashes[order], 1 + np.log(n / df[order])
 
     def of(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
-        idf = np.full(len(h), self.rest)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            idf[hit] = self.idf[at[hit]]
-        return count * idf
+        return count * self.idf[np.searchsorted(self.hashes, h)]
 
 
 def bands(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -128,133 +118,195 @@ def digest(text: str) -> bytes:
     return hashlib.blake2b(b" ".join(text.encode("utf-8", "replace").split()), digest_size=16).digest()
 
 
-def _every(lot: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles of a lot as they stand, and the number of the text of each."""
-    w = Words(lot)
-    h, ok = w.windows(SHINGLE)
-    at = np.flatnonzero(ok)
-    few = [i for i in np.flatnonzero((w.counts > 0) & (w.counts < SHINGLE))]
-    own = [_short(w, i) for i in few]
-    text = np.searchsorted(w.offsets, at, side="right") - 1
-    return np.concatenate([h[at], *own]), np.concatenate([text, np.array(few, np.int64)])
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """Blocks of rows (id, sha, text): block, ids, shas, sizes and texts, all texts of a block packed as one."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def block(lot: list) -> pa.RecordBatch:
+        raw = [text.encode("utf-8") for _, _, text in lot]
+        name = int.from_bytes(os.urandom(8), "little", signed=True)  # the blocks are written once, see cut()
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(lot)], pa.int32()), pa.concat_arrays([x[k] for x in lot])) for k in (0, 1)]
+        packed = [pa.array([_packed(a)], pa.binary()) for a in (np.array([len(x) for x in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8))]
+        return pa.RecordBatch.from_arrays([pa.array([name]), *lists, *packed], names=["block", "ids", "shas", "sizes", "texts"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, chars = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                text = b.column(2)[i].as_py()
+                lot.append((b.column(0).slice(i, 1), b.column(1).slice(i, 1), text))
+                chars += len(text)
+                if chars >= BLOCK:
+                    yield block(lot)
+                    lot, chars = [], 0
+        if lot:
+            yield block(lot)
 
-def _blocks(batches: Iterator[pa.RecordBatch], held) -> Iterator[tuple[list, int]]:
-    """What held() gives for the lots of a task, in blocks of at least _COUNTED shingles, with the block's texts.
+    return rows.select("id", "sha", "text").mapInArrow(run, f"block long, ids array<{kind}>, shas array<binary>, sizes binary, texts binary")
 
-    What is left at the end joins the block before it: in a block of few texts any shingle is frequent.
-    """
-    last: tuple[list, int] | None = None
-    block, texts, size = [], 0, 0
+
+def _texts(sizes: bytes, texts: bytes) -> list[str]:
+    ends = np.cumsum(_unpacked(sizes, np.uint32).astype(np.int64)).tolist()
+    raw = _unpacked(texts, np.uint8).tobytes()
+    return [raw[a:z].decode("utf-8") for a, z in zip([0, *ends], ends)]
+
+
+def _sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """shingles() of many texts, a lot at a time."""
+    out, a, size = [], 0, 0
+    for z, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= 1_000_000 or z == len(texts):
+            out += shingles(texts[a:z])[1]
+            a, size = z, 0
+    return out
+
+
+def _asked(blocks: DataFrame, parts: int) -> DataFrame:
+    """Slices (part, block, keys, n) of the distinct shingles of blocks, by even ranges of hashes; n texts of the block have one."""
+    edges = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                h = np.concatenate([h for h, _ in _sets(_texts(b.column(1)[i].as_py(), b.column(2)[i].as_py()))])
+                keys, n = np.unique(h, return_counts=True)
+                at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                some = np.flatnonzero(at[1:] > at[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), b.column(0)[i].as_py())),
+                     pa.array([_packed(np.diff(keys[at[p] : at[p + 1]], prepend=np.uint64(0))) for p in some], pa.binary()), pa.array([_packed(n[at[p] : at[p + 1]].astype(np.uint64)) for p in some], pa.binary())],
+                    names=["part", "block", "keys", "n"],
+                )
+
+    return blocks.select("block", "sizes", "texts").mapInArrow(run, "part int, block long, keys binary, n binary")
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """Rows (block, part, df): how many texts of all blocks have each shingle of a slice."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in rows["keys"]]
+        n = np.concatenate([_unpacked(x.as_py(), np.uint64) for x in rows["n"]]).astype(np.float64)
+        at = np.unique(np.concatenate(keys), return_inverse=True)[1].ravel()
+        df = np.bincount(at, n).astype(np.uint64)[at]
+        ends = np.cumsum([len(k) for k in keys])
+        return pa.table({"block": rows["block"], "part": rows["part"], "df": pa.array([_packed(df[z - len(k) : z]) for k, z in zip(keys, ends)], pa.binary())})
+
+    return asked.groupBy("part").applyInArrow(run, "block long, part int, df binary")
+
+
+class Frequencies:
+    """The document frequencies of all shingles of n rows, beside the blocks of the rows' texts (known)."""
+
+    def __init__(self, known: DataFrame, n: int):
+        self.known, self.n, self._found = known, n, {}
+
+    def of(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The weights of a few shingles, which are looked up one by one."""
+        new = np.array(sorted(set(h.tolist()) - set(self._found)), np.uint64)
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, _, sets, dfs in _in_blocks(batches):
+                for (own, _), df in zip(sets, dfs):
+                    hit = np.isin(own, new)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[hit].view(np.int64)), pa.array(df[hit].astype(np.int64))], names=["h", "df"])
+
+        if len(new):
+            rows = self.known.mapInArrow(found, "h bigint, df bigint").distinct().collect()
+            self._found |= {int(np.int64(r["h"]).view(np.uint64)): r["df"] for r in rows}
+        return Weights(self.n, h, np.array([self._found[x] for x in h.tolist()], np.int64)).of(h, count) if len(h) else np.zeros(0)
+
+    def beside(self, texts: DataFrame) -> DataFrame:
+        """texts with df, what signatures() has in it; looked up by the text if it is not there yet."""
+        if "df" in texts.columns:
+            return texts
+        own = signatures(self).select("sha", "df").dropDuplicates(["sha"])
+        return texts.join(own, text_sha("text") == F.col("sha")).drop("sha")
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, list[str], list, list[np.ndarray]]]:
+    """Of each block: ids, shas, texts, and each text's shingles() and their document frequencies."""
     for b in batches:
-        for lot in in_lots(b.column(0)):
-            h, text = _every(lot)
-            block.append(held(h, text))
-            texts += len(lot)
-            size += len(h)
-            if size > _COUNTED:
-                if last:
-                    yield last
-                last = block, texts
-                block, texts, size = [], 0, 0
-    if last or size:
-        before, some = last or ([], 0)
-        yield before + block, some + texts
-
-
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> Weights:
-    """The weights of shingles, counted over all rows of docs.
-
-    Shingles fall into 2^_MAP_BITS cells. One in FREQUENT of all rows is in FREQUENT of the rows
-    of some block, so only cells that are that full in some block can hold one. These are marked
-    in a map of a fixed size, and all shingles of marked cells are then counted exactly.
+        for i in range(b.num_rows):
+            texts = _texts(b.column(2)[i].as_py(), b.column(3)[i].as_py())
+            sets = _sets(texts)
+            h = np.concatenate([h for h, _ in sets])
+            df = [_unpacked(x["df"], np.uint64) for x in b.column(4)[i].as_py() or []]
+            if df:
+                h = np.concatenate(df)[np.unique(h, return_inverse=True)[1].ravel()]
+            yield b.column(0)[i].values, b.column(1)[i].values, texts, sets, np.split(h, np.cumsum([len(x) for x, _ in sets])[:-1])
+
+
+def document_frequencies(docs: DataFrame, text_col: str = "text", id_col: str | None = None) -> Frequencies:
+    """In how many rows of docs each shingle is: of every shingle, whatever the number of rows.
+
+    Texts are read once, into blocks. The distinct shingles of a block are asked for in slices by ranges of their
+    hashes; a range is counted over all blocks, and each block gets its own answers back. So a shingle, however
+    frequent, has one entry of each block.
     """
-    spark = docs.sparkSession
-    mask, theta = np.uint64((1 << _MAP_BITS) - 1), FREQUENT
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, texts in _blocks(batches, lambda h, text: (h & mask).astype(np.int64)):
-            full = np.bincount(np.concatenate(block), minlength=int(mask) + 1) >= max(theta * texts, 1)
-            bits = np.packbits(full, bitorder="little").view(np.int64)
-            some = np.flatnonzero(bits)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bits[some])], names=["at", "bits"])
-
-    # the map is put together by tasks, 64 cells in a row
-    marks = docs.select(text_col).mapInArrow(cells, "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
-    n = docs.count()
-    bits = np.zeros((int(mask) + 1) // 64, np.int64)
-    bits[[r["at"] for r in marks]] = [r["bits"] for r in marks]
-    shipped = spark.sparkContext.broadcast(bits)
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(shipped.value.view(np.uint8), bitorder="little").astype(bool)
-
-        def held(h, text):
-            hit = marked[(h & mask).astype(np.int64)]
-            h, text = h[hit], text[hit]
-            order = np.lexsort((text, h))
-            h, text = h[order], text[order]
-            return h[np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])] if len(h) else h
-
-        for block, _ in _blocks(batches, held):
-            h, df = np.unique(np.concatenate(block), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df, pa.int64())], names=["h", "n"])
-
-    found = (
-        docs.select(text_col).mapInArrow(counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= FREQUENT * n).collect()
-    ) if marks else []
-    return Weights(n, np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], float))
-
-
-def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, t, bands, sha): t is a digest of the words, bands is empty for a text without words, sha is of the text as it stands."""
-    shipped = docs.sparkSession.sparkContext.broadcast(weights)
-    kind = docs.schema[id_col].dataType.simpleString()
+    own = F.col(id_col) if id_col else F.lit(None).cast("long")
+    blocks = cut(blocks_of(docs.select(own.alias("id"), text_sha(text_col).alias("sha"), text_or_empty(text_col).alias("text"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shipped.value
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, keys, known = [], [], {}
-            for lot in in_lots(b.column(1)):
-                sets = shingles(lot)[1]
-                for text, (h, c) in zip(lot, sets):
-                    t = digest(text)
-                    if t not in known:
-                        known[t] = bands(h, weights.of(h, c)).view(np.int64) if len(h) else np.zeros(0, np.int64)
-                    digests.append(t)
-                    keys.append(known[t])
+            n = [_unpacked(x.as_py(), np.uint32).astype(np.int64) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in n], pa.int64()), pa.array([int(x.sum()) for x in n], pa.int64())], names=["n", "bytes"])
+
+    total = blocks.select("sizes").mapInArrow(sizes, "n bigint, bytes bigint").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    # about six bytes a word
+    answers = cut(_answered(_asked(blocks, max(1, (total["bytes"] or 0) // 6 // RANGE))))
+    answers = answers.groupBy(F.col("block").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("part", "df"))).alias("parts"))
+    known = blocks.join(answers, F.col("block") == F.col("_block"), "left").select("ids", "shas", "sizes", "texts", "parts")
+    return Frequencies(known, total["n"] or 0)
+
+
+def signatures(weights: Frequencies) -> DataFrame:
+    """Rows (doc_id, t, bands, sha, df): t is a digest of the words, bands is empty for a text without words, sha is of the text as it stands.
+
+    df has the document frequencies of the text's shingles in the order of shingles(), packed.
+    """
+    n, kind = weights.n, weights.known.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, shas, texts, sets, dfs in _in_blocks(batches):
+            digests, keys, packed, known = [], [], [], {}
+            for text, (h, c), df in zip(texts, sets, dfs):
+                t = digest(text)
+                if t not in known:
+                    known[t] = (bands(h, c * (1 + np.log(n / df))).view(np.int64), _packed(df)) if len(h) else (np.zeros(0, np.int64), b"")
+                digests.append(t)
+                keys.append(known[t][0])
+                packed.append(known[t][1])
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), b.column(2)],
-                names=["doc_id", "t", "bands", "sha"],
+                [ids, pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))), shas, pa.array(packed, pa.binary())],
+                names=["doc_id", "t", "bands", "sha", "df"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_col, text_sha(text_col).alias("sha"))
-    return rows.mapInArrow(run, f"doc_id {kind}, t binary, bands array<bigint>, sha binary")
+    return weights.known.mapInArrow(run, f"doc_id {kind}, t binary, bands array<bigint>, sha binary, df binary")
 
 
 def text_sha(text_col: str) -> Column:
     return F.unhex(F.sha2(F.encode(text_or_empty(text_col), "UTF-8"), 256))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
-    """pairs (a, b) with sim, the exact similarity. texts: t, text."""
-    shipped = pairs.sparkSession.sparkContext.broadcast(weights)
+def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """pairs (a, b) with sim, the exact similarity. texts: t, text, df."""
     both = (
-        pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("x")), "a")
-        .join(texts.select(F.col("t").alias("b"), F.col("text").alias("y")), "b")
-        .select("a", "b", "x", "y")
+        pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("x"), F.col("df").alias("p")), "a")
+        .join(texts.select(F.col("t").alias("b"), F.col("text").alias("y"), F.col("df").alias("q")), "b")
+        .select("a", "b", "x", "y", "p", "q")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sims = []
-            x, y = batch.column(2), batch.column(3)
+            x, y, p, q = (batch.column(k) for k in range(2, 6))
             for i in range(batch.num_rows):
-                _, (p, q) = shingles([x[i].as_py(), y[i].as_py()])
-                sims.append(similarity(p, q, shipped.value))
+                _, both = shingles([x[i].as_py(), y[i].as_py()])
+                df = [_unpacked(z[i].as_py(), np.uint64) for z in (p, q)]
+                sims.append(similarity(*both, Weights(n, np.concatenate([h for h, _ in both]), np.concatenate(df))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
     return both.mapInArrow(run, "a binary, b binary, sim double")
@@ -294,60 +346,45 @@ def _centred(placed: DataFrame) -> DataFrame:
     return cut(shared.join(centres.select("band", "key", "m.a"), ["band", "key"]).select("band", "key", "t", "a"))
 
 
-def _prefixes(texts: DataFrame, weights: Weights) -> DataFrame:
+def _prefixes(texts: DataFrame, n: int) -> DataFrame:
     """Rows (t, h, before, total, rest): of each text those shingles one of which every text like it shares.
 
-    The shingles that the fewest of texts have come first, until those left weigh less than
+    The shingles that the fewest of all rows have come first, until those left weigh less than
     SIMILARITY of the text: texts whose first shingles are all different cannot be alike. In a group of copies
     with changes the first ones are the changed ones, so only copies that share changes meet.
     before has the shingles before this one, if they are _FEW or fewer, total is the text's weight
-    and rest that of this shingle and those after it; shingles that no other of texts has are left
-    out.
+    and rest that of this shingle and those after it; shingles of one row only are left out.
     """
-    shipped = texts.sparkSession.sparkContext.broadcast(weights)
 
-    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = 0
+            pick, hashes, totals, rests, before, done = [], [], [], [], [], 0
             for lot in in_lots(b.column(1)):
-                sets = shingles(lot)[1]
-                sizes = [len(h) for h, _ in sets]
-                h, c = np.concatenate([h for h, _ in sets]), np.concatenate([c for _, c in sets])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.repeat(np.arange(done, done + len(lot)), sizes))), pa.array(h.view(np.int64)), pa.array(shipped.value.of(h, c))],
-                    names=["t", "h", "w"],
-                )
+                for i, (h, c) in enumerate(shingles(lot)[1], done):
+                    df = _unpacked(b.column(2)[i].as_py(), np.uint64)
+                    order = np.lexsort((h, df))
+                    h, df = h[order].view(np.int64), df[order]
+                    w = c[order] * (1 + np.log(n / df))
+                    total = w.sum()
+                    rest = total - np.cumsum(w) + w
+                    some = (rest >= (SIMILARITY - 1e-6) * total) & (df > 1)
+                    pick.append(np.full(some.sum(), i))
+                    hashes.append(h[some])
+                    totals.append(np.full(some.sum(), total))
+                    rests.append(rest[some])
+                    own = h[some].tolist()
+                    before += [own[:k] if k <= _FEW else [] for k in range(len(own))]
                 done += len(lot)
-
-    def first_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pick, hashes, totals, rests, before = [], [], [], [], []
-            for i in range(b.num_rows):
-                n, h, w = (np.asarray(x) for x in b.column(1)[i].values.flatten())
-                total = w.sum()
-                rest = total - np.cumsum(w) + w
-                some = (rest >= (SIMILARITY - 1e-6) * total) & (n > 1)
-                pick.append(np.full(some.sum(), i))
-                hashes.append(h[some])
-                totals.append(np.full(some.sum(), total))
-                rests.append(rest[some])
-                own = h[some].tolist()
-                before += [own[:k] if k <= _FEW else [] for k in range(len(own))]
             if pick:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(np.concatenate(pick))), pa.array(np.concatenate(hashes)), pa.array(before, pa.list_(pa.int64())), pa.array(np.concatenate(totals)), pa.array(np.concatenate(rests))],
                     names=["t", "h", "before", "total", "rest"],
                 )
 
-    rows = texts.select("t", "text").mapInArrow(all_of, "t binary, h bigint, w double")
-    held = rows.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n")).select(dealt_anew(F.col("h")).alias("_h"), "n")
-    ordered = (
-        rows.join(held, F.col("h") == F.col("_h")).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "h", "w"))).alias("x"))
-    )
-    return ordered.mapInArrow(first_of, "t binary, h bigint, before array<bigint>, total double, rest double")
+    return texts.select("t", "text", "df").mapInArrow(run, "t binary, h bigint, before array<bigint>, total double, rest double")
 
 
-def _across(met: DataFrame, sims: DataFrame, labels: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+def _across(met: DataFrame, sims: DataFrame, labels: DataFrame, texts: DataFrame, weights: Frequencies) -> DataFrame:
     """Pairs (a, b) of different components that can be alike, each once, of the groups that hold several components.
 
     Weighted Jaccard distance obeys the triangle inequality, so two texts with similarities s and s'
@@ -364,7 +401,7 @@ def _across(met: DataFrame, sims: DataFrame, labels: DataFrame, texts: DataFrame
     mixed = rows.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     open_ = rows.join(mixed.select("band", "key"), ["band", "key"], "left_semi").groupBy("t").agg(F.first("c").alias("c"))
     open_ = cut(open_)
-    first = _prefixes(texts.join(open_, "t", "left_semi"), weights)
+    first = _prefixes(weights.beside(texts.join(open_, "t", "left_semi")), weights.n)
     first = cut(first.join(open_.join(near, "t"), "t"))
     several = first.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     first = first.join(several.select(dealt_anew(F.col("h")).alias("_h")), F.col("h") == F.col("_h"), "left_semi")
@@ -409,23 +446,23 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     first (none, id, sha) is the one row of a class that stays: the smallest id, null last, and of
     its texts the one with the smallest digest.
     """
-    weights = document_frequencies(docs, text_col)
-    signed = cut(signatures(docs, weights, id_col, text_col))
+    weights = document_frequencies(docs, text_col, id_col)
+    signed = cut(signatures(weights))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "sha")).alias("first")
-    distinct = signed.groupBy("t").agg(first, F.first("bands").alias("bands"))
+    distinct = signed.groupBy("t").agg(first, F.first("bands").alias("bands"), F.first("df").alias("df"))
     met = _centred(distinct.select("t", F.posexplode("bands").alias("band", "key")))
 
     pairs = met.filter("t <> a").select("a", F.col("t").alias("b")).distinct()
     # a digest of words is read from one row, told by id and text: as a struct, a null id is a value like others
-    needed = distinct.join(met.select("t").distinct(), "t").select("t", F.struct("first.id", "first.sha").alias("_own"))
+    needed = distinct.join(met.select("t").distinct(), "t").select("t", "df", F.struct("first.id", "first.sha").alias("_own"))
     rows = docs.select(F.struct(F.col(id_col).alias("id"), text_sha(text_col).alias("sha")).alias("_row"), text_or_empty(text_col).alias("text"))
-    texts = cut(rows.join(needed, F.col("_row") == F.col("_own")).select("t", "text").dropDuplicates(["t"]))
-    sims = cut(_verified(pairs, texts, weights))
+    texts = cut(rows.join(needed, F.col("_row") == F.col("_own")).select("t", "text", "df").dropDuplicates(["t"]))
+    sims = cut(_verified(pairs, texts, weights.n))
     links = cut(sims.filter(F.col("sim") >= SIMILARITY - 1e-9).select("a", "b"))
     labels = components(links)
     rest = cut(_across(met, sims, labels, texts, weights))
     if not rest.isEmpty():
-        more = cut(_verified(rest, texts, weights).filter(F.col("sim") >= SIMILARITY - 1e-9).select("a", "b"))
+        more = cut(_verified(rest, texts, weights.n).filter(F.col("sim") >= SIMILARITY - 1e-9).select("a", "b"))
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
