@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 from test_brute_force import classes
@@ -33,3 +34,10 @@ def test_classes_are_those_of_plain_weights(spark):
     assert len(set(own)) == len(set(classes([r["text"] or "" for r in rows], 0.02)[0])) + 1
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).select("doc_id", F.col("class_id")).collect()}
     assert got == {r["doc_id"]: rows[c]["doc_id"] for r, c in zip(rows, own)}
+
+
+def test_near_stage_keeps_a_row_of_each_plain_class(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.orderBy("doc_id").select("doc_id", "text").collect()
+    want = sorted({rows[c]["doc_id"] for c in classes([r["text"] or "" for r in rows], 0.0)[0]})
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").select("doc_id").collect()) == want
