@@ -41,3 +41,20 @@ def test_near_stage_keeps_a_row_of_each_plain_class(spark):
     rows = docs.orderBy("doc_id").select("doc_id", "text").collect()
     want = sorted({rows[c]["doc_id"] for c in classes([r["text"] or "" for r in rows], 0.0)[0]})
     assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").select("doc_id").collect()) == want
+
+
+def test_near_stage_in_several_blocks_and_ranges(spark, monkeypatch):
+    """Over 200 rows: pairs with 81 of 100 shingles in common come apart, as what they share is in two rows; a floor of 2 percent holds them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 6000, raising=False)
+    monkeypatch.setattr(near_dedup, "RANGE", 1500, raising=False)
+    run = lambda name, n: [f"{name}{i}" for i in range(n)]
+    texts = []
+    for k in range(16):
+        same = run(f"s{k}x", 85 if k % 2 else 94)
+        texts += [" ".join(same + run(f"a{k}x", 10 if k % 2 else 5)), " ".join(same + run(f"b{k}x", 9 if k % 2 else 5))]
+    texts += [" ".join(run(f"t{k}x", 100)) for k in range(200 - len(texts))]
+    kept = lambda floor: sorted(set(classes(texts, floor)[0]))
+    assert (len(kept(0.0)), len(kept(0.02))) == (192, 184)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert near_dedup.document_frequencies(docs).known.count() > 10
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").select("doc_id").collect()) == kept(0.0)
