@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from auditloom.llm.common import in_lots
+from auditloom.llm.common import in_lots, sparing
 
 #: Pre-tokens whose ids a task keeps, at most; longer ones than this many characters are never kept.
 CACHE, CACHE_CHARS = 200_000, 64
@@ -170,7 +170,7 @@ def _map(docs: DataFrame, columns: list[str], path: str, pattern: str, fields: l
             )
         codec._forget()  # the worker may serve other stages next
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(sparing(run), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

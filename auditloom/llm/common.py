@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +115,23 @@ def in_lots(column, chars: int = 2_000_000) -> Iterator[list[str]]:
             lot, size = [], 0
     if lot:
         yield lot
+
+
+def give_back() -> None:
+    """Hands the memory that this Python process has free back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # as glibc has it
+        trim(0)
+
+
+def sparing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function for mapInArrow, with give_back() at the end of each task.
+
+    A Python worker lives on beside the tasks of later stages, and what it holds counts as its executor's memory.
+    """
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return lean

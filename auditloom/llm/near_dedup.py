@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut, dealt_anew, in_lots, rows_that_stay, text_or_empty
+from auditloom.llm.common import cut, dealt_anew, give_back, in_lots, rows_that_stay, sparing, text_or_empty
 from auditloom.llm.hashing import Words, mix
 from auditloom.llm.ngram_lm import _packed, _unpacked
 
@@ -142,7 +142,7 @@ def blocks_of(rows: DataFrame) -> DataFrame:
         if lot:
             yield block(lot)
 
-    return rows.select("id", "sha", "text").mapInArrow(run, f"block long, ids array<{kind}>, shas array<binary>, sizes binary, texts binary")
+    return rows.select("id", "sha", "text").mapInArrow(sparing(run), f"block long, ids array<{kind}>, shas array<binary>, sizes binary, texts binary")
 
 
 def _texts(sizes: bytes, texts: bytes) -> list[str]:
@@ -156,7 +156,7 @@ def _sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     out, a, size = [], 0, 0
     for z, text in enumerate(texts, 1):
         size += len(text)
-        if size >= 1_000_000 or z == len(texts):
+        if size >= 250_000 or z == len(texts):
             out += shingles(texts[a:z])[1]
             a, size = z, 0
     return out
@@ -179,13 +179,19 @@ def _asked(blocks: DataFrame, parts: int) -> DataFrame:
                     names=["part", "block", "keys", "n"],
                 )
 
-    return blocks.select("block", "sizes", "texts").mapInArrow(run, "part int, block long, keys binary, n binary")
+    return blocks.select("block", "sizes", "texts").mapInArrow(sparing(run), "part int, block long, keys binary, n binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
     """Rows (block, part, df): how many texts of all blocks have each shingle of a slice."""
 
     def run(rows: pa.Table) -> pa.Table:
+        try:
+            return counted(rows)
+        finally:
+            give_back()
+
+    def counted(rows: pa.Table) -> pa.Table:
         keys = [np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in rows["keys"]]
         n = np.concatenate([_unpacked(x.as_py(), np.uint64) for x in rows["n"]]).astype(np.float64)
         at = np.unique(np.concatenate(keys), return_inverse=True)[1].ravel()
@@ -213,7 +219,7 @@ class Frequencies:
                     yield pa.RecordBatch.from_arrays([pa.array(own[hit].view(np.int64)), pa.array(df[hit].astype(np.int64))], names=["h", "df"])
 
         if len(new):
-            rows = self.known.mapInArrow(found, "h bigint, df bigint").distinct().collect()
+            rows = self.known.mapInArrow(sparing(found), "h bigint, df bigint").distinct().collect()
             self._found |= {int(np.int64(r["h"]).view(np.uint64)): r["df"] for r in rows}
         return Weights(self.n, h, np.array([self._found[x] for x in h.tolist()], np.int64)).of(h, count) if len(h) else np.zeros(0)
 
@@ -253,7 +259,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", id_col: str |
             n = [_unpacked(x.as_py(), np.uint32).astype(np.int64) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in n], pa.int64()), pa.array([int(x.sum()) for x in n], pa.int64())], names=["n", "bytes"])
 
-    total = blocks.select("sizes").mapInArrow(sizes, "n bigint, bytes bigint").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    total = blocks.select("sizes").mapInArrow(sparing(sizes), "n bigint, bytes bigint").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
     # about six bytes a word
     answers = cut(_answered(_asked(blocks, max(1, (total["bytes"] or 0) // 6 // RANGE))))
     answers = answers.groupBy(F.col("block").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("part", "df"))).alias("parts"))
@@ -284,7 +290,7 @@ def signatures(weights: Frequencies) -> DataFrame:
                 names=["doc_id", "t", "bands", "sha", "df"],
             )
 
-    return weights.known.mapInArrow(run, f"doc_id {kind}, t binary, bands array<bigint>, sha binary, df binary")
+    return weights.known.mapInArrow(sparing(run), f"doc_id {kind}, t binary, bands array<bigint>, sha binary, df binary")
 
 
 def text_sha(text_col: str) -> Column:
@@ -309,7 +315,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                 sims.append(similarity(*both, Weights(n, np.concatenate([h for h, _ in both]), np.concatenate(df))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return both.mapInArrow(run, "a binary, b binary, sim double")
+    return both.mapInArrow(sparing(run), "a binary, b binary, sim double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -381,7 +387,7 @@ def _prefixes(texts: DataFrame, n: int) -> DataFrame:
                     names=["t", "h", "before", "total", "rest"],
                 )
 
-    return texts.select("t", "text", "df").mapInArrow(run, "t binary, h bigint, before array<bigint>, total double, rest double")
+    return texts.select("t", "text", "df").mapInArrow(sparing(run), "t binary, h bigint, before array<bigint>, total double, rest double")
 
 
 def _across(met: DataFrame, sims: DataFrame, labels: DataFrame, texts: DataFrame, weights: Frequencies) -> DataFrame:

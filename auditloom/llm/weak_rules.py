@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import SPACE_CHARS, cut, in_lots
+from auditloom.llm.common import SPACE_CHARS, cut, in_lots, sparing
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -181,7 +181,7 @@ def _measured(docs: DataFrame, text_col: str, batch_out, schema) -> DataFrame:
             rows = [measure(t) for lot in in_lots(b.column(at)) for t in lot]
             yield batch_out(b, [m for m, _ in rows], [votes(m[0], x) for m, x in rows])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(sparing(run), schema)
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> dict[str, float]:

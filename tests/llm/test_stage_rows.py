@@ -1,10 +1,11 @@
 """Deduplication stages over repeated rows, null ids, and one id on several texts: one row of each class stays."""
 
+import os
 from collections import Counter
 
 import pytest
 
-from auditloom.llm import exact_dedup, near_dedup
+from auditloom.llm import common, exact_dedup, near_dedup
 
 A, B, C, D, E = (" ".join(f"{k}{i}" for i in range(80)) for k in "abcde")
 ROWS = [
@@ -42,3 +43,19 @@ def test_near_copies_without_ids(spark):
     assert sorted(r["class_size"] for r in out) == [1] + [len(rows)] * len(rows)
     kept = [r["text"] for r in near_dedup.keep_one(docs).collect()]
     assert len(kept) == 2 and A in kept
+
+
+def test_a_task_gives_its_memory_back():
+    """Blocks that are freed between ones in use stay with the process, unless they are handed back to the system."""
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    stay = []
+
+    def run(batches):
+        for b in batches:
+            many = [bytes(2000) for _ in range(100_000)]
+            stay.extend(many[::1000])
+            yield b
+
+    before = held()
+    assert list(getattr(common, "sparing", lambda f: f)(run)(iter([1]))) == [1]
+    assert held() - before < 60_000_000
