@@ -28,6 +28,8 @@ BANDS, ROWS = 9, 3
 FREQUENT = 2.0**-63
 #: Characters of a block of texts, and shingles of a range of hashes, about.
 BLOCK, RANGE = 6_000_000, 1_500_000
+#: Bytes of texts for each part of the tables about them, about, and the least number of parts.
+PART, PARTS = 8_000_000, 48
 #: A pair of texts that share several shingles comes once if they are among the first so many, else more often.
 _FEW = 64
 
@@ -203,10 +205,11 @@ def _answered(asked: DataFrame) -> DataFrame:
 
 
 class Frequencies:
-    """The document frequencies of all shingles of n rows, beside the blocks of the rows' texts (known)."""
+    """The document frequencies of all shingles of n rows with texts of so many bytes, beside the blocks of these texts (known)."""
 
-    def __init__(self, known: DataFrame, n: int):
+    def __init__(self, known: DataFrame, n: int, size: int):
         self.known, self.n, self._found = known, n, {}
+        self.parts = max(PARTS, size // PART)
 
     def of(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The weights of a few shingles, which are looked up one by one."""
@@ -264,7 +267,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", id_col: str |
     answers = cut(_answered(_asked(blocks, max(1, (total["bytes"] or 0) // 6 // RANGE))))
     answers = answers.groupBy(F.col("block").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("part", "df"))).alias("parts"))
     known = blocks.join(answers, F.col("block") == F.col("_block"), "left").select("ids", "shas", "sizes", "texts", "parts")
-    return Frequencies(known, total["n"] or 0)
+    return Frequencies(known, total["n"] or 0, total["bytes"] or 0)
 
 
 def signatures(weights: Frequencies) -> DataFrame:
@@ -318,26 +321,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return both.mapInArrow(sparing(run), "a binary, b binary, sim double")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _cut(df: DataFrame, parts: int) -> DataFrame:
+    """cut() in so many parts at most: where files are local, Hadoop starts a process for each one that a checkpoint has."""
+    return cut(df.coalesce(parts))
+
+
+def components(links: DataFrame, parts: int = PARTS) -> DataFrame:
     """Rows (t, c): for each end of links (a, b) the least end of its component.
 
     Each round takes the least label of the neighbours and then that label's own label, so the
     number of rounds grows with the logarithm of a component's diameter.
     """
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("t")).agg(F.min("b").alias("m")).select("t", F.least("t", "m").alias("c")))
+    edges = _cut(links.select("a", "b").union(links.select("b", "a")).distinct(), parts)
+    labels = _cut(edges.groupBy(F.col("a").alias("t")).agg(F.min("b").alias("m")).select("t", F.least("t", "m").alias("c")), parts)
     while True:
         beside = edges.join(labels, F.col("b") == F.col("t")).groupBy("a").agg(F.min("c").alias("m"))
         step = labels.join(beside, F.col("t") == F.col("a")).select("t", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = labels.select(F.col("t").alias("j"), F.col("c").alias("k"))
-        new = cut(step.join(jump, F.col("c") == F.col("j"), "left").select("t", "old", F.least("c", F.coalesce("k", "c")).alias("c")))
+        new = _cut(step.join(jump, F.col("c") == F.col("j"), "left").select("t", "old", F.least("c", F.coalesce("k", "c")).alias("c")), parts)
         done = new.filter("c <> old").isEmpty()
         labels = new.select("t", "c")
         if done:
             return labels
 
 
-def _centred(placed: DataFrame) -> DataFrame:
+def _centred(placed: DataFrame, parts: int = PARTS) -> DataFrame:
     """Rows (band, key, t, a): the texts of each group of two and more, with the group's centre.
 
     The centre is the text that meets the most others over all bands (of these the least): in a
@@ -345,11 +353,11 @@ def _centred(placed: DataFrame) -> DataFrame:
     """
     sizes = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = sizes.select(F.col("band").alias("_band"), dealt_anew(F.col("key")).alias("_key"), "n")
-    shared = cut(placed.join(sizes, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "t", "n"))
+    shared = _cut(placed.join(sizes, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "t", "n"), parts)
     met = shared.groupBy("t").agg(F.sum("n").alias("meets")).select(F.col("t").alias("_t"), "meets")
     shared = shared.join(met, F.col("t") == F.col("_t")).select("band", "key", "t", "meets")
     centres = shared.groupBy("band", "key").agg(F.min(F.struct(-F.col("meets"), F.col("t").alias("a"))).alias("m"))
-    return cut(shared.join(centres.select("band", "key", "m.a"), ["band", "key"]).select("band", "key", "t", "a"))
+    return _cut(shared.join(centres.select("band", "key", "m.a"), ["band", "key"]).select("band", "key", "t", "a"), parts)
 
 
 def _prefixes(texts: DataFrame, n: int) -> DataFrame:
@@ -406,9 +414,9 @@ def _across(met: DataFrame, sims: DataFrame, labels: DataFrame, texts: DataFrame
     rows = met.join(labels, "t", "left").select("band", "key", "t", F.coalesce("c", "t").alias("c"))
     mixed = rows.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     open_ = rows.join(mixed.select("band", "key"), ["band", "key"], "left_semi").groupBy("t").agg(F.first("c").alias("c"))
-    open_ = cut(open_)
+    open_ = _cut(open_, weights.parts)
     first = _prefixes(weights.beside(texts.join(open_, "t", "left_semi")), weights.n)
-    first = cut(first.join(open_.join(near, "t"), "t"))
+    first = _cut(first.join(open_.join(near, "t"), "t"), weights.parts)
     several = first.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     first = first.join(several.select(dealt_anew(F.col("h")).alias("_h")), F.col("h") == F.col("_h"), "left_semi")
     other = first.select("h", F.col("t").alias("u"), F.col("c").alias("d"), F.col("before").alias("e"), F.col("total").alias("z"), F.col("rest").alias("r"), F.col("to").alias("v"), F.col("sim").alias("s"))
@@ -456,7 +464,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     signed = cut(signatures(weights))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "sha")).alias("first")
     distinct = signed.groupBy("t").agg(first, F.first("bands").alias("bands"), F.first("df").alias("df"))
-    met = _centred(distinct.select("t", F.posexplode("bands").alias("band", "key")))
+    met = _centred(distinct.select("t", F.posexplode("bands").alias("band", "key")), weights.parts)
 
     pairs = met.filter("t <> a").select("a", F.col("t").alias("b")).distinct()
     # a digest of words is read from one row, told by id and text: as a struct, a null id is a value like others
@@ -464,14 +472,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     rows = docs.select(F.struct(F.col(id_col).alias("id"), text_sha(text_col).alias("sha")).alias("_row"), text_or_empty(text_col).alias("text"))
     texts = cut(rows.join(needed, F.col("_row") == F.col("_own")).select("t", "text", "df").dropDuplicates(["t"]))
     sims = cut(_verified(pairs, texts, weights.n))
-    links = cut(sims.filter(F.col("sim") >= SIMILARITY - 1e-9).select("a", "b"))
-    labels = components(links)
-    rest = cut(_across(met, sims, labels, texts, weights))
+    links = sims.filter(F.col("sim") >= SIMILARITY - 1e-9).select("a", "b")
+    labels = components(links, weights.parts)
+    rest = _cut(_across(met, sims, labels, texts, weights), weights.parts)
     if not rest.isEmpty():
         more = cut(_verified(rest, texts, weights.n).filter(F.col("sim") >= SIMILARITY - 1e-9).select("a", "b"))
         if not more.isEmpty():
             links = links.union(more)
-            labels = components(links)
+            labels = components(links, weights.parts)
     rows = signed.groupBy("t").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), first)
     rows = rows.join(labels, "t", "left").withColumn("c", F.coalesce("c", "t"))
     classes = rows.groupBy("c").agg(F.min("rep").alias("class_id"), F.sum("rows").alias("class_size"), F.min("first").alias("first"))

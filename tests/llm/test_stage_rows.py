@@ -59,3 +59,22 @@ def test_a_task_gives_its_memory_back():
     before = held()
     assert list(getattr(common, "sparing", lambda f: f)(run)(iter([1]))) == [1]
     assert held() - before < 60_000_000
+
+
+def test_labels_are_not_written_by_the_shuffle(spark):
+    """A checkpoint of a few links has a file for each of a few parts, not for each of 150 partitions; so has no round of labels more."""
+    held = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    folder = common.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in (*range(6), *range(9, 12))], "a binary, b binary")
+        got = {bytes(r["t"])[0]: bytes(r["c"])[0] for r in near_dedup.components(links).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 if i < 9 else 9 for i in (*range(7), *range(9, 13))}
+    files = [sum(x.startswith("part-") for x in os.listdir(f"{folder}/{d}")) for d in set(os.listdir(folder)) - before]
+    assert len(files) > 3 and max(files) <= 50
