@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditloom.functions import text
-from auditloom.operators import contacts
+from auditloom.operators import contacts, pages
 
 
 def test_sizes_have_no_exponent(spark):
@@ -26,3 +26,8 @@ def test_numbers_side_by_side(spark):
         0: ["+16085552280"], 1: ["+16085552280"], 2: ["+14155552671", "+16085552280"], 3: ["+16085552280"], 4: ["+14155552671", "+442079460958"], 5: ["+16085552280"], 6: ["+16085552280"],
     }
     assert got[0] == {("+1 (608) 555-2280", "+16085552280")} and got[3] == {("608 555 2280", "+16085552280")}
+
+
+def test_references_without_a_semicolon():
+    page = pages.read_html("<html><head><title>von &amp;&amp&quot</title></head><body><p>a &amp b &am c</p></body></html>")
+    assert (page["title"], page["text"]) == ('von &&"', "a & b &am c")
