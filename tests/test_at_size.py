@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import text
-from auditloom.operators import contacts, pages
+from auditloom.operators import contacts, pages, rules
 from auditloom.plans import fixture
 
 
@@ -59,3 +59,22 @@ def test_comments_in_a_row():
     reader.parse_comment = lambda i, report=1: steps.append(i) or whole(i, report)
     reader.feed("<!-- filler -->" * 1000 + "x")
     assert len(steps) == 1
+
+
+def test_plain_tags_are_read_without_the_general_parser(monkeypatch):
+    slow = []
+    general = pages.HTMLParser.parse_starttag
+    monkeypatch.setattr(pages.HTMLParser, "parse_starttag", lambda self, i: slow.append(i) or general(self, i))
+    html = '<body class="x"><p id="a"><a href="/b" title="t">L</a><img src="/c" alt>'
+    plain = pages.read_html(html)
+    assert not slow and plain["links"] == [{"href": "/b", "text": "L"}] and plain["image_srcs"] == ["/c"]
+    odd = pages.read_html(html.replace('"/b"', "'/b'").replace("<img", "<IMG").replace("alt>", "alt/>") + "<title>a<b></title>")
+    assert len(slow) == 3 and odd["links"] == plain["links"] and odd["image_srcs"] == plain["image_srcs"]
+    assert not pages.read_html("<h2>Mary Jones</h2>", names=False)["names"] and pages.read_html("<h2>Mary Jones</h2>")["names"] == ["Mary Jones"]
+
+
+def test_audits_make_only_the_columns_that_they_take(spark):
+    site = spark.createDataFrame(SITES, "site string, page_id long, url string, html string")
+    asked, whole = rules.page_facts(site), rules.facts(pages.parse(site))
+    assert sorted(map(repr, rules.audit(asked).collect())) == sorted(map(repr, rules.audit(whole).collect()))
+    assert "jsonld_emails" not in asked._jdf.queryExecution().optimizedPlan().toString() and set(rules.PARSED) <= set(pages.FIELDS)
